@@ -55,3 +55,31 @@ def running_total(df: DataFrame, group: list[str], chunk: str, order: list, valu
     inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return local.join(totals, [*group, chunk]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> (node, component): the smallest node that each node reaches.
+
+    Rounds of large and small stars, each written to the shared folder; they end when a round changes
+    nothing. Only minima per node are gathered, so a node with very many edges is no burden.
+    """
+
+    def star(e: DataFrame, small: bool) -> DataFrame:
+        both = e if small else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        out = both.join(least, "a")
+        if small:  # a > b: all smaller neighbours and the node itself hang on the least
+            out = out.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
+        else:
+            out = out.filter("b > a").select(F.col("b").alias("x"), "m")
+        return out.filter("x > m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+
+    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    while True:
+        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if seen == mark or not seen[0]:
+            break
+        mark = seen
+        now = stored(star(star(now, False), True), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing
+from quire.llm import lines, mixing, ngram_join, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,21 @@ def op2_drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return joined.documents.select("doc_id", "n_shingles", "component_id")
+
+
+def op7_drop_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.drop_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_drop_repeated_lines": op2_drop_repeated_lines,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op7_drop_repeated_passages": op7_drop_repeated_passages,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
