@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing, ngram_join, repeats
+from quire.llm import lines, mixing, nearest, ngram_join, packing, quality, repeats, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +26,39 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.documents.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_drop_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.drop_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_drop_repeated_lines": op2_drop_repeated_lines,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_pack_documents": op6_pack_documents,
     "op7_drop_repeated_passages": op7_drop_repeated_passages,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
