@@ -127,16 +127,16 @@ def shared_shingles(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in in_chunks(batches):
-            rows = [(i, len(s), s.view(np.int64)) for i, a, b, s in zip(rest["doc_id"], rest["k1"], rest["k2"], shingle_sets(texts, n), strict=True) if _set_key(s) == (a, b)]
+            rows = [(i, s.view(np.int64)) for i, a, b, s in zip(rest["doc_id"], rest["k1"], rest["k2"], shingle_sets(texts, n), strict=True) if _set_key(s) == (a, b)]
             if rows:
-                ids, sizes, sets = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "tokens"])
+                ids, sets = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select("doc_id", "k1", "k2"), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, n long, tokens array<long>").select("doc_id", "n", F.explode("tokens").alias("token"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select("doc_id", "k1", "k2").hint("merge"), "doc_id")
+    rows = texts.mapInArrow(run, "doc_id long, tokens array<long>").select("doc_id", F.explode("tokens").alias("token"))
     rows = stored(rows, "ngram-tokens")
     common = rows.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
-    lists = rows.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("f", "token"))).alias("t"))
+    lists = rows.join(common, "token").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("f", "token"))).alias("t")).join(reps.select("doc_id", "n"), "doc_id")
     return lists.withColumn("c", F.size("t").cast("long")).filter(F.col("c") >= _least(F.col("n"), percent))
 
 
@@ -164,6 +164,43 @@ def _verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b", "overlap", "a_size", "b_size")
 
 
+def _linked_across(pairs: DataFrame, lists: DataFrame, gathered: DataFrame, percent: int, block: int = 512, most_asked: int = 2048) -> DataFrame:
+    """pairs(a, b) of groups -> the links between their texts: a, b, overlap, a_size, b_size.
+
+    The texts of the smaller group are held against the larger one block by block; a group of any size
+    is so many blocks, and one that many ask is dealt in as many copies.
+    """
+    members = lists.select("doc_id", "n", "tokens").join(gathered, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("g"))
+    sizes = stored(members.groupBy("g").agg(F.count("*").alias("size")), "ngram-sizes")
+    both = pairs.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("g").alias("b"), F.col("size").alias("sb")), "b")
+    asking = F.when(F.struct("sa", "a") <= F.struct("sb", "b"), F.struct(F.col("a").alias("g"), F.col("b").alias("target"), F.col("sa").alias("size"), F.col("sb").alias("room"))).otherwise(F.struct(F.col("b").alias("g"), F.col("a").alias("target"), F.col("sb").alias("size"), F.col("sa").alias("room")))
+    ask = stored(both.select(asking.alias("x")).select("x.*"), "ngram-asks")
+    load = ask.groupBy("target").agg(F.sum("size").alias("load"), F.first("room").alias("room"))
+    load = load.select("target", F.ceil(F.col("load") / most_asked).alias("chunks"), F.ceil(F.col("room") / block).alias("blocks"))
+    spread = ask.join(load, "target").join(members, "g").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = members.join(load, F.col("g") == F.col("target")).withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    spread = spread.select(F.col("target").alias("q_target"), F.col("blk").alias("q_blk"), F.col("chunk").alias("q_chunk"), F.col("doc_id").alias("q_doc"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
+
+    def compare(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(near):
+            tokens = np.concatenate(near.tokens.to_numpy())
+            owner = np.repeat(np.arange(len(near)), near.tokens.map(len))
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner, sizes, ids = tokens[order], owner[order], near.n.to_numpy(), near.doc_id.to_numpy()
+            for q in asked.itertuples():
+                lo, hi = np.searchsorted(tokens, q.q_tokens, "left"), np.searchsorted(tokens, q.q_tokens, "right")
+                each = hi - lo
+                at = np.repeat(lo - np.cumsum(each) + each, each) + np.arange(each.sum())
+                overlap = np.bincount(owner[at], minlength=len(near))
+                hit = np.flatnonzero(overlap * (100 + percent) >= percent * (sizes + q.q_n))
+                out += [(min(q.q_doc, ids[h]), max(q.q_doc, ids[h]), overlap[h], *((q.q_n, sizes[h]) if q.q_doc < ids[h] else (sizes[h], q.q_n))) for h in hit]
+        return pd.DataFrame(out, columns=["a", "b", "overlap", "a_size", "b_size"]).astype("int64")
+
+    sides = spread.groupBy("q_target", "q_blk", "q_chunk").cogroup(held.select("target", "blk", "chunk", "doc_id", "n", "tokens").groupBy("target", "blk", "chunk"))
+    return sides.applyInPandas(compare, "a long, b long, overlap long, a_size long, b_size long")
+
+
 def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Joined:
     """docs(doc_id, text, ...) -> Joined: texts whose sets of n-word shingles have a Jaccard of percent/100 or more link.
 
@@ -183,8 +220,10 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Joi
     reps = stored(maybe.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "ngram-reps")
     lists = stored(_orders(shared_shingles(docs, reps, n, percent), percent), "ngram-lists")
 
+    inner = F.col("c") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1  # of a pair, the smaller text's prefix is shorter
+
     def posted(order: int) -> DataFrame:
-        return lists.select(F.explode(F.col("prefixes")[order]).alias("token"), "doc_id", "n", "c")
+        return lists.select(F.posexplode(F.col("prefixes")[order]).alias("at", "token"), "doc_id", "n", "c", inner.alias("inner")).withColumn("inner", F.col("at") < F.col("inner")).drop("at")
 
     post = posted(0)
     heads = post.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("u"), "doc_id", "n", "c")).alias("h"), F.count("*").alias("k")).filter("k > 1").select("token", "h.*").drop("u")
@@ -193,18 +232,24 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Joi
     links = stored(_verified(stars, lists, percent), "ngram-stars")
     gathered = connected_components(links.select("a", "b"))
 
+    fits = F.floor(F.col("c") * (100 + percent) / percent) - F.col("n")  # the largest text that one with c shared shingles links with
     crossing = None
     for order in (0, 1):
-        rows = posted(order).join(gathered, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "c", F.coalesce("component", "doc_id").alias("g"))
-        rows = stored(rows, "ngram-postings")
-        open_ = rows.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 < g1").select("token")
-        groups = rows.join(open_, "token").select("token", "g").distinct()
-        groups = groups.alias("p").join(groups.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.g") < F.col("q.g"))).select("p.token", F.col("p.g").alias("g"), F.col("q.g").alias("g2"))
-        half = groups.join(rows.alias("x"), ["token", "g"]).select("token", "g2", F.struct("doc_id", "n", "c").alias("l"))
-        pairs = half.join(rows.select("token", F.col("g").alias("g2"), F.struct("doc_id", "n", "c").alias("r")), ["token", "g2"]).filter(_sizes_fit("l", "r", percent))
-        pairs = pairs.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
-        crossing = pairs if crossing is None else crossing.join(pairs, ["a", "b"], "left_semi")
-    more = stored(_verified(crossing, lists, percent), "ngram-crossing")
+        rows = posted(order).join(gathered, F.col("doc_id") == F.col("node"), "left").select("token", "n", "inner", _least(F.col("n"), percent).alias("least"), fits.alias("most"), F.coalesce("component", "doc_id").alias("g"))
+        own = F.col("inner")
+        groups = rows.groupBy("token", "g").agg(
+            F.min(F.when(own, F.col("n"))).alias("a_low"), F.max(F.when(own, F.col("n"))).alias("a_high"), F.max(F.when(own, F.col("most"))).alias("a_most"),
+            F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"),
+        )
+        groups = stored(groups, "ngram-groups")
+        open_ = groups.groupBy("token").agg(F.count("*").alias("k"), F.count("a_low").alias("own")).filter("k > 1 and own > 0").select("token")
+        groups = groups.join(open_, "token")
+        small = groups.filter("a_low is not null").select("token", F.col("g").alias("a"), "a_low", "a_high", "a_most")
+        met = small.join(groups.select("token", F.col("g").alias("b"), "low", "high", "least", "most"), "token")
+        met = met.filter("a != b and a_low <= most and a_high >= least and low <= a_most and a_low <= high")
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        crossing = met if crossing is None else crossing.join(met, ["a", "b"], "left_semi")
+    more = stored(_linked_across(crossing, lists, gathered, percent), "ngram-crossing")
 
     def at(side: str) -> DataFrame:
         return gathered.select(F.col("node").alias(side), F.col("component").alias(f"{side}_g"))
