@@ -13,6 +13,7 @@ of `length` or more are repeats; of each such class the earliest stays.
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,20 +86,30 @@ def _runs_of(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _packed(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return place << 24 | (place - first) << 12 | (last - first)
+
+
+def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor's place, first and last start."""
+    place = run >> 24
+    first = place - (run >> 12 & 4095)
+    return place, first, first + (run & 4095)
+
+
 def repeated_anchors(docs: DataFrame, length: int, k: int, anchors: int) -> DataFrame:
-    """docs(doc_id, key, text) -> (doc_id, key, anchor, place, first, last) of the runs whose anchor occurs again.
+    """docs(_id, _key, text) -> (_id, _key, run) of the runs whose anchor occurs again.
 
     An anchor that a chunk of texts holds more than once is known to be repeated: its runs go on at
     once, and one entry stands for them where anchors are counted, so a frequent one is no burden.
     """
     buckets = min(65536, max(8, anchors // (1 << 20)))
-    schema = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("anchor", pa.binary()), ("place", pa.binary()), ("back", pa.binary()), ("span", pa.binary()), ("others", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64())] + [(name, pa.binary()) for name in ("ids", "keys", "counts", "anchors", "runs", "others")])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in in_chunks(batches, most=1 << 23):
             own, anchor, place, first, last = _runs_of(texts, length, k)
-            ids, keys = np.array(rest["doc_id"], np.int64), np.array(rest["key"], np.int64)
-            back, span = (place - first).astype(np.uint16), (last - first).astype(np.uint16)
+            ids, keys, run = np.array(rest["_id"], np.int64), np.array(rest["_key"], np.int64), _packed(place, first, last)
             values, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
             solo = counts[inverse] == 1
             bucket, bucket_of = (anchor % np.uint64(buckets)).astype(np.int64), (values % np.uint64(buckets)).astype(np.int64)
@@ -108,34 +119,34 @@ def repeated_anchors(docs: DataFrame, length: int, k: int, anchors: int) -> Data
                 others = values[(counts > 1) & (bucket_of == b)]
                 if len(mine) or len(others):
                     name = b if b >= 0 else buckets + abs(hash((int(ids[0]), len(ids)))) % (1 << 40)
-                    doc = own[mine]
-                    rows.append({"bucket": name, "ids": ids[doc].tobytes(), "keys": keys[doc].tobytes(), "anchor": anchor[mine].tobytes(), "place": place[mine].astype(np.uint32).tobytes(), "back": back[mine].tobytes(), "span": span[mine].tobytes(), "others": others.tobytes()})
+                    doc, each = np.unique(own[mine], return_counts=True)
+                    parts = (ids[doc], keys[doc], each.astype(np.uint32), anchor[mine], run[mine], others)
+                    rows.append({"bucket": name} | {c: x.tobytes() for c, x in zip(schema.names[1:], parts, strict=True)})
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         def whole(name: str, kind: type) -> np.ndarray:
             return np.frombuffer(b"".join(rows[name]), kind)
 
-        anchor, place = whole("anchor", np.uint64), whole("place", np.uint32).astype(np.int64)
-        first = place - whole("back", np.uint16)
-        out = {"doc_id": whole("ids", np.int64), "key": whole("keys", np.int64), "anchor": anchor.view(np.int64), "place": place, "first": first, "last": first + whole("span", np.uint16)}
+        anchor, others, each = whole("anchors", np.uint64), whole("others", np.uint64), whole("counts", np.uint32)
+        out = {"_id": np.repeat(whole("ids", np.int64), each), "_key": np.repeat(whole("keys", np.int64), each), "run": whole("runs", np.int64)}
         if rows.bucket.iloc[0] < buckets:
-            seen = np.concatenate((anchor, whole("others", np.uint64)))
-            _, inverse, counts = np.unique(seen, return_inverse=True, return_counts=True)
-            keep = np.flatnonzero((counts[inverse[: len(anchor)]] > 1) | np.isin(anchor, whole("others", np.uint64)))
+            _, inverse, counts = np.unique(np.concatenate((anchor, others, others)), return_inverse=True, return_counts=True)
+            keep = np.flatnonzero(counts[inverse[: len(anchor)]] > 1)
             out = {name: v[keep] for name, v in out.items()}
         return pd.DataFrame(out)
 
-    sent = docs.select("doc_id", "key", "text").mapInArrow(send, "bucket long, ids binary, keys binary, anchor binary, place binary, back binary, span binary, others binary")
-    return sent.groupBy("bucket").applyInPandas(count, "doc_id long, key long, anchor long, place long, first long, last long")
+    sent = docs.select("_id", "_key", "text").mapInArrow(send, "bucket long, ids binary, keys binary, counts binary, anchors binary, runs binary, others binary")
+    return sent.groupBy("bucket").applyInPandas(count, "_id long, _key long, run long")
 
 
 def _later_starts(rows: pd.DataFrame, length: int, k: int) -> pd.DataFrame:
-    """Runs with their bytes -> (doc_id, key, from, to): the starts whose string also starts earlier."""
+    """Runs with their bytes -> (_id, _key, from, to): the starts whose string also starts earlier."""
     m, left = len(rows), length - k
-    place, first, last = rows.place.to_numpy(), rows["first"].to_numpy(), rows["last"].to_numpy()
+    place, first, last = _unpacked(rows.run.to_numpy())
+    ids, keys = rows["_id"].to_numpy(), rows["_key"].to_numpy()
     age = np.empty(m, np.int32)
-    age[np.lexsort((place, rows.key.to_numpy(), rows.doc_id.to_numpy()))] = np.arange(m, dtype=np.int32)
+    age[np.lexsort((place, keys, ids))] = np.arange(m, dtype=np.int32)
     low, high = first - place + left, last - place + left  # columns of the valid starts
     sizes = (last - first + length).astype(np.int64)
     data = np.frombuffer(b"".join(rows.bytes), np.uint8)
@@ -179,7 +190,7 @@ def _later_starts(rows: pd.DataFrame, length: int, k: int) -> pd.DataFrame:
     r, c = np.nonzero(edge == 1)
     r2, c2 = np.nonzero(edge == -1)
     start = place[r] - left
-    return pd.DataFrame({"doc_id": rows.doc_id.to_numpy()[r], "key": rows.key.to_numpy()[r], "from": start + c, "to": start + c2 - 1})
+    return pd.DataFrame({"_id": ids[r], "_key": keys[r], "from": start + c, "to": start + c2 - 1})
 
 
 def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, runs_per_shard: int = 60000) -> DataFrame:
@@ -194,33 +205,37 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     but for the four new ones.
     """
     body = F.coalesce("text", F.lit(""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("key"))
-    keys = own.select("doc_id", "key", F.xxhash64(F.lit(1), "text").alias("key2"), F.octet_length("text").cast("long").alias("n")).distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(body).alias("_key"), "text", *others)
+    keys = base.select("_id", "_key", F.xxhash64(F.lit(1), body).alias("_key2"), F.octet_length(body).cast("long").alias("_n")).distinct()
     keys = stored(keys, "passage-keys")
-    firsts = keys.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"))
-    keys = stored(keys.join(firsts, ["key", "key2", "n"]), "passage-classes")
-    size = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    runs = stored(repeated_anchors(own, length, k, 2 * size // (length - k + 2)), "passage-runs")
-    reps = keys.filter("doc_id = rep").select("doc_id", "key").distinct()
+    firsts = keys.groupBy("_key", "_key2", "_n").agg(F.min("_id").alias("_rep"))
+    keys = stored(keys.join(firsts, ["_key", "_key2", "_n"]), "passage-classes")
+    size = keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    runs = stored(repeated_anchors(base, length, k, 2 * size // (length - k + 2)), "passage-runs")
+    reps = keys.filter("_id = _rep").select("_id", "_key").distinct()
     shards = max(8, -(-runs.count() // runs_per_shard))
-    wanted = runs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("runs")).join(reps, ["doc_id", "key"])
+    wanted = runs.groupBy("_id", "_key").agg(F.collect_set("run").alias("runs")).join(reps, ["_id", "_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in in_chunks(batches, most=1 << 20):
-            rows = [(i, key, r["anchor"], r["place"], r["first"], r["last"], t[r["first"] : r["last"] + length]) for i, key, found, t in zip(rest["doc_id"], rest["key"], rest["runs"], texts, strict=True) for r in found]
+            rows = []
+            for i, key, found, t in zip(rest["_id"], rest["_key"], rest["runs"], texts, strict=True):
+                for run, place, first, last in zip(found, *map(np.ndarray.tolist, _unpacked(np.array(found, np.int64))), strict=True):
+                    rows.append((zlib.crc32(t[place : place + k]) % shards, i, key, run, t[first : last + length]))
             if rows:
-                cols = [pa.array(c, pa.binary() if j == 6 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "anchor", "place", "first", "last", "bytes"])
+                cols = [pa.array(c, pa.binary() if j == 4 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "_id", "_key", "run", "bytes"])
 
-    pieces = own.join(wanted, ["doc_id", "key"]).mapInArrow(cut, "doc_id long, key long, anchor long, place long, first long, last long, bytes binary")
-    pieces = pieces.withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    # the texts are dealt by the same keys here and in the last join, so that Spark does it once for both
+    pieces = base.select("_id", "_key", "text").join(wanted.hint("merge"), ["_id", "_key"]).mapInArrow(cut, "shard long, _id long, _key long, run long, bytes binary")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:  # rows equal in doc_id and text are one document
-        return _later_starts(rows.drop_duplicates(["doc_id", "key", "first"], ignore_index=True), length, k)
+        return _later_starts(rows.drop_duplicates(["_id", "_key", "run"], ignore_index=True), length, k)
 
-    later = pieces.groupBy("shard").applyInPandas(build, "doc_id long, key long, from long, to long")
-    spans = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("_spans"))
-    verdicts = keys.join(spans, ["doc_id", "key"], "left").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("n").alias("_n"), (F.col("doc_id") != F.col("rep")).alias("_copy"), "_spans")
+    later = pieces.groupBy("shard").applyInPandas(build, "_id long, _key long, from long, to long")
+    spans = later.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("_spans"))
+    verdicts = keys.join(spans, ["_id", "_key"], "left").select("_id", "_key", "_n", (F.col("_id") != F.col("_rep")).alias("_copy"), "_spans")
 
     @F.pandas_udf("kept binary, removed long, spans long")
     def apply(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -240,12 +255,13 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
             out.append((kept, len(data) - len(kept), n))
         return pd.DataFrame(out, columns=["kept", "removed", "spans"])
 
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64(body)).join(verdicts, ["_id", "_key"])
+    out = base.join(verdicts.hint("merge"), ["_id", "_key"])
     gone = F.col("_copy") & (F.col("_n") >= length)
     touched = ~gone & F.col("_spans").isNotNull()
     out = out.withColumn("_cut", apply(F.when(touched, F.col("text")), F.when(touched, F.col("_spans"))))
+    doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return out.select(
-        *docs.columns, F.col("_n").alias("n_bytes"),
+        *[doc_id if c == "doc_id" else F.col(c) for c in docs.columns], F.col("_n").alias("n_bytes"),
         F.when(gone, F.col("_n")).when(touched, F.col("_cut.removed")).otherwise(0).cast("long").alias("n_removed"),
         F.when(gone, 1).when(touched, F.col("_cut.spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, F.lit(b"")).when(touched, F.col("_cut.kept")).otherwise(body.cast("binary")).alias("kept"),
