@@ -58,9 +58,10 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = 1 << 17, dim
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     rows = []
-    for f in features(texts, buckets):
-        at, n = np.unique(f, return_counts=True)
-        rows.append((at.astype(np.int32), (n / max(1, len(f))).astype(np.float32)))
+    for k in range(0, len(texts), 64):
+        for f in features(texts[k : k + 64], buckets):
+            at, n = np.unique(f, return_counts=True)
+            rows.append((at.astype(np.int32), (n / max(1, len(f))).astype(np.float32)))
     if len(labels):
         share = np.clip(labels.mean(), 0.01, 0.99)
         bias[:] = np.log([1 - share, share])
@@ -82,7 +83,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = 1 << 17, dim
     return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, most_bytes: int = 32768) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, *, most_rows: int = 4000, most_bytes: int = 32768) -> DataFrame:
     """(text, label) of the labelled rows to learn from: at most most_rows, each at most most_bytes long.
 
     Rows whose crc32(doc_id as text) leaves 2 when divided by 4 are held out; of the rest those with
