@@ -1,6 +1,397 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import scalars as S
+from quire.operators import plans, shape, structure, workbook
+from quire.plans import inputs as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_FILES = r"""
+files AS (
+  SELECT page_id // 20 AS batch_id, (page_id % 20)::INT AS ord, page_id::VARCHAR AS file_id,
+    regexp_replace(list_extract(string_split(coalesce(url, ''), '/'), -1), '\.[A-Za-z]*$', '') || '-' || page_id::VARCHAR || '.' ||
+      list_extract(['pdf','docx','xlsx','pptx','zip','png','doc','csv','PDF','txt'], (page_id % 10 + 1)::INT) AS name,
+    strlen(html)::BIGINT AS size
+  FROM pages
+)"""
+_KIND = r"CASE WHEN regexp_matches(name, '(?i)\.pdf$') THEN 'pdf' WHEN regexp_matches(name, '(?i)\.(docx|xlsx|pptx)$') AND NOT regexp_matches(name, '[?#]') THEN lower(regexp_extract(name, '\.([^.]*)$', 1)) END"
+_LINES = r"""
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), l AS (
+  SELECT doc_id, line, list_slice(words, line * 12 + 1, line * 12 + 12) AS words
+  FROM (SELECT doc_id, words, unnest(range(0, (len(words) + 11) // 12)) AS line FROM w WHERE len(words) > 0)
+), lines AS (
+  SELECT doc_id, (line // 40)::INT AS page_no, (line % 40)::INT AS line_no, (780 - 16 * (line % 40))::DOUBLE AS y,
+    CASE WHEN line = 0 THEN 20.0 ELSE 10.0 END::DOUBLE AS size, 56.0::DOUBLE AS left_, array_to_string(words, ' ') AS text FROM l
+)"""
+_CELLS = r"""
+raw AS (
+  SELECT (l_orderkey // 50)::VARCHAR AS file_id, (l_orderkey % 50)::INT AS sheet_no, (l_linenumber - 1)::INT AS row, l_returnflag, l_quantity, l_extendedprice, l_linestatus FROM lineitem
+), cells AS (
+  SELECT file_id, sheet_no, row, 0 AS col, 's' AS raw_type, l_returnflag AS raw_value, row * 10 AS pos FROM raw
+  UNION ALL SELECT file_id, sheet_no, row, 1, 'n', l_quantity::VARCHAR, row * 10 + 1 FROM raw
+  UNION ALL SELECT file_id, sheet_no, row, 2, 'n', l_extendedprice::VARCHAR, row * 10 + 2 FROM raw
+  UNION ALL SELECT file_id, sheet_no, row, 3, 's', l_linestatus, row * 10 + 3 FROM raw
+)"""
+
+
+@query(f"WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files) " + r"""
+SELECT file_id, name, kind, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN (2 * size + 1024) // 2048 || ' KB'
+    ELSE ((20 * size + 1048576) // 2097152) // 10 || '.' || ((20 * size + 1048576) // 2097152) % 10 || ' MB' END AS size_text,
+  CASE WHEN kind = 'pdf' THEN NULL WHEN kind IS NOT NULL THEN 'other:' || kind WHEN regexp_matches(name, '(?i)\.zip$') THEN 'zip'
+    WHEN regexp_matches(name, '(?i)\.(docm|dotm|dot|doc|pptm|potm|ppt|xlsm|xltm|xls|csv|ods|odt|odp)$') THEN 'legacy' ELSE 'unknown' END AS reason,
+  regexp_matches(name, '(?i)\.zip$') AS zip, regexp_matches(name, '(?i)\.png$') AS image, regexp_matches(name, '(?i)\.doc$') AS legacy
+FROM k""")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir)
+    name, mime = F.col("name"), F.col("mime")
+    kind = F.when(S.is_pdf(name, mime), "pdf").otherwise(S.office_kind(name))
+    return f.select("file_id", "name", kind.alias("kind"), S.format_size(F.col("size")).alias("size_text"), S.wrong_file_reason(name, mime, F.lit("pdf")).alias("reason"), S.is_zip(name, mime).alias("zip"), S.is_image(name, mime).alias("image"), S.is_legacy_office(name).alias("legacy"))
+
+
+@query(f"WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files) " + "SELECT batch_id, count(*)::BIGINT AS files, count(kind)::BIGINT AS accepted, (count(*) - count(kind))::BIGINT AS skipped FROM k GROUP BY batch_id")
+def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir)
+    taken, skipped = plans.accept(f, "pdf-office")
+    counts = taken.groupBy("batch_id").agg(F.count("*").alias("accepted"))
+    out = f.groupBy("batch_id").agg(F.count("*").alias("files")).join(counts, "batch_id", "left").join(skipped.groupBy("batch_id").agg(F.count("*").alias("skipped")), "batch_id", "left")
+    return out.na.fill(0)
+
+
+@query(f"WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files) SELECT batch_id, ord, file_id, name FROM k WHERE kind IS NULL")
+def refused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir)
+    return plans.refused(f, plans.accept(f, "pdf-office")[0]).select("batch_id", "ord", "file_id", "name")
+
+
+@query(f"WITH {_FILES} SELECT batch_id, arg_min(name, ord) AS first_bad, count(*)::BIGINT AS bad FROM files WHERE regexp_matches(name, '(?i)\\.(doc|ppt|xls|odt|ods|odp|rtf)$') GROUP BY batch_id")
+def first_legacy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.first_offender(I.files(spark, sf_dir).withColumn("bad", S.is_legacy_office(F.col("name"))))
+
+
+@query(f"""WITH {_FILES}, p AS (SELECT *, size % 7 + 1 AS page_count FROM files),
+o AS (SELECT *, coalesce(sum(page_count) OVER (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p)
+SELECT batch_id, ord, file_id, page_no, before + page_no AS global_page FROM (SELECT *, unnest(range(0, page_count)) AS page_no FROM o)""")
+def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir).withColumn("page_count", F.col("size") % 7 + 1)
+    pages = f.select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1)).alias("page_no"))
+    return plans.merge_pages(f, pages)
+
+
+@query(f"""WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files)
+SELECT batch_id, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (WHERE kind IN ('docx', 'xlsx', 'pptx'))::BIGINT AS converted,
+  coalesce(list(name ORDER BY ord) FILTER (WHERE size % 5 = 0), []) AS flattened FROM k GROUP BY batch_id""")
+def merge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir)
+    return plans.merge_summary(f.withColumn("converted", S.office_kind(F.col("name")).isNotNull()).withColumn("flattened", F.col("size") % 5 == 0))
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT batch_id, ord, size % 9 <> 0 AS ok, CASE WHEN size % 9 = 0 THEN 'bad ' || name END AS message FROM files)
+SELECT batch_id, count(*) FILTER (WHERE ok)::BIGINT AS done, count(*) FILTER (WHERE NOT ok)::BIGINT AS failed, arg_min(message, ord) FILTER (WHERE NOT ok) AS first_failure, count(*) FILTER (WHERE NOT ok) = 0 AS batch_ok
+FROM r GROUP BY batch_id""")
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("size") % 9 != 0
+    return plans.batch_outcome(I.files(spark, sf_dir).select("batch_id", "ord", ok.alias("ok"), F.when(~ok, F.concat(F.lit("bad "), F.col("name"))).alias("message")), "merge")
+
+
+@query(f"""WITH {_FILES}, s AS (SELECT CASE ord % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'high' END AS level, size AS before, CASE WHEN size % 4 = 0 THEN size ELSE size * 4 // 5 + size % 5000 END AS after FROM files)
+SELECT level, CASE WHEN after < before THEN 'smaller' WHEN after = before THEN 'same' ELSE 'bigger' END AS outcome, count(*)::BIGINT AS files, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, sum(greatest(0, before - after))::BIGINT AS saved
+FROM s GROUP BY ALL""")
+def compression_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.files(spark, sf_dir)
+    level = F.element_at(F.array(F.lit("small"), F.lit("medium"), F.lit("high")), (F.col("ord") % 3 + 1).cast("int"))
+    after = F.when(F.col("size") % 4 == 0, F.col("size")).otherwise(F.floor(F.col("size") * 4 / 5).cast("long") + F.col("size") % 5000)
+    return plans.ledger_totals(plans.compression_ledger(f.select("file_id", level.alias("level"), F.col("size").alias("before"), after.alias("after"))))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, page_no, line_no, y, size, left_ AS \"left\", text, 1 AS n_cells FROM lines")
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = structure.line_cells(structure.assign_lines(structure.text_runs(I.text_items(spark, sf_dir))))
+    return lines.select("doc_id", "page_no", "line_no", "y", "size", "left", "text", F.size("cells").alias("n_cells"))
+
+
+_BLOCKS = _LINES + r""", s AS (SELECT *, median(size) OVER (PARTITION BY doc_id, page_no) AS body FROM lines
+), h AS (SELECT *, size >= body * 1.15 AS heading, regexp_matches(text, '[.!?:;]["\)\]]?$') AS ends FROM s
+), p AS (
+  SELECT *, CASE WHEN heading THEN 1 WHEN lag(heading) OVER o IS NOT FALSE OR lag(ends) OVER o THEN 1 ELSE 0 END AS fresh FROM h WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY line_no)
+), q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS b FROM p
+), blocks0 AS (
+  SELECT doc_id, page_no, b, bool_or(heading) AS heading, max(CASE WHEN heading THEN 1 + (size / body >= 1.35)::INT + (size / body >= 1.6)::INT + (size / body >= 1.9)::INT + (size / body >= 2.3)::INT + (size / body >= 2.8)::INT END) AS level,
+    string_agg(text, ' ' ORDER BY line_no) AS text FROM q GROUP BY doc_id, page_no, b
+), j AS (
+  SELECT *, CASE WHEN NOT heading AND length(text) < 25 AND NOT contains(text, ' ') AND lag(heading) OVER (PARTITION BY doc_id, page_no ORDER BY b) IS FALSE THEN 0 ELSE 1 END AS own FROM blocks0
+), g AS (SELECT *, sum(own) OVER (PARTITION BY doc_id, page_no ORDER BY b) AS n FROM j
+), blocks AS (
+  SELECT doc_id, page_no, (n - 1)::INT AS block_no, CASE WHEN bool_or(heading) THEN 'heading' ELSE 'paragraph' END AS type, max(level)::INT AS level, string_agg(text, ' ' ORDER BY b) AS text FROM g GROUP BY doc_id, page_no, n
+)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT * FROM blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structure(I.text_items(spark, sf_dir)).drop("rows")
+
+
+@query(f"WITH {_BLOCKS}" + r""", pg AS (SELECT doc_id, greatest(1, (len(words) + 479) // 480) AS pages FROM w),
+c AS (SELECT doc_id, count(DISTINCT page_no) AS with_text, count(*) FILTER (WHERE type = 'heading') AS headings, count(*) FILTER (WHERE type = 'paragraph') AS paragraphs, sum(length(text)) AS characters FROM blocks GROUP BY doc_id)
+SELECT doc_id, pages::BIGINT AS pages, coalesce(with_text, 0)::BIGINT AS with_text, 0 AS table_pages, (pages - coalesce(with_text, 0))::BIGINT AS blank, coalesce(with_text, 0) = 0 AS refused,
+  coalesce(headings, 0)::BIGINT AS headings, coalesce(paragraphs, 0)::BIGINT AS paragraphs, 0::BIGINT AS tables, coalesce(characters, 0)::BIGINT AS characters,
+  CASE WHEN coalesce(characters, 0) = 0 THEN 'empty' WHEN characters < 24 THEN 'nearly empty' ELSE 'ok' END AS state FROM pg LEFT JOIN c USING (doc_id)""")
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimum slice end to end: text to lines, cells, blocks, and what each document holds."""
+    out = structure.structure_report(structure.structure(I.text_items(spark, sf_dir)), I.text_pages(spark, sf_dir))
+    return out.withColumn("table_pages", F.size("table_pages"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, page_no, 5.0::DOUBLE AS space, median(size) AS body, count(*)::BIGINT AS lines FROM lines GROUP BY doc_id, page_no")
+def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = structure.assign_lines(structure.text_runs(I.text_items(spark, sf_dir)))
+    lines = structure.line_cells(runs).groupBy("doc_id", "page_no").agg(F.median("size").alias("body"), F.count("*").alias("lines"))
+    return structure.page_space(runs).join(lines, ["doc_id", "page_no"])
+
+
+@query(f"WITH {_LINES}" + r""", i AS (
+  SELECT doc_id, (line // 40)::INT AS page_no, ((line % 40) * 12 + k)::INT AS item_no, CASE WHEN line = 0 THEN 20.0 ELSE 10.0 END AS size, 780 - 16 * (line % 40) AS y, words[k + 1] AS word,
+    list_sum(list_transform(list_slice(words, 1, k), lambda x: length(x) + 1)) AS before
+  FROM (SELECT *, unnest(range(0, len(words))) AS k FROM l))
+SELECT doc_id, page_no, item_no, size::DOUBLE AS size, (56 + 5 * coalesce(before, 0))::DOUBLE AS "left", (841.89 - y - size * 0.9)::DOUBLE AS top, (5 * length(word))::DOUBLE AS width, (size * 1.25)::DOUBLE AS height FROM i""")
+def item_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.item_boxes(I.text_items(spark, sf_dir), I.text_pages(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS} SELECT file_id, sheet_no, min(row)::INT AS top, max(row)::INT AS bottom, min(col)::INT AS \"left\", max(col)::INT AS \"right\", false AS too_large FROM cells GROUP BY file_id, sheet_no")
+def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook.grid_bounds(I.cells(spark, sf_dir))
+
+
+_DICTIONARY = _CELLS + """, u AS (SELECT file_id, raw_value AS text, min(sheet_no * 1000000 + pos) AS first, count(*) AS refs FROM cells WHERE raw_type = 's' AND raw_value <> '' GROUP BY file_id, raw_value),
+dictionary AS (SELECT file_id, text, refs::BIGINT AS refs, (row_number() OVER (PARTITION BY file_id ORDER BY first, text) - 1)::INT AS idx FROM u)"""
+
+
+@query(f"WITH {_DICTIONARY} SELECT * FROM dictionary")
+def shared_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook.shared_strings(I.cells(spark, sf_dir).filter("raw_type = 's'").withColumnRenamed("raw_value", "text"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells with their strings moved to the dictionary, of which every third string is lost, and looked up again."""
+    cells = I.cells(spark, sf_dir)
+    strings = shared_dictionary(spark, sf_dir)
+    index = cells.join(strings.select("file_id", F.col("text").alias("raw_value"), "idx"), ["file_id", "raw_value"], "left")
+    value = F.when(F.col("raw_type") == "s", F.col("idx").cast("string")).otherwise(F.col("raw_value"))
+    return workbook.resolve_cells(index.withColumn("raw_value", value).drop("idx"), strings.filter("idx % 3 != 2"))
+
+
+@query(f"WITH {_DICTIONARY} SELECT c.file_id, count(*) FILTER (WHERE d.idx % 3 = 2)::BIGINT AS lost, count(*)::BIGINT AS cells FROM cells c LEFT JOIN dictionary d ON c.file_id = d.file_id AND c.raw_type = 's' AND c.raw_value = d.text GROUP BY c.file_id")
+def lost_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook.lost_strings(_resolved(spark, sf_dir))
+
+
+_NUMBER = "CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.6f', v), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END"
+_GRID = _CELLS + f""", t AS (SELECT file_id, sheet_no, row, col, pos, CASE WHEN raw_type = 's' THEN raw_value ELSE {_NUMBER} END AS text FROM (SELECT *, CASE WHEN raw_type = 'n' THEN raw_value::DOUBLE END AS v FROM cells)),
+one AS (SELECT file_id, sheet_no, row, col, arg_max(text, text) AS text FROM t GROUP BY file_id, sheet_no, row, col),
+bounds AS (SELECT file_id, sheet_no, min(row) AS top, max(row) AS bottom, min(col) AS l, max(col) AS r FROM one GROUP BY file_id, sheet_no),
+dense AS (SELECT file_id, sheet_no, row, col, top FROM (SELECT *, unnest(range(l, r + 1)) AS col FROM (SELECT *, unnest(range(top, bottom + 1)) AS row FROM bounds))),
+grid AS (SELECT d.file_id, d.sheet_no, (d.row - d.top)::INT AS row, list(coalesce(o.text, '') ORDER BY d.col) AS cells FROM dense d LEFT JOIN one o ON d.file_id = o.file_id AND d.sheet_no = o.sheet_no AND d.row = o.row AND d.col = o.col GROUP BY d.file_id, d.sheet_no, d.row, d.top)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = I.cells(spark, sf_dir)
+    text = S.cell_text(F.when(F.col("raw_type") == "s", "str").otherwise(F.col("raw_type")), F.col("raw_value"), F.lit(None).cast("string"))
+    one = cells.withColumn("text", text)  # lines of an order that share a number: the greatest text, so that SQL agrees
+    one = one.groupBy("file_id", "sheet_no", "row", "col").agg(F.max("text").alias("text"))
+    return workbook.grid_rows(one)
+
+
+@query(f"WITH {_GRID} SELECT * FROM grid")
+def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir)
+
+
+@query(f"WITH {_GRID} SELECT file_id, sheet_no, (i - 1)::INT AS col, least(greatest(max(length(cells[i])) + 2, 8), 50)::INT AS width FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM grid) GROUP BY file_id, sheet_no, i")
+def output_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook.output_widths(_grid(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS}, x AS (SELECT file_id, sheet_no, row, col, max(raw_value) AS raw_value FROM cells GROUP BY ALL) SELECT file_id, sheet_no, (row_number() OVER (PARTITION BY file_id, sheet_no ORDER BY row, col) - 1)::INT AS place, row, col, chr(65 + col::INT) || (row + 1)::VARCHAR AS ref FROM x")
+def cell_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other cell's reference is taken away and found again from its neighbours."""
+    cells = I.cells(spark, sf_dir).select("file_id", "sheet_no", "row", "col").distinct()
+    ref = F.concat(S.column_name(F.col("col")), (F.col("row") + 1).cast("string"))
+    marked = cells.select("file_id", "sheet_no", F.col("row").alias("row_pos"), F.when(F.col("row") % 2 == 0, F.col("row") + 1).alias("row_no"), F.col("col").alias("pos"), F.when((F.col("col") % 2 == 0) | (F.col("row") % 2 == 1), ref).alias("ref"))
+    found = workbook.fill_positions(marked)
+    place = F.row_number().over(Window.partitionBy("file_id", "sheet_no").orderBy("row", "col")) - 1
+    return found.select("file_id", "sheet_no", place.alias("place"), "row", "col", F.concat(S.column_name(F.col("col")), (F.col("row") + 1).cast("string")).alias("ref"))
+
+
+_ROWS = "rows AS (SELECT o_custkey % 40 AS sheet, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS row, o_orderpriority FROM orders)"
+
+
+@query(f"""WITH {_ROWS}, b AS (SELECT *, row - 1 AS n FROM rows WHERE row > 0),
+p AS (SELECT sheet, CASE WHEN n < 53 THEN 0 ELSE (n - 53) // 54 + 1 END AS page, CASE WHEN n < 53 THEN n + 1 ELSE (n - 53) % 54 + 1 END AS line, row, o_orderkey FROM b),
+g AS (SELECT sheet, max(page) AS last FROM p GROUP BY sheet),
+h AS (SELECT g.sheet, unnest(range(0, last + 1)) AS page, o_orderkey FROM g JOIN rows r ON r.sheet = g.sheet AND r.row = 0)
+SELECT sheet::VARCHAR AS file_id, 0 AS sheet_no, page::INT AS page, line::INT AS line, row::INT AS row, [o_orderkey::VARCHAR] AS cells FROM p
+UNION ALL SELECT sheet::VARCHAR, 0, page::INT, 0, 0, [o_orderkey::VARCHAR] FROM h""")
+def sheet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = I.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("string").alias("file_id"), F.lit(0).alias("sheet_no"), "o_orderkey")
+    row = (F.row_number().over(Window.partitionBy("file_id").orderBy("o_orderkey")) - 1).cast("int")
+    return workbook.paginate_sheet(o.select("file_id", "sheet_no", row.alias("row"), F.array(F.col("o_orderkey").cast("string")).alias("cells")))
+
+
+_EVENTS = r"""e AS (SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_id % 101 = 0 THEN 'discard' WHEN event_id % 23 = 0 THEN 'revert' ELSE 'apply' END AS kind, (event_id % 3)::INT AS page, (event_id % 7)::INT AS item FROM events),
+a AS (SELECT doc_id, page, item, max(seq) AS seq FROM e WHERE kind = 'apply' GROUP BY ALL), r AS (SELECT doc_id, page, max(seq) AS s FROM e WHERE kind = 'revert' GROUP BY ALL), d AS (SELECT doc_id, max(seq) AS s FROM e WHERE kind = 'discard' GROUP BY ALL),
+cur AS (SELECT a.doc_id, a.page, a.item, a.seq, 'text ' || a.seq AS text FROM a LEFT JOIN r ON a.doc_id = r.doc_id AND a.page = r.page LEFT JOIN d ON a.doc_id = d.doc_id WHERE a.seq > coalesce(r.s, -1) AND a.seq > coalesce(d.s, -1))"""
+
+
+@query(f"WITH {_EVENTS} SELECT * FROM cur")
+def current_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.current_edits(I.edit_events(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS} SELECT doc_id, count(*)::BIGINT AS edits, count(DISTINCT page)::BIGINT AS pages FROM cur GROUP BY doc_id")
+def edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.edit_summary(plans.current_edits(I.edit_events(spark, sf_dir)))
+
+
+@query(f"WITH {_EVENTS}, {_LINES}" + r""", i AS (SELECT doc_id, (line // 40)::INT AS page, ((line % 40) * 12 + k)::INT AS item, words[k + 1] AS word, CASE WHEN line = 0 THEN 20.0 ELSE 10.0 END AS size FROM (SELECT *, unnest(range(0, len(words))) AS k FROM l))
+SELECT doc_id, page, item, seq, text, (5 * length(word))::DOUBLE AS width, (size * 1.25)::DOUBLE AS height FROM cur JOIN i USING (doc_id, page, item)""")
+def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes, pages = structure.item_boxes(I.text_items(spark, sf_dir), I.text_pages(spark, sf_dir)), I.text_pages(spark, sf_dir)
+    return plans.apply_edits(plans.current_edits(I.edit_events(spark, sf_dir)), boxes, pages).select("doc_id", "page", "item", "seq", "text", "width", "height")
+
+
+_PLAN = r"""o AS (SELECT user_id AS doc_id, event_id AS seq, event_id // 6 % 5 AS item_id, ['rotate', 'rotate', 'crop', 'rotate', 'delete', 'replace'][(event_id % 6 + 1)::INT] AS op FROM events),
+items AS (SELECT DISTINCT doc_id, item_id FROM o), m AS (
+  SELECT doc_id, item_id, max(CASE WHEN op = 'replace' THEN seq END) AS replaced, max(CASE WHEN op = 'crop' THEN seq END) AS crop, max(CASE WHEN op = 'rotate' THEN seq END) AS rotated, min(CASE WHEN op = 'delete' THEN seq END) AS deleted FROM o GROUP BY ALL),
+t AS (SELECT o.doc_id, o.item_id, count(*) AS turns FROM o JOIN m USING (doc_id, item_id) WHERE op = 'rotate' AND seq > coalesce(replaced, -1) GROUP BY ALL),
+p AS (SELECT m.*, coalesce(turns, 0) AS turns, max(deleted) OVER w AS last, count(deleted) OVER w = count(*) OVER w AS everything FROM m LEFT JOIN t USING (doc_id, item_id) WINDOW w AS (PARTITION BY doc_id)),
+plan AS (SELECT doc_id, item_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_id) - 1)::INT AS place, (turns * 90 % 360)::INT AS rotation,
+  coalesce(crop > coalesce(replaced, -1) AND NOT (item_id % 2 = 0 AND coalesce(rotated, -1) > crop), false) AS cropped, replaced IS NOT NULL AS replaced FROM p WHERE deleted IS NULL OR (everything AND deleted = last))"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = I.page_ops(spark, sf_dir)
+    items = ops.select("doc_id", "item_id").distinct().withColumn("ord", F.col("item_id")).withColumn("kind", F.when(F.col("item_id") % 2 == 0, "pdf").otherwise("image"))
+    return plans.page_plan(items, ops)
+
+
+@query(f"WITH {_PLAN} SELECT * FROM plan")
+def page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@query(f"WITH {_PLAN} SELECT doc_id, count(*) FILTER (WHERE cropped)::BIGINT AS flattened, count(*)::BIGINT AS pages FROM plan GROUP BY doc_id")
+def flattened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.flattened_count(_plan(spark, sf_dir))
+
+
+@query(f"WITH {_LINES}" + r""", pg AS (SELECT doc_id, unnest(range(0, greatest(1, (len(words) + 479) // 480))) AS page_no FROM w)
+SELECT doc_id, page_no::INT AS page_no, (page_no + 1)::VARCHAR AS label, (595.28 - length((page_no + 1)::VARCHAR) * 11.0 * 0.556) / 2 AS x, 28.0::DOUBLE AS y, 'page-' || lpad((page_no + 1)::VARCHAR, 3, '0') || '.pdf' AS file_name FROM pg""")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = I.text_pages(spark, sf_dir)
+    return plans.number_pages(pages).join(plans.split_pages(pages).select("doc_id", "page_no", "file_name"), ["doc_id", "page_no"])
+
+
+@query("""WITH c AS (SELECT c_nationkey AS doc_id, c_custkey AS seq, 'segment ' || c_mktsegment || ' ' || (c_custkey % 3) AS message FROM customer),
+u AS (SELECT doc_id, message, min(seq) AS seq, count(*)::BIGINT AS times FROM c GROUP BY ALL) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY seq, message) - 1)::INT AS no FROM u""")
+def distinct_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = I.table(spark, sf_dir, "customer")
+    message = F.concat(F.lit("segment "), F.col("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 3).cast("string"))
+    return plans.distinct_warnings(c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("seq"), message.alias("message")))
+
+
+@query("SELECT p_partkey % 300 AS doc_id, count(*) FILTER (WHERE p_size % 4 = 0)::BIGINT AS removed, count(*)::BIGINT AS annotations, count(*) FILTER (WHERE p_size % 4 = 0) > 0 AS rewritten FROM part GROUP BY 1")
+def watermark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.table(spark, sf_dir, "part").select((F.col("p_partkey") % 300).alias("doc_id"), F.lit(0).alias("page_no"), F.col("p_partkey").alias("annot_no"), F.when(F.col("p_size") % 4 == 0, "/Watermark").otherwise("/Link").alias("subtype"))
+    return plans.remove_watermarks(p)[1]
+
+
+@query(r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\x{80}-\x{9F}\x{100}-\x{D7FF}\x{F000}-\x{10FFFF}]')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM x GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS lost, count(*)::BIGINT AS kinds, list_slice(list(c ORDER BY n DESC, c), 1, 5) AS commonest FROM n GROUP BY doc_id""")
+def character_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.char_coverage(I.table(spark, sf_dir, "documents"))
+
+
+@query("""WITH i AS (SELECT l_partkey % 20 AS doc_id, l_orderkey * 10 + l_linenumber AS ref_no, (l_suppkey % 60)::VARCHAR || ':' || l_returnflag AS signature FROM lineitem),
+u AS (SELECT DISTINCT doc_id, ref_no, signature FROM i), f AS (SELECT *, min(ref_no) OVER (PARTITION BY doc_id, signature) = ref_no AS fresh FROM u),
+h AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY ref_no, signature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM f WHERE ref_no IN (SELECT ref_no FROM u GROUP BY doc_id, ref_no HAVING count(*) = 1) OR true)
+SELECT doc_id, count(DISTINCT signature)::BIGINT AS media FROM h GROUP BY doc_id""")
+def image_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = I.table(spark, sf_dir, "lineitem")
+    images = li.select((F.col("l_partkey") % 20).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_no"), F.concat((F.col("l_suppkey") % 60).cast("string"), F.lit(":"), F.col("l_returnflag")).alias("signature")).distinct()
+    return plans.dedupe_images(images).groupBy("doc_id").agg(F.count_distinct("signature").alias("media"))
+
+
+@query("""SELECT source, target FROM (VALUES ('pdf'), ('docx'), ('xlsx'), ('pptx')) a(source), (VALUES ('pdf'), ('docx'), ('xlsx'), ('pptx')) b(target)
+WHERE source <> target AND EXISTS (SELECT 1 FROM pages)""")
+def conversion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.conversion_pairs(spark).join(I.table(spark, sf_dir, "pages").limit(1).select(F.lit(1)), how="left_semi")
+
+
+@query("""WITH r AS (SELECT p_partkey % 50 AS doc_id, p_partkey % 50 AS block_no, p_partkey AS row_no, p_brand AS name FROM part),
+c AS (SELECT *, ((row_number() OVER (PARTITION BY doc_id, block_no ORDER BY row_no) - 1) // 12)::INT AS chunk FROM r) SELECT doc_id, row_no, chunk, CASE WHEN chunk = 0 THEN name ELSE name || ' (' || (chunk + 1) || ')' END AS title FROM c""")
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("doc_id"), (F.col("p_partkey") % 50).alias("block_no"), F.col("p_partkey").alias("row_no"), F.col("p_brand").alias("name"))
+    return shape.chunk_tables(p).select("doc_id", "row_no", "chunk", "title")
+
+
+_TURNS = "b AS (SELECT conv_id AS doc_id, turn AS block_no, role = 'user' AS head, coalesce(text, '') AS text FROM conversations)"
+
+
+@query(f"""WITH {_TURNS}, v AS (SELECT * FROM b WHERE trim(text) <> ''), f AS (SELECT *, lag(head) OVER (PARTITION BY doc_id ORDER BY block_no) AS after FROM v),
+g AS (SELECT *, sum(CASE WHEN after IS NOT FALSE THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_no) AS r FROM f)
+SELECT doc_id, (r - 1)::INT AS row_no, list(text ORDER BY block_no) AS cells FROM g GROUP BY doc_id, r""")
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = I.slide_blocks(spark, sf_dir)
+    b = b.withColumn("items", F.lit(None).cast("array<string>")).withColumn("rows", F.lit(None).cast("array<array<string>>")).withColumn("sheet_name", F.lit(None).cast("string"))
+    return shape.to_sheets(b).select("doc_id", "row_no", "cells")
+
+
+@query(f"""WITH {_TURNS}, v AS (SELECT * FROM b WHERE trim(text) <> ''), f AS (SELECT *, CASE WHEN head OR lag(head) OVER (PARTITION BY doc_id ORDER BY block_no) IS NOT FALSE THEN 1 ELSE 0 END AS fresh FROM v),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY block_no) AS r FROM f)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY max(block_no)) - 1)::INT AS block_no, CASE WHEN bool_or(head) THEN 'paragraph' ELSE 'list' END AS type, count(*)::INT AS parts FROM g GROUP BY doc_id, r""")
+def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = I.slide_blocks(spark, sf_dir).select("doc_id", F.col("block_no").alias("para_no"), F.when(F.col("type") == "heading", "text").otherwise("item").alias("kind"), "text")
+    return shape.group_lists(b).select("doc_id", "block_no", "type", F.coalesce(F.size("items"), F.lit(1)).alias("parts"))
+
+
+@query()
+def packed_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy packing has no SQL; tests hold it against a plain loop."""
+    b = I.slide_blocks(spark, sf_dir).withColumn("items", F.lit(None).cast("array<string>")).withColumn("rows", F.lit(None).cast("array<array<string>>"))
+    return shape.pack_slides(b)
+
+
+@query()
+def wrapped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text wrapped to A4 and counted by page; tests hold the wrapping against its rules."""
+    docs = I.table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(shape.wrap_text(F.coalesce("text", F.lit("")), 483.28)).alias("line_no", "line"))
+    return shape.paginate(lines).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+
+
+@query(r"""SELECT doc_id, length(t) AS kept, replace(replace(replace(replace(replace(substr(t, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped, least(len(regexp_split_to_array(t, '\r\n|\r|\n')), 400)::INT AS lines
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM documents)""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = S.sanitize(F.col("text"))["text"]
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("kept"), S.xml_escape(F.substring(t, 1, 200)).alias("escaped"), F.size(S.lines_of(t)).alias("lines"))
