@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, WORD, ascii_lower, stored, words_of
+from quire.llm.common import SPACES, stored, words_of
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Classes after lower-case letters and white space, each a pattern for the rest of the text.
@@ -57,8 +57,8 @@ def with_repeats(df: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, top: int = 12) -> DataFrame:
-    """docs(lang, text) -> (lang, common): each language's `top` most frequent words over all its documents, A-Z lowered."""
-    words = docs.select("lang", F.explode(F.split(_without(ascii_lower(F.col("text")), r"^[\x20\x09-\x0D]+"), SPACE_RUN)).alias("word")).filter("word != ''")
+    """docs(lang, text) -> (lang, common): each language's `top` most frequent words over all its documents, in lower case."""
+    words = docs.select("lang", F.explode(F.split(F.lower(F.regexp_replace("text", SPACE_RUN, " ")), " ")).alias("word")).filter("word != ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= top)
     return ranked.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("common"))
@@ -109,9 +109,13 @@ def quality_rules(
     sizes = [F.col("_chars") - F.col("word_chars"), F.col("_lower"), *[F.col(f"_{name}") for name in CLASSES], F.length("_rest").cast("long")]
     df = df.withColumn("classes", F.array(*sizes)).drop("_rest")
     df = with_repeats(df)
-    df = df.withColumn("_hits", F.filter(F.transform("words", ascii_lower), lambda w: F.array_contains("common", w)))
-    df = df.withColumn("_each", F.transform("common", lambda c: F.size(F.filter("_hits", lambda w: w == c)).cast("long")))
-    df = df.withColumn("commons", F.concat("_each", F.array(F.col("n_words") - F.size("_hits"))))
+    # each word as a letter for its place among the common ones: counting letters is cheap, comparing words again is not
+    letters = F.lit("_" + "".join(chr(ord("a") + i) for i in range(top)))
+    mark = F.transform("words", lambda w: F.substring(letters, F.coalesce(F.array_position("common", F.lower(w)), F.lit(0)).cast("int") + 1, F.lit(1)))
+    df = df.withColumn("_marks", F.array_join(mark, ""))
+    each = [(F.length("_marks") - F.length(F.replace("_marks", F.lit(chr(ord("a") + i)), F.lit("")))).cast("long") for i in range(top)]
+    df = df.withColumn("_each", F.array(*each))
+    df = df.withColumn("commons", F.concat("_each", F.array(F.col("n_words") - F.aggregate("_each", F.lit(0).cast("long"), lambda a, x: a + x))))
     features = stored(df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "commons"), "rules-features")
 
     size = len(CLASSES) + 3
@@ -119,8 +123,7 @@ def quality_rules(
     words = [F.coalesce(F.sum(F.get("commons", F.lit(i))), F.lit(0)) for i in range(top + 1)]
     langs = features.groupBy("lang").agg(F.array(*sums).alias("ref_classes"), F.array(*words).alias("ref_commons"), F.sum("n_words").alias("ref_words"))
     out = features.join(langs, "lang")
-    padded = F.slice(F.concat("commons", F.array_repeat(F.lit(0).cast("long"), top + 1)), 1, top + 1)
-    out = out.withColumn("p1", _shares(F.col("classes"))).withColumn("q1", _shares(F.col("ref_classes"))).withColumn("p2", _shares(padded)).withColumn("q2", _shares(F.col("ref_commons")))
+    out = out.withColumn("p1", _shares(F.col("classes"))).withColumn("q1", _shares(F.col("ref_classes"))).withColumn("p2", _shares(F.col("commons"))).withColumn("q2", _shares(F.col("ref_commons")))
     enough = F.col("ref_words") >= min_reference_words
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("class_distance", F.when(enough & (chars >= min_class_chars), jensen_shannon("p1", "q1")))
