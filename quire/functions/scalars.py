@@ -273,4 +273,4 @@ def block_text(text: Column, runs: Column) -> Column:
 def natural_key(name: Column) -> Column:
     """Sorts 2.pdf before 10.pdf, whatever the case."""
     parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(F.lower(p)))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]") & (F.length(p) < 20), F.lpad(p, 20, "0")).otherwise(F.lower(p))), "")
