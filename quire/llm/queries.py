@@ -106,5 +106,55 @@ WITH l AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM d GROUP BY doc_id
+""",
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = w.doc_id
+""",
+    "op5_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 3)
+), d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM t) WHERE k > 1
+), rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM d) GROUP BY doc_id
+), x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w
+), dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), c1 AS (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS dense FROM w
+), c2 AS (SELECT *, regexp_replace(dense, '[a-z]+', '', 'g') AS r0 FROM c1
+), c3 AS (SELECT *, regexp_replace(r0, '[A-Z]+', '', 'g') AS r1 FROM c2
+), c4 AS (SELECT *, regexp_replace(r1, '[0-9]+', '', 'g') AS r2 FROM c3
+), c5 AS (SELECT *, regexp_replace(r2, '[.,;:!?''"()-]+', '', 'g') AS r3 FROM c4
+), c6 AS (SELECT *, regexp_replace(r3, '[\x00-\x7F]+', '', 'g') AS r4 FROM c5
+), b AS (
+  SELECT c6.doc_id, lang, len(ws)::BIGINT AS n_words, length(dense)::BIGINT AS word_chars, length(regexp_replace(r0, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(text) AS chars,
+    [length(text) - length(dense), length(dense) - length(r0), length(r0) - length(r1), length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4)] AS cls
+  FROM c6 LEFT JOIN dl ON dl.doc_id = c6.doc_id LEFT JOIN rep ON rep.doc_id = c6.doc_id
+), lw AS (SELECT doc_id, lang, unnest(string_split(lower(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) AS word FROM w
+), cw AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM lw WHERE word <> '' GROUP BY lang, word
+), hits AS (SELECT l.doc_id, c.r, count(*) AS k FROM lw l JOIN cw c ON c.lang = l.lang AND c.word = l.word AND c.r <= 12 GROUP BY l.doc_id, c.r
+), spread AS (
+  SELECT doc_id, lang, 1 AS kind, i AS r, cls[i] AS k FROM (SELECT *, unnest(range(1, 8)) AS i FROM b)
+  UNION ALL SELECT b.doc_id, lang, 2, h.r, h.k FROM b JOIN hits h ON h.doc_id = b.doc_id
+  UNION ALL SELECT b.doc_id, lang, 2, 99, n_words - coalesce(h.k, 0) FROM b LEFT JOIN (SELECT doc_id, sum(k) AS k FROM hits GROUP BY doc_id) h ON h.doc_id = b.doc_id
+), q AS (SELECT lang, kind, r, sum(k) / sum(sum(k)) OVER (PARTITION BY lang, kind) AS q FROM spread GROUP BY lang, kind, r
+), tot AS (SELECT doc_id, kind, greatest(sum(k), 1) AS n FROM spread GROUP BY doc_id, kind
+), js AS (
+  SELECT doc_id, kind, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS d
+  FROM (SELECT b.doc_id, q.kind, q.q, coalesce(s.k, 0) / t.n AS p FROM b JOIN q ON q.lang = b.lang JOIN tot t ON t.doc_id = b.doc_id AND t.kind = q.kind LEFT JOIN spread s ON s.doc_id = b.doc_id AND s.kind = q.kind AND s.r = q.r) z GROUP BY doc_id, kind
+), lt AS (SELECT lang, sum(n_words) AS n FROM b GROUP BY lang
+), v AS (
+  SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    lt.n >= 2000 AND ((chars >= 200 AND sqrt(greatest(j1.d, 0)) > 0.3) OR (n_words >= 100 AND sqrt(greatest(j2.d, 0)) > 0.3)) AS far
+  FROM b JOIN lt ON lt.lang = b.lang LEFT JOIN js j1 ON j1.doc_id = b.doc_id AND j1.kind = 1 LEFT JOIN js j2 ON j2.doc_id = b.doc_id AND j2.kind = 2
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM v
 """,
 }
