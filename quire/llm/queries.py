@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing, nearest, ngram_join, packing, quality, repeats, rules
+from quire.llm import fixity, language, lines, mixing, nearest, ngram_join, packing, quality, repeats, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,20 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.documents.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archive against a replica in which one byte of every 97th page is damaged."""
+    pages = _table(spark, sf_dir, "pages")
+    hurt = F.concat(F.lit("?"), F.expr("substring(html, 2)"))
+    replica = pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, hurt).otherwise(F.col("html")))
+    out = fixity.audit_replica(fixity.page_records(pages), fixity.page_records(replica))
+    return out.select(F.col("key").alias("page_id"), "file_no", "offset", "length", F.col("hash").alias("sha256"), "state")
+
+
+def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(_table(spark, sf_dir, "documents"))
+    return language.identify(_table(spark, sf_dir, "pages"), model)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,16 +68,29 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_drop_repeated_lines": op2_drop_repeated_lines,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_fixity_audit": op4_fixity_audit,
     "op5_quality_rules": op5_quality_rules,
     "op6_pack_documents": op6_pack_documents,
     "op7_drop_repeated_passages": op7_drop_repeated_passages,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_identify_language": op9_identify_language,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op4_fixity_audit": r"""
+WITH r AS (
+  SELECT page_id, page_id // 4096 AS file_no, chr(13) || chr(10) AS nl, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), w AS (
+  SELECT page_id, file_no, html, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:record:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl ||
+    'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS record FROM r
+), h AS (SELECT page_id, file_no, html, strlen(record)::BIGINT AS length, sha256(record) AS sha256 FROM w)
+SELECT page_id, file_no, coalesce(sum(length) OVER (PARTITION BY file_no ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, sha256,
+  CASE WHEN page_id % 97 = 13 AND html <> '' AND left(html, 1) <> '?' THEN 'changed' ELSE 'intact' END AS state
+FROM h
+""",
     "op1_mix_sources": r"""
 WITH z AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
