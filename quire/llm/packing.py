@@ -30,8 +30,9 @@ class _Words:
 
     The pre-tokenizer drops white space, never joins across it, and parts letters from marks, so a part
     of letters and a tail of marks is the ids of both. Latin letters are lowered and spelt in bytes here
-    as the tokenizer does it, and its model is asked for the word; other parts are encoded whole, and so
-    are texts with a control character that Python takes for white space and the tokenizer doesn't.
+    as the tokenizer does it, and its model is asked for the word; other parts are encoded whole, also
+    where only the lowered letters are others (U+018F gives U+0259), and so are texts with a control
+    character that Python takes for white space and the tokenizer doesn't.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1f")
@@ -49,8 +50,7 @@ class _Words:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, letters: str) -> bytes:
-        low = letters.lower()
+    def word(self, low: str) -> bytes:
         found = self.words.get(low)
         if found is None:
             found = self.words[low] = array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.spelt))]).tobytes()
@@ -58,12 +58,13 @@ class _Words:
 
     def part(self, part: str) -> bytes:
         letters = part.rstrip(self.MARKS)
-        if not (letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters):
+        low = letters.lower()
+        if not (letters.isalpha() and max(letters) < "\u0250" and max(low) < "\u0250"):
             return self.whole(part)
         tail = part[len(letters) :]
         if tail and tail not in self.ids:
             self.ids[tail] = self.whole(tail)
-        return self.word(letters) + (self.ids[tail] if tail else b"")
+        return self.word(low) + (self.ids[tail] if tail else b"")
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit words."""

@@ -282,6 +282,16 @@ def test_packing_round_trip(spark, corpus):
     assert len(bins) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_words_asked_of_the_model_are_encoded_as_whole_texts():
+    import public_tokenizers
+
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    letters = {c for i in range(0x250) for x in (chr(i), chr(i).upper(), chr(i).lower()) for c in x if c.isalpha()}
+    for c in sorted(letters):
+        for text in (c, f"{c}li", f"Sto{c}", f"a{c}{c}b.", f"{c}\u00c9,;"):
+            assert words.encode(text) == words.whole(text), text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_local_search_never_overfills_or_loses(sizes):
