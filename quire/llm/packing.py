@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,53 +131,107 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, underfull: int = 64) -> list[list[int]]:
-    """Trades pieces between the bins with most room until no trade raises the sum of squared fills; empty bins go.
+class _Held:
+    """Which bins hold what a trade can give (a piece, or two) by its size, the emptiest bin first."""
 
-    Only the `underfull` emptiest bins trade: the others are all but full and would take nothing.
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, capacity: int):
+        self.bins: dict[int, list[tuple[int, int]]] = {}
+        self.least = np.full(capacity + 1, self.NONE)  # the fill of the emptiest bin by size
+
+    def put(self, b: int, fill: int, sizes: list[int]) -> None:
+        for v in sizes:
+            bisect.insort(self.bins.setdefault(v, []), (fill, b))
+            self.least[v] = self.bins[v][0][0]
+
+    def drop(self, b: int, fill: int, sizes: list[int]) -> None:
+        for v in sizes:
+            held = self.bins[v]
+            del held[bisect.bisect_left(held, (fill, b))]
+            self.least[v] = held[0][0] if held else self.NONE
+
+    def best(self, fill: int, room: int, take: list[int]) -> tuple[int, int] | None:
+        """The d up to room, the largest first, and the place in take, for which take + d comes from a bin emptier than fill + d."""
+        top = len(self.least) - 1
+        found, step = (0, 0), max(1, (1 << 20) // room)
+        for at in range(0, len(take), step):
+            d = np.arange(room, found[0], -1)
+            want = np.array(take[at : at + step])[:, None] + d
+            good = (self.least[np.minimum(want, top)] < fill + d) & (want <= top)
+            first = int(good.any(axis=0).argmax()) if len(d) else 0
+            if len(d) and good[:, first].any():
+                found = int(d[first]), at + int(good[:, first].argmax())
+        return found if found[0] else None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Trades pieces between bins with room until no trade of any two raises the sum of squared fills; empty bins go.
+
+    A bin takes a piece for nothing, for one or for two of its own, or two for one, from any other bin:
+    what fills it most, if it ends fuller than the other was. A full bin has no trade that raises the sum.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    short = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])[:underfull]
-
-    def gain(a: int, b: int, d: int) -> bool:  # d more in b, less in a
-        return fill[b] + d <= capacity and fill[a] - d <= capacity and d != 0 and d * (fill[b] - fill[a] + d) > 0
-
-    def by_size(b: int) -> list[int]:  # one piece of each size, the smallest first
-        return [i for _, i in sorted({size[i]: i for i in bins[b]}.items())]
-
-    def trade(a: int, b: int) -> bool:
-        mine, theirs = by_size(a), by_size(b)
-        keys, room = [size[i] for i in theirs], capacity - fill[b]
-        for x in reversed(mine):  # a move
-            if gain(a, b, size[x]):
-                return apply(a, b, [x], [])
-        for x in mine:  # one for one: the smallest of b that makes room
-            at = bisect.bisect_left(keys, size[x] - room)
-            if at < len(keys) and gain(a, b, size[x] - keys[at]):
-                return apply(a, b, [x], [theirs[at]])
-        for k, x in enumerate(mine):  # two for one
-            for z in mine[k + 1 :]:
-                at = bisect.bisect_left(keys, size[x] + size[z] - room)
-                if at < len(keys) and gain(a, b, size[x] + size[z] - keys[at]):
-                    return apply(a, b, [x, z], [theirs[at]])
-        return False
-
-    def apply(a: int, b: int, give: list[int], take: list[int]) -> bool:
-        d = sum(size[i] for i in give) - sum(size[i] for i in take)
+    one, two = _Held(capacity), _Held(capacity)
+    singles: dict[int, list[int]] = {}
+    doubles: dict[int, list[int]] = {}
+
+    def put(b: int) -> None:
+        if 0 < fill[b] < capacity:
+            n = Counter(size[i] for i in bins[b])
+            singles[b] = sorted(n)
+            doubles[b] = sorted({x + z for x in n for z in n if x < z} | {2 * x for x in n if n[x] > 1})
+            one.put(b, fill[b], singles[b])
+            two.put(b, fill[b], doubles[b])
+
+    def drop(b: int) -> None:
+        one.drop(b, fill[b], singles.pop(b))
+        two.drop(b, fill[b], doubles.pop(b))
+
+    def pick(b: int, total: int, n: int) -> list[int]:  # n pieces of b of this total size
+        if n < 2:
+            return next(([i] for i in bins[b] if size[i] == total), [])
+        seen: dict[int, int] = {}
+        for i in bins[b]:
+            if total - size[i] in seen:
+                return [seen[total - size[i]], i]
+            seen[size[i]] = i
+        raise ValueError("no such pieces")
+
+    def trade(b: int) -> bool:
+        mine, pairs = singles[b], doubles[b]
+        drop(b)  # not with itself
+        room = capacity - fill[b]
+        a1, a2 = one.best(fill[b], room, [0, *mine, *pairs]), two.best(fill[b], room, mine)
+        if not a1 and not a2:
+            put(b)
+            return False
+        if a1 and (not a2 or a1[0] >= a2[0]):
+            d, k = a1
+            back, n_back, held, n = [0, *mine, *pairs][k], (0 if k == 0 else 1 if k <= len(mine) else 2), one, 1
+        else:
+            d, k = a2
+            back, n_back, held, n = mine[k], 1, two, 2
+        a = held.bins[back + d][0][1]
+        give, take = pick(a, back + d, n), pick(b, back, n_back) if n_back else []
+        drop(a)
         bins[a] = [i for i in bins[a] if i not in give] + take
         bins[b] = [i for i in bins[b] if i not in take] + give
         fill[a] -= d
         fill[b] += d
+        put(a)
+        put(b)
         return True
 
-    changed = True
+    for b in range(len(bins)):
+        put(b)
+    changed = len(singles) > 1
     while changed:
         changed = False
-        for a in short:
-            for b in reversed(short):
-                while a != b and bins[a] and bins[b] and trade(a, b):
-                    changed = True
+        for b in sorted(singles, key=lambda b: (-fill[b], b)):
+            while b in singles and trade(b):
+                changed = True
     return [b for b in bins if b]
 
 

@@ -309,6 +309,22 @@ def test_local_search_empties_a_bin():
     assert len(done) == 3
 
 
+@pytest.mark.parametrize(("low", "high", "over"), [(500, 1500, 2), (700, 2200, 20)])
+def test_local_search_trades_between_all_underfull_bins(low, high, over):
+    lengths = np.random.default_rng(1).integers(low, high + 1, 3000)
+    first = packing.best_fit(lengths, 4096)
+    assert sum(lengths[b].sum() < 4096 for b in first) > 300
+    done = packing.local_search([list(b) for b in first], lengths, 4096)
+    assert sorted(i for b in done for i in b) == list(range(3000))
+    assert len(done) <= -(-lengths.sum() // 4096) + over
+    short = [b for b in done if lengths[b].sum() < 4096]
+    for b in short:  # no piece for nothing or for one piece would raise the sum of squares
+        fill, back = lengths[b].sum(), np.array([0, *lengths[b]])
+        for a in short:
+            d = lengths[a][:, None] - back
+            assert a is b or not ((d > 0) & (fill + d <= 4096) & (fill + d > lengths[a].sum())).any()
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(4)
     good, bad = ["house", "river", "green", "walks", "slowly", "under"], ["BUY!!", "NOW!!", "click", "$$$", "free"]
