@@ -395,3 +395,11 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.sanitize(F.col("text"))["text"]
     return I.table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("kept"), S.xml_escape(F.substring(t, 1, 200)).alias("escaped"), F.size(S.lines_of(t)).alias("lines"))
+
+
+@query(r"""SELECT doc_id, length(e)::BIGINT AS escaped_chars, sha256(e) AS escaped_sha256
+FROM (SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS e FROM documents)""")
+def escaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts escaped; clean_text shows the first 200 characters only."""
+    e = S.xml_escape(F.col("text"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.length(e).cast("long").alias("escaped_chars"), F.sha2(e.cast("binary"), 256).alias("escaped_sha256"))

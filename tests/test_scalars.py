@@ -77,3 +77,17 @@ def test_pdf_bytes_and_boxes(spark):
     assert tuple(got) == pytest.approx((10, 30, 80, 40))
     assert tuple(column(spark, [(90, 5, 50, 50)], "x int, y int, w int, h int", S.clamp_crop(*(F.col(c) for c in "xywh"), F.lit(100), F.lit(40)))[0]) == (90, 5, 10, 35)
     assert tuple(column(spark, [(8192, 10)], "w int, h int", S.target_pixels(F.col("w"), F.col("h")))[0]) == (4096, 5)
+
+
+def test_whole_texts_are_escaped(spark, tmp_path):
+    import hashlib
+
+    from quire.plans.queries import QUERIES
+
+    texts = [(1, "a" * 300 + "<b & 'c'>\x01" + '"' * 500), (2, None), (3, "é" * 250 + "&")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in texts:
+        e = (t or "").replace("\x01", "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
+        want[i] = (len(e), hashlib.sha256(e.encode()).hexdigest())
+    assert {r.doc_id: (r.escaped_chars, r.escaped_sha256) for r in QUERIES["escaped_text"](spark, str(tmp_path)).collect()} == want
