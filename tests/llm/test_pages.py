@@ -117,3 +117,30 @@ def test_pages_without_anything(spark, model):
     assert language.identify(spark.createDataFrame([], PAGES), model).count() == 0
     empty = language.train(spark.createDataFrame([], "text string, lang string"))
     assert [r.lang for r in language.identify(spark.createDataFrame(rows, PAGES), empty).collect()] == [None] * 4
+
+
+def words_of_language(k):
+    rng = random.Random(1000 + k)
+    return ["".join(rng.choices("abcdefghijklmnoprstuvyz", k=rng.randint(3, 8))) for _ in range(40)]
+
+
+def test_every_language_of_the_documents_is_known(spark):
+    many = {f"{chr(97 + k // 26)}{chr(97 + k % 26)}": words_of_language(k) for k in range(70)}
+    rng = random.Random(3)
+    docs = [(" ".join(rng.choices(w, k=80)), x) for k, (x, w) in enumerate(many.items()) for _ in range(4 if k == 69 else 1 if k == 68 else 6)]
+    model = language.train(spark.createDataFrame(docs, "text string, lang string"))
+    rows = [(k, f"http://h{k}.example.org/", f"<p>{' '.join(rng.choices(w, k=60))}</p>") for k, w in enumerate(many.values())]
+    got = {r.page_id: (r.lang, r.text_lang) for r in language.identify(spark.createDataFrame(rows, PAGES), model).collect()}
+    assert got == {k: (x, x) for k, x in enumerate(many)}
+
+
+def test_a_language_only_markup_names(spark, model):
+    other = words_of_language(99)
+    rows = [page(i, "en", host="a.site.com") for i in range(30)]
+    rows += [(100 + i, f"http://b.site.xx/{i}", f'<html lang="xx"><p>{" ".join(random.Random(i).choices(other, k=60))}</p>') for i in range(20)]
+    rows += [page(200, "en", 60, "xx", "a.site.com"), (201, "http://b.site.xx/empty", '<html lang="xx"></html>'), (202, "http://c.site.yy/", f'<html lang="yy"><p>{" ".join(other)}</p>')]
+    out = language.identify(spark.createDataFrame(rows, PAGES), model).collect()
+    got = {r.page_id: (r.lang, r.text_lang) for r in out}
+    assert len(out) == len(rows) and all(0 < r.probability <= 1 for r in out)
+    assert all(got[i] == ("en", "en") for i in range(30)) and all(got[100 + i] == ("xx", None) for i in range(20))
+    assert got[200] == ("en", "en") and got[201] == ("xx", None) and got[202] == ("yy", None)
