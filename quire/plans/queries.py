@@ -403,3 +403,13 @@ def escaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts escaped; clean_text shows the first 200 characters only."""
     e = S.xml_escape(F.col("text"))
     return I.table(spark, sf_dir, "documents").select("doc_id", F.length(e).cast("long").alias("escaped_chars"), F.sha2(e.cast("binary"), 256).alias("escaped_sha256"))
+
+
+@query("""WITH r AS (SELECT page_id, list_extract(['pdf','docx','xlsx','pptx','zip','png','doc','csv','pdf','txt'], (page_id % 10 + 1)::INT) AS source, list_extract(['pdf','docx','xlsx','pptx'], (page_id // 10 % 4 + 1)::INT) AS target FROM pages)
+SELECT page_id, source, target FROM r WHERE source NOT IN ('pdf','docx','xlsx','pptx') OR source = target""")
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's file asked into a format by page_id; the requests that are no conversion."""
+    ext = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    target = F.element_at(F.array(*[F.lit(x) for x in plans.FORMATS]), (F.floor(F.col("page_id") / 10) % 4 + 1).cast("int"))
+    files = I.files(spark, sf_dir).select(F.col("file_id").cast("long").alias("page_id"), ext.alias("source"))
+    return plans.check_pairs(files.withColumn("target", target)).select("page_id", "source", "target")

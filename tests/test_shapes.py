@@ -115,3 +115,13 @@ def test_every_query_runs_on_the_smallest_tables(spark):
     for name, run in queries.QUERIES.items():
         df = run(spark, "/root/testdata/sf0.001")
         assert df.columns and df.count() >= 0, name
+
+
+def test_every_page_is_a_conversion_request(spark, tmp_path):
+    from quire.plans.queries import QUERIES
+
+    spark.range(200).selectExpr("id as page_id", "concat('http://a/', id) as url", "'' as html").write.parquet(str(tmp_path / "pages.parquet"))
+    exts, formats = ["pdf", "docx", "xlsx", "pptx", "zip", "png", "doc", "csv", "pdf", "txt"], ["pdf", "docx", "xlsx", "pptx"]
+    asked = [(i, exts[i % 10], formats[i // 10 % 4]) for i in range(200)]
+    want = [r for r in asked if r[1] not in formats or r[1] == r[2]]
+    assert sorted(map(tuple, QUERIES["rejected_requests"](spark, str(tmp_path)).collect())) == want
