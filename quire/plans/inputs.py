@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import shared_dir
+
 WORDS_A_LINE, LINES_A_PAGE = 12, 40
 
 
@@ -12,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as positioned words: 12 words a line, 40 lines a page, 16 apart; the first line of a document is taller.
 
