@@ -1,12 +1,15 @@
 """Lines, cells, tables, headings and paragraphs from positioned runs of text.
 
-Everything is keyed by page: page-sized groups are the largest that any step gathers. Two folds whose
-state depends on their own decisions (lines by running mean, paragraphs by first indent) are grouped
-helpers; each is followed by one repartition on the page, which all later windows reuse.
+Everything is keyed by page: page-sized groups are the largest that any step gathers. Two folds depend
+on their own decisions (lines by running mean, paragraphs by first indent): a page's rows are gathered in
+order, only the numbers that decide go to a vectorized helper, and the rows are laid out again with what
+it answers. Nothing but the page is ever a key of an exchange, so one exchange serves all steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,24 +63,36 @@ def item_boxes(text_items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, "item_no", "size", t[4].alias("left"), (F.col("page_height") - t[5] - F.col("size") * 0.9).alias("top"), width.alias("width"), (F.col("size") * 1.25).alias("height"))
 
 
-def _fold_lines(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["y", "x", "item_no"], ascending=[False, True, True], kind="stable")
-    line, total, n = -1, 0.0, 0
-    numbers = np.empty(len(page), np.int32)
-    for i, y in enumerate(page.y.to_numpy()):
+def _numbered(df: DataFrame, order: list[str], args: list[str], fold: Callable[..., list[int]], name: str) -> DataFrame:
+    """df and `name`: what fold answers for a page's rows; it gets the columns args, in the order of the columns `order`."""
+    rest = [c for c in df.columns if c not in PAGE]
+
+    @F.pandas_udf("array<int>")
+    def answer(*pages: pd.Series) -> pd.Series:
+        return pd.Series([fold(*columns) for columns in zip(*pages, strict=True)])
+
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(*rest).alias("r"))))
+    pages = df.groupBy(*PAGE).agg(F.transform(rows, lambda x: x["r"]).alias("rows"))
+    pages = pages.withColumn("n", answer(*[F.col("rows")[a] for a in args]))
+    out = pages.select(*PAGE, "n", F.posexplode("rows").alias("at", "r"))
+    return out.select(*PAGE, *[F.col("r")[c].alias(c) for c in rest], F.get("n", F.col("at")).alias(name))
+
+
+def _fold_lines(ys: np.ndarray) -> list[int]:
+    line, total, n, numbers = -1, 0.0, 0, []
+    for y in ys:
         if n and total / n - y <= LINE_TOLERANCE:
             total, n = total + y, n + 1
         else:
             line, total, n = line + 1, y, 1
-        numbers[i] = line
-    return page.assign(line_no=numbers)
+        numbers.append(line)
+    return numbers
 
 
 def assign_lines(runs: DataFrame) -> DataFrame:
     """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean."""
-    schema = "doc_id long, page_no int, item_no int, text string, x double, y double, width double, height double, line_no int"
-    cols = runs.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("item_no").cast("int"), "text", "x", "y", "width", "height")
-    return cols.groupBy(*PAGE).applyInPandas(_fold_lines, schema).repartition(*PAGE)
+    cols = runs.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("item_no").cast("int"), "text", "x", "y", "width", "height", (-F.col("y")).alias("down"))
+    return _numbered(cols, ["down", "x", "item_no"], ["y"], _fold_lines, "line_no").drop("down")
 
 
 def _in_line() -> Window:
@@ -147,13 +162,12 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return out.drop("_n", "_island", "row")
 
 
-def _fold_paragraphs(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values("line_no")
-    spacing, indent, before, ended, number = 0.0, None, None, False, -1
-    numbers = np.full(len(page), -1, np.int32)
-    for i, (kind, y, left, body, end) in enumerate(zip(page.kind, page.y, page.left, page.body, page.ends, strict=True)):
+def _fold_paragraphs(kinds: np.ndarray, ys: np.ndarray, lefts: np.ndarray, bodies: np.ndarray, ends: np.ndarray) -> list[int]:
+    spacing, indent, before, ended, number, numbers = 0.0, None, None, False, -1, []
+    for kind, y, left, body, end in zip(kinds, ys, lefts, bodies, ends, strict=True):
         if kind != "body":
             indent, before, ended = None, None, False
+            numbers.append(-1)
             continue
         gap = before - y if before is not None else 0.0
         if gap > 0:
@@ -161,15 +175,15 @@ def _fold_paragraphs(page: pd.DataFrame) -> pd.DataFrame:
         wide = spacing > 0 and gap > spacing * PARAGRAPH_GAP and gap > body * 1.25
         if indent is None or wide or ended or abs(left - indent) > body * INDENT:
             number, indent = number + 1, left
-        numbers[i], before, ended = number, y, end
-    return pd.DataFrame({"doc_id": page.doc_id, "page_no": page.page_no, "line_no": page.line_no, "paragraph": numbers})
+        before, ended = y, end
+        numbers.append(number)
+    return numbers
 
 
 def assign_paragraphs(lines: DataFrame) -> DataFrame:
     """classified lines and paragraph (-1 for others): broken by a wide gap, an ended sentence or another indent than the first line's."""
-    slim = lines.select(*PAGE, "line_no", "kind", "y", "left", "body", F.col("text").rlike(SENTENCE_END).alias("ends"))
-    found = slim.groupBy(*PAGE).applyInPandas(_fold_paragraphs, "doc_id long, page_no int, line_no int, paragraph int")
-    return lines.join(found, [*PAGE, "line_no"])
+    rows = lines.withColumn("ends", F.col("text").rlike(SENTENCE_END))
+    return _numbered(rows, ["line_no"], ["kind", "y", "left", "body", "ends"], _fold_paragraphs, "paragraph").drop("ends")
 
 
 def page_blocks(lines: DataFrame) -> DataFrame:
@@ -202,10 +216,15 @@ def structure(text_items: DataFrame) -> DataFrame:
     return fold_lone_words(page_blocks(assign_paragraphs(lines)))
 
 
+def _characters() -> Column:
+    """Characters of a block: its text and its cells, each trimmed."""
+    cells = F.aggregate(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), F.lit(0), lambda a, c: a + F.length(F.trim(c)))
+    return F.coalesce(F.length(F.trim("text")), F.lit(0)) + cells
+
+
 def count_text(blocks: DataFrame) -> DataFrame:
     """Characters per document over paragraphs, headings and table cells, each trimmed."""
-    cells = F.aggregate(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), F.lit(0), lambda a, c: a + F.length(F.trim(c)))
-    return blocks.groupBy("doc_id").agg(F.sum(F.coalesce(F.length(F.trim("text")), F.lit(0)) + cells).cast("long").alias("characters"))
+    return blocks.groupBy("doc_id").agg(F.sum(_characters()).cast("long").alias("characters"))
 
 
 def page_census(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -225,7 +244,11 @@ def emptiness(counts: DataFrame) -> DataFrame:
 
 
 def structure_report(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Blocks and characters per document, blank pages counted."""
-    kinds = blocks.groupBy("doc_id").agg(*[F.count_if(F.col("type") == k).alias(f"{k}s") for k in ("heading", "paragraph", "table")])
-    out = page_census(blocks, pages).drop("tables").join(kinds, "doc_id", "left").join(count_text(blocks), "doc_id", "left")
-    return emptiness(out.na.fill(0, ["headings", "paragraphs", "tables", "characters"]))
+    """Blocks and characters per document, blank pages counted; blocks are read once, and met by their pages only as counts."""
+    kinds = ("heading", "paragraph", "table")
+    per = blocks.groupBy(*PAGE).agg(*[F.count_if(F.col("type") == k).alias(f"{k}s") for k in kinds], F.sum(_characters()).cast("long").alias("characters"))
+    all_pages = pages.select(*PAGE).join(per, PAGE, "left")
+    with_tables = F.array_sort(F.collect_set(F.when(F.col("tables") > 0, F.col("page_no"))))
+    counts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("headings", "paragraphs", "tables", "characters")]
+    out = all_pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count("tables").alias("with_text"), with_tables.alias("table_pages"), *counts)
+    return emptiness(out.withColumn("blank", F.col("pages") - F.col("with_text")).withColumn("refused", F.col("with_text") == 0))
