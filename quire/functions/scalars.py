@@ -106,6 +106,7 @@ def looks_like_pdf(content: Column) -> Column:
 
 
 def font_style(name: Column) -> Column:
+    """Family, bold and italic from a font's name; the patterns are fixed values."""
     n = F.lower(F.coalesce(name, F.lit("")))
     family = F.when(n.rlike("times|serif|roman|georgia|garamond"), "times").when(n.rlike("courier|mono"), "courier").otherwise("helvetica")
     return F.struct(family.alias("family"), n.rlike("bold|black|heavy|semibold").alias("bold"), n.rlike("italic|oblique").alias("italic"))
@@ -124,6 +125,16 @@ def clamp_crop(x: Column, y: Column, w: Column, h: Column, image_w: Column, imag
     return F.struct(left.alias("x"), top.alias("y"), F.greatest(F.lit(1), F.least(w, image_w - left)).alias("w"), F.greatest(F.lit(1), F.least(h, image_h - top)).alias("h"))
 
 
+def clamp_drag(x: Column, y: Column, w: Column, h: Column, image_w: Column, image_h: Column, least: int = 32) -> Column:
+    """A crop rectangle as it is drawn by hand: never under `least` on a side, and never off the image by more than that."""
+
+    def span(at: Column, size: Column, room: Column) -> tuple[Column, Column]:
+        return F.greatest(F.lit(0), F.least(at, room - least)), F.greatest(F.lit(least), F.least(size, room - at))
+
+    (left, width), (top, height) = span(x, w, image_w), span(y, h, image_h)
+    return F.struct(left.alias("x"), top.alias("y"), width.alias("w"), height.alias("h"))
+
+
 def target_pixels(w: Column, h: Column, longest: int = 4096) -> Column:
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(w, h))
     return F.struct(F.greatest(F.lit(1), F.floor(w * scale + 0.5)).cast("int").alias("w"), F.greatest(F.lit(1), F.floor(h * scale + 0.5)).cast("int").alias("h"))
@@ -205,32 +216,67 @@ def cell_text(raw_type: Column, raw_value: Column, shared: Column) -> Column:
     )
 
 
-# Characters with a plain counterpart.
-REPLACEMENTS = {
-    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", "•": "-", " ": " ",
-    "−": "-", "×": "x", "≤": "<=", "≥": ">=", "≠": "!=", "→": "->", "←": "<-", "∞": "inf", "π": "pi",
+# Signs that are drawn, each known by its place counted from U+E000; spellings of others in
+# a Latin font's own characters; what such a font holds beside ASCII and U+00A0 to U+00FF.
+DRAWN_FROM = 0xE000
+DRAWN = (
+    "√∛∜∞≤≥≠≡≈≅∼∝≪≫∑∏∐∫∬⋃⋂⋁⋀∅∂∇∠⊥∥∈∉∋∌∍⊂⊃⊆⊇∪∩∀∃∄∴∵→←↔↑↓⇒⇐⇔↦αβγδεζηθϑικλμνξοπρσςτυφχψω"
+    "ΓΔΘΛΞΠΣΦΨΩΑΒΕΖΗΙΚΜΝΟΡΤΥΧ∆ϕϱϖϵϝϒϹϺϜϛ"
+)
+SPELLED = {
+    "ℓ": "l", "ℏ": "h", "ℜ": "R", "ℑ": "I", "ℵ": "infinity", "⌈": "[", "⌉": "]", "⌊": "[", "⌋": "]", "⊤": "T", "⊦": "|-", "⊣": "-|",
+    "≜": ":=", "≝": ":=", "≟": "=?", "⋮": "...", "⋯": "...", "⁝": "...", "′": "'", "″": "''", "‴": "'''", "∙": "*", "⋅": "*", "∗": "*",
+    "⁄": "/", "∕": "/", "−": "-", "\u3000": " ", "ℝ": "R", "ℕ": "N", "ℤ": "Z", "ℚ": "Q", "ℂ": "C", "∘": "o", "◎": "O", "⊛": "*", "⊚": "O",
+}
+LATIN_EXTRAS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+# Codes of the Symbol font.
+SYMBOL_CODES = {
+    0x24: "∃", 0x2C: "¬", 0x41: "Α", 0x42: "Β", 0x44: "Δ", 0x45: "Ε", 0x47: "Γ", 0x48: "Η", 0x49: "Ι", 0x4A: "Θ", 0x4B: "Κ", 0x4C: "Λ", 0x4D: "Μ", 0x4E: "Ν",
+    0x50: "Π", 0x52: "Ρ", 0x53: "Σ", 0x54: "Τ", 0x55: "Υ", 0x57: "Ω", 0x58: "Χ", 0x59: "Ψ", 0x5A: "Ζ", 0x5E: "⇒", 0x61: "α", 0x62: "β", 0x63: "χ", 0x64: "δ",
+    0x65: "ε", 0x66: "φ", 0x67: "γ", 0x68: "η", 0x69: "ι", 0x6A: "ϑ", 0x6B: "κ", 0x6C: "λ", 0x6D: "μ", 0x6E: "ν", 0x6F: "ο", 0x70: "π", 0x71: "θ", 0x72: "ρ",
+    0x73: "σ", 0x74: "τ", 0x75: "υ", 0x77: "ω", 0x78: "ξ", 0x79: "ψ", 0x7A: "ζ", 0x7B: "≡", 0xA0: "∀", 0xA1: "∃", 0xA3: "≤", 0xA5: "∞", 0xAC: "←", 0xAD: "↑",
+    0xB3: "≥", 0xB4: "×", 0xB5: "∝", 0xB8: "÷", 0xB9: "≠", 0xBA: "≈", 0xBB: "≡", 0xBC: "…", 0xBD: "∴", 0xBE: "∵", 0xBF: "∝", 0xC0: "↔", 0xC3: "←", 0xC4: "↔",
+    0xC5: "↑", 0xC9: "→", 0xCC: "∪", 0xCD: "⊃", 0xCE: "∈", 0xCF: "∉", 0xD0: "→", 0xD1: "↑", 0xD2: "↓", 0xD5: "⊂", 0xD6: "√", 0xDC: "⇒", 0xE3: "⊆", 0xE5: "∑",
+    0xE9: "⊇", 0xF0: "¬", 0xF1: "∧", 0xF2: "∫", 0xF7: "∏",
 }
 
 
-def replace_chars(text: Column, table: dict[str, str] | None = None) -> Column:
-    table = REPLACEMENTS if table is None else table
-    for char, plain in table.items():
-        text = F.replace(text, F.lit(char), F.lit(plain))
+def replace_chars(text: Column) -> Column:
+    """Drawn signs as their private codes, others that can be spelled as their spelling."""
+    single = {c: plain for c, plain in SPELLED.items() if len(plain) == 1}
+    marks = "".join(chr(DRAWN_FROM + i) for i in range(len(DRAWN)))
+    text = F.translate(text, DRAWN + "".join(single), marks + "".join(single.values()))
+    for char, plain in SPELLED.items():
+        if len(plain) > 1:
+            text = F.replace(text, F.lit(char), F.lit(plain))
     return text
 
 
+def symbol_char(font: Column, code: Column) -> Column:
+    """The character of a Symbol font's hexadecimal code, by its low byte; empty for other fonts and codes."""
+    low = F.conv(F.when(code.rlike("^[0-9A-Fa-f]{1,8}$"), code), 16, 10).cast("long").bitwiseAND(F.lit(255)).cast("int")
+    table = F.create_map(*[F.lit(x) for pair in SYMBOL_CODES.items() for x in pair])
+    return F.when(F.lower(font) == "symbol", F.coalesce(F.try_element_at(table, low), F.lit(""))).otherwise("")
+
+
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-#: What a Latin font lacks: 128 to 159 and all above 255, but for private-use E000 to EFFF.
+#: What a Latin font lacks by range: 128 to 159 and all above 255, but for private-use E000 to EFFF.
 OUTSIDE_LATIN = r"[\x{80}-\x{9F}\x{100}-\x{DFFF}\x{F000}-\x{10FFFF}]"
+#: What it lacks exactly.
+NOT_DRAWABLE = rf"[^\x00-\x7F\xA0-\xFF\x{{E000}}-\x{{EFFF}}{LATIN_EXTRAS}]"
 
 
 def sanitize(text: Column, preserve: bool = True) -> Column:
-    """(text, lost): controls but tab, line feed and carriage return go; without preserve, plain counterparts or ? stand for what a Latin font lacks."""
+    """(text, lost): controls but tab, line feed and carriage return go.
+
+    With preserve, what a Latin font lacks is kept and counted; without, it is drawn or spelled where
+    that can be, and otherwise counted and replaced by ?.
+    """
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, "")
     if preserve:
-        return F.struct(clean.alias("text"), F.lit(0).alias("lost"))
+        return F.struct(clean.alias("text"), F.regexp_count(clean, F.lit(OUTSIDE_LATIN)).alias("lost"))
     plain = replace_chars(clean)
-    return F.struct(F.regexp_replace(plain, OUTSIDE_LATIN, "?").alias("text"), F.regexp_count(plain, F.lit(OUTSIDE_LATIN)).alias("lost"))
+    return F.struct(F.regexp_replace(plain, NOT_DRAWABLE, "?").alias("text"), F.regexp_count(plain, F.lit(NOT_DRAWABLE)).alias("lost"))
 
 
 def xml_escape(text: Column) -> Column:

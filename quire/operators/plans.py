@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quire.functions.scalars import HELVETICA_DIGIT, OUTSIDE_LATIN, is_image, is_pdf, natural_key, office_kind, page_file_name
 
@@ -23,10 +25,21 @@ def accept(files: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
 
 
 def gather_files(loose: DataFrame, entries: DataFrame) -> DataFrame:
-    """Loose files and archive entries in one order: an archive's entries stand at its place, by natural order of their full names."""
-    at = F.row_number().over(Window.partitionBy("batch_id", "ord").orderBy(natural_key(F.col("entry_name")), "entry_name"))
-    both = loose.withColumn("entry_ord", F.lit(0)).unionByName(entries.withColumn("entry_ord", at).drop("entry_name"), allowMissingColumns=True)
-    return both.withColumn("ord", (F.row_number().over(Window.partitionBy("batch_id").orderBy("ord", "entry_ord")) - 1).cast("int")).drop("entry_ord")
+    """Loose files and archive entries in one order: an archive's entries stand at its place, by natural order of their full names.
+
+    Only names and places are sorted; contents are joined to their numbers. entries(..., entry_name) may
+    hold several rows of an archive (file_id) under one name: equal ones stay together.
+    """
+    keys = ["batch_id", "ord", *[c for c in ("file_id",) if c in loose.columns], "entry_name"]
+    both = loose.withColumn("entry_name", F.lit("")).unionByName(entries, allowMissingColumns=True)
+    slim = both.groupBy(*keys).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("batch_id").orderBy("ord", natural_key(F.col("entry_name")), "entry_name", *keys[2:-1])
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    twin = F.row_number().over(Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id())) - 1
+    slim = slim.select(*keys, before.alias("before"), "n")
+    once = both.join(slim.filter("n = 1").drop("n"), keys).withColumn("twin", F.lit(0))
+    again = both.join(slim.filter("n > 1").drop("n"), keys).withColumn("twin", twin)
+    return once.unionByName(again).withColumn("ord", (F.col("before") + F.col("twin")).cast("int")).drop("before", "twin", "entry_name")
 
 
 def refused(files: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -115,8 +128,25 @@ def apply_edits(edits: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFra
     return there.join(boxes.select("doc_id", F.col("page_no").alias("page"), F.col("item_no").alias("item"), "left", "top", "width", "height"), ["doc_id", "page", "item"])
 
 
+def drawable(edits: DataFrame, pages: DataFrame) -> DataFrame:
+    """edits(doc_id, page, text, fonts) and what becomes of each: drawn text, fallback, dropped and skipped.
+
+    fonts are the patterns of what each font lacks, the chosen one first. The first font that draws the
+    whole text is taken, and is a fallback if it isn't the chosen one; where none does, the last one
+    draws what it can and the rest is dropped. An edit on a page that is not there is skipped.
+    """
+    there = pages.select("doc_id", F.col("page_no").alias("page"), F.lit(True).alias("there")).distinct()
+    out = edits.join(there, ["doc_id", "page"], "left").withColumn("skipped", F.col("there").isNull())
+    able = F.array_position(F.transform("fonts", lambda f: F.regexp_count(F.col("text"), f) == 0), True)
+    left = F.regexp_replace(F.col("text"), F.element_at("fonts", -1), F.lit(""))
+    out = out.withColumn("drawn", F.when(~F.col("skipped"), F.when(able > 0, F.col("text")).otherwise(left)))
+    return out.withColumn("fallback", F.col("drawn").isNotNull() & (able != 1)).withColumn("dropped", F.coalesce(F.length("text") - F.length("drawn"), F.lit(0))).drop("there")
+
+
 def edit_summary(edits: DataFrame) -> DataFrame:
-    return edits.groupBy("doc_id").agg(F.count("*").alias("edits"), F.count_distinct("page").alias("pages"))
+    """edits(doc_id, page, ...) -> edits and pages touched; of drawn edits also the fallbacks, characters dropped and edits skipped."""
+    drawn = [F.count_if("fallback").alias("fallbacks"), F.sum("dropped").cast("long").alias("dropped"), F.count_if("skipped").alias("skipped")] if "skipped" in edits.columns else []
+    return edits.groupBy("doc_id").agg(F.count("*").alias("edits"), F.count_distinct("page").alias("pages"), *drawn)
 
 
 def page_plan(items: DataFrame, ops: DataFrame) -> DataFrame:
@@ -223,8 +253,25 @@ def dedupe_images(images: DataFrame) -> DataFrame:
     return r.join(media, ["doc_id", "signature"]).select("doc_id", "ref_no", "signature", "media_no")
 
 
+@F.pandas_udf(BooleanType())
+def xml_parses(xml: pd.Series) -> pd.Series:
+    """Whether a part is well-formed XML; null where there is none to read."""
+
+    def good(text: str | None) -> bool | None:
+        if text is None:
+            return None
+        try:
+            ElementTree.fromstring(text)
+        except (ElementTree.ParseError, ValueError):
+            return False
+        return True
+
+    return xml.map(good).astype("boolean")
+
+
 def verify_package(parts: DataFrame, characters: DataFrame) -> DataFrame:
-    """parts(file_id, part, parses) and characters(file_id, characters) -> ok: four parts, all XML readable, some text."""
+    """parts(file_id, part, xml) and characters(file_id, characters) -> ok: four parts, all XML readable, some text."""
+    parts = parts.withColumn("parses", F.coalesce(xml_parses(F.col("xml")), F.lit(False)))
     seen = parts.filter(~F.col("part").endswith("/")).groupBy("file_id").agg(F.count("*").alias("parts"), F.bool_and(F.col("parses") | ~F.col("part").rlike(r"(?i)\.(xml|rels)$")).alias("readable"))
     out = seen.join(characters, "file_id", "left").na.fill(0, ["characters"])
     return out.withColumn("ok", (F.col("parts") >= 4) & F.col("readable") & (F.col("characters") > 0))

@@ -29,9 +29,24 @@ def table(spark, named):
 def test_archives_open_in_natural_order(spark):
     good = archive([("in/10.pdf", "a"), ("in/2.pdf", "b"), ("__MACOSX/2.pdf", "c"), (".x.pdf", "d"), ("note.txt", "e"), ("deep.zip", "f")])
     batch = table(spark, [("first.pdf", b"x"), ("many.zip", good), ("broken.zip", b"PK but not an archive at all"), ("none.zip", archive([("a.txt", "z")])), ("last.pdf", b"y")])
-    out, problems = S.expand_zips(batch, F.col("name").rlike(r"(?i)\.pdf$"))
+    out, problems, skipped = S.expand_zips(batch, F.col("name").rlike(r"(?i)\.pdf$"))
     assert [r.name for r in out.orderBy("ord", "entry_ord").collect()] == ["first.pdf", "2.pdf", "10.pdf", "last.pdf"]
     assert sorted(r.name for r in problems.collect()) == ["broken.zip", "none.zip"]
+    assert {r.file_id: r.skipped for r in skipped.collect()} == {"1": 2, "3": 1}
+
+
+def test_damaged_entries_are_problems_and_the_rest_is_read(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("a.pdf", "b.pdf"):
+            z.writestr(name, "text that is deflated " * 50)
+        at = z.infolist()[0].header_offset + 30 + len("a.pdf")
+    hurt = bytearray(out.getvalue())
+    hurt[at : at + 8] = b"\xff" * 8
+    found = S.expand_zips(table(spark, [("x.zip", bytes(hurt)), ("y.zip", bytes(hurt[:90]))]), F.col("name").endswith(".pdf"))
+    assert [r.name for r in found.files.collect()] == ["b.pdf"]
+    assert sorted(r.name for r in found.problems.collect()) == ["x.zip", "y.zip"]
+    assert S.zip_entries(table(spark, [("n.zip", None or b"")])).first().problem
 
 
 def test_guard(spark):
@@ -71,22 +86,62 @@ def test_docx_reads_inserted_and_deleted_text(spark):
 <m:oMath><m:f><m:num><m:r><m:t>1</m:t></m:r></m:num><m:den><m:r><m:t>2</m:t></m:r></m:den></m:f></m:oMath></w:p>
 <w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"""
     rows = S.docx_elements(S.package_parts(table(spark, [("d.docx", archive([("word/document.xml", body)]))]))).orderBy("at").collect()
-    assert [(r.kind, r.text) for r in rows if r.text] == [("text", "Title"), ("text", "bold"), ("text", " in"), ("text", " out"), ("equation", "(1)/(2)"), ("text", "cell")]
+    assert [(r.kind, r.text) for r in rows if r.text] == [("text", "Title"), ("text", "bold"), ("text", " in"), ("text", " out"), ("equation", "(1) / (2)"), ("text", "cell")]
     assert [r.bold for r in rows if r.text][:3] == [False, True, False] and rows[0].style == "Heading1"
     assert [(r.table_no, r.row_no, r.cell_no) for r in rows if r.text == "cell"] == [(0, 0, 0)]
 
 
+def test_equations_on_one_line():
+    def math(body):
+        return S.equation_text(S.ElementTree.fromstring(f'<m:oMath xmlns:m="{S.M[1:-1]}">{body}</m:oMath>'))
+
+    def e(tag, body, text=True):
+        return f"<m:{tag}>" + (f"<m:r><m:t>{body}</m:t></m:r>" if text else body) + f"</m:{tag}>"
+
+    # expected values are fixed by the format's one-line form
+    cases = {
+        "<m:sSup>" + e("e", "x") + e("sup", "n+1") + "</m:sSup>": "x^(n+1)",
+        "<m:sSubSup>" + e("e", "a") + e("sub", "i,j") + e("sup", "2") + "</m:sSubSup>": "a_(i,j)^(2)",
+        "<m:rad><m:radPr><m:degHide m:val='0'/></m:radPr>" + e("deg", "3") + e("e", "x") + "</m:rad>": "³√(x)",
+        "<m:rad>" + e("deg", "3") + e("e", "x") + "</m:rad>": "√(x)",
+        "<m:rad><m:radPr><m:degHide m:val='0'/></m:radPr>" + e("deg", "n") + e("e", "x") + "</m:rad>": "√(n)(x)",
+        "<m:f><m:fPr><m:type m:val='lin'/></m:fPr>" + e("num", "a") + e("den", "b") + "</m:f>": "(a)/(b)",
+        "<m:nary><m:naryPr><m:chr m:val='∑'/></m:naryPr>" + e("sub", "i=1") + e("sup", "n") + e("e", "i") + "</m:nary>": "∑_(i=1)^(n) i",
+        "<m:d>" + e("e", "x") + e("e", "y") + "</m:d>": "(x|y)",
+        "<m:func>" + e("fName", "sin") + e("e", "x") + "</m:func>": "sin x",
+        "<m:acc><m:accPr><m:chr m:val='\u0303'/></m:accPr>" + e("e", "x") + "</m:acc>": "x\u0303",
+        "<m:bar>" + e("e", "x") + "</m:bar>": "(x)\u0305",
+        "<m:sPre>" + e("sub", "n") + e("sup", "m") + e("e", "X") + "</m:sPre>": "n X",
+        "<m:m><m:mr>" + e("e", "1") + e("e", "0") + "</m:mr><m:mr>" + e("e", "0") + e("e", "1") + "</m:mr></m:m>": "(1, 0; 0, 1)",
+        "<m:eqArr>" + e("e", "x=1") + e("e", "y=2") + "</m:eqArr>": "x=1; y=2",
+        "<m:groupChr>" + e("e", "x") + "</m:groupChr>": "⏟(x)",
+        "<m:box>" + e("e", "x") + "</m:box>": "x",
+    }
+    assert {body: math(body) for body in cases} == cases
+
+
+def test_documents_that_are_no_xml(spark):
+    parts = spark.createDataFrame([("a", "word/document.xml", None), ("b", "word/document.xml", "<w:document>"), ("c", "word/other.xml", "<")], "file_id string, part string, xml string")
+    assert sorted((r.file_id, r.kind) for r in S.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
+    slides = spark.createDataFrame([("a", 0, None), ("b", 1, "<p")], "file_id string, slide_no int, xml string")
+    assert sorted((r.file_id, r.kind, r.x) for r in S.pptx_elements(slides).collect()) == [("a", "problem", None), ("b", "problem", None)]
+
+
 def test_pptx_boxes(spark):
     a, p = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
     shape = '<p:sp><p:spPr>{}</p:spPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp>'
-    xml = f'<p:sld xmlns:a="{a}" xmlns:p="{p}"><p:grpSp>' + shape.format('<a:xfrm><a:off x="12700" y="25400"/><a:ext cx="127000" cy="12700"/></a:xfrm>', "placed") + "</p:grpSp>" + shape.format("", "one") + shape.format("", "two") + "</p:sld>"
+    xml = f'<p:sld xmlns:a="{a}" xmlns:p="{p}"><p:cSld><p:spTree><p:grpSp>' + shape.format('<a:xfrm><a:off x="12700" y="25400"/><a:ext cx="127000" cy="12700"/></a:xfrm>', "placed") + "</p:grpSp>" + shape.format("", "one") + shape.format("", "two") + "</p:spTree></p:cSld></p:sld>"
     rows = S.pptx_elements(spark.createDataFrame([("f", 0, xml)], "file_id string, slide_no int, xml string")).orderBy("box_no").collect()
-    assert [(r.text, r.x, r.y, r.width) for r in rows] == [("placed", 1.0, 2.0, 10.0), ("one", 24.0, 24.0, 0.0), ("two", 24.0, 64.0, 0.0)]
+    assert [(r.text, r.x, r.y, r.width) for r in rows] == [("placed", 1.0, 2.0, 10.0), ("one", 24.0, 24.0, 672.0), ("two", 24.0, 64.0, 672.0)]
+    assert [r.grouped for r in rows] == [True, False, False] and rows[0].paragraphs[0].runs[0].size == 18.0
 
 
 def test_images(spark):
     png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\x01\x2c\x02\x58\x03"
+    filled = b"\xff\xd8\xff\xff\xe0\0\x04ab\x00\xff\xd0\xff\x01\xff\xc2\0\x11\x08\x01\x2c\x02\x58\x03\0\0"
+    rows = S.image_info(spark.createDataFrame([(4, filled)], "n int, bytes binary")).collect()
+    assert [(r.width, r.height) for r in rows] == [(600, 300)]
     rows = S.image_info(spark.createDataFrame([(1, png), (2, jpeg), (3, b"GIF8")], "n int, bytes binary")).orderBy("n").collect()
     assert [(r.kind, r.width, r.height) for r in rows] == [("png", 640, 480), ("jpeg", 600, 300), (None, 300, 200)]
     assert spark.createDataFrame([(b"a",)], "b binary").select(S.fnv1a32("b")).first()[0] == "1:e40c292c"

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from quire.operators import plans, shape, workbook
 from quire.plans import queries
 
+def pieces_of(text, limit):
+    """Greedy pieces, in plain Python: as far as the last space in reach, if that is in the second half."""
+    out, at = [], text.strip()
+    while len(at) > limit:
+        spaces = [k for k in range(limit + 1) if at[k] == " " and 2 * k >= limit]
+        k = spaces[-1] if spaces else limit
+        out, at = [*out, at[:k].strip()], at[k:].strip()
+    return [*out, at] if at or not out else out
+
+
 BLOCKS = "doc_id long, block_no int, depth int, type string, level int, text string, items array<string>, rows array<array<string>>, sheet_name string"
 
 
@@ -39,7 +49,7 @@ def test_packing_slides_against_a_loop(spark):
             pieces = [1.0] * 3
         else:
             weight = max(0.2, len(r["text"]) / 620)
-            pieces = [1.0] * len(shape.split_long(r["text"], 1200)) if weight > 1 and len(r["text"]) > 1200 else [weight]
+            pieces = [1.0] * len(pieces_of(r["text"], 1200)) if weight > 1 and len(r["text"]) > 1200 else [weight]
         for k, w in enumerate(pieces):
             if used and (used + w > 1 or k or len(pieces) > 1 or r["type"] == "table"):
                 slide, used = slide + 1, 0.0
@@ -51,8 +61,10 @@ def test_packing_slides_against_a_loop(spark):
 
 def test_text_is_split_and_wrapped_without_loss(spark):
     text = "alpha beta gamma " * 40 + "x" * 90
-    assert "".join(shape.split_long(text, 50)).replace(" ", "") == text.replace(" ", "")
-    assert all(len(p) <= 50 for p in shape.split_long(text, 50)) and shape.split_long("", 5) == [""]
+    texts = [text, "", "short", "x" * 120, "a b " + "y" * 70, "ab " * 40 + "z" * 55 + " end"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(shape.split_text(F.col("t"), 50)).collect()]
+    assert got == [pieces_of(t, 50) for t in texts]
+    assert "".join(got[0]).replace(" ", "") == text.replace(" ", "") and all(len(p) <= 50 for p in got[0])
     lines = spark.createDataFrame([(text + "\n\n\nlast",)], "t string").select(shape.wrap_text(F.col("t"), 110.0)).first()[0]
     assert all(len(x) <= 20 for x in lines) and lines[-1] == "last"
     assert "".join(lines).replace(" ", "") == (text + "last").replace(" ", "")
@@ -97,7 +109,7 @@ def test_plans(spark):
     assert [r.name for r in plans.gather_files(loose, inside).orderBy("ord").collect()] == ["a.pdf", "2.pdf", "10.pdf", "z.pdf"]
     requests = spark.createDataFrame([("pdf", "docx"), ("pdf", "pdf"), ("txt", "pdf")], "source string, target string")
     assert plans.check_pairs(requests).count() == 2
-    parts = spark.createDataFrame([("f", f"p{i}.xml", True) for i in range(4)] + [("g", "p.xml", False)], "file_id string, part string, parses boolean")
+    parts = spark.createDataFrame([("f", f"p{i}.xml", "<a/>") for i in range(4)] + [("g", f"p{i}.xml", "<a>" if i else None) for i in range(4)], "file_id string, part string, xml string")
     counts = spark.createDataFrame([("f", 5), ("g", 5)], "file_id string, characters long")
     assert {r.file_id: r.ok for r in plans.verify_package(parts, counts).collect()} == {"f": True, "g": False}
     images = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a")], "doc_id long, ref_no int, signature string")
