@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
 from quire.operators import plans, shape, structure, workbook
 from quire.plans import inputs as I
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from quire.plans.registry import ORACLE_SQL, QUERIES, query
 
 _FILES = r"""
 files AS (
@@ -276,8 +261,10 @@ def edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EVENTS}, {_LINES}" + r""", i AS (SELECT doc_id, (line // 40)::INT AS page, ((line % 40) * 12 + k)::INT AS item, words[k + 1] AS word, CASE WHEN line = 0 THEN 20.0 ELSE 10.0 END AS size FROM (SELECT *, unnest(range(0, len(words))) AS k FROM l))
 SELECT doc_id, page, item, seq, text, (5 * length(word))::DOUBLE AS width, (size * 1.25)::DOUBLE AS height FROM cur JOIN i USING (doc_id, page, item)""")
 def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes, pages = structure.item_boxes(I.text_items(spark, sf_dir), I.text_pages(spark, sf_dir)), I.text_pages(spark, sf_dir)
-    return plans.apply_edits(plans.current_edits(I.edit_events(spark, sf_dir)), boxes, pages).select("doc_id", "page", "item", "seq", "text", "width", "height")
+    edits, pages = plans.current_edits(I.edit_events(spark, sf_dir)), I.text_pages(spark, sf_dir)
+    edited = edits.select("doc_id", F.col("page").alias("page_no"), F.col("item").alias("item_no"))
+    items = I.text_items(spark, sf_dir).join(edited, ["doc_id", "page_no", "item_no"], "left_semi")  # boxes of edited items only
+    return plans.apply_edits(edits, structure.item_boxes(items, pages), pages).select("doc_id", "page", "item", "seq", "text", "width", "height")
 
 
 _PLAN = r"""o AS (SELECT user_id AS doc_id, event_id AS seq, event_id // 6 % 5 AS item_id, ['rotate', 'rotate', 'crop', 'rotate', 'delete', 'replace'][(event_id % 6 + 1)::INT] AS op FROM events),
@@ -413,3 +400,6 @@ def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.element_at(F.array(*[F.lit(x) for x in plans.FORMATS]), (F.floor(F.col("page_id") / 10) % 4 + 1).cast("int"))
     files = I.files(spark, sf_dir).select(F.col("file_id").cast("long").alias("page_id"), ext.alias("source"))
     return plans.check_pairs(files.withColumn("target", target)).select("page_id", "source", "target")
+
+
+from quire.plans import layout, office  # noqa: E402,F401  (they register their own queries and use the inputs above)
