@@ -2,14 +2,15 @@
 
 Slot k of the mix takes the golden-ratio point frac(k * phi), which falls into one source's stretch of
 the cumulative weights; the r-th slot of a source takes the r-th block of equally many words of that
-source's shuffled stream. A few slots more or fewer than its target asks for are settled at the end.
+source's shuffled stream. What a source gives is what its slots draw: within a few blocks of its target,
+since the points leave no stretch short or over by more.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import n_words, running_total, stored
@@ -21,8 +22,8 @@ CELLS = 4096
 
 class Mix(NamedTuple):
     """sources: source_no, source, source_size, target, want. rows: one per document with its place in the
-    source's stream. schedule: slot, source_no, block. pieces: slot, source_no, block, start, epoch, doc_id,
-    size, first (words of the document before the piece), length."""
+    source's stream. schedule: slot, source_no, block. pieces: slot, source_no, block, start, epoch, k1, k2,
+    size, first (words of the document before the piece), length. k1 and k2 name a document's row."""
 
     sources: DataFrame
     rows: DataFrame
@@ -59,59 +60,62 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def slot_schedule(sources: DataFrame, block_words: int) -> DataFrame:
-    """source_no, want -> slot, source_no, block: every block that a source's target needs, once.
+    """source_no, want -> slot, source_no, block: the source of each slot, and how many of its slots came before.
 
     Points and cumulative weights meet by an equi-join on a fixed grid over [0, 1), so neither the
     slots nor the sources are sent whole to any task.
     """
-    spark = sources.sparkSession
-    cum = Window.orderBy("source_no")
-    whole = Window.partitionBy()
-    s = sources.filter("want > 0").select("source_no", "want", F.sum("want").over(cum).alias("_to"), F.sum("want").over(whole).alias("_sum"))
-    s = s.withColumn("lo", (F.col("_to") - F.col("want")) / F.col("_sum")).withColumn("hi", F.col("_to") / F.col("_sum"))
-    s = s.withColumn("blocks", F.ceil(F.col("want") / block_words).cast("long"))
+    cum, whole = Window.orderBy("source_no"), Window.partitionBy()
+    s = sources.filter("want > 0").select("source_no", "want", F.sum("want").over(cum).alias("to"), F.sum("want").over(whole).alias("all"))
+    s = s.withColumn("lo", (F.col("to") - F.col("want")) / F.col("all")).withColumn("hi", F.col("to") / F.col("all"))
     cells = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    total = s.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    slots = spark.range(total).select(F.col("id").alias("slot"), (((F.col("id") % GRID) * GOLDEN) % GRID / GRID).alias("u"))
+    words = s.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
+    slots = sources.sparkSession.range(-(-words // block_words)).select(F.col("id").alias("slot"), (((F.col("id") % GRID) * GOLDEN) % GRID / GRID).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = slots.join(cells.select("cell", "source_no", "lo", "hi", "blocks"), "cell").filter("u >= lo and u < hi")
-    hit = hit.select("slot", "source_no", "blocks", F.shiftright("slot", 16).alias("chunk"))
-    ranked = running_total(hit, ["source_no"], "chunk", ["slot"], F.lit(1), "block")
-    kept = ranked.filter("block < blocks").select("slot", "source_no", "block")
-    got = kept.groupBy("source_no").agg(F.count("*").alias("_got"))
-    short = s.select("source_no", "blocks").join(got, "source_no", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).filter("_got < blocks")
-    rest = short.withColumn("block", F.explode(F.sequence(F.col("_got"), F.col("blocks") - 1)))
-    rest = rest.select((F.lit(total) + F.col("block") * 1048576 + F.col("source_no")).alias("slot"), "source_no", "block")
-    return kept.unionByName(rest)
+    hit = slots.join(cells.select("cell", "source_no", "lo", "hi"), "cell").filter("u >= lo and u < hi")
+    hit = hit.select("slot", "source_no", F.shiftright("slot", 16).alias("chunk"))
+    return running_total(hit, ["source_no"], "chunk", ["slot"], F.lit(1), "block").select("slot", "source_no", "block")
+
+
+def _row_names(size: Column) -> list[Column]:
+    """Two hashes of a row of docs: rows with one name are equal in doc_id, source and text."""
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit("")), size]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (1, 2)]
 
 
 def mix_sources(
-    docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), epochs: int = 2, block_words: int = 256, seed: str = "mix"
+    docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), epochs: int = 2, block_words: int | None = None, seed: str = "mix"
 ) -> Mix:
     """docs(doc_id, text, source, ...) -> Mix.
 
+    A block has block_words words; None makes them a 2**20th of the mix, but 16 at least and 256 at most.
     Null texts and texts of spaces have size 0 and are never taken; a null source is a source of its
     own; an empty table gives empty results; repeated rows are documents of their own (equal ones lie
     side by side in the stream and may differ in what is taken of them); other columns are ignored.
     A source repeats its stream in the same shuffled order, so no document comes back before all
-    others of its source were taken. Rows are ordered by md5 of doc_id and seed: reruns agree.
+    others of its source were taken; slots beyond its last epoch stay empty. Rows are ordered by md5 of
+    doc_id and seed: reruns agree.
     """
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    size = n_words(F.col("text"))
+    sizes = stored(docs.select("doc_id", "source", size.alias("size"), *_row_names(size)), "mix-sizes")
     sources = stored(source_targets(sizes, weights, share, epochs), "mix-sources")
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    rows = sizes.alias("z").join(sources.alias("s"), F.expr("z.source <=> s.source")).select("doc_id", "size", "source_no", "source_size", "target", "want", order.alias("h"))
-    rows = running_total(rows.withColumn("bucket", F.substring("h", 1, 3)), ["source_no"], "bucket", ["h", "doc_id", "size"], F.col("size"), "start")
-    rows = stored(rows.select("doc_id", "size", "source_no", "source_size", "target", "want", "start"), "mix-rows")
+    words = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
+    block_words = block_words or min(256, max(16, words >> 20))
+    schedule = stored(slot_schedule(sources, block_words), "mix-schedule")
     b = F.lit(block_words).cast("long")
+    drawn = schedule.groupBy("source_no").agg((F.count("*") * b).alias("drawn"))
+    known = sources.join(drawn, "source_no", "left").select("source_no", "source", "source_size", "target", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    rows = sizes.alias("z").join(known.alias("s"), F.expr("z.source <=> s.source")).select("doc_id", "k1", "k2", "size", "source_no", "source_size", "target", "drawn", order.alias("h"))
+    rows = running_total(rows.withColumn("bucket", F.substring("h", 1, 3)), ["source_no"], "bucket", ["h", "doc_id", "size", "k1"], F.col("size"), "start")
+    rows = stored(rows.drop("h", "bucket"), "mix-rows")
     seen = rows.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    seen = seen.withColumn("_at", F.col("epoch") * F.col("source_size") + F.col("start")).filter("_at < want")
-    seen = seen.withColumn("_end", F.least(F.col("_at") + F.col("size"), F.col("want")))
-    seen = seen.withColumn("block", F.explode(F.sequence(F.floor(F.col("_at") / b), F.floor((F.col("_end") - 1) / b))))
-    low, high = F.greatest(F.col("_at"), F.col("block") * b), F.least(F.col("_end"), (F.col("block") + 1) * b)
-    seen = seen.withColumn("first", low - F.col("_at")).withColumn("length", high - low)
-    schedule = slot_schedule(sources, block_words)
+    seen = seen.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("end", F.least(F.col("at") + F.col("size"), F.col("drawn"))).filter("at < end")
+    seen = seen.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("end") - 1) / b))))
+    low, high = F.greatest(F.col("at"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
+    seen = seen.withColumn("first", low - F.col("at")).withColumn("length", high - low)
     pieces = seen.join(schedule, ["source_no", "block"])
-    return Mix(sources, rows, schedule, pieces.select("slot", "source_no", "block", "start", "epoch", "doc_id", "size", "first", "length"))
+    return Mix(sources, rows.drop("drawn"), schedule, pieces.select("slot", "source_no", "block", "start", "epoch", "k1", "k2", "size", "first", "length"))
 
 
 def words_taken(mix: Mix) -> DataFrame:
@@ -124,27 +128,25 @@ def words_taken(mix: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each time that a document is taken, with docs' columns.
+    """The mix as documents, in the order of their first slots: a row for each time that a document is taken, with docs' columns.
 
     A document taken in part (at most one per source and epoch) keeps the first words taken, cut at a
-    space; n_chars, if there, is the length of the new text. Equal (doc_id, size, source) rows share
-    what is taken of them evenly enough that their total is kept.
+    space; n_chars, if there, is the length of the new text. Of rows equal in doc_id, source and text
+    each is taken as often as its place in the stream says. Null and blank texts are never taken; an
+    empty table stays empty; columns may have any names.
     """
     mix = mix_sources(docs, **options)
-    taken = mix.pieces.groupBy("source_no", "start", "doc_id", "size", "epoch").agg(F.sum("length").alias("_taken"))
-    taken = taken.join(mix.sources.select("source_no", F.col("source").alias("_source")), "source_no")
-    mine = Window.partitionBy("_doc", "_size", "_source").orderBy("start")
-    firsts = taken.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), "_source", "start", "epoch", "_taken")
-    firsts = firsts.withColumn("_copy", F.dense_rank().over(mine)).drop("start")
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    twin = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    rows = rows.withColumn("_copy", F.row_number().over(twin))
-    on = (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (rows["_size"] == firsts["_size"]) & (F.col("source").eqNullSafe(F.col("_source"))) & (rows["_copy"] == firsts["_copy"])
-    out = rows.join(firsts, on).drop(firsts["_size"])
-    cut = F.regexp_extract(F.col("text"), r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)", 0)
+    taken = mix.pieces.groupBy("k1", "k2", "start", "size", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
+    taken = stored(taken.withColumn("copy", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start"))), "mix-taken")
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.filter(F.col("text").isNotNull()).select(*_row_names(n_words(F.col("text"))), F.struct(*others).alias("rest"), "text")
+    twins = taken.filter("copy > 1").select("k1", "k2").distinct()
+    once = rows.join(taken.join(twins, ["k1", "k2"], "left_anti"), ["k1", "k2"])
+    again = rows.join(twins, ["k1", "k2"], "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("text")))
+    out = once.unionByName(again.join(taken, ["k1", "k2", "copy"]))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_taken") >= rows["_size"], F.col("text")).when(F.col("_taken") == 1, cut).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_taken"), F.lit(1)).cast("int")), ""))
-    out = out.withColumn("text", text)
+    out = out.withColumn("text", F.when(F.col("taken") >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col("taken").cast("int")), "")))
+    own = {"text": F.col("text")} | {c: F.col("rest")[c] for c in others}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.orderBy("slot", "start", "epoch", "k1").select(*[own[c].alias(c) for c in docs.columns])

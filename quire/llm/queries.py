@@ -106,18 +106,26 @@ WITH z AS (
 ), g AS (
   SELECT *, min(CASE WHEN NOT (l::DOUBLE * weight / ws >= source_size * 2) THEN ord END) OVER () AS open FROM f
 ), t AS (
-  SELECT source, source_size,
+  SELECT no, source, source_size,
     CASE WHEN open IS NULL OR ord < open THEN (source_size * 2)::DOUBLE
       ELSE (weight * max(CASE WHEN ord = open THEN l END) OVER ())::DOUBLE / max(CASE WHEN ord = open THEN ws END) OVER () END AS target
   FROM g
+), c AS (
+  SELECT *, (sum(want) OVER (ORDER BY no))::BIGINT AS upto, (sum(want) OVER ())::BIGINT AS words FROM (SELECT *, floor(target + 0.5)::BIGINT AS want FROM t) WHERE want > 0
+), b AS (
+  SELECT max(words) AS words, least(256, greatest(16, max(words) // 1048576))::BIGINT AS block FROM c
+), slots AS (
+  SELECT k % 2147483648 * 1327217885 % 2147483648 / 2147483648.0::DOUBLE AS u FROM (SELECT unnest(range((words + block - 1) // block)) AS k FROM b)
+), drawn AS (
+  SELECT no, count(*) * any_value(block) AS drawn FROM slots JOIN c ON u >= (upto - want)::DOUBLE / words AND u < upto::DOUBLE / words CROSS JOIN b GROUP BY no
 ), p AS (
-  SELECT z.doc_id, z.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
+  SELECT z.doc_id, z.size, t.source_size, t.target, coalesce(d.drawn, 0) AS drawn,
     coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(z.doc_id::VARCHAR, '') || ':mix'), z.doc_id, z.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
-  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN drawn d ON d.no = t.no
 )
 SELECT doc_id, size, source_size, target,
-  greatest(0, least(place + size, want) - place) + greatest(0, least(source_size + place + size, want) - (source_size + place)) AS taken
+  (greatest(0, least(place + size, drawn) - place) + greatest(0, least(source_size + place + size, drawn) - (source_size + place)))::BIGINT AS taken
 FROM p
 """,
     "op2_drop_repeated_lines": rf"""
