@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve projects the vectors to a few random directions, spreads every coordinate evenly, shifts the
-grid and orders the vectors by their Hilbert index. Ranges of that order are blocks; a query is held
-against the window of ranks around its own place, and the windows' best are merged over the curves and
-reranked by whole vectors. Equal vectors are one point with the smallest of its ids, so a frequent
-vector is one place on each curve.
+grid and orders the vectors by their Hilbert index. Spark partitions and sorts the curves by range of
+their keys, which gives each vector its rank; a query is held against the window of ranks around its own
+place, and the windows' best are merged over the curves and reranked by whole vectors. Equal vectors are
+one point with the smallest of its ids, so a frequent vector is one place on each curve.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import running_total, stored
+from quire.llm.common import stored
 
 DIMS, BITS = 6, 10
 _ERF = np.array([0.5 * (1 + erf(x / 2**0.5)) for x in np.linspace(-5, 5, 4001)])
@@ -70,18 +70,59 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def window_best(q: np.ndarray, q_place: np.ndarray, v: np.ndarray, place: np.ndarray, ids: np.ndarray, half: int, most: int) -> tuple[np.ndarray, ...]:
+    """Per query the `most` best of its window, largest score first, ties to the smaller id: places in q and v, and scores.
+
+    A product of matrices finds all that can be among them, those as good as the last included; their
+    scores are then summed one component after the other, as Spark does it, before any tie is settled.
+    """
+    about = q @ v.T
+    about[np.abs(q_place[:, None] - place[None, :]) > half] = -np.inf
+    if about.shape[1] > most:
+        last = np.partition(about, about.shape[1] - most, axis=1)[:, about.shape[1] - most]
+    else:
+        last = np.full(len(q), -np.inf)
+    slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0.0)
+    a, b = np.nonzero((about >= (last - slack)[:, None]) & (about > -np.inf))
+    score = np.zeros(len(a))
+    for d in range(q.shape[1]):
+        score += q[a, d] * v[b, d]
+    order = np.lexsort((ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    first = np.searchsorted(a, np.arange(len(q)))
+    keep = np.arange(len(a)) - first[a] < most
+    return a[keep], b[keep], score[keep]
+
+
+def curve_ranks(keys: DataFrame) -> DataFrame:
+    """(curve, key, point) -> (curve, point, rank): ranges of (curve, key, point), sorted where they lie; one row per range and curve gives the ranks before it."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("curve"), batch.column("point"), pa.array(np.arange(at, at + len(batch)))], ["part", "curve", "point", "at"])
+            at += len(batch)
+
+    ranged = keys.repartitionByRange("curve", "key", "point").sortWithinPartitions("curve", "key", "point")
+    places = stored(ranged.select(F.spark_partition_id().alias("part"), "curve", "point").mapInArrow(numbered, "part int, curve int, point long, at long"), "nearest-ranges")
+    ranges = places.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("from"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("curve", "part", (before - F.col("from")).alias("shift"))
+    return places.join(ranges, ["curve", "part"]).select("curve", "point", (F.col("at") + F.col("shift")).alias("rank"))
+
+
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 28, share: float = 0.03, least_window: int = 256) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): each query's k nearest by inner product.
 
     Queries are the rows whose vec_id is divisible by `every`; all other rows are candidates, and so are
     other queries. A window holds `share` of all distinct vectors, least_window at least: vectors without
     any structure need windows that grow with the table to keep their recall. Ties go to the smaller
-    vec_id; scores are sums in double precision over the given components. Vectors null, zero or with
-    null or non-finite components take no part, nor do those with another number of components than most
-    have, nor rows without vec_id; of rows that share a vec_id each is a candidate. A query with fewer
-    than k candidates gets them all; empty tables stay empty.
+    vec_id, within windows and between them; scores are sums in double precision over the given
+    components. Vectors null, zero or with null or non-finite components take no part, nor do those with
+    another number of components than most have, nor rows without vec_id; of rows that share a vec_id
+    each is a candidate. A query with fewer than k candidates gets them all; empty tables stay empty;
+    other columns are ignored.
     """
-    spark = vectors.sparkSession
     good = vectors.select("vec_id", F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & _usable(F.col("v")))
     sizes = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.sum(_dot("v", "v")).alias("squares")).orderBy(F.desc("rows"), "n").limit(1).collect()
     width, rows, squares = sizes[0] if sizes else (1, 1, 1.0)
@@ -90,11 +131,9 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 2
     good = stored(good, "nearest-vectors")
     is_query = F.col("vec_id") % every == 0
     ids = good.select("k1", "k2", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("point"), F.max(is_query).alias("asks"))
-    points = good.join(classes, ["k1", "k2"]).filter("vec_id = point").dropDuplicates(["k1", "k2"]).select("k1", "k2", "point", "asks", "v")
-    points = stored(points.withColumn("point", F.xxhash64("k1", "k2")), "nearest-points")
-    count = points.count()
-    half = max(least_window, int(share * count)) // 2
+    classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.max(is_query).alias("asks"), F.first("v").alias("v"))
+    points = stored(classes.select("k1", "k2", F.xxhash64("k1", "k2").alias("point"), "least", "asks", "v"), "nearest-points")
+    half = max(least_window, int(share * points.count())) // 2
     block = max(4 * half, 2048)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,31 +143,24 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 2
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(x, c, scale)), batch.column("point")], ["curve", "key", "point"])
 
-    keys = points.select("v", "point").mapInArrow(keyed, "curve int, key long, point long")
-    keys = keys.withColumn("chunk", F.shiftright("key", DIMS * BITS - 12))
-    ranked = stored(running_total(keys, ["curve"], "chunk", ["key", "point"], F.lit(1), "rank").select("curve", "point", "rank"), "nearest-ranks")
-    placed = ranked.join(points.select("point", "asks", "v"), "point")
-    at = F.floor(F.col("rank") / block)
+    ranked = stored(curve_ranks(points.select("v", "point").mapInArrow(keyed, "curve int, key long, point long")), "nearest-ranks")
+    placed = ranked.join(points.select("point", "least", "asks", "v"), "point")
     asked = placed.filter("asks").withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("rank") - half) / block), F.floor((F.col("rank") + half) / block))))
 
     def best(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(near):
-            p, place, name = np.stack(near.v.to_numpy()).astype(np.float64), near["rank"].to_numpy(), near.point.to_numpy()
+        out = [pd.DataFrame({"asker": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "least": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        if len(near):
+            v, place, name, least = np.stack(near.v.to_numpy()).astype(np.float64), near["rank"].to_numpy(), near.point.to_numpy(), near.least.to_numpy()
             for at in range(0, len(queries), 512):
                 some = queries.iloc[at : at + 512]
-                scores = np.stack(some.q_v.to_numpy()).astype(np.float64) @ p.T
-                scores[np.abs(some["q_rank"].to_numpy()[:, None] - place[None, :]) > half] = -np.inf
-                top = np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, : k + 1]
-                found = np.take_along_axis(scores, top, 1)
-                q, c = np.nonzero(found > -np.inf)
-                out.append(pd.DataFrame({"asker": some.q_point.to_numpy()[q], "point": name[top[q, c]], "about": found[q, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"asker": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "about": pd.Series(dtype="float64")})
+                a, b, score = window_best(np.stack(some.q_v.to_numpy()).astype(np.float64), some.q_rank.to_numpy(), v, place, least, half, k + 1)
+                out.append(pd.DataFrame({"asker": some.q_point.to_numpy()[a], "point": name[b], "least": least[b], "score": score}))
+        return pd.concat(out)
 
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("curve", "block", "point", "rank", "v")])
-    sides = asked.groupBy("q_curve", "q_block").cogroup(placed.withColumn("block", at).select("curve", "block", "point", "rank", "v").groupBy("curve", "block"))
-    merged = sides.applyInPandas(best, "asker long, point long, about double").groupBy("asker", "point").agg(F.max("about").alias("about"))
-    merged = merged.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("about"), "point"))).filter(F.col("r") <= k + 12)
+    sides = asked.groupBy("q_curve", "q_block").cogroup(placed.withColumn("block", F.floor(F.col("rank") / block)).select("curve", "block", "point", "least", "rank", "v").groupBy("curve", "block"))
+    merged = sides.applyInPandas(best, "asker long, point long, least long, score double").groupBy("asker", "point").agg(F.min("least").alias("least"), F.max("score").alias("score"))
+    merged = merged.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "least"))).filter(F.col("r") <= k + 1)
     scored = merged.join(points.select("point", "k1", "k2", "v"), "point").join(points.select(F.col("point").alias("asker"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("v").alias("w")), "asker")
     scored = scored.select("q1", "q2", "k1", "k2", _dot("w", "v").alias("score"))
     hits = scored.join(ids.select("k1", "k2", "vec_id"), ["k1", "k2"])
