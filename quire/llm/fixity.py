@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stored
 
 FANOUT = 16
-LEVELS = 3  # 16 ** 3 records a file
+LEVELS = 3  # at least: 16 ** 3 records a file
 
 
 def warc_record(url: Column, body: Column, number: Column) -> Column:
@@ -67,32 +67,40 @@ def leaves(records: DataFrame) -> DataFrame:
     return slim.select("file_no", (F.row_number().over(w) - 1).cast("long").alias("ord"), "key", before.alias("offset"), "length", "hash")
 
 
-def merkle_tree(leaf_rows: DataFrame) -> DataFrame:
+def levels_of(*leaf_rows: DataFrame) -> int:
+    """The levels above the leaves that bring the largest file of all tables to one node."""
+    most = max((x.agg(F.max("ord")).first()[0] or 0 for x in leaf_rows), default=0) + 1
+    levels = LEVELS
+    while FANOUT**levels < most:
+        levels += 1
+    return levels
+
+
+def merkle_tree(leaf_rows: DataFrame, levels: int | None = None) -> DataFrame:
     """Leaves -> nodes (file_no, level, node, first, last, hash): level 0 are the leaves, the highest has one node a file.
 
-    A file may have more records than the levels' fanout holds; the root then hashes more nodes.
+    levels must be those of the largest file of all replicas (levels_of); no node hashes more than 16 others.
     """
     level = leaf_rows.select("file_no", F.col("ord").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), F.sha2(F.concat_ws(":", "offset", "length", "hash").cast("binary"), 256).alias("hash"))
     tree = level.withColumn("level", F.lit(0))
-    for k in range(1, LEVELS + 1):
-        parent = F.lit(0).cast("long") if k == LEVELS else F.floor(F.col("node") / FANOUT)
+    for k in range(1, (levels or levels_of(leaf_rows)) + 1):
         below = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        level = level.withColumn("_p", parent).groupBy("file_no", "_p").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(below, "").cast("binary"), 256).alias("hash")).withColumnRenamed("_p", "node")
+        level = level.withColumn("_p", F.floor(F.col("node") / FANOUT)).groupBy("file_no", "_p").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(below, "").cast("binary"), 256).alias("hash")).withColumnRenamed("_p", "node")
         tree = tree.unionByName(level.withColumn("level", F.lit(k)))
     return tree.select("file_no", "level", "node", "first", "last", "hash")
 
 
-def audit(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+def audit(mine: DataFrame, theirs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Two replicas' trees -> the leaves that differ: (file_no, ord, first, last, state); state is changed, missing or extra.
 
     Each level joins only the children of nodes that differed on the level above.
     """
     wrong = None
-    for level in range(LEVELS, -1, -1):
+    for level in range(levels, -1, -1):
         a = mine.filter(F.col("level") == level).select("file_no", "node", "first", "last", "hash")
         b = theirs.filter(F.col("level") == level).select("file_no", "node", F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("hash").alias("hash2"))
         if wrong is not None:
-            parent = F.lit(0).cast("long") if level == LEVELS - 1 else F.floor(F.col("node") / FANOUT)
+            parent = F.floor(F.col("node") / FANOUT)
             above = wrong.select("file_no", F.col("node").alias("_p"))
             a, b = (x.withColumn("_p", parent).join(above, ["file_no", "_p"], "left_semi").drop("_p") for x in (a, b))
         both = a.join(b, ["file_no", "node"], "full_outer").filter(~F.col("hash").eqNullSafe(F.col("hash2")))
@@ -110,14 +118,16 @@ def audit_replica(records: DataFrame, replica: DataFrame) -> DataFrame:
     """
     own = stored(leaves(records), "fixity-leaves")
     other = stored(leaves(replica), "fixity-replica")
-    trees = [stored(merkle_tree(x), "fixity-tree") for x in (own, other)]
-    found = audit(*trees).select("file_no", "ord", "state")
+    levels = levels_of(own, other)
+    trees = [stored(merkle_tree(x, levels), "fixity-tree") for x in (own, other)]
+    found = audit(*trees, levels).select("file_no", "ord", "state")
     both = own.join(found, ["file_no", "ord"], "left").withColumn("state", F.coalesce("state", F.lit("intact")))
     extra = other.join(found.filter("state = 'extra'"), ["file_no", "ord"])
     return both.unionByName(extra)
 
 
 def page_records(pages: DataFrame, per_file: int = 4096) -> DataFrame:
-    """pages(page_id, url, html, ...) -> (file_no, key, record): a WARC file per per_file page ids; null ids are file -1."""
-    file_no = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long")
+    """pages(page_id, url, html, ...) -> (file_no, key, record): a WARC file per per_file page ids; pages without one are dealt over the files -1 to -4096 by what they hold."""
+    nowhere = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(4096))
+    file_no = F.coalesce(F.floor(F.col("page_id") / per_file), nowhere).cast("long")
     return pages.select(file_no.alias("file_no"), F.col("page_id").alias("key"), warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))

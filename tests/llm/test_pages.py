@@ -58,6 +58,21 @@ def test_audit_of_missing_and_extra_records(spark, records):
     assert fixity.audit_replica(none, none).count() == 0
 
 
+def test_a_file_of_many_records_has_more_levels(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "LEVELS", 1)
+    rows = [(0, k, b"%d" % k) for k in range(300)]
+    own = fixity.leaves(spark.createDataFrame(rows, RECORDS))
+    assert fixity.levels_of(own) == 3
+    top = fixity.merkle_tree(own).filter("level = 3").collect()
+    assert len(top) == 1 and (top[0].first, top[0].last) == (0, sum(len(b) for _, _, b in rows))
+    rows[250] = (0, 250, b"xyz")
+    out = fixity.audit_replica(spark.createDataFrame(rows, RECORDS), fixity.leaves(spark.createDataFrame([], RECORDS)).select("file_no", "key", F.lit(b"").alias("record")))
+    assert {r.state for r in out.collect()} == {"missing"}
+    other = [(f, k, b"abc" if k == 250 else b) for f, k, b in rows]
+    out = fixity.audit_replica(spark.createDataFrame(rows, RECORDS), spark.createDataFrame(other, RECORDS)).collect()
+    assert {r.key for r in out if r.state != "intact"} == {250}
+
+
 def test_only_mismatching_branches_are_compared(spark, records):
     trees = [fixity.merkle_tree(fixity.leaves(spark.createDataFrame(rows, RECORDS))) for rows in (records, records)]
     assert fixity.audit(*trees).count() == 0
