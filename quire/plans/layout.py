@@ -368,3 +368,15 @@ def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table per forty parts, cut into slides."""
     p = I.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("doc_id"), F.lit(0).alias("block_no"), F.col("p_partkey").alias("row_no"), F.col("p_brand").alias("name"))
     return shape.chunk_tables(p).select("doc_id", "row_no", "chunk", "title")
+
+
+_LETTERS = "CASE WHEN c < 26 THEN '' WHEN c < 702 THEN chr(65 + c // 26 - 1) ELSE chr(65 + (c - 702) // 676) || chr(65 + (c - 702) // 26 % 26) END || chr(65 + c % 26)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, (p_partkey * 37 % 16384)::INT AS c, (p_size * 11)::INT AS r FROM part), n AS (SELECT *, {_LETTERS} AS name FROM p)
+SELECT p_partkey, name, 'A1:' || name || greatest(r, 1) AS dimension, r AS row, c AS col FROM n""")
+def cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names of one to three letters, what a grid covers, and references read back."""
+    p = I.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 16384).cast("int").alias("c"), (F.col("p_size") * 11).cast("int").alias("r"))
+    p = p.withColumn("name", S.column_name(F.col("c"))).withColumn("ref", S.parse_cell_ref(F.concat(F.lit("$"), F.lower("name"), (F.col("r") + 1).cast("string"))))
+    return p.select("p_partkey", "name", S.dimension_ref(F.col("r"), F.col("c") + 1).alias("dimension"), "ref.row", "ref.col")
