@@ -100,28 +100,32 @@ def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_anchors(docs: DataFrame, length: int, k: int, anchors: int) -> DataFrame:
     """docs(_id, _key, text) -> (_id, _key, run) of the runs whose anchor occurs again.
 
-    An anchor that a chunk of texts holds more than once is known to be repeated: its runs go on at
-    once, and one entry stands for them where anchors are counted, so a frequent one is no burden.
+    Candidates are found by counting anchors, in buckets of about 2**20 of them. An anchor that a chunk
+    of texts holds more than once is known to be repeated: its runs go on at once, and one entry stands
+    for them where anchors are counted, so a frequent one is no burden.
     """
-    buckets = min(65536, max(8, anchors // (1 << 20)))
+    buckets = max(8, anchors // (1 << 20))
     schema = pa.schema([("bucket", pa.int64())] + [(name, pa.binary()) for name in ("ids", "keys", "counts", "anchors", "runs", "others")])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rest, texts in in_chunks(batches, most=1 << 23):
+        for rest, texts in in_chunks(batches, most=1 << 22):
             own, anchor, place, first, last = _runs_of(texts, length, k)
             ids, keys, run = np.array(rest["_id"], np.int64), np.array(rest["_key"], np.int64), _packed(place, first, last)
             values, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
             solo = counts[inverse] == 1
             bucket, bucket_of = (anchor % np.uint64(buckets)).astype(np.int64), (values % np.uint64(buckets)).astype(np.int64)
+            place_of = np.where(solo, bucket, -1)  # -1: repeated in this chunk
+            mine, again = np.argsort(place_of, kind="stable"), np.flatnonzero(counts > 1)
+            again = again[np.argsort(bucket_of[again], kind="stable")]
+            names = np.unique(np.concatenate((place_of, bucket_of[again])))
+            cuts = [np.searchsorted(x, names, side) for x in (place_of[mine], bucket_of[again]) for side in ("left", "right")]
             rows = []
-            for b in range(-1, buckets):
-                mine = np.flatnonzero(~solo if b < 0 else solo & (bucket == b))
-                others = values[(counts > 1) & (bucket_of == b)]
-                if len(mine) or len(others):
-                    name = b if b >= 0 else buckets + abs(hash((int(ids[0]), len(ids)))) % (1 << 40)
-                    doc, each = np.unique(own[mine], return_counts=True)
-                    parts = (ids[doc], keys[doc], each.astype(np.uint32), anchor[mine], run[mine], others)
-                    rows.append({"bucket": name} | {c: x.tobytes() for c, x in zip(schema.names[1:], parts, strict=True)})
+            for b, i, j, i2, j2 in zip(names.tolist(), *cuts, strict=True):
+                part, others = mine[i:j], values[again[i2:j2]]
+                name = b if b >= 0 else buckets + abs(hash((int(ids[0]), len(ids)))) % (1 << 40)
+                doc, each = np.unique(own[part], return_counts=True)
+                parts = (ids[doc], keys[doc], each.astype(np.uint32), anchor[part], run[part], others)
+                rows.append({"bucket": name} | {c: x.tobytes() for c, x in zip(schema.names[1:], parts, strict=True)})
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,11 +206,16 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     doc_id come last; of equal texts the row with the smallest doc_id is the first, and rows equal in
     doc_id and text are one document and fare alike; rows that share a doc_id but not a text are
     ordered by a hash. Empty tables stay empty; other columns pass through, whatever they are called,
-    but for the four new ones.
+    but for those named like the four new ones, which these replace. k is at most length, and length
+    less than k + 4096.
     """
+    if not 0 < k <= length < k + 4096:
+        raise ValueError("k must be 1 to length, and length less than k + 4096")
     body = F.coalesce("text", F.lit(""))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(body).alias("_key"), "text", *others)
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
+    rest = F.struct(*others) if others else F.lit(None)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(body).alias("_key"), "text", rest.alias("_rest"))
     keys = base.select("_id", "_key", F.xxhash64(F.lit(1), body).alias("_key2"), F.octet_length(body).cast("long").alias("_n")).distinct()
     keys = stored(keys, "passage-keys")
     firsts = keys.groupBy("_key", "_key2", "_n").agg(F.min("_id").alias("_rep"))
@@ -230,8 +239,13 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     # the texts are dealt by the same keys here and in the last join, so that Spark does it once for both
     pieces = base.select("_id", "_key", "text").join(wanted.hint("merge"), ["_id", "_key"]).mapInArrow(cut, "shard long, _id long, _key long, run long, bytes binary")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:  # rows equal in doc_id and text are one document
-        return _later_starts(rows.drop_duplicates(["_id", "_key", "run"], ignore_index=True), length, k)
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["_id", "_key", "run"])  # rows equal in doc_id and text are one document
+        place, first, last = _unpacked(rows.run.to_numpy())
+        rows = rows.assign(place=place, first=first, last=last, around=rows.run & _PLACE).sort_values(["_id", "_key", "place"])
+        copy = rows.duplicated(["around", "bytes"]).to_numpy()  # of equal stretches around an anchor the first one is built; all strings of the others start later
+        later = _later_starts(rows[~copy].reset_index(drop=True), length, k)
+        return pd.concat([later, rows.loc[copy, ["_id", "_key", "first", "last"]].rename(columns={"first": "from", "last": "to"})])
 
     later = pieces.groupBy("shard").applyInPandas(build, "_id long, _key long, from long, to long")
     spans = later.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("_spans"))
@@ -261,7 +275,7 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     out = out.withColumn("_cut", apply(F.when(touched, F.col("text")), F.when(touched, F.col("_spans"))))
     doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return out.select(
-        *[doc_id if c == "doc_id" else F.col(c) for c in docs.columns], F.col("_n").alias("n_bytes"),
+        *[doc_id if c == "doc_id" else F.col(c) if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns if c not in new], F.col("_n").alias("n_bytes"),
         F.when(gone, F.col("_n")).when(touched, F.col("_cut.removed")).otherwise(0).cast("long").alias("n_removed"),
         F.when(gone, 1).when(touched, F.col("_cut.spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, F.lit(b"")).when(touched, F.col("_cut.kept")).otherwise(body.cast("binary")).alias("kept"),
