@@ -132,24 +132,29 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     A line's key is the line without ASCII white space at its ends, A-Z lowered. Keys of min_chars code
     points or more found in min_docs documents or more lose all their lines but those of the largest
     doc_id holding them. Null and empty texts are one empty line (a null text becomes empty). Each row
-    counts as a document; rows that share the largest doc_id all keep the line; a null doc_id sorts
-    below all others. Empty tables stay empty; other columns pass through.
+    counts as a document; rows that share the largest doc_id all keep the line; a null doc_id is taken
+    for the least integer, -2**63. Empty tables stay empty; other columns pass through, whatever they
+    are called, but for those named like the two new ones, which these replace.
     """
+    new = ("n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in ("text", *new)]
+    docs_columns = [c for c in docs.columns if c not in new]
     occurrences = stored(line_occurrences(docs, min_chars), "line-hashes")
     index = stored(line_index(occurrences), "line-index")
     drops = repeated_lines(occurrences, index, min_docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("drop", "_drop")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text", F.struct(*others).alias("_rest"))
 
     @F.pandas_udf("kept string, n long")
     def applied(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
         rows = [_kept_text(t, {int(h) & 0xFFFFFFFFFFFFFFFF for h in d}, min_chars) if d is not None else (None, 0) for t, d in zip(text, drop, strict=True)]
         return pd.DataFrame(rows, columns=["kept", "n"])
 
-    out = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(drops, "_id", "left")
+    out = rows.join(drops, "_id", "left")
     touched = F.col("_drop").isNotNull()
     out = out.withColumn("_new", applied(F.when(touched, F.col("text")), F.col("_drop")))
     text = F.coalesce("text", F.lit(""))
     return out.select(
-        *[F.when(touched, F.col("_new.kept")).otherwise(text).alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(touched, F.col("_new.kept")).otherwise(text).alias(c) if c == "text" else F.col("_rest")[c].alias(c) for c in docs_columns],
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
         F.when(touched, F.col("_new.n")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
