@@ -36,16 +36,25 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
         return int(mixed(s).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).astype(np.int64))
 
 
-def set_keys(docs: DataFrame, n: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n, k1, k2): size and 128-bit key of each shingle set."""
+def shingle_keys(docs: DataFrame, n: int, sampled: float) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n, k1, k2, sample): size and 128-bit key of each row's shingle set, and its sampled shingles.
+
+    Shingles are sampled by their hash, so a shingle is in the samples of all rows that hold it or of none.
+    """
+    bar = np.uint64(int(sampled * 65536))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rest, texts in in_chunks(batches):
-            rows = [(len(s), *_set_key(s)) for s in shingle_sets(texts, n)]
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n", "k1", "k2"])
+        for rest, texts in in_chunks(batches, most=1 << 21):
+            keys, samples = [], []
+            for s in shingle_sets(texts, n):
+                keys.append((len(s), *_set_key(s)))
+                samples.append(s[s >> np.uint64(48) < bar])
+            offsets = np.cumsum([0, *map(len, samples)])
+            sample = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(samples).view(np.int64)))
+            cols = list(zip(*keys, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), *(pa.array(c, pa.int64()) for c in cols), sample], ["doc_id", "n", "k1", "k2", "sample"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sample array<long>")
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -53,70 +62,15 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
-def unique_counts(docs: DataFrame, n: int, sampled: float, total: int, tokens_per_bucket: int = 1 << 21) -> DataFrame:
-    """(doc_id, unique): how many of the sampled shingles occur in no other row, at most.
+def unique_counts(keys: DataFrame) -> DataFrame:
+    """(k1, unique): how many of the sampled shingles of the sets with that key are in no other set.
 
-    Shingles are sampled by hash over the whole corpus. Within a chunk of rows equal shingles are
-    counted first, so a frequent one is sent once per chunk, and what is sent is packed in arrays.
+    Counted by Spark's aggregates alone: a frequent shingle is combined before it is sent, and the rows
+    that leave are one per shingle, whatever the number of documents or partitions.
     """
-    bar, buckets = np.uint64(int(sampled * 65535)), min(65536, max(8, int(total * sampled / tokens_per_bucket)))
-
-    def packed(ids: list[int], sets: list[np.ndarray]) -> Iterator[dict]:
-        sizes = [len(s) for s in sets]
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        ranked = tokens[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        solo = new & np.concatenate((new[1:], [True]))
-        bucket = (ranked & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)
-        mine = order[solo]
-        mine = mine[np.lexsort((mine, bucket[solo]))] if len(mine) else mine
-        again = np.flatnonzero(new & ~solo)
-        again = again[np.argsort(bucket[again], kind="stable")]
-        which = (tokens[mine] & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)
-        cut, cut2 = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64)), np.searchsorted(bucket[again], np.arange(buckets + 1, dtype=np.uint64))
-        whole = np.array(ids, np.int64)
-        for b in range(buckets):
-            own, rep = mine[cut[b] : cut[b + 1]], ranked[again[cut2[b] : cut2[b + 1]]] >> np.uint64(16)
-            if len(own) or len(rep):
-                got, counts = np.unique(owner[own], return_counts=True)
-                t = np.concatenate((tokens[own] >> np.uint64(16), rep))
-                yield {"bucket": b, "ids": whole[got].tobytes(), "counts": counts.astype(np.int32).tobytes(), "high": (t >> np.uint64(16)).astype(np.uint32).tobytes(), "low": t.astype(np.uint16).tobytes()}
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        held = 0
-        for rest, texts in in_chunks(batches):
-            for i, s in zip(rest["doc_id"], shingle_sets(texts, n), strict=True):
-                s = s[(s >> np.uint64(48)) < bar]
-                ids.append(i)
-                sets.append(s)
-                held += len(s)
-            if held >= 1 << 21:
-                yield from pa.Table.from_pylist(list(packed(ids, sets)), schema).to_batches()
-                ids, sets, held = [], [], 0
-        if held:
-            yield from pa.Table.from_pylist(list(packed(ids, sets)), schema).to_batches()
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, owners = [], []
-        for r in rows.itertuples():
-            t = (np.frombuffer(r.high, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(r.low, np.uint16)
-            own = np.repeat(np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int32))
-            tokens += [t, t[len(own) :]]  # a shingle that a chunk holds more than once counts twice
-            owners += [own, np.zeros(2 * len(t) - 2 * len(own), np.int64)]
-        t, owner = np.concatenate(tokens), np.concatenate(owners)
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        new = np.concatenate(([True], t[1:] != t[:-1]))
-        alone = order[new & np.concatenate((new[1:], [True]))]
-        ids, unique = np.unique(owner[alone], return_counts=True)
-        return pd.DataFrame({"doc_id": ids, "unique": unique})
-
-    sent = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "bucket int, ids binary, counts binary, high binary, low binary")
-    return sent.groupBy("bucket").applyInPandas(count, "doc_id long, unique long").groupBy("doc_id").agg(F.sum("unique").alias("unique"))
+    rows = keys.filter("doc_id is not null").select("k1", F.explode("sample").alias("token"))
+    own = rows.groupBy("token").agg(F.min("k1").alias("k1"), F.max("k1").alias("last")).filter("k1 = last")
+    return own.groupBy("k1").agg(F.count("*").alias("unique"))
 
 
 def shared_shingles(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
@@ -164,11 +118,25 @@ def _verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b", "overlap", "a_size", "b_size")
 
 
+def _stars(free: DataFrame, turn: int, percent: int) -> DataFrame:
+    """free (rows of lists) -> pairs (a, b): each text and the head that it shares most prefix shingles with.
+
+    A shingle's head is one of its texts: the least altered in the first turn, then any by a hash, so
+    that a text that links with nobody can't stand before the others for ever.
+    """
+    u = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("n") - F.col("c")
+    post = free.select(F.explode(F.col("prefixes")[0]).alias("token"), "doc_id", "n", "c", u.alias("u"))
+    heads = post.groupBy("token").agg(F.min(F.struct("u", "doc_id", "n", "c")).alias("h"), F.count("*").alias("k")).filter("k > 1").select("token", "h.*")
+    near = post.alias("x").join(heads.alias("h"), "token").filter((F.col("x.doc_id") != F.col("h.doc_id")) & _sizes_fit("x", "h", percent))
+    shared = near.groupBy(F.col("x.doc_id").alias("b"), F.col("h.doc_id").alias("a")).agg((-F.count("*")).alias("s"), F.min("h.u").alias("u"))
+    return shared.groupBy("b").agg(F.min(F.struct("s", "u", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
+
+
 def _linked_across(pairs: DataFrame, lists: DataFrame, gathered: DataFrame, percent: int, block: int = 512, most_asked: int = 2048) -> DataFrame:
-    """pairs(a, b) of groups -> the links between their texts: a, b, overlap, a_size, b_size.
+    """pairs(a, b) of groups -> a link between their texts, if there is any: a, b, overlap, a_size, b_size.
 
     The texts of the smaller group are held against the larger one block by block; a group of any size
-    is so many blocks, and one that many ask is dealt in as many copies.
+    is so many blocks, and one that many ask is dealt in as many copies. A pair of groups gives one link.
     """
     members = lists.select("doc_id", "n", "tokens").join(gathered, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("g"))
     sizes = stored(members.groupBy("g").agg(F.count("*").alias("size")), "ngram-sizes")
@@ -179,44 +147,51 @@ def _linked_across(pairs: DataFrame, lists: DataFrame, gathered: DataFrame, perc
     load = load.select("target", F.ceil(F.col("load") / most_asked).alias("chunks"), F.ceil(F.col("room") / block).alias("blocks"))
     spread = ask.join(load, "target").join(members, "g").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = members.join(load, F.col("g") == F.col("target")).withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    spread = spread.select(F.col("target").alias("q_target"), F.col("blk").alias("q_blk"), F.col("chunk").alias("q_chunk"), F.col("doc_id").alias("q_doc"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
+    spread = spread.select(F.col("target").alias("q_target"), F.col("blk").alias("q_blk"), F.col("chunk").alias("q_chunk"), F.col("g").alias("q_g"), F.col("doc_id").alias("q_doc"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
 
     def compare(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(near):
+            near = near.sort_values("doc_id")
             tokens = np.concatenate(near.tokens.to_numpy())
             owner = np.repeat(np.arange(len(near)), near.tokens.map(len))
             order = np.argsort(tokens, kind="stable")
             tokens, owner, sizes, ids = tokens[order], owner[order], near.n.to_numpy(), near.doc_id.to_numpy()
-            for q in asked.itertuples():
+            linked = set()
+            for q in asked.sort_values(["q_g", "q_doc"]).itertuples():
+                if q.q_g in linked:
+                    continue
                 lo, hi = np.searchsorted(tokens, q.q_tokens, "left"), np.searchsorted(tokens, q.q_tokens, "right")
                 each = hi - lo
                 at = np.repeat(lo - np.cumsum(each) + each, each) + np.arange(each.sum())
                 overlap = np.bincount(owner[at], minlength=len(near))
                 hit = np.flatnonzero(overlap * (100 + percent) >= percent * (sizes + q.q_n))
-                out += [(min(q.q_doc, ids[h]), max(q.q_doc, ids[h]), overlap[h], *((q.q_n, sizes[h]) if q.q_doc < ids[h] else (sizes[h], q.q_n))) for h in hit]
-        return pd.DataFrame(out, columns=["a", "b", "overlap", "a_size", "b_size"]).astype("int64")
+                if len(hit):
+                    h = hit[0]
+                    linked.add(q.q_g)
+                    out.append((q.q_g, q.q_target, min(q.q_doc, ids[h]), max(q.q_doc, ids[h]), overlap[h], *((q.q_n, sizes[h]) if q.q_doc < ids[h] else (sizes[h], q.q_n))))
+        return pd.DataFrame(out, columns=["g", "target", "a", "b", "overlap", "a_size", "b_size"]).astype("int64")
 
     sides = spread.groupBy("q_target", "q_blk", "q_chunk").cogroup(held.select("target", "blk", "chunk", "doc_id", "n", "tokens").groupBy("target", "blk", "chunk"))
-    return sides.applyInPandas(compare, "a long, b long, overlap long, a_size long, b_size long")
+    found = sides.applyInPandas(compare, "g long, target long, a long, b long, overlap long, a_size long, b_size long")
+    return found.groupBy("g", "target").agg(F.min(F.struct("a", "b", "overlap", "a_size", "b_size")).alias("x")).select("x.*")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Joined:
+def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, turns: int = 6) -> Joined:
     """docs(doc_id, text, ...) -> Joined: texts whose sets of n-word shingles have a Jaccard of percent/100 or more link.
 
     Words are runs without ASCII white space, A-Z lowered; a text with fewer than n words is one
     shingle; null and blank texts have none and link with nothing. component_id is the smallest
     doc_id reachable over links. Rows that share a doc_id are one node of the graph; a row with a
     null doc_id is counted but links with nothing and has a null component_id. Empty tables give
-    empty results; other columns are ignored. links holds all that connect the classes, not every
-    pair within a group; joined to documents on class_id it gives each row's.
+    empty results; other columns are ignored. links is a spanning set: it holds links that connect all
+    classes of a component, not every pair, and at most one between two groups of near copies. Near
+    copies gather in up to `turns` turns; what is still single is compared the exact way.
     """
-    keys = stored(set_keys(docs, n), "ngram-keys")
+    keys = stored(shingle_keys(docs, n, min(1.0, 1.6 * (1 - percent / 100))), "ngram-keys")
     named = keys.filter("doc_id is not null and n > 0")
     classes = stored(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    unique = unique_counts(docs, n, min(1.0, 2.2 * (1 - percent / 100)), total)
-    maybe = classes.join(unique.withColumnRenamed("doc_id", "rep"), "rep", "left").filter(F.coalesce("unique", F.lit(0)) <= F.col("n") - _least(F.col("n"), percent))
+    maybe = classes.join(unique_counts(keys), "k1", "left").filter(F.coalesce("unique", F.lit(0)) <= F.col("n") - _least(F.col("n"), percent))
     reps = stored(maybe.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "ngram-reps")
     lists = stored(_orders(shared_shingles(docs, reps, n, percent), percent), "ngram-lists")
 
@@ -225,11 +200,13 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Joi
     def posted(order: int) -> DataFrame:
         return lists.select(F.posexplode(F.col("prefixes")[order]).alias("at", "token"), "doc_id", "n", "c", inner.alias("inner")).withColumn("inner", F.col("at") < F.col("inner")).drop("at")
 
-    post = posted(0)
-    heads = post.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("u"), "doc_id", "n", "c")).alias("h"), F.count("*").alias("k")).filter("k > 1").select("token", "h.*").drop("u")
-    near = post.alias("x").join(heads.alias("h"), "token").filter((F.col("x.doc_id") != F.col("h.doc_id")) & _sizes_fit("x", "h", percent))
-    stars = near.groupBy("x.doc_id").agg(F.min(F.struct((F.col("h.n") - F.col("h.c")).alias("u"), F.col("h.doc_id").alias("a"))).alias("h")).select(F.col("h.a").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(_verified(stars, lists, percent), "ngram-stars")
+    links = stored(_verified(_stars(lists, 0, percent), lists, percent), "ngram-stars")
+    for turn in range(1, turns):
+        nodes = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        more = stored(_verified(_stars(lists.join(nodes, "doc_id", "left_anti"), turn, percent), lists, percent), "ngram-stars")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
     gathered = connected_components(links.select("a", "b"))
 
     fits = F.floor(F.col("c") * (100 + percent) / percent) - F.col("n")  # the largest text that one with c shared shingles links with
