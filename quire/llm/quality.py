@@ -8,6 +8,7 @@ multiplied out, so each feature has one learned weight and a text's logit is the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,8 +53,8 @@ def features(texts: list[bytes], buckets: int) -> Iterator[np.ndarray]:
         at, byte = at + c, byte + len(t)
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 10.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent, a document at a time, with a falling rate; reruns agree."""
+def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 10.0, longest: float = 1.0, bound: float = 16.0, seed: int = 7) -> Model:
+    """Stochastic gradient descent, a document at a time, with a falling rate; steps and weights are bounded, so it can't diverge. Reruns agree."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -77,60 +78,82 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = 1 << 17, dim
             e = np.exp(z - z.max())
             error = e / e.sum()
             error[labels[i]] -= 1
-            table[at] = vectors - (lr * share * len(at) ** 0.5)[:, None] * (out @ error)[None, :]
-            out -= lr * 0.1 * np.outer(mean, error)
+            step = np.minimum(lr * share * len(at) ** 0.5, longest)  # a short text has few features of large shares
+            table[at] = np.clip(vectors - step[:, None] * (out @ error)[None, :], -bound, bound)
+            out = np.clip(out - lr * 0.1 * np.outer(mean, error), -bound, bound)
             bias -= lr * 0.01 * error
     return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, most_rows: int = 4000, most_bytes: int = 32768) -> DataFrame:
-    """(text, label) of the labelled rows to learn from: at most most_rows, each at most most_bytes long.
+    """(doc_id, text, label) of the labelled documents to learn from: at most most_rows, each at most most_bytes long.
 
     Rows whose crc32(doc_id as text) leaves 2 when divided by 4 are held out; of the rest those with
     the least hash are taken, so the sample is even over the corpus. A doc_id with several labels has
-    the largest; rows without doc_id or label are no examples.
+    the largest, one with several texts the text with the least hash; rows without doc_id or label are
+    no examples.
     """
     usable = labels.filter("doc_id is not null and label is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     usable = usable.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select("doc_id", "text").filter((F.octet_length("text") <= most_bytes) & F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # most_rows bounds what is broadcast
+    found = texts.join(F.broadcast(chosen), "doc_id")  # most_rows bounds what is broadcast
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """docs(doc_id, text), labels(doc_id, label 0 or 1) -> Model. Without examples every score is 0.5."""
-    rows = training_sample(docs, labels, **options).toPandas().sort_values(["doc_id", "text"])
-    return train([t.encode() for t in rows.text], rows.label.to_numpy(np.int64))
+def fit(docs: DataFrame, labels: DataFrame, *, most_total: int = 1 << 24, **options) -> Model:
+    """docs(doc_id, text), labels(doc_id, label 0 or 1) -> Model. Without examples every score is 0.5.
 
+    The sample is learned in one task, of which the driver gets the weights only: documents in the
+    order of their hash while their texts have most_total bytes in all.
+    """
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode() for t in rows.text]
+        order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(str(rows.doc_id[i]).encode()), rows.doc_id[i]))
+        total = np.cumsum([len(texts[i]) for i in order])
+        taken = order[: max(1, int(np.searchsorted(total, most_total, "right")))]
+        model = train([texts[i] for i in taken], rows.label.to_numpy(np.int64)[taken])
+        return pd.DataFrame({"weight": [model.weight.astype("<f4").tobytes()], "bias": [model.bias]})
+
+    sample = training_sample(docs.select("doc_id", "text"), labels.select("doc_id", "label"), **options)
+    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weight binary, bias double").collect()
+    return Model(np.frombuffer(found[0].weight, "<f4"), found[0].bias) if found else Model(np.zeros(1, np.float32), 0.0)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and score (0 to 1, higher: label 1 likelier) by text alone; null and empty texts get the bias' score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))  # of fixed size
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs -> (row, score): each row as a struct of its columns, and its score (0 to 1, higher: label 1 likelier) by text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))  # of fixed size
 
     @F.pandas_udf("double")
     def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weight, bias = shared.value
         for batch in batches:
             out: list[float] = []
-            for _, texts in in_chunks([pa.RecordBatch.from_arrays([pa.array(batch, pa.string())], ["text"])]):
+            for _, texts in in_chunks([pa.RecordBatch.from_arrays([pa.array(batch, pa.string())], ["text"])], most=1 << 19):
                 out += [float(weight[f].mean(dtype=np.float64)) + bias if len(f) else bias for f in features(texts, len(weight))]
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("score", 1 / (1 + F.exp(-logit(F.col("text")))))
+    return docs.select(F.struct(*docs.columns).alias("row"), logit(F.col("text")).alias("z")).select("row", (1 / (1 + F.exp(-F.col("z")))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """docs(doc_id, text, ...) -> docs with held_out, score and predicted (1 if score >= threshold, else 0).
 
     Labels, lang, source and doc_id are never inputs of a score. Null and empty texts are scored like
-    texts without features, repeated rows alike, and empty tables stay empty.
+    texts without features, repeated rows alike, and empty tables stay empty. Columns of docs named like
+    the three new ones are replaced by them; others pass through, whatever they are called.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    out = score(docs, fit(docs, labels))
-    return out.withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    out = scored(docs, fit(docs, labels))
+    held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    return out.select(*own, held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """docs without those that the classifier rejects; docs' own columns."""
-    return classify(docs, labels, threshold=threshold).filter("predicted = 1").select(*docs.columns)
+    """docs without those that the classifier rejects; docs' own columns, whatever they are called.
+
+    A null or empty text has no features and gets the score of the labels' share, so whether such rows
+    stay depends on the labels; repeated rows go or stay together; an empty table stays empty.
+    """
+    return scored(docs, fit(docs, labels)).filter(F.col("score") >= threshold).select("row.*")
