@@ -88,7 +88,7 @@ def mix_sources(
 ) -> Mix:
     """docs(doc_id, text, source, ...) -> Mix.
 
-    A block has block_words words; None makes them a 2**20th of the mix, but 16 at least and 256 at most.
+    A block has block_words words; None makes them a 2**20th of the mix, but one word at least and 256 at most.
     Null texts and texts of spaces have size 0 and are never taken; a null source is a source of its
     own; an empty table gives empty results; repeated rows are documents of their own (equal ones lie
     side by side in the stream and may differ in what is taken of them); other columns are ignored.
@@ -100,7 +100,7 @@ def mix_sources(
     sizes = stored(docs.select("doc_id", "source", size.alias("size"), *_row_names(size)), "mix-sizes")
     sources = stored(source_targets(sizes, weights, share, epochs), "mix-sources")
     words = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
-    block_words = block_words or min(256, max(16, words >> 20))
+    block_words = block_words or min(256, max(1, words >> 20))
     schedule = stored(slot_schedule(sources, block_words), "mix-schedule")
     b = F.lit(block_words).cast("long")
     drawn = schedule.groupBy("source_no").agg((F.count("*") * b).alias("drawn"))

@@ -113,7 +113,7 @@ WITH z AS (
 ), c AS (
   SELECT *, (sum(want) OVER (ORDER BY no))::BIGINT AS upto, (sum(want) OVER ())::BIGINT AS words FROM (SELECT *, floor(target + 0.5)::BIGINT AS want FROM t) WHERE want > 0
 ), b AS (
-  SELECT max(words) AS words, least(256, greatest(16, max(words) // 1048576))::BIGINT AS block FROM c
+  SELECT max(words) AS words, least(256, greatest(1, max(words) // 1048576))::BIGINT AS block FROM c
 ), slots AS (
   SELECT k % 2147483648 * 1327217885 % 2147483648 / 2147483648.0::DOUBLE AS u FROM (SELECT unnest(range((words + block - 1) // block)) AS k FROM b)
 ), drawn AS (
