@@ -227,11 +227,17 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     wanted = runs.groupBy("_id", "_key").agg(F.collect_set("run").alias("runs")).join(reps, ["_id", "_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rest, texts in in_chunks(batches, most=1 << 20):
-            rows = []
-            for i, key, found, t in zip(rest["_id"], rest["_key"], rest["runs"], texts, strict=True):
-                for run, place, first, last in zip(found, *map(np.ndarray.tolist, _unpacked(np.array(found, np.int64))), strict=True):
-                    rows.append((zlib.crc32(t[place : place + k]) % shards, i, key, run, t[first : last + length]))
+        for rest, texts in in_chunks(batches, most=1 << 21):
+            rows, first_of = [], {}
+            for i, key, found, t in sorted(zip(rest["_id"], rest["_key"], rest["runs"], texts, strict=True), key=lambda x: x[:2]):
+                runs = np.sort(np.array(found, np.int64))  # in the order of their places
+                for run, place, first, last in zip(runs.tolist(), *map(np.ndarray.tolist, _unpacked(runs)), strict=True):
+                    stretch = t[first : last + length]
+                    own = first_of.setdefault((run & _PLACE, stretch), (i, key, run))
+                    if own == (i, key, run):
+                        rows.append((zlib.crc32(t[place : place + k]) % shards, i, key, run, stretch))
+                    else:  # all its strings start later than those of its equal: it need not travel
+                        rows.append((-1 - i % shards, i, key, run, None))
             if rows:
                 cols = [pa.array(c, pa.binary() if j == 4 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, ["shard", "_id", "_key", "run", "bytes"])
@@ -240,6 +246,9 @@ def drop_repeated_passages(docs: DataFrame, *, length: int = 100, k: int = 32, r
     pieces = base.select("_id", "_key", "text").join(wanted.hint("merge"), ["_id", "_key"]).mapInArrow(cut, "shard long, _id long, _key long, run long, bytes binary")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["shard"].iloc[0] < 0:
+            _, first, last = _unpacked(rows.run.to_numpy())
+            return pd.DataFrame({"_id": rows["_id"], "_key": rows["_key"], "from": first, "to": last})
         rows = rows.drop_duplicates(["_id", "_key", "run"])  # rows equal in doc_id and text are one document
         place, first, last = _unpacked(rows.run.to_numpy())
         rows = rows.assign(place=place, first=first, last=last, around=rows.run & _PLACE).sort_values(["_id", "_key", "place"])
