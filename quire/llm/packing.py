@@ -87,7 +87,8 @@ class _Words:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, piece, start, length, ids): documents as ids and end_id, cut only if over capacity.
 
-    ids are little-endian unsigned 32-bit words. A null text is empty and so only end_id.
+    ids are little-endian unsigned 32-bit words. A null or empty text is only end_id; null doc_ids stay
+    null, repeated rows are cut alike, other columns are ignored, an empty table stays empty.
     """
     end = array("I", [end_id]).tobytes()
 
