@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +78,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = seen
         now = stored(star(star(now, False), True), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows from batches sorted by keys (long columns without nulls); rows equal in keys are never parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        columns = [table[k].to_numpy() for k in keys]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if len(new):
+            cut = int(new[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fixity, language, lines, mixing, nearest, ngram_join, packing, quality, repeats, rules
+from quire.llm import fixity, language, lines, minhash, mixing, nearest, ngram_join, packing, quality, repeats, rules, search, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=5, percent=85).documents
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, one run in 97 of them (chosen by a hash) misspelt by a letter left out."""
+    runs = spelling.lower_runs(_table(spark, sf_dir, "documents"), r"[A-Za-z\u00C0-\u00FF]", 5)
+    runs = runs.withColumn("h", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    short = F.concat(F.left("run", at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(F.col("h") % 97 == 0, short).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= 5)
+    return spelling.spelling_variants(spelling.counted(words, 3))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_drop_repeated_lines": op2_drop_repeated_lines,
@@ -75,6 +94,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_identify_language": op9_identify_language,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_near_duplicates": op12_near_duplicates,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -191,5 +213,61 @@ WITH w AS (
   FROM b JOIN lt ON lt.lang = b.lang LEFT JOIN js j1 ON j1.doc_id = b.doc_id AND j1.kind = 1 LEFT JOIN js j2 ON j2.doc_id = b.doc_id AND j2.kind = 2
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM v
+""",
+    "op11_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), d AS (SELECT doc_id, row_no, ts, len(ts)::BIGINT AS n FROM t WHERE len(ts) > 0
+), z AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM d
+), q AS (
+  SELECT item_id, item_no, term, count(*) AS times FROM (
+    SELECT item_id, row_number() OVER () AS item_no, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, item_no, term
+), p AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY row_no, term
+), w AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN z GROUP BY term
+), i AS (
+  SELECT p.row_no, p.term, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + (25 * d.n * z.n_docs) // z.total))) AS part
+  FROM p JOIN d ON d.row_no = p.row_no JOIN w ON w.term = p.term CROSS JOIN z
+), s AS (SELECT q.item_id, q.item_no, i.row_no, sum(q.times * i.part)::BIGINT AS score FROM q JOIN i ON i.term = q.term GROUP BY q.item_id, q.item_no, i.row_no
+), r AS (SELECT s.item_id, d.doc_id, s.score, row_number() OVER (PARTITION BY s.item_no ORDER BY s.score DESC, d.doc_id NULLS LAST) AS rank FROM s JOIN d ON d.row_no = s.row_no WHERE s.score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+""",
+    "op12_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = w.doc_id
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE bit AS (
+  SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) FROM bit WHERE k < 8
+), tab AS (SELECT list(c ORDER BY b) AS t FROM bit WHERE k = 8
+), o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), u AS (SELECT doc_id, run, count(*) AS times FROM o WHERE length(run) >= 5 GROUP BY doc_id, run
+), y AS (SELECT run, times, hex(encode(doc_id || ':' || run)) AS hx FROM u
+), z AS (SELECT run, times, list_transform(range(1, len(hx) + 1, 2), lambda i: (instr('0123456789ABCDEF', hx[i]) * 16 + instr('0123456789ABCDEF', hx[i + 1]) - 17)::BIGINT) AS bytes FROM y
+), h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM z CROSS JOIN tab
+), v AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), e AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), g AS (
+  SELECT a.word AS a, b.word AS b FROM e a JOIN e b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM e a JOIN v b ON a.less = b.word
+  UNION SELECT b.word, a.word FROM e a JOIN v b ON a.less = b.word
+), f AS (SELECT g.a, count(*)::BIGINT AS n_near, max(v.n) AS top FROM g JOIN v ON v.word = g.b GROUP BY g.a
+), m AS (SELECT f.a, min(g.b) AS form FROM f JOIN g ON g.a = f.a JOIN v ON v.word = g.b AND v.n = f.top JOIN v x ON x.word = f.a WHERE f.top >= 2 * x.n GROUP BY f.a
+), c AS (SELECT word, word AS reached, 0 AS k FROM v UNION ALL SELECT c.word, m.form, c.k + 1 FROM c JOIN m ON m.a = c.reached
+), r AS (SELECT word, arg_max(reached, k) AS root FROM c GROUP BY word)
+SELECT v.word, m.form, r.root, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, CASE WHEN m.form IS NOT NULL THEN f.top END AS form_n
+FROM v LEFT JOIN f ON f.a = v.word LEFT JOIN m ON m.a = v.word JOIN r ON r.word = v.word
 """,
 }
