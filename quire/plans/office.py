@@ -15,6 +15,7 @@ from quire.plans import inputs as I
 from quire.plans.layout import natural_sql
 from quire.plans.registry import query
 from quire.sources import files as sources
+from quire.sources import word
 
 
 def _zipped(batch: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +145,59 @@ def word_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.split(S.sanitize(F.col("text"))["text"], "\n"), paragraph), "")
     xml = F.concat(F.lit(f"<w:document {_WORD}><w:body>"), body, F.lit("</w:body></w:document>"))
     parts = I.table(spark, sf_dir, "documents").select(key.alias("file_id"), F.lit("word/document.xml").alias("part"), xml.alias("xml"))
-    return sources.docx_elements(parts).select("file_id", "at", "para", "kind", "text", "style", "bold")
+    return word.docx_elements(parts).select("file_id", "at", "para", "kind", "text", "style", "bold")
+
+
+_EQUATIONS = ("max_(x∈A) v\u20d7", "³√(", ")∏^(n) k")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents),
+l AS (SELECT doc_id, replace(unnest(string_split(text, chr(10))), chr(13), chr(10)) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t),
+n AS (SELECT *, i % 6 AS form, coalesce(sum(CASE i % 6 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM l),
+x AS (
+  SELECT *, 0 AS k, p AS para, CASE WHEN form = 5 THEN 'item' ELSE 'paragraph' END AS kind, NULL AS text FROM n
+  UNION ALL SELECT *, 1, p, 'text', line FROM n WHERE form IN (0, 1)
+  UNION ALL SELECT n.*, v.k, p + 1, v.kind, CASE WHEN v.kind = 'text' THEN line END FROM n CROSS JOIN (VALUES (2, 'paragraph'), (3, 'text')) v(k, kind) WHERE form IN (1, 2)
+  UNION ALL SELECT *, 4, p + 2, 'paragraph', NULL FROM n WHERE form = 1
+  UNION ALL SELECT *, 1, p, 'equation', CASE form WHEN 3 THEN '{_EQUATIONS[0]}' ELSE '{_EQUATIONS[1]}' || doc_id || '{_EQUATIONS[2]}' END FROM n WHERE form IN (3, 4)
+  UNION ALL SELECT n.*, v.k, p, v.kind, CASE WHEN v.kind = 'text' THEN line ELSE 'rId' || i END FROM n CROSS JOIN (VALUES (1, 'image'), (2, 'text')) v(k, kind) WHERE form = 5
+)
+SELECT doc_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::BIGINT AS at, para, kind, text, CASE WHEN form = 1 THEN i // 6 * 2 + (para = p + 1)::INT END::BIGINT AS table_no,
+  CASE WHEN form = 1 THEN 0 END::BIGINT AS row_no, CASE WHEN form = 1 THEN (para = p + 2)::INT END::BIGINT AS cell_no, CASE WHEN form = 1 THEN (para = p + 1)::INT END AS nesting,
+  CASE WHEN form IN (0, 3) THEN 'center' WHEN form = 5 THEN 'right' ELSE 'left' END AS align, form = 5 AND kind = 'text' AS bold FROM x""")
+def word_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Word body whose lines stand in aligned paragraphs, tables in tables, text boxes kept twice, and beside formulas and old pictures of their own; read back, each text once."""
+
+    def run(x: Column, more: str = "") -> Column:
+        return F.concat(F.lit(f'<w:r>{more}<w:t xml:space="preserve">'), S.xml_escape(x), F.lit("</w:t></w:r>"))
+
+    def paragraph(x: Column, props: str = "") -> Column:
+        return F.concat(F.lit(f"<w:p>{props}"), x, F.lit("</w:p>"))
+
+    def e(tag: str, text: str) -> str:
+        return f"<m:{tag}><m:r><m:t>{text}</m:t></m:r></m:{tag}>"
+
+    limit = "<m:oMathPara><m:oMath><m:func><m:fName><m:limLow>" + e("e", " max") + e("lim", "x∈A ") + "</m:limLow></m:fName><m:e><m:acc><m:accPr><m:chr m:val='\u20d7'/></m:accPr>" + e("e", "v") + "</m:acc></m:e></m:func></m:oMath></m:oMathPara>"
+    product = "<m:nary><m:naryPr><m:chr m:val='∏'/></m:naryPr><m:sub/>" + e("sup", "n") + e("e", "k") + "</m:nary>"
+    head = "<m:oMath><m:rad><m:radPr><m:degHide m:val='0'/></m:radPr>" + e("deg", " 3") + "<m:e><m:r><m:t>"
+    key = F.col("doc_id").cast("string")
+
+    def form(x: Column, i: Column) -> Column:
+        inner = F.concat(F.lit("<w:tbl><w:tblPr><w:jc w:val='center'/></w:tblPr><w:tr><w:tc>"), paragraph(run(x)), F.lit("</w:tc></w:tr></w:tbl>"))
+        table = F.concat(F.lit("<w:tbl><w:tr><w:tc>"), paragraph(run(x)), F.lit("</w:tc><w:tc>"), inner, F.lit("<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs></w:pPr></w:p></w:tc></w:tr></w:tbl>"))
+        box = F.concat(F.lit("<w:txbxContent>"), paragraph(run(x)), F.lit("</w:txbxContent>"))
+        twice = paragraph(F.concat(F.lit("<w:r><mc:AlternateContent><mc:Choice><w:drawing>"), box, F.lit("</w:drawing></mc:Choice><mc:Fallback><w:pict>"), box, F.lit("</w:pict></mc:Fallback></mc:AlternateContent></w:r>")))
+        picture = paragraph(F.concat(F.lit('<w:r><w:pict><v:shape><v:imagedata r:id="rId'), i.cast("string"), F.lit('"/></v:shape></w:pict></w:r>'), run(x, "<w:rPr><w:b/></w:rPr>")), "<w:pPr><w:numPr/><w:jc w:val='end'/></w:pPr>")
+        forms = [paragraph(run(x), "<w:pPr><w:jc w:val='center'/></w:pPr>"), table, twice, F.lit(limit), F.concat(F.lit(head), key, F.lit("</m:t></m:r></m:e></m:rad>" + product + "</m:oMath>")), picture]
+        out = F.when(i % 6 == 0, forms[0])
+        for k, f in enumerate(forms[1:], 1):
+            out = out.when(i % 6 == k, f)
+        return out
+
+    spaces = _WORD + ' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    xml = F.concat(F.lit(f"<w:document {spaces}><w:body>"), F.array_join(F.transform(F.split(S.sanitize(F.col("text"))["text"], "\n"), form), ""), F.lit("</w:body></w:document>"))
+    parts = I.table(spark, sf_dir, "documents").select(key.alias("file_id"), F.lit("word/document.xml").alias("part"), xml.alias("xml"))
+    return word.docx_elements(parts).select("file_id", "at", "para", "kind", "text", "table_no", "row_no", "cell_no", "nesting", "align", "bold")
 
 
 @query(r"""WITH c AS (SELECT DISTINCT conv_id, turn, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM conversations),

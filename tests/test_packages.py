@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.operators import plans, workbook
+from quire.sources import equations, markup, word
 from quire.sources import files as S
 from quire.streaming import jobs
 
@@ -85,16 +86,13 @@ def test_docx_reads_inserted_and_deleted_text(spark):
 <w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins><w:r><w:t> in</w:t></w:r></w:ins><w:del><w:r><w:t> out</w:t></w:r></w:del>
 <m:oMath><m:f><m:num><m:r><m:t>1</m:t></m:r></m:num><m:den><m:r><m:t>2</m:t></m:r></m:den></m:f></m:oMath></w:p>
 <w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"""
-    rows = S.docx_elements(S.package_parts(table(spark, [("d.docx", archive([("word/document.xml", body)]))]))).orderBy("at").collect()
+    rows = word.docx_elements(S.package_parts(table(spark, [("d.docx", archive([("word/document.xml", body)]))]))).orderBy("at").collect()
     assert [(r.kind, r.text) for r in rows if r.text] == [("text", "Title"), ("text", "bold"), ("text", " in"), ("text", " out"), ("equation", "(1) / (2)"), ("text", "cell")]
     assert [r.bold for r in rows if r.text][:3] == [False, True, False] and rows[0].style == "Heading1"
     assert [(r.table_no, r.row_no, r.cell_no) for r in rows if r.text == "cell"] == [(0, 0, 0)]
 
 
-def test_equations_on_one_line():
-    def math(body):
-        return S.equation_text(S.ElementTree.fromstring(f'<m:oMath xmlns:m="{S.M[1:-1]}">{body}</m:oMath>'))
-
+def test_equations_on_one_line(spark):
     def e(tag, body, text=True):
         return f"<m:{tag}>" + (f"<m:r><m:t>{body}</m:t></m:r>" if text else body) + f"</m:{tag}>"
 
@@ -111,18 +109,68 @@ def test_equations_on_one_line():
         "<m:func>" + e("fName", "sin") + e("e", "x") + "</m:func>": "sin x",
         "<m:acc><m:accPr><m:chr m:val='\u0303'/></m:accPr>" + e("e", "x") + "</m:acc>": "x\u0303",
         "<m:bar>" + e("e", "x") + "</m:bar>": "(x)\u0305",
-        "<m:sPre>" + e("sub", "n") + e("sup", "m") + e("e", "X") + "</m:sPre>": "n X",
+        "<m:sPre>" + e("sub", "n") + e("sup", "m") + e("e", "X") + "</m:sPre>": "n ^(m) X",
         "<m:m><m:mr>" + e("e", "1") + e("e", "0") + "</m:mr><m:mr>" + e("e", "0") + e("e", "1") + "</m:mr></m:m>": "(1, 0; 0, 1)",
         "<m:eqArr>" + e("e", "x=1") + e("e", "y=2") + "</m:eqArr>": "x=1; y=2",
         "<m:groupChr>" + e("e", "x") + "</m:groupChr>": "⏟(x)",
         "<m:box>" + e("e", "x") + "</m:box>": "x",
+        "<m:limLow>" + e("e", "max") + e("lim", " x in A ") + "</m:limLow>": "max_(x in A)",
+        "<m:limUpp>" + e("e", "x") + e("lim", "def") + "</m:limUpp>": "x^(def)",
+        "<m:acc><m:accPr><m:chr m:val='\u20d7'/></m:accPr>" + e("e", "v") + "</m:acc>": "v\u20d7",
+        "<m:acc>" + e("e", "v") + "</m:acc>": "v\u0302",
+        "<m:sPre>" + e("sub", "n") + e("e", "X") + "</m:sPre>": "n X",
+        "<m:bar><m:barPr><m:pos m:val='bot'/></m:barPr>" + e("e", "x") + "</m:bar>": "\u0332(x)",
+        "<m:groupChr><m:groupChrPr><m:chr m:val='⏞'/><m:pos m:val='top'/></m:groupChrPr>" + e("e", "x") + "</m:groupChr>": "⏞(x)",
+        "<m:nary><m:sub/><m:sup/>" + e("e", "f") + "</m:nary>": "∫ f",
+        "<m:d><m:dPr><m:begChr m:val=''/><m:sepChr m:val=','/></m:dPr>" + e("e", "x") + e("e", "<m:d>" + e("e", "y") + "</m:d>", False) + "</m:d>": "x,(y))",
+        "<m:rad>" + e("deg", "<m:rad><m:radPr><m:degHide m:val='0'/></m:radPr>" + e("deg", "9") + e("e", "z") + "</m:rad>", False) + e("e", " x  y ") + "</m:rad>": "√(x y)",
+        "<m:f><m:fPr><m:type m:val='bar'/></m:fPr><m:fPr><m:type m:val='lin'/></m:fPr>" + e("num", "") + e("den", "b") + "</m:f>": "() / (b)",
+        "<m:strange>" + e("e", "kept") + "</m:strange>": "kept",
     }
-    assert {body: math(body) for body in cases} == cases
+    schema = "file_id string, part string, xml string"
+    bodies = [(b, "word/document.xml", f"<w:document {W}><w:body><w:p><m:oMath>{b}</m:oMath></w:p></w:body></w:document>") for b in cases]
+    rows = word.docx_elements(spark.createDataFrame(bodies, schema)).filter("kind = 'equation'").collect()
+    assert {r.file_id: r.text for r in rows} == cases
+
+
+def test_word_bodies_keep_every_text_once(spark):
+    more = ' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+    def p(text, props=""):
+        return f"<w:p>{props}<w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    def box(text):
+        return f"<w:txbxContent>{p(text)}</w:txbxContent>"
+
+    inner = f"<w:tbl><w:tr><w:tc>{p('deep')}</w:tc></w:tr><w:sdt><w:sdtContent><w:tr><w:tc>{p('low')}</w:tc></w:tr></w:sdtContent></w:sdt></w:tbl>"
+    body = (
+        f"<w:tbl><w:tr><w:tc>{p('a')}{inner}{p('b')}</w:tc><w:tc>{p('c')}</w:tc></w:tr><w:tr><w:tc>{p('d')}</w:tc></w:tr></w:tbl>"
+        f"<w:p><w:r><mc:AlternateContent><mc:Choice>{box('one')}</mc:Choice><mc:Fallback>{box('one')}</mc:Fallback></mc:AlternateContent><w:t>after</w:t></w:r></w:p>"
+        f"<w:p><w:r><mc:AlternateContent><mc:Fallback><w:pict><v:imagedata r:id='old'/></w:pict></mc:Fallback></mc:AlternateContent></w:r></w:p>"
+        "<m:oMathPara><m:oMath><m:r><m:t>x=1</m:t></m:r></m:oMath></m:oMathPara><m:oMath><m:r><m:t>y</m:t></m:r></m:oMath>"
+        f"{p('right', '<w:pPr><w:jc w:val=%sright%s/><w:pPrChange><w:pPr><w:jc w:val=%scenter%s/></w:pPr></w:pPrChange></w:pPr>' % (('\"',) * 4))}"
+    )
+    rows = word.docx_elements(spark.createDataFrame([("f", "word/document.xml", f"<w:document {W}{more}><w:body>{body}</w:body></w:document>"), ("bad", "word/document.xml", "<w:document><w:body>"), ("none", "word/document.xml", None)], "file_id string, part string, xml string")).collect()
+    found = sorted((r for r in rows if r.file_id == "f"), key=lambda r: r.at)
+    assert [r.text for r in found if r.kind == "text"] == ["a", "deep", "low", "b", "c", "d", "one", "after", "right"]
+    assert {r.text: (r.table_no, r.row_no, r.cell_no, r.nesting) for r in found if r.kind == "text" and r.table_no is not None} == {"a": (0, 0, 0, 0), "deep": (1, 0, 0, 1), "low": (1, 1, 0, 1), "b": (0, 0, 0, 0), "c": (0, 0, 1, 0), "d": (0, 1, 0, 0)}
+    assert [(r.kind, r.text, r.align) for r in found if r.kind in ("image", "equation")] == [("image", "old", "left"), ("equation", "x=1", "center"), ("equation", "y", "left")]
+    assert next(r.align for r in found if r.text == "right") == "right"
+    assert [r.para for r in found if r.kind == "paragraph"] == list(range(12)) and [r.at for r in found] == list(range(len(found)))
+    assert sorted((r.file_id, r.kind) for r in rows if r.file_id != "f") == [("bad", "problem"), ("none", "problem")]
+
+
+def test_markup_too_deep_is_a_problem(spark):
+    deep = "<a>" * (markup.MOST_DEPTH + 1) + "</a>" * (markup.MOST_DEPTH + 1)
+    rows = markup.xml_nodes(spark.createDataFrame([("x", deep), ("y", "<a><b/><c>t</c><b k='1'/></a>")], "id string, xml string"), {"b", "c"}).collect()
+    assert [r.problem is not None for r in rows if r.id == "x"] == [True]
+    assert [(r.tags[-1], r.child, r.twin, r.text, r.pre < r.post, len(r.path)) for r in rows if r.id == "y"] == [("b", 0, 0, "", True, 2), ("c", 1, 0, "t", True, 2), ("b", 2, 1, "", True, 2)]
+    assert equations.TAGS >= {"m:oMath", "m:t"}
 
 
 def test_documents_that_are_no_xml(spark):
     parts = spark.createDataFrame([("a", "word/document.xml", None), ("b", "word/document.xml", "<w:document>"), ("c", "word/other.xml", "<")], "file_id string, part string, xml string")
-    assert sorted((r.file_id, r.kind) for r in S.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
+    assert sorted((r.file_id, r.kind) for r in word.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
     slides = spark.createDataFrame([("a", 0, None), ("b", 1, "<p")], "file_id string, slide_no int, xml string")
     assert sorted((r.file_id, r.kind, r.x) for r in S.pptx_elements(slides).collect()) == [("a", "problem", None), ("b", "problem", None)]
 
