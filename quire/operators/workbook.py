@@ -15,18 +15,35 @@ FIRST_PAGE_ROWS, PAGE_ROWS = 54, 55
 SHEET = ["file_id", "sheet_no"]
 
 
+#: Rows that one task numbers at a time; what is known at the end of one lot is carried to the next.
+LOT = 1 << 13
+
+
+def _numbered_rows(rows: DataFrame) -> DataFrame:
+    """rows(file_id, sheet_no, row_pos, row_no) -> row: numbers within lots of rows, and the last number known before each lot."""
+    lots = rows.withColumn("_lot", F.floor(F.col("row_pos") / LOT))
+    inside = Window.partitionBy(*SHEET, "_lot").orderBy("row_pos")
+    held = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lots = lots.withColumn("_n", F.row_number().over(inside))
+    lots = lots.withColumn("_set", F.last(F.when(F.col("row_no").isNotNull(), F.struct("row_no", "_n")), ignorenulls=True).over(held))
+    ends = lots.groupBy(*SHEET, "_lot").agg(F.count("*").alias("_rows"), F.max_by("_set", "_n").alias("_end"))
+    before = Window.partitionBy(*SHEET).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    carried = F.last(F.when(F.col("_end").isNotNull(), F.struct(F.col("_end.row_no").alias("no"), (F.col("_before") + F.col("_end._n")).alias("n"))), ignorenulls=True).over(before)
+    ends = ends.withColumn("_carried", carried).select(*SHEET, "_lot", "_before", "_carried")
+    at = F.col("_before") + F.col("_n")
+    row = F.coalesce(F.col("_set.row_no") - 1 + F.col("_n") - F.col("_set._n"), F.col("_carried.no") - 1 + at - F.col("_carried.n"), at - 1)
+    return lots.join(ends, [*SHEET, "_lot"]).select(*SHEET, "row_pos", row.cast("int").alias("_row"))
+
+
 def fill_positions(cells: DataFrame) -> DataFrame:
     """cells(file_id, sheet_no, pos, row_no, ref, ...) -> row and col: a cell without reference follows the one before.
 
     row_no is the row's own number or null; a row without one follows the row before it. row_pos orders
-    the rows of a sheet, pos the cells.
+    the rows of a sheet, pos the cells. A sheet of any length is numbered in lots of rows.
     """
     at = parse_cell_ref(F.col("ref"))
-    rows = cells.select(*SHEET, "row_pos", "row_no").distinct()
-    w = Window.partitionBy(*SHEET).orderBy("row_pos")
-    held = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_set", F.last(F.when(F.col("row_no").isNotNull(), F.struct("row_no", "_n")), ignorenulls=True).over(held))
-    rows = rows.withColumn("_row", F.coalesce(F.col("_set.row_no") - 1 + F.col("_n") - F.col("_set._n"), F.col("_n") - 1).cast("int")).select(*SHEET, "row_pos", "_row")
+    rows = _numbered_rows(cells.select(*SHEET, "row_pos", "row_no").distinct())
     out = cells.join(rows, [*SHEET, "row_pos"]).withColumn("_col", at["col"]).withColumn("_own", at["row"])
     c = Window.partitionBy(*SHEET, "row_pos").orderBy("pos")
     held = c.rowsBetween(Window.unboundedPreceding, 0)

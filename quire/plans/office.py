@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import plans
+from quire.operators import plans, workbook
 from quire.plans import inputs as I
 from quire.plans.layout import natural_sql
 from quire.plans.registry import query
 from quire.sources import files as sources
-from quire.sources import word
+from quire.sources import sheets, slides, word
 
 
 def _zipped(batch: pd.DataFrame) -> pd.DataFrame:
@@ -120,6 +120,45 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.raw_cells(rows.select(F.col("l_orderkey").cast("string").alias("file_id"), F.lit(0).alias("sheet_no"), xml.alias("xml")))
 
 
+#: Order keys a book: about a million rows, as many as a sheet can hold.
+ORDERS_A_BOOK = 250_000
+
+
+def _book(rows: pd.DataFrame) -> pd.DataFrame:
+    """All rows on one sheet of a package: a number on every thousandth (ten are left out before it), empty rows, cells with and without reference, all texts in the string table."""
+    rows, out = rows.sort_values(["l_orderkey", "l_linenumber", "q"]), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(b'<?xml version="1.0"?><x:worksheet xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><x:cols/><x:sheetData>')
+            for i, q in enumerate(rows.q.tolist()):
+                no, own = i + 1 + 10 * (i // 1000 + 1), f' r="{i + 1 + 10 * (i // 1000 + 1)}"' if i % 1000 == 0 else ""
+                cells = "" if i % 500 == 499 else f'<x:c t="s"><x:v>{i}</x:v></x:c><x:c r="D{no}"><x:v>{q}</x:v></x:c><x:c t="inlineStr"><x:is><x:r><x:t>&lt;row </x:t></x:r><x:r><x:t>{i}</x:t></x:r></x:is></x:c>'
+                sheet.write(f"<x:row{own}>{cells}</x:row>\n".encode())
+            sheet.write(b"</x:sheetData><x:row/></x:worksheet>")
+        with z.open("xl/sharedStrings.xml", "w", force_zip64=True) as strings:
+            strings.write(b"<sst>")
+            for key, line in zip(rows.l_orderkey.tolist(), rows.l_linenumber.tolist(), strict=True):
+                strings.write(f"<si><t>order {key} line {line}</t></si>".encode())
+            strings.write(b"</sst>")
+    return pd.DataFrame({"file_id": [str(rows.book.iloc[0])], "content": [out.getvalue()]})
+
+
+@query(f"""WITH r AS (SELECT l_orderkey // {ORDERS_A_BOOK} AS book, l_orderkey, l_linenumber, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey // {ORDERS_A_BOOK} ORDER BY l_orderkey, l_linenumber, l_quantity::INT) - 1 AS i FROM lineitem),
+x AS (SELECT *, (i + 10 * (i // 1000 + 1))::INT AS row FROM r WHERE i % 500 <> 499)
+SELECT book::VARCHAR AS file_id, row, 0 AS col, 'order ' || l_orderkey || ' line ' || l_linenumber AS text FROM x
+UNION ALL SELECT book::VARCHAR, row, 3, q::VARCHAR FROM x UNION ALL SELECT book::VARCHAR, row, 4, '<row ' || i FROM x""")
+def large_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines on sheets of a million rows, with a string table as long, read back in fragments: places, numbers and texts."""
+    li = I.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS_A_BOOK).cast("long").alias("book"), F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("int").alias("q"))
+    books = li.groupBy("book").applyInPandas(_book, "file_id string, content binary")
+    path = I.new_folder(spark, "books")
+    sources.write_table(books, path)
+    books = spark.read.parquet(path)
+    cells = sheets.fragment_cells(sheets.part_fragments(books, r"^xl/worksheets/sheet\d+\.xml$", "row")).withColumn("sheet_no", F.lit(0)).drop("part")
+    strings = sheets.fragment_strings(sheets.part_fragments(books, r"^xl/sharedStrings\.xml$", "si"))
+    return workbook.resolve_cells(workbook.fill_positions(cells), strings).select("file_id", "row", "col", "text")
+
+
 _WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 _CODES = {0x61 + k: S.SYMBOL_CODES.get(0x61 + k, "") for k in range(26)}
 
@@ -214,12 +253,43 @@ def slide_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.concat(F.lit("<p:sp>"), F.when(F.col("turn") % 2 == 0, place).otherwise("<p:spPr/>"), F.lit("<p:txBody>"), F.array_join(paragraphs, ""), F.lit("</p:txBody></p:sp>"))
     tree = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<p:grpSp>"), shape, F.lit("</p:grpSp>"))).otherwise(shape)
     xml = F.concat(F.lit(f"<p:sld {spaces}><p:cSld><p:spTree>"), tree, F.lit("</p:spTree></p:cSld></p:sld>"))
-    boxes = sources.pptx_elements(c.select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("slide_no"), xml.alias("xml")))
+    boxes = slides.pptx_elements(c.select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("slide_no"), xml.alias("xml")))
     runs = F.flatten(F.transform("paragraphs", lambda p: p["runs"]))
     right = F.filter(runs, lambda r: (r["size"] == 24.0) & r["bold"] & ~r["italic"])
     return boxes.select("file_id", "slide_no", "box_no", "kind", "grouped", "x", "y", "width", "height", "text", F.size("paragraphs").alias("paragraphs"), F.size(right).alias("runs"), F.col("paragraphs")[0]["align"].alias("align"))
 
 
+@query(r"""WITH c AS (SELECT conv_id, turn, max(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c), b AS (SELECT *, i // 4 AS slide, i % 4 AS form, 10.0 * (i % 7) AS px FROM l WHERE regexp_replace(text, '\n', '', 'g') <> '')
+SELECT conv_id::VARCHAR AS file_id, slide::INT AS slide_no, (row_number() OVER (PARTITION BY conv_id, slide ORDER BY form) - 1)::INT AS box_no, form > 0 AS grouped,
+  CASE form WHEN 0 THEN px WHEN 1 THEN 100 + (px - 20) * 2 WHEN 2 THEN 100 + ((50 + px * 0.5) - 20) * 2 ELSE 100 + ((50 + ((8 + px) * 0.5)) - 20) * 2 END::DOUBLE AS x,
+  CASE form WHEN 0 THEN 5 WHEN 1 THEN 5 * 0.5 WHEN 2 THEN (60 + 5 * 4) * 0.5 ELSE (60 + (9 + 5) * 4) * 0.5 END::DOUBLE AS y,
+  CASE form WHEN 0 THEN 40 WHEN 1 THEN 80 ELSE 40 END::DOUBLE AS width, CASE form WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 16 END::DOUBLE AS height, replace(text, chr(13), chr(10)) AS text FROM b""")
+def slide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four turns a slide: one on the slide itself, one in a group, one in a group in it, one in a third inside that, each group with a measure of its own."""
+    c = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(S.sanitize(F.col("text"))["text"]).alias("text"))
+    c = c.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+
+    def emu(x: Column | float) -> Column:
+        return ((F.lit(x) if isinstance(x, (int, float)) else x) * 12700).cast("long").cast("string")
+
+    def measure(tag: str, x: Column | float, y: Column | float, cx: float, cy: float, inside: tuple[float, ...] = ()) -> Column:
+        inner = [F.lit(f'<a:chOff x="{int(inside[0] * 12700)}" y="{int(inside[1] * 12700)}"/><a:chExt cx="{int(inside[2] * 12700)}" cy="{int(inside[3] * 12700)}"/>')] if inside else []
+        return F.concat(F.lit(f'<p:{tag}><a:xfrm><a:off x="'), emu(x), F.lit('" y="'), emu(y), F.lit('"/><a:ext cx="'), emu(cx), F.lit('" cy="'), emu(cy), F.lit('"/>'), *inner, F.lit(f"</a:xfrm></p:{tag}>"))
+
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<a:p><a:r><a:t>"), S.xml_escape(x), F.lit("</a:t></a:r></a:p>"))), "")
+    shape = F.concat(F.lit("<p:sp>"), measure("spPr", (F.col("i") % 7) * 10, 5, 40, 8), F.lit("<p:txBody>"), lines, F.lit("</p:txBody></p:sp>"))
+    shapes = c.groupBy("conv_id", F.floor(F.col("i") / 4).alias("slide_no")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") % 4).alias("k"), shape.alias("v")))).alias("shapes"))
+    box = [F.coalesce(F.try_element_at("shapes", F.lit(k)), F.lit("")) for k in range(4)]
+    third = F.concat(F.lit("<p:grpSp>"), measure("grpSpPr", 8, 9, 30, 30, (0, 0, 30, 30)), box[3], F.lit("</p:grpSp>"))
+    second = F.concat(F.lit("<p:grpSp>"), measure("grpSpPr", 50, 60, 10, 40, (0, 0, 20, 10)), box[2], third, F.lit("</p:grpSp>"))
+    first = F.concat(F.lit("<p:grpSp>"), measure("grpSpPr", 100, 0, 80, 20, (20, 0, 40, 40)), box[1], second, F.lit("</p:grpSp>"))
+    spaces = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    xml = F.concat(F.lit(f"<p:sld {spaces}><p:cSld><p:spTree>"), box[0], first, F.lit("</p:spTree></p:cSld></p:sld>"))
+    boxes = slides.pptx_elements(shapes.select(F.col("conv_id").cast("string").alias("file_id"), "slide_no", xml.alias("xml")))
+    return boxes.select("file_id", "slide_no", "box_no", "grouped", "x", "y", "width", "height", "text")
+
+
 @query("SELECT page_id::VARCHAR AS file_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 4 END::BIGINT AS parts, page_id % 5 <> 1 AS readable, CASE WHEN page_id % 4 = 2 THEN 0 ELSE strlen(url) END::BIGINT AS characters, page_id % 7 <> 0 AND page_id % 5 <> 1 AND page_id % 4 <> 2 AND strlen(url) > 0 AS ok FROM pages")
 def verified_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package per page, of three or four parts, with XML that parses or doesn't, and with text or without."""

@@ -402,4 +402,4 @@ def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.check_pairs(files.withColumn("target", target)).select("page_id", "source", "target")
 
 
-from quire.plans import layout, office  # noqa: E402,F401  (they register their own queries and use the inputs above)
+from quire.plans import layout, office, streams  # noqa: E402,F401  (they register their own queries and use the inputs above)

@@ -1,36 +1,65 @@
-"""Streams: files classified as they arrive, and an edit log kept current."""
+"""Streams: files taken in once each as they arrive, and an edit log kept current."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quire.functions.scalars import is_pdf, is_zip, office_kind, wrong_file_reason
+from quire.sources.files import guard_archive
 
 ARRIVING = "path string, modificationTime timestamp, length long, content binary"
+STATE_STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def classified(files: DataFrame, wanted: str = "pdf") -> DataFrame:
-    """files(path, length) -> kind, accepted and the reason why not; no state, so it runs in batches and streams alike."""
-    name, mime = F.element_at(F.split("path", "/"), -1), F.lit("")
+def classified(files: DataFrame, wanted: str = "pdf", name: Column | None = None) -> DataFrame:
+    """files(path, length, content) -> name, size, kind, accepted and the reason why not, and what the guard says of archives (null for others); no state, so it runs in batches and streams alike.
+
+    The name is the path's last part, unless the caller tells where it stands.
+    """
+    name, mime = F.element_at(F.split("path", "/"), -1) if name is None else name, F.lit("")
     kind = F.when(is_pdf(name, mime), "pdf").when(office_kind(name).isNotNull(), office_kind(name)).when(is_zip(name, mime), "zip").otherwise("other")
     reason = wrong_file_reason(name, mime, F.lit(wanted))
-    return files.select(name.alias("name"), F.col("length").alias("size"), kind.alias("kind"), reason.isNull().alias("accepted"), reason.alias("reason"))
+    packed = ~kind.isin("pdf", "other")
+    guarded = guard_archive(files.withColumn("content", F.when(packed, F.col("content"))))
+    return guarded.select(name.alias("name"), F.col("length").alias("size"), kind.alias("kind"), reason.isNull().alias("accepted"), reason.alias("reason"), F.when(packed, F.col("verdict")).alias("verdict"))
+
+
+def stream_intake(spark: SparkSession, path: str, wanted: str = "pdf", name: Column | None = None) -> DataFrame:
+    """A folder's files, and those of the folders in it, as they arrive."""
+    reader = spark.readStream.format("binaryFile").schema(ARRIVING).option("recursiveFileLookup", "true")
+    return classified(reader.load(path), wanted, name)
+
+
+def take_in(spark: SparkSession, path: str, table: str, progress: str, wanted: str = "pdf", name: Column | None = None) -> None:
+    """Takes in what has arrived in `path` since the last call, and ends: rows go to table/batch=n, what was taken is kept in `progress`.
+
+    A call that was broken off is made up for by the next: its batch is written anew in its own place, so
+    that each file is in the table once. A call that finds nothing new writes nothing. Spark's file
+    sources do not report empty files.
+    """
 
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
-def stream_intake(spark: SparkSession, path: str, wanted: str = "pdf") -> DataFrame:
-    """A folder's files as they arrive."""
-    return classified(spark.readStream.format("binaryFile").schema(ARRIVING).load(path), wanted)
+    stream = stream_intake(spark, path, wanted, name).writeStream.foreachBatch(write).option("checkpointLocation", progress)
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
+CHANGE = "doc_id long, kind string, page int, item int, seq long, text string"
 
 
 class EditState(StatefulProcessor):
-    """Per document a map of page:item to its edit; reverts drop a page's, discards all.
+    """Per document a map of page:item to its edit, and the last seq taken.
 
-    Events of a batch are taken in seq order, and those at or below the last seq taken are late and dropped.
+    A batch's events are taken in seq order. Those without a seq, or with one at or below the last seq of
+    an earlier batch, are late: they change nothing and come out as such. What comes out besides is the
+    difference that the batch makes: a set for each item that was edited and is still, a clear for each
+    that no longer is.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -38,23 +67,56 @@ class EditState(StatefulProcessor):
         self.last = handle.getValueState("last", "seq long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else -1
-        events = pd.concat(list(rows)).sort_values("seq")
-        for e in events[events.seq > last].itertuples():
-            last = int(e.seq)
-            if e.kind == "apply":
-                self.edits.updateValue((int(e.page), int(e.item)), (last, e.text))
-            else:
-                for k in [k for k in self.edits.keys() if e.kind == "discard" or k[0] == e.page]:
-                    self.edits.removeKey(tuple(k))
-        self.last.update((last,))
-        now = [(key[0], k[0], k[1], v[0], v[1]) for k, v in self.edits.iterator()]
-        yield pd.DataFrame(now, columns=["doc_id", "page", "item", "seq", "text"]).astype({"doc_id": "int64", "page": "int32", "item": "int32", "seq": "int64"})
+        last = self.last.get()[0] if self.last.exists() else None
+        events = pd.concat(list(rows))
+        in_time = events.seq.notna() & ((events.seq > last) if last is not None else True)
+        late, events = events[~in_time], events[in_time].sort_values("seq", kind="stable")
+        out = [late.assign(kind="late")]
+        if len(events):
+            self.last.update((int(events.seq.iloc[-1]),))
+            all_cleared = events.seq.where(events.kind == "discard").max()
+            cleared = events[events.kind == "revert"].groupby("page").seq.max()
+            if not pd.isna(all_cleared) or len(cleared):
+                gone = [tuple(k) for k in self.edits.keys() if not pd.isna(all_cleared) or k[0] in cleared.index]
+                for k in gone:
+                    self.edits.removeKey(k)
+                seqs = [int(max(x for x in (all_cleared, cleared.get(page)) if x is not None and not pd.isna(x))) for page, _ in gone]
+                out.append(pd.DataFrame({"kind": "clear", "page": [k[0] for k in gone], "item": [k[1] for k in gone], "seq": seqs, "text": None}))
+            least = events.page.map(cleared).fillna(-1).clip(lower=-1 if pd.isna(all_cleared) else all_cleared)
+            kept = events[(events.kind == "apply") & (events.seq > least)].drop_duplicates(["page", "item"], keep="last")
+            for e in kept.itertuples():
+                self.edits.updateValue((int(e.page), int(e.item)), (int(e.seq), e.text))
+            out.append(kept.assign(kind="set"))
+        changes = pd.concat(out).assign(doc_id=key[0])
+        yield changes[["doc_id", "kind", "page", "item", "seq", "text"]].astype({"doc_id": "Int64", "page": "Int32", "item": "Int32", "seq": "Int64"})
 
     def close(self) -> None:
         pass
 
 
 def stream_edits(events: DataFrame) -> DataFrame:
-    """A stream of edit events -> each touched document's current edits; needs the RocksDB state store."""
-    return events.groupBy("doc_id").transformWithStateInPandas(EditState(), "doc_id long, page int, item int, seq long, text string", "Update", "None")
+    """A stream of edit events(doc_id, seq, kind, page, item, text) -> CHANGE rows: set, clear and late; needs the RocksDB state store."""
+    rows = events.select(F.col("doc_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("page").cast("int"), F.col("item").cast("int"), "text")
+    return rows.groupBy("doc_id").transformWithStateInPandas(EditState(), CHANGE, "Append", "None")
+
+
+def keep_edits(spark: SparkSession, events: DataFrame, table: str, progress: str) -> None:
+    """Takes the events that have come since the last call, and ends: changes are added to `table`, a folder per kind; state and what was taken are kept in `progress`."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        stream = stream_edits(events).writeStream.format("parquet").partitionBy("kind").option("checkpointLocation", progress).outputMode("append")
+        stream.trigger(availableNow=True).start(table).awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def edits_of(changes: DataFrame) -> DataFrame:
+    """CHANGE rows -> each item's edit as it stands: its last change, if that is a set."""
+    last = changes.filter("kind != 'late'").groupBy("doc_id", "page", "item").agg(F.max(F.struct("seq", "kind", "text")).alias("x"))
+    return last.filter("x.kind = 'set'").select("doc_id", "page", "item", "x.seq", "x.text")
+
+
+def late_events(changes: DataFrame) -> DataFrame:
+    """CHANGE rows -> per document how many events came too late, and the first and last of them."""
+    return changes.filter("kind = 'late'").groupBy("doc_id").agg(F.count("*").alias("late"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))

@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.operators import plans, workbook
-from quire.sources import equations, markup, word
+from quire.sources import equations, markup, sheets, slides, word
 from quire.sources import files as S
 from quire.streaming import jobs
 
@@ -81,6 +81,57 @@ def test_workbook_end_to_end(spark):
     assert [r.cells for r in workbook.grid_rows(filled).orderBy("row").collect()] == [["", "one", "007", ""], ["TRUE", "2.5", "", "again"]]
 
 
+def cells_of(spark, entries, size):
+    fragments = sheets.part_fragments(table(spark, entries), r"sheet\d+\.xml$", "row", size=size)
+    cells = workbook.fill_positions(sheets.fragment_cells(fragments).withColumn("sheet_no", F.lit(0)))
+    return {(r.file_id, r.part, r.row, r.col): r.raw_value for r in cells.collect()}, [(r.file_id, r.part) for r in fragments.filter("problem is not null").collect()], fragments.count()
+
+
+def test_sheets_in_fragments_are_the_whole_sheets(spark):
+    ns = 'xmlns:s="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    numbered = {0: 5, 40: 90, 41: 95, 77: 300}
+    rows, want, no = [], {}, 1
+    for i in range(120):
+        no = numbered.get(i, no)
+        r = f' r="{no}"' if i in numbered else ""
+        body = "" if i % 9 == 4 else f"<s:c><s:v>{i}é</s:v></s:c><!-- <row> --><s:c r='F{no}'><s:v><![CDATA[<row/>]]></s:v></s:c><s:c><s:v>x</s:v></s:c>"
+        if body:
+            want |= {("0", "sheet1.xml", no - 1, 0): f"{i}é", ("0", "sheet1.xml", no - 1, 5): "<row/>", ("0", "sheet1.xml", no - 1, 6): "x"}
+        rows.append(f"<s:row{r}>{body}</s:row>")
+        no += 1
+    xml = f"<s:worksheet {ns}><s:dimension/><s:sheetData>{' '.join(rows)}</s:sheetData><s:row><s:c><s:v>no row</s:v></s:c></s:row></s:worksheet>"
+    for size, data in ((1, xml.encode()), (700, xml.encode()), (1 << 20, xml.encode()), (300, b"\xff\xfe" + xml.encode("utf-16-le"))):
+        got, problems, n = cells_of(spark, [("a", archive([("sheet1.xml", data)]))], size)
+        assert got == want and problems == []
+        assert (n > 50) == (size == 1)
+
+
+def test_sheets_that_break_off_give_what_came_before(spark):
+    good = "".join(f"<row><c><v>{i}</v></c></row>" for i in range(9))
+    broken = f"<worksheet><sheetData>{good}<row><c><v>9</c>"
+    book = [("broken", archive([("sheet1.xml", broken), ("sheet2.xml", "<worksheet><sheetData/></worksheet>"), ("sheet3.xml", ""), ("other.xml", "<a>")])), ("no archive", b"PK but none"), ("null", b"")]
+    got, problems, _ = cells_of(spark, book, 20)
+    assert got == {("0", "sheet1.xml", i, 0): str(i) for i in range(9)}
+    assert sorted(problems, key=str) == [("0", "sheet1.xml"), ("0", "sheet3.xml"), ("1", None)]
+
+
+def test_strings_in_fragments(spark):
+    xml = "<sst>" + "".join(f"<si><t>{i} </t></si><si><r><t>a</t></r><r><t>{i}</t></r></si><si/>" for i in range(30)) + "</sst>"
+    got = sheets.fragment_strings(sheets.part_fragments(table(spark, [("a", archive([("xl/sharedStrings.xml", xml)]))]), "sharedStrings", "si", size=64)).collect()
+    assert {r.idx: r.text for r in got} == {i: (f"{i // 3} ", f"a{i // 3}", "")[i % 3] for i in range(90)}
+
+
+def test_rows_are_numbered_across_lots(spark, monkeypatch):
+    monkeypatch.setattr(workbook, "LOT", 7)
+    numbered, rows, no = {3: 10, 4: 11, 30: 200}, [], 0
+    for i in range(60):
+        no = numbered[i] if i in numbered else no + 1
+        rows.append(("f", 0, i, numbered.get(i), i, None, no - 1))
+    frame = spark.createDataFrame(rows, "file_id string, sheet_no int, row_pos int, row_no int, pos long, ref string, want int")
+    out = workbook.fill_positions(frame).collect()
+    assert len(out) == 60 and all(r.row == r.want and r.col == 0 for r in out)
+
+
 def test_docx_reads_inserted_and_deleted_text(spark):
     body = f"""<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p>
 <w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins><w:r><w:t> in</w:t></w:r></w:ins><w:del><w:r><w:t> out</w:t></w:r></w:del>
@@ -172,14 +223,14 @@ def test_documents_that_are_no_xml(spark):
     parts = spark.createDataFrame([("a", "word/document.xml", None), ("b", "word/document.xml", "<w:document>"), ("c", "word/other.xml", "<")], "file_id string, part string, xml string")
     assert sorted((r.file_id, r.kind) for r in word.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
     slides = spark.createDataFrame([("a", 0, None), ("b", 1, "<p")], "file_id string, slide_no int, xml string")
-    assert sorted((r.file_id, r.kind, r.x) for r in S.pptx_elements(slides).collect()) == [("a", "problem", None), ("b", "problem", None)]
+    assert sorted((r.file_id, r.kind, r.x) for r in slides.pptx_elements(slides).collect()) == [("a", "problem", None), ("b", "problem", None)]
 
 
 def test_pptx_boxes(spark):
     a, p = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
     shape = '<p:sp><p:spPr>{}</p:spPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp>'
     xml = f'<p:sld xmlns:a="{a}" xmlns:p="{p}"><p:cSld><p:spTree><p:grpSp>' + shape.format('<a:xfrm><a:off x="12700" y="25400"/><a:ext cx="127000" cy="12700"/></a:xfrm>', "placed") + "</p:grpSp>" + shape.format("", "one") + shape.format("", "two") + "</p:spTree></p:cSld></p:sld>"
-    rows = S.pptx_elements(spark.createDataFrame([("f", 0, xml)], "file_id string, slide_no int, xml string")).orderBy("box_no").collect()
+    rows = slides.pptx_elements(spark.createDataFrame([("f", 0, xml)], "file_id string, slide_no int, xml string")).orderBy("box_no").collect()
     assert [(r.text, r.x, r.y, r.width) for r in rows] == [("placed", 1.0, 2.0, 10.0), ("one", 24.0, 24.0, 672.0), ("two", 24.0, 64.0, 672.0)]
     assert [r.grouped for r in rows] == [True, False, False] and rows[0].paragraphs[0].runs[0].size == 18.0
 
@@ -207,23 +258,36 @@ def test_written_and_read_back(spark, tmp_path):
     assert [r.name for r in S.read_files(spark, str(tmp_path / "in")).orderBy("ord").collect()] == ["2.pdf", "10.pdf"]
 
 
-def test_stream_intake(spark, tmp_path):
+def test_intake_takes_each_file_once(spark, tmp_path):
     for name in ("a.pdf", "b.docx", "c.zip"):
-        (tmp_path / name).write_bytes(b"x")
-    q = jobs.stream_intake(spark, str(tmp_path)).writeStream.format("memory").queryName("intake").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.name: (r.kind, r.accepted, r.reason) for r in spark.table("intake").collect()}
-    assert got == {"a.pdf": ("pdf", True, None), "b.docx": ("docx", False, "other:docx"), "c.zip": ("zip", False, "zip")}
-
-
-def test_stream_edits_agree_with_the_batch(spark, tmp_path):
-    log = [(d, s, "discard" if s % 31 == 0 else "revert" if s % 11 == 0 else "apply", s % 3, s % 5, f"t{s}") for d in (1, 2) for s in range(d, 80, 1)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"x")
+    where = [str(tmp_path / x) for x in ("in", "table", "progress")]
+    jobs.take_in(spark, *where)
+    (tmp_path / "in" / "more").mkdir()
+    (tmp_path / "in" / "more" / "d.xlsx").write_bytes(archive([("a", "b")]))
+    (tmp_path / "in" / "e.txt").write_bytes(b"y")
+    for _ in range(2):
+        jobs.take_in(spark, *where)
+    got = {(r.batch, r.name, r.kind, r.accepted, r.reason, r.verdict) for r in spark.read.parquet(where[1]).collect()}
+    assert got == {
+        (0, "a.pdf", "pdf", True, None, None), (0, "b.docx", "docx", False, "other:docx", "not-zip"), (0, "c.zip", "zip", False, "zip", "not-zip"),
+        (1, "d.xlsx", "xlsx", False, "other:xlsx", "ok"), (1, "e.txt", "other", False, "unknown", None),
+    }
+
+
+def test_edit_stream_agrees_with_the_batch_over_restarts(spark, tmp_path):
     schema = "doc_id long, seq long, kind string, page int, item int, text string"
-    spark.createDataFrame(log, schema).coalesce(1).write.parquet(str(tmp_path / "log"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = []
-    source = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
-    q = jobs.stream_edits(source).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    want = {(r.doc_id, r.page, r.item, r.seq, r.text) for r in plans.current_edits(spark.createDataFrame(log, schema)).collect()}
-    assert {tuple(r) for r in out} == want and want
+    log = [(d, s, "discard" if s % 31 == 0 else "revert" if s % 11 == 0 else "apply", s % 3, s % 5, f"t{s}") for d in (1, 2) for s in range(d, 80)] + [(3, 1, "apply", 0, 0, None), (3, 2, "revert", 1, 0, None)]
+    late = [(1, 7, "discard", 0, 0, None), (2, 77, "apply", 0, 0, "never"), (2, None, "apply", 0, 0, "no place")]
+    parts = [[e for e in log if e[1] < 40], [e for e in log if e[1] >= 40], [*late, (2, 200, "apply", 9, 9, "in time"), (4, 5, "apply", 0, 1, "new")]]
+    where = [str(tmp_path / x) for x in ("log", "changes", "progress")]
+    changes = None
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where[0])
+        jobs.keep_edits(spark, spark.readStream.schema(schema).parquet(where[0]), *where[1:])
+        changes = spark.read.schema(jobs.CHANGE).parquet(where[1])
+    whole = [e for e in [*log, *parts[2]] if e not in late]
+    want = {(r.doc_id, r.page, r.item, r.seq, r.text) for r in plans.current_edits(spark.createDataFrame(whole, schema)).collect()}
+    assert {tuple(r) for r in jobs.edits_of(changes).collect()} == want and len(want) > 5
+    assert {tuple(r) for r in jobs.late_events(changes).collect()} == {(1, 1, 7, 7), (2, 2, 77, 77)}
