@@ -1,17 +1,15 @@
 """Lines, cells, tables, headings and paragraphs from positioned runs of text.
 
-Everything is keyed by page: page-sized groups are the largest that any step gathers. Two folds depend
-on their own decisions (lines by running mean, paragraphs by first indent): a page's rows are gathered in
-order, only the numbers that decide go to a vectorized helper, and the rows are laid out again with what
-it answers. Nothing but the page is ever a key of an exchange, so one exchange serves all steps.
+Everything is keyed by page: page-sized groups are the largest that any step gathers. Two rules depend
+on their own decisions (lines by running mean, paragraphs by first indent): most ends are certain from
+neighbours alone, so pages fall into islands by windows, and only an island that needs it is folded, as
+an expression. Nothing but the page is ever a key of an exchange, so one exchange serves all steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,36 +61,51 @@ def item_boxes(text_items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, "item_no", "size", t[4].alias("left"), (F.col("page_height") - t[5] - F.col("size") * 0.9).alias("top"), width.alias("width"), (F.col("size") * 1.25).alias("height"))
 
 
-def _numbered(df: DataFrame, order: list[str], args: list[str], fold: Callable[..., list[int]], name: str) -> DataFrame:
-    """df and `name`: what fold answers for a page's rows; it gets the columns args, in the order of the columns `order`."""
-    rest = [c for c in df.columns if c not in PAGE]
+def _parted(df: DataFrame, order: list[str], cut: Column, value: str, far: Callable[[Column, Column], Column], fold: Callable[[Column], Column], name: str) -> DataFrame:
+    """df and `name`: numbers from 0 of the parts of a page's rows, in the order of the columns `order`.
+
+    A part always ends where cut says so. Between two cuts lies an island; only in one where some row is
+    `far` from the first may parts end that depend on what came before, and only there fold is asked: it
+    gets the island's values in order and answers with a number for each. Every step is a window over
+    the page, so one exchange serves all of them and nothing leaves the engine.
+    """
+    page = Window.partitionBy(*PAGE).orderBy(*order)
+    held = page.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_cut", F.coalesce(cut, F.lit(True)))
+    out = out.withColumn("_island", F.sum(F.col("_cut").cast("int")).over(held)).withColumn("_first", F.last(F.when(F.col("_cut"), F.struct(value)), ignorenulls=True).over(held)[value])
+    island = Window.partitionBy(*PAGE, "_island").orderBy(*order)
+    whole = island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = out.withColumn("_far", F.coalesce(F.max(far(F.col("_first"), F.col(value))).over(whole), F.lit(False))).withColumn("_at", F.row_number().over(island))
+    out = out.withColumn("_values", F.collect_list(F.when(F.col("_far"), F.col(value))).over(whole))
+    out = out.withColumn("_sub", F.when(F.col("_far"), F.get(fold(F.col("_values")), F.col("_at") - 1)).otherwise(0))
+    along = Window.partitionBy(*PAGE).orderBy("_island", *order)
+    starts = F.col("_cut") | (F.col("_sub") != F.lag("_sub", 1, 0).over(along))
+    out = out.withColumn("_start", starts.cast("int")).withColumn(name, (F.sum("_start").over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    return out.drop("_cut", "_island", "_first", "_far", "_at", "_values", "_sub", "_start")
 
-    @F.pandas_udf("array<int>")
-    def answer(*pages: pd.Series) -> pd.Series:
-        return pd.Series([fold(*columns) for columns in zip(*pages, strict=True)])
 
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(*rest).alias("r"))))
-    pages = df.groupBy(*PAGE).agg(F.transform(rows, lambda x: x["r"]).alias("rows"))
-    pages = pages.withColumn("n", answer(*[F.col("rows")[a] for a in args]))
-    out = pages.select(*PAGE, "n", F.posexplode("rows").alias("at", "r"))
-    return out.select(*PAGE, *[F.col("r")[c].alias(c) for c in rest], F.get("n", F.col("at")).alias(name))
+def _line_numbers(ys: Column) -> Column:
+    """A y joins the open line while it is at most 2 below the line's mean."""
 
+    def take(s: Column, y: Column) -> Column:
+        joins = (s["n"] > 0) & (s["total"] / s["n"] - y <= LINE_TOLERANCE)
+        line = s["line"] + F.when(joins, 0).otherwise(1)
+        return F.struct(F.when(joins, s["total"] + y).otherwise(y).alias("total"), F.when(joins, s["n"] + 1).otherwise(1).alias("n"), line.alias("line"), F.concat(s["out"], F.array(line)).alias("out"))
 
-def _fold_lines(ys: np.ndarray) -> list[int]:
-    line, total, n, numbers = -1, 0.0, 0, []
-    for y in ys:
-        if n and total / n - y <= LINE_TOLERANCE:
-            total, n = total + y, n + 1
-        else:
-            line, total, n = line + 1, y, 1
-        numbers.append(line)
-    return numbers
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(ys, start, take, lambda s: s["out"])
 
 
 def assign_lines(runs: DataFrame) -> DataFrame:
-    """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean."""
+    """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean.
+
+    A step of more than 2 from one run to the next always ends a line, and runs that are all within 2 of
+    the first are one; only stretches in between that sink further need the mean.
+    """
     cols = runs.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("item_no").cast("int"), "text", "x", "y", "width", "height", (-F.col("y")).alias("down"))
-    return _numbered(cols, ["down", "x", "item_no"], ["y"], _fold_lines, "line_no").drop("down")
+    order = ["down", "x", "item_no"]
+    step = F.lag("y").over(Window.partitionBy(*PAGE).orderBy(*order)) - F.col("y") > LINE_TOLERANCE
+    return _parted(cols, order, step, "y", lambda first, y: first - y > LINE_TOLERANCE, _line_numbers, "line_no").drop("down")
 
 
 def _in_line() -> Window:
@@ -162,28 +175,31 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return out.drop("_n", "_island", "row")
 
 
-def _fold_paragraphs(kinds: np.ndarray, ys: np.ndarray, lefts: np.ndarray, bodies: np.ndarray, ends: np.ndarray) -> list[int]:
-    spacing, indent, before, ended, number, numbers = 0.0, None, None, False, -1, []
-    for kind, y, left, body, end in zip(kinds, ys, lefts, bodies, ends, strict=True):
-        if kind != "body":
-            indent, before, ended = None, None, False
-            numbers.append(-1)
-            continue
-        gap = before - y if before is not None else 0.0
-        if gap > 0:
-            spacing = spacing or gap
-        wide = spacing > 0 and gap > spacing * PARAGRAPH_GAP and gap > body * 1.25
-        if indent is None or wide or ended or abs(left - indent) > body * INDENT:
-            number, indent = number + 1, left
-        before, ended = y, end
-        numbers.append(number)
-    return numbers
+def _indents(lefts: Column) -> Column:
+    """A line that stands further from its paragraph's first line than an indent begins the next; lefts are in indents."""
+
+    def take(s: Column, left: Column) -> Column:
+        stays = F.abs(left["left"] - s["first"]) <= left["most"]
+        part = s["part"] + F.when(F.coalesce(stays, F.lit(False)), 0).otherwise(1)
+        return F.struct(F.when(stays, s["first"]).otherwise(left["left"]).alias("first"), part.alias("part"), F.concat(s["out"], F.array(part)).alias("out"))
+
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lefts, start, take, lambda s: s["out"])
 
 
 def assign_paragraphs(lines: DataFrame) -> DataFrame:
     """classified lines and paragraph (-1 for others): broken by a wide gap, an ended sentence or another indent than the first line's."""
-    rows = lines.withColumn("ends", F.col("text").rlike(SENTENCE_END))
-    return _numbered(rows, ["line_no"], ["kind", "y", "left", "body", "ends"], _fold_paragraphs, "paragraph").drop("ends")
+    page = Window.partitionBy(*PAGE).orderBy("line_no")
+    body = F.col("kind") == "body"
+    rows = lines.withColumn("_after", F.coalesce(F.lag("kind").over(page) == "body", F.lit(False)) & body)
+    rows = rows.withColumn("_gap", F.when(F.col("_after"), F.lag("y").over(page) - F.col("y")).otherwise(0.0))
+    spacing = F.coalesce(F.first(F.when(F.col("_gap") > 0, F.col("_gap")), ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    wide = (spacing > 0) & (F.col("_gap") > spacing * PARAGRAPH_GAP) & (F.col("_gap") > F.col("body") * 1.25)
+    ended = F.coalesce(F.lag(F.col("text").rlike(SENTENCE_END)).over(page), F.lit(False))
+    rows = rows.withColumn("_breaks", ~F.col("_after") | wide | ended).withColumn("_indent", F.struct("left", (F.col("body") * INDENT).alias("most"))).drop("_after", "_gap")
+    rows = _parted(rows, ["line_no"], F.col("_breaks") | ~body, "_indent", lambda first, own: F.abs(own["left"] - first["left"]) > own["most"], _indents, "_part")
+    begins = F.coalesce(F.col("_part") != F.lag("_part").over(page), F.lit(True)) & body
+    return rows.withColumn("_begins", begins).withColumn("paragraph", F.when(body, F.sum(F.col("_begins").cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)) - 1).otherwise(-1).cast("int")).drop("_breaks", "_indent", "_part", "_begins")
 
 
 def page_blocks(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -96,3 +97,65 @@ def test_item_boxes(spark):
     r = T.item_boxes(source, pages).first()
     assert (r.size, r.left, r.top, r.width, r.height) == (10.0, 10.0, 91.0, 20.0, 12.5)
     assert T.reading_order(T.text_runs(source)).select(F.col("text")).first()[0] == "abcd"
+
+
+def looped_lines(ys):
+    line, total, n, numbers = -1, 0.0, 0, []
+    for y in ys:
+        if n and total / n - y <= 2.0:
+            total, n = total + y, n + 1
+        else:
+            line, total, n = line + 1, y, 1
+        numbers.append(line)
+    return numbers
+
+
+def looped_paragraphs(rows):
+    spacing, indent, before, ended, number, numbers = 0.0, None, None, False, -1, []
+    for kind, y, left, body, text in rows:
+        if kind != "body":
+            indent, before, ended = None, None, False
+            numbers.append(-1)
+            continue
+        gap = before - y if before is not None else 0.0
+        spacing = spacing or max(gap, 0.0)
+        if indent is None or (spacing > 0 and gap > spacing * 1.5 and gap > body * 1.25) or ended or abs(left - indent) > body * 0.8:
+            number, indent = number + 1, left
+        before, ended = y, text.endswith(".")
+        numbers.append(number)
+    return numbers
+
+
+def test_jittered_pages_agree_with_a_plain_loop(spark):
+    rng = random.Random(3)
+    pages = {}
+    for page in range(40):
+        y, rows = 780.0, []
+        for i in range(rng.randint(1, 60)):
+            y -= rng.choice([0.0, 0.5, 0.9, 1.9, 2.0, 2.1, 14.0]) * rng.choice([1.0, 1.0, 0.37])
+            rows.append((1, page, i, "w", 10.0 * i, y, 5.0, 10.0))
+        pages[page] = rows
+    frame = spark.createDataFrame([r for rows in pages.values() for r in rows], "doc_id long, page_no int, item_no int, text string, x double, y double, width double, height double")
+    got = {(r.page_no, r.item_no): r.line_no for r in T.assign_lines(frame).collect()}
+    assert got == {(page, r[2]): n for page, rows in pages.items() for r, n in zip(rows, looped_lines([r[5] for r in rows]), strict=True)}
+    assert max(max(n.values()) for n in [Counter(looped_lines([r[5] for r in rows])) for rows in pages.values()]) > 3
+
+
+def test_shifted_lines_agree_with_a_plain_loop(spark):
+    rng = random.Random(4)
+    pages = {}
+    for page in range(40):
+        y, rows = 780.0, []
+        for i in range(rng.randint(1, 40)):
+            y -= rng.choice([12.0, 12.0, 12.0, 19.0, 40.0, 0.0])
+            rows.append((1, page, i, rng.choice(["body"] * 8 + ["heading", "table"]), y, 50.0 + rng.choice([0.0, 0.0, 5.0, 7.9, 8.0, 8.1, 16.0]), 10.0, rng.choice(["on"] * 6 + ["end."])))
+        pages[page] = rows
+    frame = spark.createDataFrame([r for rows in pages.values() for r in rows], "doc_id long, page_no int, line_no int, kind string, y double, left double, body double, text string")
+    got = {(r.page_no, r.line_no): r.paragraph for r in T.assign_paragraphs(frame).collect()}
+    assert got == {(page, r[2]): n for page, rows in pages.items() for r, n in zip(rows, looped_paragraphs([r[3:] for r in rows]), strict=True)}
+
+
+def test_no_python_stands_between_items_and_blocks(spark):
+    plan = T.structure(items(spark, row(["a", "b"], 700.0)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
