@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import cell_text, parse_cell_ref
+from quire.operators.ranks import numbered
 
 # Limits of grids, widths and pages.
 MAX_GRID_COLUMNS, MAX_GRID_ROWS = 200, 5000
@@ -111,10 +112,11 @@ def output_widths(grid: DataFrame) -> DataFrame:
 def shared_strings(cells: DataFrame) -> DataFrame:
     """cells(file_id, sheet_no, pos, text) -> each file's distinct strings in first-use order, with references.
 
-    Counted per string first, so that only distinct strings are numbered.
+    Counted per string first, so that only distinct strings are numbered; those of one giant workbook are
+    numbered by ranges.
     """
     found = cells.filter("text != ''").groupBy("file_id", "text").agg(F.min(F.struct("sheet_no", "pos")).alias("_first"), F.count("*").alias("refs"))
-    return found.withColumn("idx", F.row_number().over(Window.partitionBy("file_id").orderBy("_first", "text")) - 1).drop("_first")
+    return numbered(found, ["file_id"], ["_first", "text"], "idx").drop("_first")
 
 
 def dictionary_totals(strings: DataFrame) -> DataFrame:
