@@ -144,19 +144,23 @@ def _heads(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
     return shared.groupBy("b").agg(F.min(F.struct(-F.col("bands"), "a")).alias("h")).select("h.a", "b")
 
 
-def crossing_pairs(members: DataFrame, percent: int, least_equal: float, block: int = 1024) -> DataFrame:
-    """members(band, g, low, high, prints) -> pairs (a, b) of groups that share a bucket and may link.
-
-    prints is null where a group has several texts in the bucket. Buckets are compared inside tasks;
-    one of more than `block` groups is cut in blocks, and each pair of blocks is compared on its own.
-    Groups of one text whose signatures agree in less than least_equal of their places are no candidates.
+def _dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """rows(band, ...) dealt for comparison inside each band: blocks of about `block` rows by a hash of `by`, and a task for each pair of blocks, which gets both. Sorted by band and task; right: the second block's; both: one block with itself."""
+    loads = rows.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band", F.ceil(F.col("k") / block).alias("blocks"))
+    out = rows.join(loads, "band").withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    out = out.select(*rows.columns, task.alias("task"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("both"))
+    return out.repartition("band", "task").sortWithinPartitions("band", "task", "right", by)
+
+
+def crossing_pairs(members: DataFrame, percent: int, least_equal: float, block: int = 1024, dense: int = 4) -> DataFrame:
+    """members(band, g, low, high, prints) -> (a, b, band): pairs of groups that share a bucket and may link; or a band alone, where they are too many to be told.
+
+    prints is null where a group has several texts in the bucket. Groups of one text whose signatures
+    agree in less than least_equal of their places are no candidates. A task that finds more than `dense`
+    pairs a row gives its bucket's band instead: such a bucket is compared by crossing_links.
     """
-    loads = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band", F.ceil(F.col("k") / block).alias("blocks"))
-    rows = members.join(loads, "band").withColumn("own", F.pmod(F.xxhash64("g"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select("band", pair.alias("task"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("both"), "g", "low", "high", "prints")
-    sorted_ = rows.repartition("band", "task").sortWithinPartitions("band", "task", "right", "g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["band", "task"], 1 << 14):
@@ -166,12 +170,11 @@ def crossing_pairs(members: DataFrame, percent: int, least_equal: float, block:
             prints = np.zeros((len(g), ROWS * BANDS), np.uint16)
             if single.any():
                 prints[single] = np.frombuffer(b"".join(table["prints"].drop_null().to_pylist()), np.uint16).reshape(-1, ROWS * BANDS)
-            ends = np.append(np.flatnonzero((band[1:] != band[:-1]) | (task[1:] != task[:-1])) + 1, len(g))
-            end = ends[np.searchsorted(ends, np.arange(len(g)), "right")]
-            later = end - np.arange(len(g)) - 1
-            found = [np.zeros((2, 0), np.int64)]
-            upto = np.cumsum(later)
-            at = 0
+            starts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (task[1:] != task[:-1])))
+            ends = np.append(starts[1:], len(g))
+            run = np.repeat(np.arange(len(starts)), ends - starts)
+            later = ends[run] - np.arange(len(g)) - 1
+            upto, at, found = np.cumsum(later), 0, [np.zeros((2, 0), np.int64)]
             while at < len(g):
                 to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), "right")))
                 a = np.repeat(np.arange(at, to), later[at:to])
@@ -182,12 +185,76 @@ def crossing_pairs(members: DataFrame, percent: int, least_equal: float, block:
                 for i in range(0, len(a), 1 << 16):
                     x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
                     near[i : i + (1 << 16)] = ~(single[x] & single[y]) | ((prints[x] == prints[y]).mean(axis=1) >= least_equal)
-                found.append(np.stack([np.minimum(g[a[near]], g[b[near]]), np.maximum(g[a[near]], g[b[near]])]))
+                found.append(np.stack([a[near], b[near]]))
                 at = to
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            a, b = np.concatenate(found, axis=1)
+            many = np.bincount(run[a], minlength=len(starts)) > dense * (ends - starts)
+            few = ~many[run[a]]
+            pairs = np.unique(np.sort(np.stack([g[a[few]], g[b[few]]]), axis=0), axis=1)
+            bands = np.unique(band[starts[many]])
+            none = pa.nulls(len(bands), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[0]), none]), pa.concat_arrays([pa.array(pairs[1]), none]), pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(bands)])], ["a", "b", "band"])
+
+    return _dealt(members, "g", block).mapInArrow(compare, "a long, b long, band long").distinct()
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs (a, b) that connect all that the pairs connect, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append(i)
+    return np.array(kept, np.int64)
 
-    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+
+def crossing_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """rows(band, doc_id, g) -> links between texts of different groups in a band: a, b, overlap, a_size, b_size.
+
+    Whole sets are compared inside tasks, block by block, as products of 0-1 matrices; a task gives links
+    that connect the groups it finds linked, fewer than its rows.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["band", "task"], block):
+            keys = [table[c].to_numpy() for c in ("band", "task")]
+            starts = np.flatnonzero(np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])))
+            for lo, hi in zip(starts, np.append(starts[1:], len(keys[0])), strict=True):
+                part = table.slice(lo, hi - lo).combine_chunks()
+                doc, g, n = (part[c].to_numpy() for c in ("doc_id", "g", "n"))
+                right, both = (part[c].to_numpy(zero_copy_only=False) for c in ("right", "both"))
+                tokens = part["tokens"].combine_chunks()
+                _, column, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+                row = np.repeat(np.arange(len(n)), np.diff(tokens.offsets.to_numpy()))
+                shared = times[column] > 1
+                row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+                order = np.argsort(column, kind="stable")
+                row, column = row[order], column[order]
+                overlap = np.zeros((len(n), len(n)), np.float32)
+                for first in range(0, int(column.max(initial=-1)) + 1, 4096):
+                    i, j = np.searchsorted(column, (first, first + 4096))
+                    x = np.zeros((len(n), 4096), np.float32)
+                    x[row[i:j], column[i:j] - first] = 1
+                    overlap += x @ x.T
+                near = np.triu(overlap * (100 + percent) >= percent * (n[:, None] + n[None, :]), 1) & (g[:, None] != g[None, :]) & (both[:, None] | (right[:, None] != right[None, :]))
+                a, b = np.nonzero(near)
+                if len(a):
+                    kept = _spanning(g[a], g[b])
+                    a, b = a[kept], b[kept]
+                    a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+                    cols = (doc[a], doc[b], overlap[a, b].astype(np.int64), n[a], n[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "overlap", "a_size", "b_size"])
+
+    dealt = _dealt(rows.join(sets, "doc_id").select("band", "doc_id", "g", "n", "tokens"), "doc_id", block)
+    return dealt.mapInArrow(compare, "a long, b long, overlap long, a_size long, b_size long").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, turns: int = 4) -> Grouped:
@@ -197,9 +264,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, turns: in
     shingle; null and blank texts have none and link with nothing. Texts equal in shingles are one class,
     known by its smallest doc_id; component_id is the smallest doc_id reachable. A candidate shares one of
     26 bands of 5 places; links are confirmed on whole sets. Near copies first hang on heads of their
-    buckets, in up to `turns` turns; then only what lies in different groups is compared, so links is a
-    spanning set: it connects all classes of a group and holds at most one link between two groups made
-    by the turns. Rows that share a doc_id are one node; a row with a null doc_id is counted but links with nothing and
+    buckets, in up to `turns` turns; then only what lies in different groups is compared: pair by pair
+    where few share a bucket, and inside tasks, set against set, where many do. So links is a spanning
+    set: it connects all classes of a group, and their number grows with the rows. Rows that share a doc_id are one node; a row with a null doc_id is counted but links with nothing and
     has a null component_id. Empty tables give empty results; other columns are ignored.
     """
     keys = stored(signed_sets(docs, n), "minhash-signed")
@@ -227,8 +294,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, turns: in
     members = members.join(prints, "doc_id").select("band", "g", "low", "high", F.when(F.col("doc_id") == F.col("last"), F.col("prints")).alias("prints"))
     spread = (percent / 100 * (1 - percent / 100) / (ROWS * BANDS)) ** 0.5
     pairs = stored(crossing_pairs(members, percent, percent / 100 - 5 * spread), "minhash-pairs")
-    bridges = stored(_linked_across(pairs, sets, gathered, percent), "minhash-bridges")
-    links = links.unionByName(bridges)
+    links = links.unionByName(stored(_linked_across(pairs.filter("band is null").select("a", "b"), sets, gathered, percent), "minhash-bridges"))
+    dense = pairs.filter("band is not null").select("band")
+    if not dense.isEmpty():
+        links = links.unionByName(stored(crossing_links(grouped.join(dense, "band").select("band", "doc_id", "g"), sets, percent), "minhash-dense"))
     groups = connected_components(links.select("a", "b"))
 
     rows = keys.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")

@@ -204,7 +204,35 @@ def test_large_buckets_are_compared_in_blocks(spark):
     members = spark.createDataFrame(rows, "band long, g long, low long, high long, prints binary")
     want = {(a, b) for a in range(40) for b in range(a + 1, 40) if b == 39 or print_of(a) == print_of(b)}
     for block in (3, 8, 1024):
-        assert {tuple(r) for r in minhash.crossing_pairs(members, 80, 0.7, block=block).collect()} == want
+        assert {(r.a, r.b) for r in minhash.crossing_pairs(members, 80, 0.7, block=block, dense=1000).collect()} == want
+    assert [tuple(r) for r in minhash.crossing_pairs(members, 80, 0.7, dense=1).collect()] == [(None, None, 5)]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_dense_buckets_give_links_that_connect_what_all_pairs_connect(spark, block):
+    rng = random.Random(8)
+    sets = {i: sorted(rng.sample(range(40), 30)) for i in range(60)}
+    groups = {i: min(i, 20) for i in sets}  # the last forty are one group already
+    rows = [(band, i, groups[i]) for i in sets for band in (1, 2)]
+    frame = spark.createDataFrame([(i, len(t), t) for i, t in sets.items()], "doc_id long, n long, tokens array<long>")
+    out = minhash.crossing_links(spark.createDataFrame(rows, "band long, doc_id long, g long"), frame, 68, block=block).collect()
+    assert all(len(set(sets[r.a]) & set(sets[r.b])) == r.overlap and 100 * r.overlap >= 68 * (60 - r.overlap) and groups[r.a] != groups[r.b] for r in out)
+
+    def parts(pairs):
+        least = {g: g for g in groups.values()}
+
+        def find(g):
+            while least[g] != g:
+                g = least[g]
+            return g
+
+        for a, b in pairs:
+            p, q = find(groups[a]), find(groups[b])
+            least[max(p, q)] = min(p, q)
+        return {g: find(g) for g in least}
+
+    every = [(a, b) for a in sets for b in sets if a < b and groups[a] != groups[b] and 100 * (k := len(set(sets[a]) & set(sets[b]))) >= 68 * (60 - k)]
+    assert parts(every) == parts([(r.a, r.b) for r in out]) and len(set(parts(every).values())) > 1
 
 
 def test_near_duplicates_of_an_empty_table(spark):
