@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from quire.functions.scalars import HELVETICA_DIGIT, OUTSIDE_LATIN, is_image, is_pdf, natural_key, office_kind, page_file_name
 
@@ -253,25 +251,31 @@ def dedupe_images(images: DataFrame) -> DataFrame:
     return r.join(media, ["doc_id", "signature"]).select("doc_id", "ref_no", "signature", "media_no")
 
 
-@F.pandas_udf(BooleanType())
-def xml_parses(xml: pd.Series) -> pd.Series:
-    """Whether a part is well-formed XML; null where there is none to read."""
+#: What cannot stand in a part that is read to its end, by the way it fails.
+XML_FAULTS = ("empty", "truncated", "badly nested")
+_ROOT, _BEHIND = r"^(?:<\?[\s\S]*?\?>|<!--[\s\S]*?-->|\s)*<([^\s/><?!]+)", r"(?:\s|<!--(?:(?!-->)[\s\S])*-->|<\?(?:(?!\?>)[\s\S])*\?>)*$"
 
-    def good(text: str | None) -> bool | None:
-        if text is None:
-            return None
-        try:
-            ElementTree.fromstring(text)
-        except (ElementTree.ParseError, ValueError):
-            return False
-        return True
 
-    return xml.map(good).astype("boolean")
+def xml_fault(xml: Column) -> Column:
+    """Why a part is no well-formed XML, as Spark's XML reader finds it; null if it is.
+
+    Empty: null, or nothing but white space. Truncated: the text does not end as its first element has
+    to. Badly nested: it does, and still cannot be read. Text or another element behind the first counts
+    as truncated; document types with entities are refused, as packages may not hold any.
+    """
+    text = F.regexp_replace(xml, "^\ufeff", "")
+    unread = F.from_xml(text, "_unread string", {"columnNameOfCorruptRecord": "_unread", "mode": "PERMISSIVE"})["_unread"].isNotNull()
+    body = F.regexp_replace(text, _BEHIND, "")
+    root = F.regexp_extract(text, _ROOT, 1)
+    closed = F.when(body.endswith("/>"), F.position(F.lit("<"), F.substr(body, F.position(F.concat(F.lit("<"), root), body) + 1)) == 0).otherwise(F.rlike(body, F.concat(F.lit("</"), F.regexp_replace(root, r"([^\w:-])", r"\\$1"), F.lit(r"\s*>$"))))
+    ends = (root != "") & (F.coalesce(closed, F.lit(False)))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*$"), XML_FAULTS[0]).when(~ends, XML_FAULTS[1]).when(unread, XML_FAULTS[2])
 
 
 def verify_package(parts: DataFrame, characters: DataFrame) -> DataFrame:
-    """parts(file_id, part, xml) and characters(file_id, characters) -> ok: four parts, all XML readable, some text."""
-    parts = parts.withColumn("parses", F.coalesce(xml_parses(F.col("xml")), F.lit(False)))
-    seen = parts.filter(~F.col("part").endswith("/")).groupBy("file_id").agg(F.count("*").alias("parts"), F.bool_and(F.col("parses") | ~F.col("part").rlike(r"(?i)\.(xml|rels)$")).alias("readable"))
+    """parts(file_id, part, xml) and characters(file_id, characters) -> ok: four parts, all XML readable, some text; and how many parts fail in which way."""
+    fault = F.when(F.col("part").rlike(r"(?i)\.(xml|rels)$"), xml_fault(F.col("xml")))
+    told = [F.count_if(F.col("_fault") == f).alias(f.replace(" ", "_")) for f in XML_FAULTS]
+    seen = parts.filter(~F.col("part").endswith("/")).withColumn("_fault", fault).groupBy("file_id").agg(F.count("*").alias("parts"), (F.count("_fault") == 0).alias("readable"), *told)
     out = seen.join(characters, "file_id", "left").na.fill(0, ["characters"])
     return out.withColumn("ok", (F.col("parts") >= 4) & F.col("readable") & (F.col("characters") > 0))

@@ -290,11 +290,13 @@ def slide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("file_id", "slide_no", "box_no", "grouped", "x", "y", "width", "height", "text")
 
 
-@query("SELECT page_id::VARCHAR AS file_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 4 END::BIGINT AS parts, page_id % 5 <> 1 AS readable, CASE WHEN page_id % 4 = 2 THEN 0 ELSE strlen(url) END::BIGINT AS characters, page_id % 7 <> 0 AND page_id % 5 <> 1 AND page_id % 4 <> 2 AND strlen(url) > 0 AS ok FROM pages")
+@query("""SELECT page_id::VARCHAR AS file_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 4 END::BIGINT AS parts, page_id % 5 > 2 AS readable, (page_id % 5 = 0)::BIGINT AS empty, (page_id % 5 = 1)::BIGINT AS truncated, (page_id % 5 = 2)::BIGINT AS badly_nested,
+  CASE WHEN page_id % 4 = 2 THEN 0 ELSE strlen(url) END::BIGINT AS characters, page_id % 7 <> 0 AND page_id % 5 > 2 AND page_id % 4 <> 2 AND strlen(url) > 0 AS ok FROM pages""")
 def verified_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package per page, of three or four parts, with XML that parses or doesn't, and with text or without."""
+    """A package per page, of three or four parts, one of them empty, cut off, badly nested or whole, with text or without."""
     key = F.col("page_id")
-    bad = F.when(key % 5 == 1, F.lit("<a><b></a>")).otherwise(F.concat(F.lit("<a>"), S.xml_escape(F.col("url")), F.lit("</a>")))
+    whole = F.concat(F.lit("<a><b>"), S.xml_escape(F.coalesce("url", F.lit(""))), F.lit("</b></a>"))
+    bad = F.when(key % 5 == 0, F.lit(" \n")).when(key % 5 == 1, F.substr(whole, F.lit(1), F.length(whole) - 2)).when(key % 5 == 2, F.replace(whole, F.lit("</b></a>"), F.lit("</c></a>"))).otherwise(whole)
     parts = [F.struct(F.lit(n).alias("part"), x.alias("xml")) for n, x in (("a.xml", bad), ("_rels/.rels", F.lit("<r/>")), ("media/image.png", F.lit(None).cast("string")), ("b.xml", F.when(key % 7 != 0, F.lit("<c/>"))))]
     p = I.table(spark, sf_dir, "pages").withColumn("file_id", key.cast("string"))
     each = p.select("file_id", "page_id", F.explode(F.array(*parts)).alias("x")).select("file_id", "page_id", "x.*").filter("part != 'b.xml' or page_id % 7 != 0").drop("page_id")

@@ -222,8 +222,8 @@ def test_markup_too_deep_is_a_problem(spark):
 def test_documents_that_are_no_xml(spark):
     parts = spark.createDataFrame([("a", "word/document.xml", None), ("b", "word/document.xml", "<w:document>"), ("c", "word/other.xml", "<")], "file_id string, part string, xml string")
     assert sorted((r.file_id, r.kind) for r in word.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
-    slides = spark.createDataFrame([("a", 0, None), ("b", 1, "<p")], "file_id string, slide_no int, xml string")
-    assert sorted((r.file_id, r.kind, r.x) for r in slides.pptx_elements(slides).collect()) == [("a", "problem", None), ("b", "problem", None)]
+    decks = spark.createDataFrame([("a", 0, None), ("b", 1, "<p")], "file_id string, slide_no int, xml string")
+    assert sorted((r.file_id, r.kind, r.x) for r in slides.pptx_elements(decks).collect()) == [("a", "problem", None), ("b", "problem", None)]
 
 
 def test_pptx_boxes(spark):
@@ -291,3 +291,17 @@ def test_edit_stream_agrees_with_the_batch_over_restarts(spark, tmp_path):
     want = {(r.doc_id, r.page, r.item, r.seq, r.text) for r in plans.current_edits(spark.createDataFrame(whole, schema)).collect()}
     assert {tuple(r) for r in jobs.edits_of(changes).collect()} == want and len(want) > 5
     assert {tuple(r) for r in jobs.late_events(changes).collect()} == {(1, 1, 7, 7), (2, 2, 77, 77)}
+
+
+def test_faults_of_xml_parts_are_told_apart(spark):
+    cases = {
+        "<a/>": None, " <!-- c --><?p x?><a>x</a> \n<!-- d -->": None, '<?xml version="1.0"?><x:a xmlns:x="u"><b/></x:a >': None, "﻿<a.b><![CDATA[<]]></a.b>": None, '<a b="<"/>'.replace("<\"", "&lt;\""): None,
+        "": "empty", " \n": "empty", "<a>": "truncated", "<a><b/>": "truncated", "<a/": "truncated", "<a><b>text</b></": "truncated", "<a>x</a>trailing": "truncated", "<a></a><b/>": "truncated", "text": "truncated",
+        "<a><b></a>": "badly nested", "<a><b></c></a>": "badly nested", "<a>&bad;</a>": "badly nested", '<a b="1" b="2"/>': "badly nested", "<a>\x01</a>": "badly nested",
+    }
+    frame = spark.createDataFrame([(c, w) for c, w in cases.items()] + [(None, "empty")], "xml string, want string")
+    got = frame.select("xml", "want", plans.xml_fault(F.col("xml")).alias("got")).collect()
+    assert [(r.xml, r.got) for r in got] == [(r.xml, r.want) for r in got]
+    parts = frame.select(F.lit("f").alias("file_id"), F.lit("a.xml").alias("part"), "xml")
+    out = plans.verify_package(parts, parts.select("file_id", F.lit(1).alias("characters")).distinct())
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and not out.first().ok
