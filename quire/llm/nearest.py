@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 2
     vec_id, within windows and between them; scores are sums in double precision over the given
     components. Vectors null, zero or with null or non-finite components take no part, nor do those with
     another number of components than most have, nor rows without vec_id; of rows that share a vec_id
-    each is a candidate. A query with fewer than k candidates gets them all; empty tables stay empty;
+    each is a candidate, and a query of its own where the id is a query's. A query with fewer than k candidates gets them all; empty tables stay empty;
     other columns are ignored.
     """
     good = vectors.select("vec_id", F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & _usable(F.col("v")))
@@ -128,9 +128,9 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 2
     width, rows, squares = sizes[0] if sizes else (1, 1, 1.0)
     scale = max((squares / rows / width) ** 0.5, 1e-30)
     good = good.filter(F.size("v") == width).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
-    good = stored(good, "nearest-vectors")
+    good = stored(good.withColumn("row", F.monotonically_increasing_id()), "nearest-vectors")
     is_query = F.col("vec_id") % every == 0
-    ids = good.select("k1", "k2", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    ids = good.select("k1", "k2", "vec_id", "row").withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id", "row"))).filter(F.col("r") <= k + 1)
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.max(is_query).alias("asks"), F.first("v").alias("v"))
     points = stored(classes.select("k1", "k2", F.xxhash64("k1", "k2").alias("point"), "least", "asks", "v"), "nearest-points")
     half = max(least_window, int(share * points.count())) // 2
@@ -163,9 +163,9 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 2
     merged = merged.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "least"))).filter(F.col("r") <= k + 1)
     scored = merged.join(points.select("point", "k1", "k2", "v"), "point").join(points.select(F.col("point").alias("asker"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("v").alias("w")), "asker")
     scored = scored.select("q1", "q2", "k1", "k2", _dot("w", "v").alias("score"))
-    hits = scored.join(ids.select("k1", "k2", "vec_id"), ["k1", "k2"])
-    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    askers = good.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
-    answers = askers.join(hits.select("q1", "q2", "vec_id", "score", "r"), ["q1", "q2"]).filter("vec_id != query_id")
-    answers = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).filter(F.col("rank") <= k)
+    hits = scored.join(ids.select("k1", "k2", "vec_id", "row"), ["k1", "k2"])
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id", "row"))).filter(F.col("r") <= k + 1)
+    askers = good.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("asker"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
+    answers = askers.join(hits.select("q1", "q2", "vec_id", "row", "score", "r"), ["q1", "q2"]).filter("row != asker")
+    answers = answers.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("r"))).filter(F.col("rank") <= k)
     return answers.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

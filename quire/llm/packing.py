@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -236,16 +236,27 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     return [b for b in bins if b]
 
 
+def _placed(pieces: DataFrame, pieces_per_shard: int) -> DataFrame:
+    """pieces with _shard: runs of pieces_per_shard rows in the order in which they come. Only the number of rows of each partition is summed up."""
+    pieces = pieces.withColumn("_part", F.shiftright("_place", 33))
+    counts = pieces.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return pieces.join(counts.select("_part", before.alias("_before")), "_part").withColumn("_shard", F.floor(at / pieces_per_shard))
+
+
 def pack(pieces: DataFrame, *, capacity: int = 4096, pieces_per_shard: int = 20000) -> DataFrame:
     """pieces(doc_id, piece, length, ...) -> pieces and sequence_id, offset.
 
-    Every length must be 1 to capacity. Shards get pieces by a hash of the whole row, so equal rows meet,
-    and there is nothing that one document, source or length could make large. Offsets are gapless from
-    0; sequence ids are unique, not consecutive. Empty tables stay empty.
+    Every length must be 1 to capacity. Shards are runs of pieces_per_shard rows (2**20 at most) in the
+    order in which the rows come, so no key, document or source can make one large, and what comes in a
+    certain mix is packed in that mix. Offsets are gapless from 0; sequence ids are unique and follow the
+    shards' order. Equal rows are packed as often as they come; empty tables stay empty.
     """
-    shards = max(1, -(-pieces.count() // pieces_per_shard))
-    schema = pieces.schema
-    rest = [c for c in pieces.columns]
+    rest = [c for c in pieces.columns if c != "_place"]
+    if "_place" not in pieces.columns:
+        pieces = stored(pieces.withColumn("_place", F.monotonically_increasing_id()), "packing-places")
+    schema = pieces.select(*rest).schema
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.select(rest).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])  # reruns agree
@@ -255,20 +266,20 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, pieces_per_shard: int = 200
         for k, items in enumerate(bins):
             sequence[items] = k
             offset[items] = np.cumsum(lengths[items]) - lengths[items]
-        return rows.append_column("sequence_id", pa.array(sequence * shards + key[0].as_py())).append_column("offset", pa.array(offset))
+        return rows.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 20))).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_shard").applyInArrow(run, out)
+    return _placed(pieces, pieces_per_shard).groupBy("_shard").applyInArrow(run, out)
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    One row per piece of each row of docs; see token_pieces and pack. Repeated rows are packed as often
-    as they come, null doc_ids stay null, and other columns are ignored.
+    One row per piece of each row of docs; see token_pieces and pack. Documents are packed with those
+    that stand near them in docs. Repeated rows are packed as often as they come, null doc_ids stay
+    null, and other columns are ignored.
     """
     ids = token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, end_id)
-    pieces = stored(ids.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "packing-pieces")
+    pieces = stored(ids.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias("_place")), "packing-pieces")
     return pack(pieces, capacity=capacity)
 

@@ -8,9 +8,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from quire.llm import minhash, search, spelling
+from quire.llm import minhash, mixing, nearest, packing, search, spelling
 from quire.llm.shingles import shingle_sets
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -238,3 +239,44 @@ def test_dense_buckets_give_links_that_connect_what_all_pairs_connect(spark, blo
 def test_near_duplicates_of_an_empty_table(spark):
     out = minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert out.documents.collect() == [] == out.links.collect()
+
+
+def test_vectors_that_share_an_id_are_queries_and_candidates_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i // 2, rng.standard_normal(8).astype(np.float32).tolist(), i, 0) for i in range(120)]  # every id twice
+    rows += [(40, rows[80][1], 200, 0), (7, rows[80][1], 201, 0)]  # and one vector three times, twice under one id
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row long, asker int")
+    got = nearest.nearest(frame, every=20, k=5).collect()
+    want = Counter()
+    for i, (q, v, *_) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-float(sum(float(a) * float(b) for a, b in zip(v, w, strict=True))), other) for j, (other, w, *_) in enumerate(rows) if j != i)
+            want.update((q, r + 1, other) for r, (_, other) in enumerate(scored[:5]))
+    assert Counter((r.query_id, r.rank, r.vec_id) for r in got) == want
+
+
+def test_packing_deals_runs_of_rows_whatever_their_keys(spark):
+    rows = [(None, 0, 0, 1 + i % 50) for i in range(3000)] + [(i, 0, 0, 1 + i % 70) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").repartition(7)
+    out = packing.pack(frame, capacity=100, pieces_per_shard=500).collect()
+    shards = Counter(r.sequence_id >> 20 for r in out)
+    assert sorted(shards) == list(range(12)) and set(shards.values()) == {500}
+    assert Counter((r.doc_id, r.length) for r in out) == Counter((i, n) for i, _, _, n in rows)
+    fills = Counter()
+    for r in out:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 100 and len(fills) <= 1.01 * sum(fills.values()) / 100 + 12
+
+
+def test_documents_are_packed_in_the_mix_that_they_come_in(spark):
+    rows = [(i, f"word{i % 7} " * (20 + i % 30), f"s{i % 3}") for i in range(900)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    pieces = packing.token_pieces(mixed, public_tokenizers.path("word_bpe_49k.json"), 4096, 1).select("doc_id", "piece", "start", "length")
+    out = packing.pack(pieces, capacity=4096, pieces_per_shard=200).collect()
+    words, want = {}, {r.source: r.want for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).sources.collect()}
+    for r in out:
+        words.setdefault(r.sequence_id >> 20, Counter())[f"s{r.doc_id % 3}"] += r.length
+    full = [c for c in words.values() if c.total() > 4000]
+    assert len(full) >= 4
+    for c in full:
+        assert all(abs(c[s] / c.total() - want[s] / sum(want.values())) < 0.12 for s in want)
