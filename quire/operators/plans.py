@@ -173,22 +173,25 @@ def flattened_count(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doc_id").agg(F.count_if("cropped").alias("flattened"), F.count("*").alias("pages"))
 
 
-def _moved(doc: pd.DataFrame) -> pd.DataFrame:
-    items = list(doc["items"].iloc[0])
-    for item, to in zip(doc.item_id, doc.to, strict=True):
-        if item in items:
-            items.remove(item)
-            items.insert(int(min(max(to, 0), len(items))), item)
-    return pd.DataFrame({"doc_id": doc.doc_id.iloc[0], "item_id": np.array(items, np.int64), "place": np.arange(len(items), dtype=np.int32)})
+def _moved(items: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+    order = items.sort_values("ord").item_id.tolist()
+    known = set(order)
+    for item, to in zip(*(moves.sort_values("seq")[c].tolist() for c in ("item_id", "to")), strict=True):
+        if item in known:
+            order.remove(item)
+            order.insert(min(max(int(to), 0), len(order)), item)
+    doc = items.doc_id.iloc[0] if len(items) else None
+    return pd.DataFrame({"doc_id": pd.Series([doc] * len(order), dtype="Int64"), "item_id": np.array(order, np.int64), "place": np.arange(len(order), dtype=np.int32)})
 
 
 def reorder(items: DataFrame, moves: DataFrame) -> DataFrame:
-    """items(doc_id, item_id, ord), moves(doc_id, seq, item_id, to) -> places after all moves in turn; targets are clamped."""
-    order = items.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item_id"))), lambda x: x["item_id"]).alias("items"))
-    still = order.join(moves.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.posexplode("items").alias("place", "item_id")).select("doc_id", "item_id", "place")
-    log = moves.join(order, "doc_id").select("doc_id", "seq", "item_id", F.col("to").cast("int").alias("to"), "items")
-    done = log.groupBy("doc_id").applyInPandas(lambda d: _moved(d.sort_values("seq")), "doc_id long, item_id long, place int")
-    return done.unionByName(still)
+    """items(doc_id, item_id, ord), moves(doc_id, seq, item_id, to) -> places after all moves in turn; targets are clamped, moves of items that are not there are ignored.
+
+    A move names its item, so where it takes it from depends on all moves before: a document's items and
+    its moves meet once, side by side, and are walked in turn.
+    """
+    sides = items.select("doc_id", "item_id", "ord").groupBy("doc_id").cogroup(moves.select("doc_id", "seq", "item_id", F.col("to").cast("int").alias("to")).groupBy("doc_id"))
+    return sides.applyInPandas(_moved, "doc_id long, item_id long, place int")
 
 
 def conversion_pairs(spark: SparkSession) -> DataFrame:

@@ -329,12 +329,6 @@ def image_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.dedupe_images(images).groupBy("doc_id").agg(F.count_distinct("signature").alias("media"))
 
 
-@query("""SELECT source, target FROM (VALUES ('pdf'), ('docx'), ('xlsx'), ('pptx')) a(source), (VALUES ('pdf'), ('docx'), ('xlsx'), ('pptx')) b(target)
-WHERE source <> target AND EXISTS (SELECT 1 FROM pages)""")
-def conversion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.conversion_pairs(spark).join(I.table(spark, sf_dir, "pages").limit(1).select(F.lit(1)), how="left_semi")
-
-
 @query("""WITH r AS (SELECT p_partkey % 50 AS doc_id, p_partkey % 50 AS block_no, p_partkey AS row_no, p_brand AS name FROM part),
 c AS (SELECT *, ((row_number() OVER (PARTITION BY doc_id, block_no ORDER BY row_no) - 1) // 12)::INT AS chunk FROM r) SELECT doc_id, row_no, chunk, CASE WHEN chunk = 0 THEN name ELSE name || ' (' || (chunk + 1) || ')' END AS title FROM c""")
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,32 +356,49 @@ def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.group_lists(b).select("doc_id", "block_no", "type", F.coalesce(F.size("items"), F.lit(1)).alias("parts"))
 
 
-@query()
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS no, conv_id AS doc_id, turn::INT AS block_no, coalesce(text, '') AS text FROM conversations), p AS (
+  SELECT no, text AS rest, false AS made FROM t WHERE length(text) > 1200
+  UNION ALL SELECT no, trim(substr(rest, cut + 1), {_TRIM}), true FROM (
+    SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest) WHEN place >= 600 THEN place ELSE 1200 END AS cut FROM (
+      SELECT *, CASE WHEN contains(substr(rest, 1, 1201), ' ') THEN least(1201, length(rest)) - instr(reverse(substr(rest, 1, 1201)), ' ') ELSE -1 END AS place FROM p WHERE rest <> '')
+)), n AS (SELECT no, count(*) FILTER (WHERE made) AS n FROM p GROUP BY no), w AS (
+  SELECT doc_id, block_no, unnest(range(0, coalesce(n.n, 1))) AS piece, n.n IS NOT NULL AS alone, greatest(0.2, length(text) / 620.0)::DOUBLE AS weight FROM t LEFT JOIN n ON n.no = t.no
+), l AS (
+  SELECT doc_id, list(block_no ORDER BY block_no, piece) AS blocks, list(piece::INT ORDER BY block_no, piece) AS pieces,
+    list({{'w': CASE WHEN alone THEN 1.0 ELSE weight END::DOUBLE, 'a': alone OR piece > 0, 's': 0, 'u': 0.0::DOUBLE, 'o': []::INTEGER[]}} ORDER BY block_no, piece) AS items FROM w GROUP BY doc_id
+), f AS (
+  SELECT doc_id, blocks, pieces, list_reduce(items, lambda a, x: CASE WHEN a.u > 0 AND (x.a OR a.u + x.w > 1) THEN {{'w': 0.0::DOUBLE, 'a': false, 's': a.s + 1, 'u': x.w, 'o': a.o || [a.s + 1]}}
+    ELSE {{'w': 0.0::DOUBLE, 'a': false, 's': a.s, 'u': a.u + x.w, 'o': a.o || [a.s]}} END, {{'w': 0.0::DOUBLE, 'a': false, 's': 0, 'u': 0.0::DOUBLE, 'o': []::INTEGER[]}}).o AS slides FROM l
+) SELECT doc_id, unnest(blocks) AS block_no, unnest(pieces) AS piece, unnest(slides) AS slide_no FROM f""")
 def packed_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy packing has no SQL; tests hold it against a plain loop."""
+    """A deck per conversation: its turns on slides, long ones cut in pieces."""
     b = I.slide_blocks(spark, sf_dir).withColumn("items", F.lit(None).cast("array<string>")).withColumn("rows", F.lit(None).cast("array<array<string>>"))
     return shape.pack_slides(b)
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), 1) AS no FROM documents),
+w AS (SELECT doc_id, no, list_transform(list_filter(string_split(line, ' '), lambda x: x <> ''), lambda x: {'c': length(x)::INT, 'o': []::INTEGER[]}) AS words FROM h),
+f AS (SELECT doc_id, no, list_reduce(words, lambda a, x: CASE
+    WHEN x.c > 87 AND a.c > 0 AND a.c < 86 THEN {'c': x.c - 86 + a.c - (x.c - 87 + a.c) // 87 * 87, 'o': a.o || [87] || list_transform(range((x.c - 87 + a.c) // 87), lambda k: 87)}
+    WHEN x.c > 87 THEN {'c': x.c - (x.c - 1) // 87 * 87, 'o': a.o || CASE WHEN a.c > 0 THEN [a.c] ELSE []::INTEGER[] END || list_transform(range((x.c - 1) // 87), lambda k: 87)}
+    WHEN a.c > 0 AND a.c + 1 + x.c > 87 THEN {'c': x.c, 'o': a.o || [a.c]} WHEN a.c > 0 THEN {'c': a.c + 1 + x.c, 'o': a.o} ELSE {'c': x.c, 'o': a.o} END, {'c': 0, 'o': []::INTEGER[]}) AS r FROM w WHERE len(words) > 0),
+l AS (SELECT doc_id, no, unnest(r.o || [r.c]) AS chars, generate_subscripts(r.o || [r.c], 1) AS k FROM f),
+p AS (SELECT doc_id, chars, (row_number() OVER (PARTITION BY doc_id ORDER BY no, k) - 1) // 55 AS page FROM l)
+SELECT doc_id, page::INT AS page, count(*)::BIGINT AS lines, sum(chars)::BIGINT AS characters FROM p GROUP BY doc_id, page""")
 def wrapped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text wrapped to A4 and counted by page; tests hold the wrapping against its rules."""
+    """Text wrapped to A4 and counted by page."""
     docs = I.table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(shape.wrap_text(F.coalesce("text", F.lit("")), 483.28)).alias("line_no", "line"))
     return shape.paginate(lines).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
 
 
-@query(r"""SELECT doc_id, length(t) AS kept, replace(replace(replace(replace(replace(substr(t, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped, least(len(regexp_split_to_array(t, '\r\n|\r|\n')), 400)::INT AS lines
-FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM documents)""")
-def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.sanitize(F.col("text"))["text"]
-    return I.table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("kept"), S.xml_escape(F.substring(t, 1, 200)).alias("escaped"), F.size(S.lines_of(t)).alias("lines"))
-
-
 @query(r"""SELECT doc_id, length(e)::BIGINT AS escaped_chars, sha256(e) AS escaped_sha256
 FROM (SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS e FROM documents)""")
 def escaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts escaped; clean_text shows the first 200 characters only."""
+    """Whole texts escaped."""
     e = S.xml_escape(F.col("text"))
     return I.table(spark, sf_dir, "documents").select("doc_id", F.length(e).cast("long").alias("escaped_chars"), F.sha2(e.cast("binary"), 256).alias("escaped_sha256"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import plans, ranks, shape, workbook
 from quire.plans import queries
 
+
 def pieces_of(text, limit):
     """Greedy pieces, in plain Python: as far as the last space in reach, if that is in the second half."""
     out, at = [], text.strip()
@@ -70,6 +71,42 @@ def test_text_is_split_and_wrapped_without_loss(spark):
     assert "".join(lines).replace(" ", "") == (text + "last").replace(" ", "")
 
 
+def test_long_texts_are_split_like_a_loop_over_the_rest(spark):
+    rng = random.Random(2)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choices("ab", k=rng.choice([1, 3, 9, 30, 60]))) for _ in range(rng.randint(1, 900))]
+        texts.append(rng.choice(["", "  ", "\t "]) + "".join(w + rng.choice([" ", "  ", "\n", "\t\xa0", ""]) for w in words) + rng.choice(["", " " * 70, "\n\t" * 40]))
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(shape.split_text(F.col("t"), 20)).collect()]
+
+    def looped(rest, limit):
+        out = []
+        while len(rest) > limit:
+            k = rest[: limit + 1].rfind(" ")
+            k = k if 2 * k >= limit else limit
+            out, rest = [*out, rest[:k].strip(shape.BLANKS)], rest[k:].strip(shape.BLANKS)
+        return [*out, rest] if rest or not out else out
+
+    assert got == [looped(t, 20) for t in texts]
+    assert max(map(len, texts)) > 5 * 64 * 20
+
+
+def test_moves_to_any_place_are_made_in_turn(spark):
+    rng = random.Random(6)
+    items = [(d, i, (i * 7) % 11) for d in range(20) for i in range(rng.choice([1, 5, 11]))] + [(99, 1, 0)]
+    moves = [(d, s, rng.randrange(12), rng.randint(-2, 13)) for d in range(20) for s in range(rng.choice([0, 3, 40]))] + [(500, 1, 1, 0)]
+    want = {}
+    for d in {x[0] for x in items}:
+        order = [i for _, i in sorted((o, i) for e, i, o in items if e == d)]
+        for _, _, i, to in sorted(m for m in moves if m[0] == d):
+            if i in order:
+                order.remove(i)
+                order.insert(max(0, min(to, len(order))), i)
+        want |= {(d, i): k for k, i in enumerate(order)}
+    out = plans.reorder(spark.createDataFrame(items, "doc_id long, item_id long, ord long"), spark.createDataFrame(moves, "doc_id long, seq long, item_id long, to int")).collect()
+    assert {(r.doc_id, r.item_id): r.place for r in out} == want and len(out) == len(want)
+
+
 def test_wide_tables_become_text(spark):
     wide = spark.createDataFrame([(1, 0, [[str(c) for c in range(12)]] * 20), (2, 0, [["a"]])], "doc_id long, block_no int, rows array<array<string>>")
     got = shape.wide_table_text(wide).orderBy("piece").collect()
