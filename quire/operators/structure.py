@@ -238,22 +238,6 @@ def _characters() -> Column:
     return F.coalesce(F.length(F.trim("text")), F.lit(0)) + cells
 
 
-def count_text(blocks: DataFrame) -> DataFrame:
-    """Characters per document over paragraphs, headings and table cells, each trimmed."""
-    return blocks.groupBy("doc_id").agg(F.sum(_characters()).cast("long").alias("characters"))
-
-
-def page_census(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per document: pages, pages with text, blank pages, tables, pages with tables in order, refused (no text at all)."""
-    per = blocks.groupBy(*PAGE).agg(F.count_if(F.col("type") == "table").alias("tables"))
-    all_pages = pages.select(*PAGE).join(per, PAGE, "left")
-    out = all_pages.groupBy("doc_id").agg(
-        F.count("*").alias("pages"), F.count("tables").alias("with_text"), F.coalesce(F.sum("tables"), F.lit(0)).alias("tables"),
-        F.array_sort(F.collect_set(F.when(F.col("tables") > 0, F.col("page_no")))).alias("table_pages"),
-    )
-    return out.withColumn("blank", F.col("pages") - F.col("with_text")).withColumn("refused", F.col("with_text") == 0)
-
-
 def emptiness(counts: DataFrame) -> DataFrame:
     state = F.when(F.col("characters") == 0, "empty").when(F.col("characters") < NEARLY_EMPTY, "nearly empty").otherwise("ok")
     return counts.withColumn("state", state)

@@ -318,6 +318,19 @@ def string_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbook.dictionary_totals(strings)
 
 
+@query("""WITH e AS (SELECT DISTINCT user_id AS doc_id, event_id AS seq, event_id * 7 % 40 AS item, (event_id * 11 % 35)::INT AS to_place FROM events),
+l AS (SELECT doc_id, list({'i': item, 't': to_place, 'o': []::BIGINT[]} ORDER BY seq) AS moves FROM e GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(moves, lambda a, x: CASE WHEN x.i < 30 THEN {'i': x.i, 't': x.t, 'o': list_filter(a.o, lambda y: y <> x.i)[:least(x.t, 29)] || [x.i] || list_filter(a.o, lambda y: y <> x.i)[least(x.t, 29) + 1:]} ELSE a END,
+  {'i': 0::BIGINT, 't': 0, 'o': range(0, 30)}).o AS places FROM l)
+SELECT doc_id, unnest(places) AS item_id, (generate_subscripts(places, 1) - 1)::INT AS place FROM f""")
+def moved_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event moves one of a user's thirty pages to some place, or one that is not there."""
+    e = I.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("doc_id"), F.col("event_id").cast("long").alias("seq")).distinct()
+    moves = e.select("doc_id", "seq", (F.col("seq") * 7 % 40).alias("item_id"), (F.col("seq") * 11 % 35).cast("int").alias("to"))
+    items = e.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("item_id")).withColumn("ord", F.col("item_id"))
+    return plans.reorder(items, moves)
+
+
 @query("""WITH m AS (SELECT user_id AS doc_id, event_id % 6 AS item_id, max(event_id) AS seq FROM events GROUP BY ALL), i AS (SELECT DISTINCT user_id AS doc_id, unnest(range(0, 6)) AS item_id FROM events)
 SELECT i.doc_id, i.item_id, (row_number() OVER (PARTITION BY i.doc_id ORDER BY m.seq DESC NULLS LAST, i.item_id) - 1)::INT AS place FROM i LEFT JOIN m ON i.doc_id = m.doc_id AND i.item_id = m.item_id""")
 def moved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +355,9 @@ def drawn_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ref_no, l_partkey::VARCHAR AS signature FROM lineitem),
-f AS (SELECT *, min(ref_no) OVER (PARTITION BY doc_id, signature) = ref_no AS fresh FROM r), h AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY ref_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM f),
-k AS (SELECT * FROM h WHERE held < 400) SELECT k.doc_id, k.ref_no::INT AS ref_no, k.signature, m.held::BIGINT AS media_no FROM k JOIN k m ON m.doc_id = k.doc_id AND m.signature = k.signature AND m.fresh""")
+n AS (SELECT doc_id, signature, first_no, (row_number() OVER (PARTITION BY doc_id ORDER BY first_no) - 1)::BIGINT AS media_no FROM (SELECT doc_id, signature, min(ref_no) AS first_no FROM r GROUP BY doc_id, signature)),
+e AS (SELECT doc_id, first_no AS full_at FROM n WHERE media_no = 399)
+SELECT r.doc_id, r.ref_no::INT AS ref_no, r.signature, n.media_no FROM r JOIN n ON n.doc_id = r.doc_id AND n.signature = r.signature LEFT JOIN e ON e.doc_id = r.doc_id WHERE r.ref_no <= coalesce(e.full_at, r.ref_no)""")
 def document_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per supplier, a picture per line: each reference's medium, as far as 400 are held."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import plans, workbook
+from quire.operators import content, plans, workbook
 from quire.plans import inputs as I
 from quire.plans.layout import natural_sql
 from quire.plans.registry import query
@@ -190,22 +190,8 @@ def word_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EQUATIONS = ("max_(x∈A) v\u20d7", "³√(", ")∏^(n) k")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents),
-l AS (SELECT doc_id, replace(unnest(string_split(text, chr(10))), chr(13), chr(10)) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t),
-n AS (SELECT *, i % 6 AS form, coalesce(sum(CASE i % 6 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM l),
-x AS (
-  SELECT *, 0 AS k, p AS para, CASE WHEN form = 5 THEN 'item' ELSE 'paragraph' END AS kind, NULL AS text FROM n
-  UNION ALL SELECT *, 1, p, 'text', line FROM n WHERE form IN (0, 1)
-  UNION ALL SELECT n.*, v.k, p + 1, v.kind, CASE WHEN v.kind = 'text' THEN line END FROM n CROSS JOIN (VALUES (2, 'paragraph'), (3, 'text')) v(k, kind) WHERE form IN (1, 2)
-  UNION ALL SELECT *, 4, p + 2, 'paragraph', NULL FROM n WHERE form = 1
-  UNION ALL SELECT *, 1, p, 'equation', CASE form WHEN 3 THEN '{_EQUATIONS[0]}' ELSE '{_EQUATIONS[1]}' || doc_id || '{_EQUATIONS[2]}' END FROM n WHERE form IN (3, 4)
-  UNION ALL SELECT n.*, v.k, p, v.kind, CASE WHEN v.kind = 'text' THEN line ELSE 'rId' || i END FROM n CROSS JOIN (VALUES (1, 'image'), (2, 'text')) v(k, kind) WHERE form = 5
-)
-SELECT doc_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::BIGINT AS at, para, kind, text, CASE WHEN form = 1 THEN i // 6 * 2 + (para = p + 1)::INT END::BIGINT AS table_no,
-  CASE WHEN form = 1 THEN 0 END::BIGINT AS row_no, CASE WHEN form = 1 THEN (para = p + 2)::INT END::BIGINT AS cell_no, CASE WHEN form = 1 THEN (para = p + 1)::INT END AS nesting,
-  CASE WHEN form IN (0, 3) THEN 'center' WHEN form = 5 THEN 'right' ELSE 'left' END AS align, form = 5 AND kind = 'text' AS bold FROM x""")
-def word_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a Word body whose lines stand in aligned paragraphs, tables in tables, text boxes kept twice, and beside formulas and old pictures of their own; read back, each text once."""
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Word body whose lines stand in aligned paragraphs, tables in tables, text boxes kept twice, and beside formulas and old pictures of their own."""
 
     def run(x: Column, more: str = "") -> Column:
         return F.concat(F.lit(f'<w:r>{more}<w:t xml:space="preserve">'), S.xml_escape(x), F.lit("</w:t></w:r>"))
@@ -235,8 +221,58 @@ def word_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spaces = _WORD + ' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     xml = F.concat(F.lit(f"<w:document {spaces}><w:body>"), F.array_join(F.transform(F.split(S.sanitize(F.col("text"))["text"], "\n"), form), ""), F.lit("</w:body></w:document>"))
-    parts = I.table(spark, sf_dir, "documents").select(key.alias("file_id"), F.lit("word/document.xml").alias("part"), xml.alias("xml"))
-    return word.docx_elements(parts).select("file_id", "at", "para", "kind", "text", "table_no", "row_no", "cell_no", "nesting", "align", "bold")
+    return I.table(spark, sf_dir, "documents").select(key.alias("file_id"), F.lit("word/document.xml").alias("part"), xml.alias("xml"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents),
+l AS (SELECT doc_id, replace(unnest(string_split(text, chr(10))), chr(13), chr(10)) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t),
+n AS (SELECT *, i % 6 AS form, coalesce(sum(CASE i % 6 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM l),
+x AS (
+  SELECT *, 0 AS k, p AS para, CASE WHEN form = 5 THEN 'item' ELSE 'paragraph' END AS kind, NULL AS text FROM n
+  UNION ALL SELECT *, 1, p, 'text', line FROM n WHERE form IN (0, 1)
+  UNION ALL SELECT n.*, v.k, p + 1, v.kind, CASE WHEN v.kind = 'text' THEN line END FROM n CROSS JOIN (VALUES (2, 'paragraph'), (3, 'text')) v(k, kind) WHERE form IN (1, 2)
+  UNION ALL SELECT *, 4, p + 2, 'paragraph', NULL FROM n WHERE form = 1
+  UNION ALL SELECT *, 1, p, 'equation', CASE form WHEN 3 THEN '{_EQUATIONS[0]}' ELSE '{_EQUATIONS[1]}' || doc_id || '{_EQUATIONS[2]}' END FROM n WHERE form IN (3, 4)
+  UNION ALL SELECT n.*, v.k, p, v.kind, CASE WHEN v.kind = 'text' THEN line ELSE 'rId' || i END FROM n CROSS JOIN (VALUES (1, 'image'), (2, 'text')) v(k, kind) WHERE form = 5
+)
+SELECT doc_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::BIGINT AS at, para, kind, text, CASE WHEN form = 1 THEN i // 6 * 2 + (para = p + 1)::INT END::BIGINT AS table_no,
+  CASE WHEN form = 1 THEN 0 END::BIGINT AS row_no, CASE WHEN form = 1 THEN (para = p + 2)::INT END::BIGINT AS cell_no, CASE WHEN form = 1 THEN (para = p + 1)::INT END AS nesting,
+  CASE WHEN form IN (0, 3) THEN 'center' WHEN form = 5 THEN 'right' ELSE 'left' END AS align, form = 5 AND kind = 'text' AS bold FROM x""")
+def word_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents in some structure of a Word body, read back, each text once."""
+    return word.docx_elements(_bodies(spark, sf_dir)).select("file_id", "at", "para", "kind", "text", "table_no", "row_no", "cell_no", "nesting", "align", "bold")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents),
+n AS (SELECT doc_id, replace(unnest(string_split(text, chr(10))), chr(13), chr(10)) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t), f AS (SELECT *, i % 6 AS form FROM n),
+x AS (
+  SELECT doc_id, i, 0 AS k, CASE form WHEN 1 THEN 'table' WHEN 5 THEN 'list' ELSE 'paragraph' END AS type, CASE form WHEN 3 THEN '{_EQUATIONS[0]}' WHEN 4 THEN '{_EQUATIONS[1]}' || doc_id || '{_EQUATIONS[2]}' WHEN 1 THEN NULL ELSE line END AS text,
+    CASE WHEN form = 1 THEN [[line, '']] END AS rows FROM f WHERE form IN (1, 3, 4) OR line <> ''
+  UNION ALL SELECT doc_id, i, 1, 'table', NULL, [[line]] FROM f WHERE form = 1
+  UNION ALL SELECT doc_id, i, -1, 'image', 'rId' || i, NULL FROM f WHERE form = 5
+)
+SELECT doc_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS block_no, type, CASE WHEN type <> 'list' THEN text END AS text, CASE WHEN type = 'list' THEN [text] END AS items, rows FROM x""")
+def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bodies as content blocks: paragraphs, lists, tables and pictures in order."""
+    return content.word_blocks(word.docx_elements(_bodies(spark, sf_dir))).select("file_id", "block_no", "type", "text", "items", "rows")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents),
+n AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line, unnest(string_split(text, chr(10))) AS full_line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t)
+SELECT doc_id::VARCHAR AS file_id, sum(CASE i % 6 WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 + (full_line <> '')::INT ELSE (full_line <> '')::INT END)::BIGINT AS blocks,
+  sum(CASE i % 6 WHEN 1 THEN 2 * length(line) WHEN 3 THEN 12 WHEN 4 THEN 11 + length(doc_id::VARCHAR) ELSE length(line) END)::BIGINT AS characters FROM n GROUP BY doc_id""")
+def word_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What there is to read in each of these bodies: blocks and their characters, lists and tables included."""
+    return content.count_text(content.word_blocks(word.docx_elements(_bodies(spark, sf_dir))))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, max(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c), p AS (SELECT conv_id, i // 4 AS slide, i % 4 AS box, replace(unnest(string_split(text, chr(10))), chr(13), chr(10)) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM l),
+x AS (SELECT conv_id, slide, box, k, 1 AS depth, 'paragraph' AS type, text FROM p WHERE text <> '' UNION ALL SELECT DISTINCT conv_id, slide, -1, 0, 0, 'slide', NULL::VARCHAR FROM p WHERE text <> '')
+SELECT conv_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY conv_id ORDER BY slide, box, k) - 1)::INT AS block_no, depth, slide::INT AS slide_no, type, text FROM x""")
+def slide_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns on grouped slides as content blocks: a block per slide and a paragraph for each of its lines."""
+    return content.slide_blocks(slides.pptx_elements(_grouped_slides(spark, sf_dir))).select("file_id", "block_no", "depth", "slide_no", "type", "text")
 
 
 @query(r"""WITH c AS (SELECT DISTINCT conv_id, turn, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM conversations),
@@ -259,13 +295,7 @@ def slide_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("file_id", "slide_no", "box_no", "kind", "grouped", "x", "y", "width", "height", "text", F.size("paragraphs").alias("paragraphs"), F.size(right).alias("runs"), F.col("paragraphs")[0]["align"].alias("align"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, max(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
-l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c), b AS (SELECT *, i // 4 AS slide, i % 4 AS form, 10.0 * (i % 7) AS px FROM l WHERE regexp_replace(text, '\n', '', 'g') <> '')
-SELECT conv_id::VARCHAR AS file_id, slide::INT AS slide_no, (row_number() OVER (PARTITION BY conv_id, slide ORDER BY form) - 1)::INT AS box_no, form > 0 AS grouped,
-  CASE form WHEN 0 THEN px WHEN 1 THEN 100 + (px - 20) * 2 WHEN 2 THEN 100 + ((50 + px * 0.5) - 20) * 2 ELSE 100 + ((50 + ((8 + px) * 0.5)) - 20) * 2 END::DOUBLE AS x,
-  CASE form WHEN 0 THEN 5 WHEN 1 THEN 5 * 0.5 WHEN 2 THEN (60 + 5 * 4) * 0.5 ELSE (60 + (9 + 5) * 4) * 0.5 END::DOUBLE AS y,
-  CASE form WHEN 0 THEN 40 WHEN 1 THEN 80 ELSE 40 END::DOUBLE AS width, CASE form WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 16 END::DOUBLE AS height, replace(text, chr(13), chr(10)) AS text FROM b""")
-def slide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grouped_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four turns a slide: one on the slide itself, one in a group, one in a group in it, one in a third inside that, each group with a measure of its own."""
     c = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(S.sanitize(F.col("text"))["text"]).alias("text"))
     c = c.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
@@ -286,8 +316,18 @@ def slide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("<p:grpSp>"), measure("grpSpPr", 100, 0, 80, 20, (20, 0, 40, 40)), box[1], second, F.lit("</p:grpSp>"))
     spaces = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
     xml = F.concat(F.lit(f"<p:sld {spaces}><p:cSld><p:spTree>"), box[0], first, F.lit("</p:spTree></p:cSld></p:sld>"))
-    boxes = slides.pptx_elements(shapes.select(F.col("conv_id").cast("string").alias("file_id"), "slide_no", xml.alias("xml")))
-    return boxes.select("file_id", "slide_no", "box_no", "grouped", "x", "y", "width", "height", "text")
+    return shapes.select(F.col("conv_id").cast("string").alias("file_id"), "slide_no", xml.alias("xml"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, max(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c), b AS (SELECT *, i // 4 AS slide, i % 4 AS form, 10.0 * (i % 7) AS px FROM l WHERE regexp_replace(text, '\n', '', 'g') <> '')
+SELECT conv_id::VARCHAR AS file_id, slide::INT AS slide_no, (row_number() OVER (PARTITION BY conv_id, slide ORDER BY form) - 1)::INT AS box_no, form > 0 AS grouped,
+  CASE form WHEN 0 THEN px WHEN 1 THEN 100 + (px - 20) * 2 WHEN 2 THEN 100 + ((50 + px * 0.5) - 20) * 2 ELSE 100 + ((50 + ((8 + px) * 0.5)) - 20) * 2 END::DOUBLE AS x,
+  CASE form WHEN 0 THEN 5 WHEN 1 THEN 5 * 0.5 WHEN 2 THEN (60 + 5 * 4) * 0.5 ELSE (60 + (9 + 5) * 4) * 0.5 END::DOUBLE AS y,
+  CASE form WHEN 0 THEN 40 WHEN 1 THEN 80 ELSE 40 END::DOUBLE AS width, CASE form WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 16 END::DOUBLE AS height, replace(text, chr(13), chr(10)) AS text FROM b""")
+def slide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on slides and in groups inside groups, where they stand on the slide."""
+    return slides.pptx_elements(_grouped_slides(spark, sf_dir)).select("file_id", "slide_no", "box_no", "grouped", "x", "y", "width", "height", "text")
 
 
 @query("""SELECT page_id::VARCHAR AS file_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 4 END::BIGINT AS parts, page_id % 5 > 2 AS readable, (page_id % 5 = 0)::BIGINT AS empty, (page_id % 5 = 1)::BIGINT AS truncated, (page_id % 5 = 2)::BIGINT AS badly_nested,

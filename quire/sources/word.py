@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import SYMBOL_CODES
+from quire.functions.scalars import align, symbol_char
 from quire.sources import equations
 from quire.sources.markup import enclosing, name, outermost, parent, shown, xml_nodes
 
 BREAKS = {"w:tab": "\t", "w:br": "\n", "w:cr": "\n", "w:noBreakHyphen": "-"}
 PICTURES = {"a:blip": "r:embed", "v:imagedata": "r:id"}
 FORMULAS = ("m:oMathPara", "m:oMath")
-ALIGNED = {"center": "center", "right": "right", "end": "right", "both": "both", "distribute": "both"}
 WANTED = {"w:p", "w:tbl", "w:tr", "w:tc", "w:t", "w:sym", "w:pStyle", "w:numPr", "w:jc", "w:b", "w:i", *BREAKS, *PICTURES} | equations.TAGS
 
 
@@ -28,13 +27,6 @@ def _inside(*tags: str) -> Column:
     return out
 
 
-def _symbol() -> Column:
-    """The character of a Symbol font's code, by its low byte; empty for other fonts and codes."""
-    signs = F.create_map(*[x for code, sign in SYMBOL_CODES.items() for x in (F.lit(code), F.lit(sign))])
-    low = F.conv(F.regexp_extract(F.coalesce(_attr("w:char"), F.lit("")), r"^\s*(?:0[xX])?([0-9A-Fa-f]{1,16})\s*$", 1), 16, 10).try_cast("decimal(20,0)") % 256
-    return F.when(F.lower(F.coalesce(_attr("w:font"), F.lit(""))) == "symbol", F.coalesce(F.try_element_at(signs, low.cast("int")), F.lit(""))).otherwise("")
-
-
 def docx_elements(parts: DataFrame) -> DataFrame:
     """Word bodies -> (file_id, at, para, table_no, row_no, cell_no, nesting, kind, text, style, align, bold, italic) in document order.
 
@@ -48,7 +40,7 @@ def docx_elements(parts: DataFrame) -> DataFrame:
     nodes = xml_nodes(bodies, WANTED).filter(F.col("problem").isNotNull() | shown()).repartition("file_id").withColumn("formula", outermost(*FORMULAS))
     tag, formula = F.col("tag"), F.col("formula")
     texts = F.create_map(*[F.lit(x) for kv in BREAKS.items() for x in kv])
-    text = F.when(name() == "w:t", F.col("text")).when(name() == "w:sym", _symbol()).otherwise(F.try_element_at(texts, name()))
+    text = F.when(name() == "w:t", F.col("text")).when(name() == "w:sym", symbol_char(F.coalesce(_attr("w:font"), F.lit("")), F.coalesce(_attr("w:char"), F.lit("")))).otherwise(F.try_element_at(texts, name()))
     for picture, key in PICTURES.items():
         text = F.when(name() == picture, F.coalesce(_attr(key), F.lit(""))).otherwise(text)
     nodes = nodes.select(
@@ -80,13 +72,12 @@ def docx_elements(parts: DataFrame) -> DataFrame:
         .when(tag.isin(*PICTURES), F.array(F.lit("image"))).when((tag == "w:sym") & F.col("of_r"), F.array(F.lit("symbol"))).when(tag.isin("w:t", *BREAKS) & F.col("of_r"), F.array(F.lit("text")))
     )
     rows = rows.filter(F.col("p").isNotNull() | F.col("problem").isNotNull()).select("*", F.posexplode(kind).alias("sub", "kind"))
-    signs = F.create_map(*[F.lit(x) for kv in ALIGNED.items() for x in kv])
-    align = F.when(F.col("centred"), "center").otherwise(F.coalesce(F.try_element_at(signs, F.col("jc")), F.lit("left")))
+    aligned = F.when(F.col("centred"), "center").otherwise(align(F.when(F.col("jc") == "end", "right").otherwise(F.col("jc"))))
     begins = F.col("kind").isin("paragraph", "item")
     text = F.when(F.col("kind") == "equation", F.col("line")).when(F.col("kind") == "problem", F.col("problem")).when(~begins, F.col("text"))
     at = F.row_number().over(Window.partitionBy("file_id").orderBy("unit", "sub")) - 1
     plain = F.col("problem").isNull()
     return rows.select(
         "file_id", at.cast("long").alias("at"), "para", "table_no", "row_no", "cell_no", F.when(F.col("table_no").isNotNull(), F.col("nesting")).alias("nesting"), "kind", text.alias("text"), "style",
-        F.when(plain, align).alias("align"), F.when(plain, F.col("bold") & ~begins).alias("bold"), F.when(plain, F.col("italic") & ~begins).alias("italic"),
+        F.when(plain, aligned).alias("align"), F.when(plain, F.col("bold") & ~begins).alias("bold"), F.when(plain, F.col("italic") & ~begins).alias("italic"),
     )

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quire.operators import plans, workbook
+from quire.operators import content, plans, workbook
 from quire.sources import equations, markup, sheets, slides, word
 from quire.sources import files as S
 from quire.streaming import jobs
@@ -305,3 +305,37 @@ def test_faults_of_xml_parts_are_told_apart(spark):
     parts = frame.select(F.lit("f").alias("file_id"), F.lit("a.xml").alias("part"), "xml")
     out = plans.verify_package(parts, parts.select("file_id", F.lit(1).alias("characters")).distinct())
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and not out.first().ok
+
+
+def test_word_elements_become_blocks_in_order(spark):
+    more = ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:v="urn:schemas-microsoft-com:vml"'
+
+    def p(text, props="", picture=""):
+        cut = f"<w:r><w:pict><v:imagedata r:id='{picture}'/></w:pict></w:r><w:r><w:t>{text} more</w:t></w:r>" if picture else ""
+        return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r>{cut}</w:p>"
+
+    item = "<w:numPr/>"
+    inner = f"<w:tbl><w:tr><w:tc>{p('deep')}</w:tc></w:tr></w:tbl>"
+    body = (
+        p("Head", "<w:pStyle w:val='heading 2'/>") + p("") + p("one", item) + p("two", item, "pic1") + p("", "", "pic2").replace(" more", "") + p("text", "", "pic3")
+        + f"<w:tbl><w:tr><w:tc>{p('a')}{p('b')}{inner}</w:tc><w:tc>{p('')}</w:tc></w:tr><w:tr><w:tc>{p('c')}</w:tc></w:tr></w:tbl>" + p("last", item)
+    )
+    elements = word.docx_elements(spark.createDataFrame([("f", "word/document.xml", f"<w:document {W}{more}><w:body>{body}</w:body></w:document>"), ("bad", "word/document.xml", "<")], "file_id string, part string, xml string"))
+    blocks = content.word_blocks(elements).orderBy("block_no").collect()
+    assert [(b.type, b.level, b.text or b["items"] or b["rows"]) for b in blocks] == [
+        ("heading", 2, "Head"), ("image", None, "pic1"), ("image", None, "pic2"), ("list", None, ["one", "two", "two more"]), ("paragraph", None, "text"), ("image", None, "pic3"), ("paragraph", None, "text more"),
+        ("table", None, [["a\nb", ""], ["c"]]), ("table", None, [["deep"]]), ("list", None, ["last"]),
+    ]
+    assert [tuple(r) for r in content.count_text(content.word_blocks(elements)).collect()] == [("f", 10, 4 + 14 + 13 + 8 + 4)]
+
+
+def test_slides_become_blocks(spark):
+    boxes = spark.createDataFrame(
+        [("f", 0, 0, "text", None, [("left", [("a", 1.0, False, False), ("b", 1.0, True, False)]), ("left", []), ("left", [("c ", 1.0, False, False)])], None), ("f", 0, 1, "table", None, None, [["x", "yz"]]), ("f", 0, 2, "imageRef", "r1", None, None), ("f", 2, 0, "unsupported", None, None, None)],
+        "file_id string, slide_no int, box_no int, kind string, text string, paragraphs array<struct<align:string,runs:array<struct<text:string,size:double,bold:boolean,italic:boolean>>>>, rows array<array<string>>",
+    )
+    out = content.slide_blocks(boxes)
+    assert [(b.block_no, b.depth, b.slide_no, b.type, b.text) for b in out.orderBy("block_no").collect()] == [
+        (0, 0, 0, "slide", None), (1, 1, 0, "paragraph", "ab"), (2, 1, 0, "paragraph", "c "), (3, 1, 0, "table", None), (4, 1, 0, "image", "r1"), (5, 0, 2, "slide", None),
+    ]
+    assert [tuple(r) for r in content.count_text(out).collect()] == [("f", 6, 6)]
