@@ -3,7 +3,9 @@
 Slot k of the mix takes the golden-ratio point frac(k * phi), which falls into one source's stretch of
 the cumulative weights; the r-th slot of a source takes the r-th block of equally many words of that
 source's shuffled stream. What a source gives is what its slots draw: within a few blocks of its target,
-since the points leave no stretch short or over by more.
+since the points leave no stretch short or over by more. A small source has small blocks, a 64th of its
+target at most: the sources with blocks of one length share a schedule, and the schedules run side by
+side, each over the whole of the mix.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ CELLS = 4096
 
 
 class Mix(NamedTuple):
-    """sources: source_no, source, source_size, target, want. rows: one per document with its place in the
-    source's stream. schedule: slot, source_no, block. pieces: slot, source_no, block, start, epoch, k1, k2,
-    size, first (words of the document before the piece), length. k1 and k2 name a document's row."""
+    """sources: source_no, source, source_size, target, want, block_words. rows: one per document with its
+    place in the source's stream. schedule: turn (when, from 0 to 1), slot, source_no, block. pieces: turn, slot, source_no, block, start,
+    epoch, k1, k2, size, first (words of the document before the piece), length. k1 and k2 name a document's row."""
 
     sources: DataFrame
     rows: DataFrame
@@ -59,22 +61,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return out.select("source_no", "source", "source_size", "target", "want")
 
 
-def slot_schedule(sources: DataFrame, block_words: int) -> DataFrame:
-    """source_no, want -> slot, source_no, block: the source of each slot, and how many of its slots came before.
+#: A source has this many blocks at least, unless its blocks are of one word.
+LEAST_BLOCKS = 64
 
-    Points and cumulative weights meet by an equi-join on a fixed grid over [0, 1), so neither the
-    slots nor the sources are sent whole to any task.
+
+def with_blocks(sources: DataFrame, block_words: int) -> DataFrame:
+    """sources and the length of each one's blocks: a power of two, a 64th of what it gives at most, and block_words at most."""
+    power = F.expr(f"shiftleft(1L, length(bin(want div {LEAST_BLOCKS})) - 1)")
+    return sources.withColumn("block_words", F.least(power, F.lit(block_words).cast("long")))
+
+
+def slot_schedule(sources: DataFrame) -> DataFrame:
+    """source_no, want, block_words -> turn, slot, source_no, block: the source of each slot, and how many of its slots came before.
+
+    Sources of one block length share their slots. Points and cumulative weights meet by an equi-join on a
+    fixed grid over [0, 1), so neither the slots nor the sources are sent whole to any task.
     """
-    cum, whole = Window.orderBy("source_no"), Window.partitionBy()
-    s = sources.filter("want > 0").select("source_no", "want", F.sum("want").over(cum).alias("to"), F.sum("want").over(whole).alias("all"))
+    length = Window.partitionBy("block_words")
+    s = sources.filter("want > 0").select("source_no", "want", "block_words", F.sum("want").over(length.orderBy("source_no")).alias("to"), F.sum("want").over(length).alias("all"))
     s = s.withColumn("lo", (F.col("to") - F.col("want")) / F.col("all")).withColumn("hi", F.col("to") / F.col("all"))
     cells = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    words = s.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
-    slots = sources.sparkSession.range(-(-words // block_words)).select(F.col("id").alias("slot"), (((F.col("id") % GRID) * GOLDEN) % GRID / GRID).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = slots.join(cells.select("cell", "source_no", "lo", "hi"), "cell").filter("u >= lo and u < hi")
-    hit = hit.select("slot", "source_no", F.shiftright("slot", 16).alias("chunk"))
-    return running_total(hit, ["source_no"], "chunk", ["slot"], F.lit(1), "block").select("slot", "source_no", "block")
+    slots = sources.sparkSession.range(0).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("block_words"), F.lit(0.0).alias("turn"))
+    for r in sources.groupBy("block_words").agg(F.sum("want").alias("words")).filter("words > 0").orderBy("block_words").collect():  # nine lengths at most
+        n = -(-r["words"] // r["block_words"])
+        slots = slots.unionByName(sources.sparkSession.range(n).select(F.col("id").alias("slot"), F.lit(r["block_words"]).cast("long").alias("block_words"), ((F.col("id") + 0.5) / n).alias("turn")))
+    slots = slots.withColumn("u", ((F.col("slot") % GRID) * GOLDEN) % GRID / GRID).withColumn("cell", F.floor(F.col("u") * CELLS))
+    hit = slots.join(cells.select("block_words", "cell", "source_no", "lo", "hi"), ["block_words", "cell"]).filter("u >= lo and u < hi")
+    hit = hit.select("turn", "slot", "source_no", F.shiftright("slot", 16).alias("chunk"))
+    return running_total(hit, ["source_no"], "chunk", ["slot"], F.lit(1), "block").select("turn", "slot", "source_no", "block")
 
 
 def _row_names(size: Column) -> list[Column]:
@@ -88,7 +102,8 @@ def mix_sources(
 ) -> Mix:
     """docs(doc_id, text, source, ...) -> Mix.
 
-    A block has block_words words; None makes them a 2**20th of the mix, but one word at least and 256 at most.
+    A block has block_words words; None makes them a 2**20th of the mix, but one word at least and 256 at
+    most. Sources of less than 64 such blocks have smaller ones.
     Null texts and texts of spaces have size 0 and are never taken; a null source is a source of its
     own; an empty table gives empty results; repeated rows are documents of their own (equal ones lie
     side by side in the stream and may differ in what is taken of them); other columns are ignored.
@@ -101,21 +116,22 @@ def mix_sources(
     sources = stored(source_targets(sizes, weights, share, epochs), "mix-sources")
     words = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
     block_words = block_words or min(256, max(1, words >> 20))
-    schedule = stored(slot_schedule(sources, block_words), "mix-schedule")
-    b = F.lit(block_words).cast("long")
-    drawn = schedule.groupBy("source_no").agg((F.count("*") * b).alias("drawn"))
-    known = sources.join(drawn, "source_no", "left").select("source_no", "source", "source_size", "target", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    sources = with_blocks(sources, block_words)
+    schedule = stored(slot_schedule(sources), "mix-schedule")
+    drawn = schedule.groupBy("source_no").agg(F.count("*").alias("slots"))
+    known = sources.join(drawn, "source_no", "left").select("source_no", "source", "source_size", "target", "block_words", (F.coalesce("slots", F.lit(0)) * F.col("block_words")).alias("drawn"))
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    rows = sizes.alias("z").join(known.alias("s"), F.expr("z.source <=> s.source")).select("doc_id", "k1", "k2", "size", "source_no", "source_size", "target", "drawn", order.alias("h"))
+    rows = sizes.alias("z").join(known.alias("s"), F.expr("z.source <=> s.source")).select("doc_id", "k1", "k2", "size", "source_no", "source_size", "target", "block_words", "drawn", order.alias("h"))
     rows = running_total(rows.withColumn("bucket", F.substring("h", 1, 3)), ["source_no"], "bucket", ["h", "doc_id", "size", "k1"], F.col("size"), "start")
     rows = stored(rows.drop("h", "bucket"), "mix-rows")
+    b = F.col("block_words")
     seen = rows.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     seen = seen.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("end", F.least(F.col("at") + F.col("size"), F.col("drawn"))).filter("at < end")
     seen = seen.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("end") - 1) / b))))
     low, high = F.greatest(F.col("at"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
     seen = seen.withColumn("first", low - F.col("at")).withColumn("length", high - low)
     pieces = seen.join(schedule, ["source_no", "block"])
-    return Mix(sources, rows.drop("drawn"), schedule, pieces.select("slot", "source_no", "block", "start", "epoch", "k1", "k2", "size", "first", "length"))
+    return Mix(sources, rows.drop("drawn", "block_words"), schedule, pieces.select("turn", "slot", "source_no", "block", "start", "epoch", "k1", "k2", "size", "first", "length"))
 
 
 def words_taken(mix: Mix) -> DataFrame:
@@ -128,7 +144,7 @@ def words_taken(mix: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, in the order of their first slots: a row for each time that a document is taken, with docs' columns.
+    """The mix as documents, in the order of their first turns: a row for each time that a document is taken, with docs' columns.
 
     A document taken in part (at most one per source and epoch) keeps the first words taken, cut at a
     space; n_chars, if there, is the length of the new text. Of rows equal in doc_id, source and text
@@ -136,7 +152,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     empty table stays empty; columns may have any names.
     """
     mix = mix_sources(docs, **options)
-    taken = mix.pieces.groupBy("k1", "k2", "start", "size", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
+    taken = mix.pieces.groupBy("k1", "k2", "start", "size", "epoch").agg(F.sum("length").alias("taken"), F.min("turn").alias("turn"))
     taken = stored(taken.withColumn("copy", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start"))), "mix-taken")
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.filter(F.col("text").isNotNull()).select(*_row_names(n_words(F.col("text"))), F.struct(*others).alias("rest"), "text")
@@ -149,4 +165,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     own = {"text": F.col("text")} | {c: F.col("rest")[c] for c in others}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.orderBy("slot", "start", "epoch", "k1").select(*[own[c].alias(c) for c in docs.columns])
+    return out.orderBy("turn", "start", "epoch", "k1").select(*[own[c].alias(c) for c in docs.columns])

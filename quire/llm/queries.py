@@ -132,14 +132,14 @@ WITH z AS (
     CASE WHEN open IS NULL OR ord < open THEN (source_size * 2)::DOUBLE
       ELSE (weight * max(CASE WHEN ord = open THEN l END) OVER ())::DOUBLE / max(CASE WHEN ord = open THEN ws END) OVER () END AS target
   FROM g
+), v AS (
+  SELECT *, least(least(256, greatest(1, (sum(want) OVER ())::BIGINT // 1048576)), 1::BIGINT << (length(bin(want // 64)) - 1)) AS block FROM (SELECT *, floor(target + 0.5)::BIGINT AS want FROM t) WHERE want > 0
 ), c AS (
-  SELECT *, (sum(want) OVER (ORDER BY no))::BIGINT AS upto, (sum(want) OVER ())::BIGINT AS words FROM (SELECT *, floor(target + 0.5)::BIGINT AS want FROM t) WHERE want > 0
-), b AS (
-  SELECT max(words) AS words, least(256, greatest(1, max(words) // 1048576))::BIGINT AS block FROM c
+  SELECT *, (sum(want) OVER (PARTITION BY block ORDER BY no))::BIGINT AS upto, (sum(want) OVER (PARTITION BY block))::BIGINT AS words FROM v
 ), slots AS (
-  SELECT k % 2147483648 * 1327217885 % 2147483648 / 2147483648.0::DOUBLE AS u FROM (SELECT unnest(range((words + block - 1) // block)) AS k FROM b)
+  SELECT block, k % 2147483648 * 1327217885 % 2147483648 / 2147483648.0::DOUBLE AS u FROM (SELECT block, unnest(range((words + block - 1) // block)) AS k FROM (SELECT DISTINCT block, words FROM c))
 ), drawn AS (
-  SELECT no, count(*) * any_value(block) AS drawn FROM slots JOIN c ON u >= (upto - want)::DOUBLE / words AND u < upto::DOUBLE / words CROSS JOIN b GROUP BY no
+  SELECT no, count(*) * any_value(c.block) AS drawn FROM slots JOIN c ON slots.block = c.block AND u >= (upto - want)::DOUBLE / words AND u < upto::DOUBLE / words GROUP BY no
 ), p AS (
   SELECT z.doc_id, z.size, t.source_size, t.target, coalesce(d.drawn, 0) AS drawn,
     coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(z.doc_id::VARCHAR, '') || ':mix'), z.doc_id, z.size

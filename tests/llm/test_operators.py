@@ -72,12 +72,24 @@ def test_mixing_meets_its_targets(spark, corpus):
 
 def test_mix_is_even_all_along(spark, corpus):
     mix = mixing.mix_sources(frame(spark, corpus), block_words=16)
-    want = {r.source_no: r.want for r in mix.sources.collect()}
-    slots = sorted((r.slot, r.source_no) for r in mix.schedule.collect())
+    want, block = ({r.source_no: r[c] for r in mix.sources.collect()} for c in ("want", "block_words"))
+    assert set(block.values()) > {16}
+    slots = sorted((r.turn, r.source_no) for r in mix.schedule.collect())
     seen, total = Counter(), sum(want.values())
-    for k, (_, s) in enumerate(slots[: int(len(slots) * 0.9)], 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - k * want[x] / total) <= 6 for x in want)
+    for turn, s in slots:
+        seen[s] += block[s]
+        if turn < 0.9:
+            assert all(abs(seen[x] - sum(seen.values()) * want[x] / total) <= 6 * 16 for x in want)
+
+
+def test_small_sources_meet_their_targets_in_large_blocks(spark):
+    rows = [(i, "w " * 3000, "big") for i in range(30)] + [(1000 + i, "w " * (50 + 7 * i), f"small{i:02d}") for i in range(12)]
+    out = mixing.words_taken(mixing.mix_sources(frame(spark, rows), block_words=256)).collect()
+    small = [r for r in out if r.doc_id >= 1000]
+    assert len(small) == 12
+    assert all(abs(r.taken - r.target) <= max(4, 0.07 * r.target) for r in small)
+    big = [r for r in out if r.doc_id < 1000]
+    assert abs(sum(r.taken for r in big) - big[0].target) <= 4 * 256
 
 
 def test_the_schedule_decides_what_is_taken(spark, corpus, monkeypatch):
