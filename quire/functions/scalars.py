@@ -273,10 +273,12 @@ def sanitize(text: Column, preserve: bool = True) -> Column:
     that can be, and otherwise counted and replaced by ?.
     """
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, "")
-    if preserve:
-        return F.struct(clean.alias("text"), F.regexp_count(clean, F.lit(OUTSIDE_LATIN)).alias("lost"))
-    plain = replace_chars(clean)
-    return F.struct(F.regexp_replace(plain, NOT_DRAWABLE, "?").alias("text"), F.regexp_count(plain, F.lit(NOT_DRAWABLE)).alias("lost"))
+
+    def told(plain: Column, lacks: str, put: str | None) -> Column:
+        """The text and its losses; as an element of an array it is made once for both."""
+        return F.transform(F.array(plain), lambda t: F.struct((t if put is None else F.regexp_replace(t, lacks, put)).alias("text"), F.regexp_count(t, F.lit(lacks)).alias("lost")))[0]
+
+    return told(clean, OUTSIDE_LATIN, None) if preserve else told(replace_chars(clean), NOT_DRAWABLE, "?")
 
 
 def xml_escape(text: Column) -> Column:

@@ -93,11 +93,21 @@ def column_widths(ranges: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def grid_rows(cells: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-    """cells(…, row, col, text) -> dense rows: (file_id, sheet_no, row, cells), rows and columns from 0, gaps are empty text."""
-    bounds = grid_bounds(cells) if bounds is None else bounds
-    rows = bounds.select(*SHEET, "top", "left", "right", F.explode(F.sequence("top", "bottom")).alias("row"))
-    filled = cells.groupBy(*SHEET, "row").agg(F.collect_list(F.struct("col", "text")).alias("found"))
-    out = rows.join(filled, [*SHEET, "row"], "left")
+    """cells(…, row, col, text) -> dense rows: (file_id, sheet_no, row, cells), rows and columns from 0, gaps are empty text.
+
+    Without given bounds a sheet's are those of grid_bounds, taken from its rows: cells are read once, and
+    each row fills the gap up to the next.
+    """
+    filled = cells.groupBy(*SHEET, "row").agg(F.collect_list(F.struct("col", "text")).alias("found"), F.min("col").alias("_left"), F.max("col").alias("_right"))
+    if bounds is None:
+        sheet = Window.partitionBy(*SHEET)
+        rows = filled.withColumns({"top": F.min("row").over(sheet), "_last": F.max("row").over(sheet), "left": F.min("_left").over(sheet), "_most": F.max("_right").over(sheet), "_next": F.lead("row").over(sheet.orderBy("row"))})
+        rows = rows.withColumn("bottom", F.least("_last", F.col("top") + MAX_GRID_ROWS - 1)).withColumn("right", F.least("_most", F.col("left") + MAX_GRID_COLUMNS - 1)).filter("row <= bottom")
+        upto = F.least(F.coalesce(F.col("_next") - 1, F.col("row")), F.col("bottom"))
+        out = rows.withColumn("_at", F.explode(F.sequence("row", upto))).withColumn("found", F.when(F.col("_at") == F.col("row"), F.col("found"))).withColumn("row", F.col("_at"))
+    else:
+        rows = bounds.select(*SHEET, "top", "left", "right", F.explode(F.sequence("top", "bottom")).alias("row"))
+        out = rows.join(filled, [*SHEET, "row"], "left")
     found = F.map_from_entries("found")
     values = F.transform(F.sequence("left", "right"), lambda c: F.coalesce(F.try_element_at(found, c), F.lit("")))
     return out.select(*SHEET, (F.col("row") - F.col("top")).alias("row"), values.alias("cells"))

@@ -186,3 +186,11 @@ def test_every_page_is_a_conversion_request(spark, tmp_path):
     asked = [(i, exts[i % 10], formats[i // 10 % 4]) for i in range(200)]
     want = [r for r in asked if r[1] not in formats or r[1] == r[2]]
     assert sorted(map(tuple, QUERIES["rejected_requests"](spark, str(tmp_path)).collect())) == want
+
+
+def test_grids_without_bounds_are_those_of_their_bounds(spark):
+    rng = random.Random(12)
+    rows = {(s, rng.randrange(3, 60), rng.randrange(2, 9)) for s in range(5) for _ in range(25)} | {(7, 4, 1), (7, 6000, 300), (8, 0, 0)}
+    cells = spark.createDataFrame([("f", s, r, c, f"{s}.{r}.{c}") for s, r, c in rows], "file_id string, sheet_no int, row int, col int, text string")
+    got, want = (sorted(map(str, workbook.grid_rows(cells, b).collect())) for b in (None, workbook.grid_bounds(cells)))
+    assert got == want and len(got) > 5000
