@@ -1,12 +1,14 @@
 """WARC fixity: Merkle trees over records and their ordered offset ranges, compared replica by replica.
 
-A leaf is a record's place, length and SHA-256; a node hashes the ordered nodes below it, `fanout` at
-most, and so one range of offsets. Replicas whose roots agree are not looked at further; elsewhere only
-the children of nodes that differ are compared, level by level, down to the records.
+A leaf is a record's length and SHA-256; a node hashes the ordered nodes below it, `fanout` at most, each
+with the length of its range of offsets. Replicas whose roots agree are not looked at further; elsewhere only
+the children of nodes that differ are compared, level by level, down to the records. Ranges are hashed
+by length, so a record that grew is one that differs, and those behind it have only moved.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,13 @@ def warc_record(url: Column, body: Column, number: Column) -> Column:
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, record, body) of each whole record of a WARC file; bytes that start no record end the file."""
+    """(offset, record, body) of each whole record of a WARC file; bytes that start no record end the file.
+
+    Of a file of gzip members the offsets are those of the members, each of which holds a record or more.
+    """
+    if content.startswith(b"\x1f\x8b"):
+        yield from _members(content)
+        return
     at = 0
     while content.startswith(b"WARC/", at):
         head = content.find(b"\r\n\r\n", at)
@@ -42,6 +50,20 @@ def parse_warc(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         at = end + 4
 
 
+def _members(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    at = 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        try:
+            whole = member.decompress(content[at:])
+        except zlib.error:
+            return
+        if not member.eof:
+            return
+        yield from ((at, record, body) for _, record, body in parse_warc(whole) if not whole.startswith(b"\x1f\x8b"))
+        at = len(content) - len(member.unused_data)
+
+
 def read_records(files: DataFrame) -> DataFrame:
     """files(file_no, content) -> (file_no, ord, offset, record) of WARC files, each opened where its bytes are."""
 
@@ -81,11 +103,11 @@ def merkle_tree(leaf_rows: DataFrame, levels: int | None = None) -> DataFrame:
 
     levels must be those of the largest file of all replicas (levels_of); no node hashes more than 16 others.
     """
-    level = leaf_rows.select("file_no", F.col("ord").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), F.sha2(F.concat_ws(":", "offset", "length", "hash").cast("binary"), 256).alias("hash"))
+    level = leaf_rows.select("file_no", F.col("ord").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), F.sha2(F.concat_ws(":", "length", "hash").cast("binary"), 256).alias("hash"))
     tree = level.withColumn("level", F.lit(0))
     for k in range(1, (levels or levels_of(leaf_rows)) + 1):
-        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        level = level.withColumn("_p", F.floor(F.col("node") / FANOUT)).groupBy("file_no", "_p").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(below, "").cast("binary"), 256).alias("hash")).withColumnRenamed("_p", "node")
+        below = F.transform(F.array_sort(F.collect_list(F.struct("node", (F.col("last") - F.col("first")).alias("length"), "hash"))), lambda x: F.concat_ws(":", x["length"].cast("string"), x["hash"]))
+        level = level.withColumn("_p", F.floor(F.col("node") / FANOUT)).groupBy("file_no", "_p").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(below, ";").cast("binary"), 256).alias("hash")).withColumnRenamed("_p", "node")
         tree = tree.unionByName(level.withColumn("level", F.lit(k)))
     return tree.select("file_no", "level", "node", "first", "last", "hash")
 
@@ -110,18 +132,21 @@ def audit(mine: DataFrame, theirs: DataFrame, levels: int = LEVELS) -> DataFrame
 
 
 def audit_replica(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """records and replica (file_no, key, record) -> the records' leaves and state (intact, changed, missing, extra).
+    """records and replica (file_no, key, record) -> the records' leaves and state (intact, moved, changed, missing, extra).
 
     Null records are no bytes; null keys come first; an empty table gives an empty result, or all records
-    extra. A record that grew or shrank moves all behind it in its file: these are changed too, since
-    they are not where the tree says.
+    extra. A record that grew or shrank is changed, and those behind it that are whole but not where they
+    were have moved; only files whose roots differ are looked through for these.
     """
     own = stored(leaves(records), "fixity-leaves")
     other = stored(leaves(replica), "fixity-replica")
     levels = levels_of(own, other)
     trees = [stored(merkle_tree(x, levels), "fixity-tree") for x in (own, other)]
     found = audit(*trees, levels).select("file_no", "ord", "state")
-    both = own.join(found, ["file_no", "ord"], "left").withColumn("state", F.coalesce("state", F.lit("intact")))
+    torn = found.select("file_no").distinct()
+    places = other.join(torn, "file_no").select("file_no", "ord", F.col("offset").alias("_place"))
+    whole = F.when(F.col("_place") != F.col("offset"), "moved").otherwise("intact")
+    both = own.join(found, ["file_no", "ord"], "left").join(places, ["file_no", "ord"], "left").withColumn("state", F.coalesce("state", whole)).drop("_place")
     extra = other.join(found.filter("state = 'extra'"), ["file_no", "ord"])
     return both.unionByName(extra)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 
@@ -13,12 +14,13 @@ PAGES = "page_id long, url string, html string"
 
 
 def tree_of(hashes):
-    """Root of a file's leaves, in plain Python."""
-    level = [hashlib.sha256(f"{o}:{n}:{h}".encode()).hexdigest() for o, n, h in hashes]
+    """Root of a file's leaves, in plain Python: a node hashes the lengths of the ranges below it, and their hashes."""
+    level = [(n, hashlib.sha256(f"{n}:{h}".encode()).hexdigest()) for _, n, h in hashes]
     for k in range(1, fixity.LEVELS + 1):
         step = fixity.FANOUT if k < fixity.LEVELS else max(1, len(level))
-        level = [hashlib.sha256("".join(level[i : i + step]).encode()).hexdigest() for i in range(0, len(level), step)]
-    return level[0]
+        parts = [level[i : i + step] for i in range(0, len(level), step)]
+        level = [(sum(n for n, _ in p), hashlib.sha256(";".join(f"{n}:{h}" for n, h in p).encode()).hexdigest()) for p in parts]
+    return level[0][1]
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +161,22 @@ def test_a_language_only_markup_names(spark, model):
     assert len(out) == len(rows) and all(0 < r.probability <= 1 for r in out)
     assert all(got[i] == ("en", "en") for i in range(30)) and all(got[100 + i] == ("xx", None) for i in range(20))
     assert got[200] == ("en", "en") and got[201] == ("xx", None) and got[202] == ("yy", None)
+
+
+def test_a_record_that_grew_is_told_from_those_it_moved(spark):
+    rows = [(f, k, b"WARC/1.1 %d %d" % (f, k) * 5) for f in (1, 2) for k in range(100)]
+    other = [(f, k, r + b"x" if (f, k) == (1, 10) else r) for f, k, r in rows]
+    out = fixity.audit_replica(spark.createDataFrame(rows, RECORDS), spark.createDataFrame(other, RECORDS)).collect()
+    assert {(r.file_no, r.key): r.state for r in out} == {(f, k): "changed" if (f, k) == (1, 10) else "moved" if f == 1 and k > 10 else "intact" for f, k, _ in rows}
+
+
+def test_gzip_members_are_records(spark):
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"b" * n) for n in (0, 5, 9000)]
+    packed = [gzip.compress(r) for r in records]
+    content = b"".join(packed)
+    found = list(fixity.parse_warc(content))
+    assert [(r, len(b)) for _, r, b in found] == [(r, n) for r, n in zip(records, (0, 5, 9000), strict=True)]
+    assert [at for at, *_ in found] == [0, len(packed[0]), len(packed[0]) + len(packed[1])]
+    assert len(list(fixity.parse_warc(content[:-3]))) == 2 and list(fixity.parse_warc(b"\x1f\x8bno")) == []
+    rows = fixity.read_records(spark.createDataFrame([(1, content), (2, None)], "file_no long, content binary")).collect()
+    assert [(r.file_no, r.ord, r.record) for r in rows] == [(1, i, r) for i, r in enumerate(records)]
