@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 
 import pytest
@@ -180,3 +181,41 @@ def test_gzip_members_are_records(spark):
     assert len(list(fixity.parse_warc(content[:-3]))) == 2 and list(fixity.parse_warc(b"\x1f\x8bno")) == []
     rows = fixity.read_records(spark.createDataFrame([(1, content), (2, None)], "file_no long, content binary")).collect()
     assert [(r.file_no, r.ord, r.record) for r in rows] == [(1, i, r) for i, r in enumerate(records)]
+
+
+def test_posteriors_against_a_plain_computation(spark, model):
+    rng = random.Random(21)
+    rows = []
+    for i in range(90):
+        lang = rng.choice(["en", "en", "fr", "de"])
+        rows.append(page(i, lang, rng.choice([0, 1, 3, 60]), rng.choice([None, None, lang, "fr"]), rng.choice(["a.site.fr", "b.site.fr", "www.x.com", "y.de", "one.y.de"])))
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(rows, PAGES), model, strength=3.0).collect()}
+    seen = {r.page_id: r for r in language.page_evidence(spark.createDataFrame(rows, PAGES)).collect()}
+    langs, weights = model.langs + model.rare, [*model.weights, *model.rare_weights]
+    n = len(langs)
+    scores, best = {}, {}
+    for i, r in seen.items():
+        grams = language.gram_counts(r.text.encode()).tolist()
+        means = [sum(float(w[g]) for g in grams) / len(grams) * min(len(grams), 60.0) if grams else 0.0 for w in weights]
+        scores[i] = [m - max(means) for m in means]
+        best[i] = max(range(n), key=lambda k: (scores[i][k], -k)) if len(r.text) > 1 else None
+    told = [i for i, r in seen.items() if r.declared is not None and best[i] is not None]
+    trust = min(0.99, (sum(seen[i].declared == langs[best[i]] for i in told) + 1) / (len(told) + 2))
+
+    def shares(i, same, parent):
+        counts = [sum(1 for j in seen if j != i and best[j] == k and same(seen[j])) for k in range(n)]
+        raw = [c + 3.0 * p for c, p in zip(counts, parent, strict=True)]
+        return [x / sum(raw) for x in raw]
+
+    for i, r in seen.items():
+        everywhere = shares(i, lambda _: True, [1 / n] * n)
+        domain = shares(i, lambda o, r=r: o.domain == r.domain, everywhere)
+        host, suffix = shares(i, lambda o, r=r: o.host == r.host, domain), shares(i, lambda o, r=r: o.suffix == r.suffix, everywhere)
+        logs = []
+        for k, x in enumerate(langs):
+            said = 0.0 if r.declared is None else math.log(trust) if r.declared == x else math.log((1 - trust) / (n - 1))
+            logs.append(scores[i][k] + said + math.log(suffix[k] / everywhere[k]) / 2 + math.log(host[k]))
+        top = max(logs)
+        assert got[i].lang == langs[logs.index(top)]
+        assert got[i].probability == pytest.approx(1 / sum(math.exp(v - top) for v in logs), rel=1e-4)
+        assert got[i].text_lang == (langs[best[i]] if best[i] is not None else None)
