@@ -156,7 +156,7 @@ def large_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = spark.read.parquet(path)
     cells = sheets.fragment_cells(sheets.part_fragments(books, r"^xl/worksheets/sheet\d+\.xml$", "row")).withColumn("sheet_no", F.lit(0)).drop("part")
     strings = sheets.fragment_strings(sheets.part_fragments(books, r"^xl/sharedStrings\.xml$", "si"))
-    return workbook.resolve_cells(workbook.fill_positions(cells), strings).select("file_id", "row", "col", "text")
+    return workbook.resolve_cells(cells, strings).select("file_id", "row", "col", "text")
 
 
 _WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'

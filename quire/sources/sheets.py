@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scalars import parse_cell_ref
 from quire.sources.files import UNREADABLE, guard_archive
 
 #: Bytes of a fragment, about: it ends with the row that reaches this.
@@ -163,19 +164,23 @@ def _plain(x: str) -> Column:
 
 
 def fragment_cells(fragments: DataFrame) -> DataFrame:
-    """Fragments of sheets, cut between rows -> (file_id, part, row_pos, row_no, pos, ref, raw_type, raw_value) in document order.
+    """Fragments of sheets, cut between rows -> (file_id, part, row_pos, row_no, pos, row, col, ref, raw_type, raw_value) in document order.
 
-    row_no is filled: a row without a number follows the row before it, also over the edge of a fragment
-    and after a row without cells. Fragments are parsed and numbered where the first exchange puts them.
+    A row without a number follows the row before it, also over the edge of a fragment and after a row
+    without cells; a cell without a reference follows the cell before it. Fragments are parsed, numbered
+    and placed where the one exchange puts them.
     """
     rows = _parsed(fragments, "sheetData", _ROWS, "row")
     held = Window.partitionBy(*_KEYS).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     known = F.last(F.when(F.col("x._r").isNotNull(), F.struct(F.col("x._r").alias("no"), "i")), ignorenulls=True).over(held)
     rows = rows.withColumn("_known", known)
     row_no = F.coalesce(F.col("_known.no") + F.col("i") - F.col("_known.i"), F.col("number") + F.col("i")).cast("int")
-    cells = rows.select("file_id", "part", (F.col("first") + F.col("i")).alias("row_pos"), row_no.alias("row_no"), F.posexplode("x.c").alias("at", "c"))
+    cells = rows.select(*_KEYS, (F.col("first") + F.col("i")).alias("row_pos"), row_no.alias("row_no"), F.posexplode("x.c").alias("at", "c")).withColumn("_ref", parse_cell_ref(F.col("c._r")))
+    held = Window.partitionBy(*_KEYS, "row_pos").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_known", F.last(F.when(F.col("_ref.col").isNotNull(), F.struct(F.col("_ref.col").alias("col"), "at")), ignorenulls=True).over(held))
+    col = F.coalesce(F.col("_known.col") + F.col("at") - F.col("_known.at"), F.col("at"))
     return cells.select(
-        "file_id", "part", "row_pos", "row_no", (F.col("row_pos") * 100000 + F.col("at")).alias("pos"),
+        "file_id", "part", "row_pos", "row_no", (F.col("row_pos") * 100000 + F.col("at")).alias("pos"), F.coalesce("_ref.row", F.col("row_no") - 1).cast("int").alias("row"), col.cast("int").alias("col"),
         F.col("c._r").alias("ref"), F.col("c._t").alias("raw_type"), F.when(F.col("c._t") == "inlineStr", _plain("c.is")).otherwise(F.col("c.v")).alias("raw_value"),
     )
 

@@ -4,6 +4,7 @@ import io
 import struct
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import content, plans, workbook
@@ -83,7 +84,9 @@ def test_workbook_end_to_end(spark):
 
 def cells_of(spark, entries, size):
     fragments = sheets.part_fragments(table(spark, entries), r"sheet\d+\.xml$", "row", size=size)
-    cells = workbook.fill_positions(sheets.fragment_cells(fragments).withColumn("sheet_no", F.lit(0)))
+    cells = sheets.fragment_cells(fragments)
+    again = workbook.fill_positions(cells.drop("row", "col").withColumn("sheet_no", F.dense_rank().over(Window.orderBy("part"))))
+    assert {(r.part, r.row, r.col) for r in again.collect()} == {(r.part, r.row, r.col) for r in cells.collect()}
     return {(r.file_id, r.part, r.row, r.col): r.raw_value for r in cells.collect()}, [(r.file_id, r.part) for r in fragments.filter("problem is not null").collect()], fragments.count()
 
 
