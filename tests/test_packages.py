@@ -109,6 +109,18 @@ def test_sheets_in_fragments_are_the_whole_sheets(spark):
         assert (n > 50) == (size == 1)
 
 
+def test_sheets_beyond_the_limit_are_read_and_bombs_are_not(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_EXPANDED", 4000)
+    rows = "".join(f"<row><c><v>{i}</v></c></row>" for i in range(300))
+    bomb = bytearray(archive([("sheet1.xml", "<worksheet/>")]))
+    at = bomb.rfind(b"PK\x01\x02")
+    bomb[at + 24 : at + 28] = struct.pack("<I", 400 * 1024 * 1024)
+    large = archive([("sheet1.xml", f"<worksheet><sheetData>{rows}</sheetData></worksheet>")])
+    assert [r.verdict for r in S.guard_archive(table(spark, [("a", large), ("b", bytes(bomb))])).orderBy("ord").collect()] == ["too-large", "too-large"]
+    got, problems, _ = cells_of(spark, [("a", large), ("b", bytes(bomb))], 700)
+    assert got == {("0", "sheet1.xml", i, 0): str(i) for i in range(300)} and problems == []
+
+
 def test_sheets_that_break_off_give_what_came_before(spark):
     good = "".join(f"<row><c><v>{i}</v></c></row>" for i in range(9))
     broken = f"<worksheet><sheetData>{good}<row><c><v>9</c>"
