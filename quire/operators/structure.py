@@ -1,9 +1,10 @@
 """Lines, cells, tables, headings and paragraphs from positioned runs of text.
 
 Everything is keyed by page: page-sized groups are the largest that any step gathers. Two rules depend
-on their own decisions (lines by running mean, paragraphs by first indent): most ends are certain from
-neighbours alone, so pages fall into islands by windows, and only an island that needs it is folded, as
-an expression. Nothing but the page is ever a key of an exchange, so one exchange serves all steps.
+on their own decisions. Lines go by a running mean: a page's runs are gathered in order and folded as an
+expression. Paragraphs go by the first indent: most ends are certain from neighbours alone, so pages fall
+into islands by windows, and only an island that needs it is folded. Nothing but the page is ever a key
+of an exchange, so one exchange serves all steps, and none is made where the caller's rows lie by document.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ PAGE = ["doc_id", "page_no"]
 SPACES = r"(?U)\s+"
 
 
+def _shows(text: Column) -> Column:
+    """Whether there is more than white space; a visible first letter tells without a pattern."""
+    return F.ascii(text).between(33, 126) | text.rlike(r"(?U)\S")
+
+
 def text_runs(text_items: DataFrame) -> DataFrame:
     """Clean runs: bad coordinates are 0, bad sizes 0, runs of white space only are dropped."""
 
@@ -41,11 +47,12 @@ def text_runs(text_items: DataFrame) -> DataFrame:
 
     text = F.coalesce("str", F.lit(""))
     out = text_items.select(*PAGE, "item_no", text.alias("text"), finite(F.get("transform", F.lit(4))).alias("x"), finite(F.get("transform", F.lit(5))).alias("y"), positive(F.col("width")).alias("width"), positive(F.col("height")).alias("height"))
-    return out.filter(~F.col("text").rlike(r"(?U)^\s*$"))
+    return out.filter(_shows(F.col("text")))
 
 
-def reading_order(runs: DataFrame) -> DataFrame:
-    return runs.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "x", "item_no")
+def reading_order(runs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Pages in order, each in its own; in so many tasks, if told."""
+    return runs.repartition(*([tasks] if tasks else []), *PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "x", "item_no")
 
 
 def item_boxes(text_items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -84,32 +91,60 @@ def _parted(df: DataFrame, order: list[str], cut: Column, value: str, far: Calla
     return out.drop("_cut", "_island", "_first", "_far", "_at", "_values", "_sub", "_start")
 
 
-def _line_numbers(ys: Column) -> Column:
-    """A y joins the open line while it is at most 2 below the line's mean."""
+def _line_starts(runs: Column) -> Column:
+    """Places where lines begin among a page's runs from the top: a run joins the open line while it is at most 2 below the line's mean."""
 
-    def take(s: Column, y: Column) -> Column:
-        joins = (s["n"] > 0) & (s["total"] / s["n"] - y <= LINE_TOLERANCE)
-        line = s["line"] + F.when(joins, 0).otherwise(1)
-        return F.struct(F.when(joins, s["total"] + y).otherwise(y).alias("total"), F.when(joins, s["n"] + 1).otherwise(1).alias("n"), line.alias("line"), F.concat(s["out"], F.array(line)).alias("out"))
+    def take(s: Column, run: Column) -> Column:
+        y, at = -run["down"], s["at"] + 1
+        stays = F.struct((s["total"] + y).alias("total"), (s["n"] + 1).alias("n"), at.alias("at"), s["starts"].alias("starts"))
+        begins = F.struct(y.alias("total"), F.lit(1).alias("n"), at.alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+        return F.when((s["n"] > 0) & (s["total"] / s["n"] - y <= LINE_TOLERANCE), stays).otherwise(begins)
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(ys, start, take, lambda s: s["out"])
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(runs, start, take, lambda s: s["starts"])
 
 
-def assign_lines(runs: DataFrame) -> DataFrame:
-    """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean.
+def _parts(whole: str, starts: Column) -> Column:
+    """An array cut at these places."""
+    return F.transform(starts, lambda s, i: F.slice(whole, s + 1, F.coalesce(F.get(starts, i + 1), F.size(whole)) - s))
+
 
-    A step of more than 2 from one run to the next always ends a line, and runs that are all within 2 of
-    the first are one; only stretches in between that sink further need the mean.
+def _lines(runs: DataFrame) -> DataFrame:
+    """runs -> one row per line: line_no, its runs from the top, and space, the width of a character on the page (the exact median over its runs).
+
+    A page's runs are gathered once, in order; whatever depends on the runs before is an expression on them.
     """
-    cols = runs.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("item_no").cast("int"), "text", "x", "y", "width", "height", (-F.col("y")).alias("down"))
-    order = ["down", "x", "item_no"]
-    step = F.lag("y").over(Window.partitionBy(*PAGE).orderBy(*order)) - F.col("y") > LINE_TOLERANCE
-    return _parted(cols, order, step, "y", lambda first, y: first - y > LINE_TOLERANCE, _line_numbers, "line_no").drop("down")
+    each = F.when(F.col("width") > 0, F.col("width") / F.length("text"))
+    run = F.struct((-F.col("y")).alias("down"), "x", F.col("item_no").cast("int").alias("item_no"), "text", "width", "height")
+    cols = runs.withColumns({"doc_id": F.col("doc_id").cast("long"), "page_no": F.col("page_no").cast("int")})
+    pages = cols.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("runs"), F.coalesce(F.median(each), F.lit(0.0)).alias("space"))
+    pages = pages.withColumn("starts", _line_starts(F.col("runs")))
+    return pages.select(*PAGE, "space", F.posexplode(_parts("runs", F.col("starts"))).alias("line_no", "runs"))
 
 
-def _in_line() -> Window:
-    return Window.partitionBy(*PAGE, "line_no").orderBy("x", F.desc("y"), "item_no")
+def assign_lines(runs: DataFrame) -> DataFrame:
+    """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean."""
+    each = _lines(runs).select(*PAGE, "line_no", F.explode("runs").alias("r"))
+    return each.select(*PAGE, "r.item_no", "r.text", "r.x", (-F.col("r.down")).alias("y"), "r.width", "r.height", "line_no")
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """Lines with their runs and the page's space -> y, size, left, text and cells of each."""
+    along = F.sort_array(F.transform("runs", lambda r: F.struct(r["x"], r["down"], r["item_no"], r["text"], r["width"], r["height"])))
+    out = lines.filter(F.exists("runs", lambda r: _shows(r["text"]))).select(*PAGE, "line_no", "space", along.alias("runs"))
+    gap = F.transform("runs", lambda r, i: F.when(i > 0, r["x"] - (F.get("runs", i - 1)["x"] + F.get("runs", i - 1)["width"])))
+    out = out.withColumn("gaps", gap)
+    pieces = F.zip_with("runs", "gaps", lambda r, gap: F.concat(F.when((gap >= F.col("space") * 0.5) & (gap > 0), " ").otherwise(""), r["text"]))
+    starts = F.filter(F.transform("gaps", lambda gap, i: F.when((i == 0) | (gap > F.greatest(F.lit(MIN_CELL_GAP), F.col("space") * 2)), i)), lambda i: i.isNotNull())
+    out = out.withColumns({"pieces": pieces, "starts": starts})
+
+    def joined(pieces: Column) -> Column:
+        return F.trim(F.regexp_replace(F.array_join(pieces, ""), SPACES, " "))
+
+    y = F.aggregate("runs", F.lit(0.0), lambda total, r: total - r["down"]) / F.size("runs")
+    out = out.select(*PAGE, "line_no", y.alias("y"), F.array_max(F.transform("runs", lambda r: r["height"])).alias("size"), F.get("runs", F.lit(0))["x"].alias("left"), joined(F.col("pieces")).alias("text"), "pieces", "starts", "space")
+    cells = F.when(F.size("starts") == 1, F.array("text")).otherwise(F.filter(F.transform(_parts("pieces", F.col("starts")), joined), lambda c: c != ""))
+    return out.select(*PAGE, "line_no", "y", "size", "left", "text", cells.alias("cells"), "space")
 
 
 def page_space(runs: DataFrame) -> DataFrame:
@@ -125,21 +160,13 @@ def line_cells(runs: DataFrame) -> DataFrame:
     """
     each = F.when(F.col("width") > 0, F.col("width") / F.length("text"))
     r = runs.withColumn("space", F.coalesce(F.median(each).over(Window.partitionBy(*PAGE)), F.lit(0.0)))
-    w = _in_line()
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
-    r = r.withColumn("_at", F.row_number().over(w)).withColumn("_gap", gap)
-    r = r.withColumn("_new", (F.coalesce(F.col("_gap") > F.greatest(F.lit(MIN_CELL_GAP), F.col("space") * 2), F.lit(False))).cast("int"))
-    r = r.withColumn("_cell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.concat(F.when(F.coalesce((F.col("_gap") >= F.col("space") * 0.5) & (F.col("_gap") > 0), F.lit(False)), " ").otherwise(""), F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("_at", "_cell", piece.alias("piece"))))
+    run = F.struct((-F.col("y")).alias("down"), "x", "item_no", "text", "width", "height")
+    return _cells(r.groupBy(*PAGE, "line_no").agg(F.first("space").alias("space"), F.collect_list(run).alias("runs"))).drop("space")
 
-    def joined(pieces: Column) -> Column:
-        return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""), SPACES, " "))
 
-    out = r.groupBy(*PAGE, "line_no").agg(F.avg("y").alias("y"), F.max("height").alias("size"), F.min("x").alias("left"), parts.alias("p"), F.max("_cell").alias("n"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("n").cast("int")), lambda k: joined(F.filter("p", lambda p: p["_cell"] == k)))
-    out = out.select(*PAGE, "line_no", "y", "size", "left", joined(F.col("p")).alias("text"), F.filter(cells, lambda c: c != "").alias("cells"))
-    return out.filter("text != ''")
+def text_lines(runs: DataFrame) -> DataFrame:
+    """runs -> the rows of line_cells, and space; each page is gathered once for its lines and their cells."""
+    return _cells(_lines(runs))
 
 
 def _words(text: Column) -> Column:
@@ -228,7 +255,7 @@ def fold_lone_words(blocks: DataFrame) -> DataFrame:
 
 def structure(text_items: DataFrame) -> DataFrame:
     """Positioned text -> blocks of every page."""
-    lines = classify_lines(line_cells(assign_lines(text_runs(text_items))))
+    lines = classify_lines(text_lines(text_runs(text_items)).drop("space"))
     return fold_lone_words(page_blocks(assign_paragraphs(lines)))
 
 
