@@ -291,6 +291,23 @@ def test_intake_takes_each_file_once(spark, tmp_path):
     }
 
 
+def test_small_files_share_tasks_and_folders(spark, tmp_path):
+    n, odd = 400, {3: "", 5: None, 7: "é\nz\n"}
+    rows = [(i % 2, f"file-{i}.pdf", odd.get(i, "x" * i)) for i in range(n)]
+    texts = spark.createDataFrame(rows, "folder int, name string, value string").repartition(4, "folder")
+    for _ in range(2):  # a second writing changes nothing
+        S.write_texts(texts, f"file://{tmp_path}/in")
+    assert sorted(p.name for p in (tmp_path / "in").iterdir()) == ["0", "1"]
+    assert {p.name: p.read_bytes() for p in (tmp_path / "in").glob("*/*")} == {name: (value or "").encode() + b"\n" for _, name, value in rows}
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    jobs.take_in(spark, f"file://{tmp_path}/in", str(tmp_path / "table"), str(tmp_path / "progress"))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert {(r.name, r.size) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {(name, len((value or "").encode()) + 1) for _, name, value in rows}
+    assert len(list((tmp_path / "table" / "batch=0").glob("part-*"))) <= 4
+    S.write_texts(texts.filter("name = 'file-7.pdf'"), str(tmp_path / "elsewhere"))
+    assert [p.read_text() for p in (tmp_path / "elsewhere").glob("folder=1/name=file-7.pdf/part-*")] == ["é\nz\n\n"]
+
+
 def test_edit_stream_agrees_with_the_batch_over_restarts(spark, tmp_path):
     schema = "doc_id long, seq long, kind string, page int, item int, text string"
     log = [(d, s, "discard" if s % 31 == 0 else "revert" if s % 11 == 0 else "apply", s % 3, s % 5, f"t{s}") for d in (1, 2) for s in range(d, 80)] + [(3, 1, "apply", 0, 0, None), (3, 2, "revert", 1, 0, None)]
