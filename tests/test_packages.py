@@ -325,6 +325,54 @@ def test_edit_stream_agrees_with_the_batch_over_restarts(spark, tmp_path):
     assert {tuple(r) for r in jobs.late_events(changes).collect()} == {(1, 1, 7, 7), (2, 2, 77, 77)}
 
 
+class _Value:
+    """A state value that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_edit_state_is_read_and_written_once_a_document_and_batch():
+    kept, state = _Value(), jobs.EditState()
+    state.init(kept)
+    lots = [
+        ([(1, s, "apply", s % 10, s % 100, f"t{s}") for s in range(5000)], 100, 4999),
+        ([(1, 5002, "revert", 3, 0, ""), (1, 4999, "apply", 0, 0, "late"), (1, 5001, "apply", 3, 3, "gone"), (1, 5003, "apply", 3, 3, "new"), (1, 5000, "apply", None, None, "nowhere")], 92, 5003),
+        ([(1, 5003, "discard", 0, 0, "late"), (1, None, "apply", 0, 0, "late")], 92, 5003),
+        ([(1, 6000, "discard", None, None, None)], 0, 6000),
+    ]
+    out = []
+    for i, (rows, n, last) in enumerate(lots):
+        kept.calls = 0
+        out.append([tuple(r) for r in state.handleInputRows((1,), iter(rows), None)])
+        assert kept.calls == (1 if i == 2 else 2) and len(kept.value[1]) == n and kept.value[0] == last
+    assert [len(x) for x in out] == [100, 13, 2, 92] and {x[1] for x in out[3]} == {"clear"}
+    assert {x for x in out[1] if x[1] != "clear"} == {(1, "late", 0, 0, 4999, "late"), (1, "set", 3, 3, 5003, "new"), (1, "set", None, None, 5000, "nowhere")}
+
+
+def test_edits_without_a_place_go_through_the_stream(spark, tmp_path):
+    schema = "doc_id long, seq long, kind string, page int, item int, text string"
+    lots = [[(1, 1, "apply", None, None, "a"), (1, 2, "apply", 0, 0, None), (2, 1, "apply", None, 4, "b")], [(1, 3, "discard", None, None, None), (2, 2, "revert", None, None, None), (2, 3, "apply", 5, None, "c")]]
+    where = [str(tmp_path / x) for x in ("log", "changes", "progress")]
+    for rows in lots:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where[0])
+        jobs.keep_edits(spark, spark.readStream.schema(schema).parquet(where[0]), *where[1:])
+    got = {tuple(r) for r in jobs.edits_of(spark.read.schema(jobs.CHANGE).parquet(where[1])).collect()}
+    want = {(r.doc_id, r.page, r.item, r.seq, r.text) for r in plans.current_edits(spark.createDataFrame(sum(lots, []), schema)).collect()}
+    assert got == want == {(2, None, 4, 1, "b"), (2, 5, None, 3, "c")}
+
+
 def test_faults_of_xml_parts_are_told_apart(spark):
     cases = {
         "<a/>": None, " <!-- c --><?p x?><a>x</a> \n<!-- d -->": None, '<?xml version="1.0"?><x:a xmlns:x="u"><b/></x:a >': None, "﻿<a.b><![CDATA[<]]></a.b>": None, '<a b="<"/>'.replace("<\"", "&lt;\""): None,
