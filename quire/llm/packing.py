@@ -9,6 +9,7 @@ and emptier ones run empty. A shard wastes less than a sequence or so, whatever
 from __future__ import annotations
 
 import bisect
+import string
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -26,62 +27,59 @@ from quire.llm.shingles import in_chunks
 _OPEN: dict[str, "_Words"] = {}
 
 
-class _Words:
-    """A tokenizer whose ids of a text are those of its white-space separated parts, remembered by part.
+class _Words(dict):
+    """A tokenizer whose ids of a text are those of its white-space separated parts, remembered by part (ids as little-endian 32-bit words).
 
     The pre-tokenizer drops white space, never joins across it, and parts letters from marks, so a part
-    of letters and a tail of marks is the ids of both. Latin letters are lowered and spelt in bytes here
-    as the tokenizer does it, and its model is asked for the word; other parts are encoded whole, also
+    of letters and a tail of ASCII marks is the ids of both. Latin letters are lowered and spelt in bytes
+    here as the tokenizer does it, and its model is asked for the word; other parts are encoded whole, also
     where only the lowered letters are others (U+018F gives U+0259), and so are texts with a control
-    character that Python takes for white space and the tokenizer doesn't.
+    character that Python takes for white space and the tokenizer doesn't. A part costs little while its
+    word is known, so words are forgotten apart from parts.
     """
 
-    ODD = frozenset("\x1c\x1d\x1e\x1f")
-    MARKS = ".,;:!?|"
+    ODD = "\x1c\x1d\x1e\x1f"
+    MARKS = string.punctuation
 
     def __init__(self, path: str, remembered: int = 1_000_000):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelt = {i: "".join(t for t, _ in spell(chr(i))) for i in range(128, 592)}
-        self.ids: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most = remembered
+        self.tails: dict[str, bytes] = {}
+        self.most_parts, self.most_words = remembered * 2 // 5, remembered * 3 // 5
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, low: str) -> bytes:
-        found = self.words.get(low)
-        if found is None:
-            found = self.words[low] = array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.spelt))]).tobytes()
-        return found
-
-    def part(self, part: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         letters = part.rstrip(self.MARKS)
-        low = letters.lower()
-        if not (letters.isalpha() and max(letters) < "\u0250" and max(low) < "\u0250"):
-            return self.whole(part)
-        tail = part[len(letters) :]
-        if tail and tail not in self.ids:
-            self.ids[tail] = self.whole(tail)
-        return self.word(low) + (self.ids[tail] if tail else b"")
+        low, ascii_only = letters.lower(), letters.isascii()
+        if not letters.isalpha() or not (ascii_only or (max(letters) < "\u0250" and max(low) < "\u0250")):
+            found = self.whole(part)
+        else:
+            found = self.words.get(low)
+            if found is None:
+                if len(self.words) >= self.most_words:
+                    self.words.clear()
+                found = self.words[low] = array("I", [t.id for t in self.model.tokenize(low if ascii_only else low.translate(self.spelt))]).tobytes()
+            if len(letters) < len(part):
+                tail = part[len(letters) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole(tail)
+                found += self.tails[tail]
+        if len(self) >= self.most_parts:
+            self.clear()
+            self.tails.clear()
+        self[part] = found
+        return found
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit words."""
-        if not self.ODD.isdisjoint(text):
+        if any(c in text for c in self.ODD):
             return self.whole(text)
-        parts, ids = text.split(), self.ids
-        try:
-            return b"".join(map(ids.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(ids) + len(self.words) + 2 * len(parts) > self.most:
-            ids.clear()
-            self.words.clear()
-        for p in set(parts).difference(ids):
-            ids[p] = self.part(p)
-        return b"".join(map(ids.__getitem__, parts))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

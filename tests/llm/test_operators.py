@@ -372,6 +372,20 @@ def test_words_asked_of_the_model_are_encoded_as_whole_texts():
             assert words.encode(text) == words.whole(text), text
 
 
+def test_only_what_has_no_letters_of_a_word_is_encoded_whole():
+    import public_tokenizers
+
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"), remembered=20)
+    text = " ".join(f"{w}{tail}" for w in ("are", "Stra\u00dfe", "\u00c9t\u00e9") for tail in ("", ".***", "###", "'", "$$$", "<|", "|>", '".)', "_-@", "&&&", "\\`~^", "{}[]=+/"))
+    text += " it's don't' a<|endoftext|> <|endoftext|>. (b) c.d 4.** \u0130a% \u018f$ \u03a3\u03a3! e\u0301# q\u037e ***"
+    want, asked, whole = words.whole(text), [], words.whole
+    words.whole = lambda part: asked.append(part) or whole(part)
+    for _ in range(3):  # more parts and words than are remembered
+        assert words.encode(text) == want
+    assert not [p for p in asked if p.rstrip(packing._Words.MARKS) in ("are", "Stra\u00dfe", "\u00c9t\u00e9")]
+    assert len(words) <= 8 and len(words.words) <= 12
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_local_search_never_overfills_or_loses(sizes):
