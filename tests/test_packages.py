@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import io
+import random
 import struct
 import zipfile
+from collections import Counter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -373,6 +375,41 @@ def test_edits_without_a_place_go_through_the_stream(spark, tmp_path):
     assert got == want == {(2, None, 4, 1, "b"), (2, 5, None, 3, "c")}
 
 
+def test_edits_are_kept_without_a_state_store_and_batches_broken_off_are_made_up_for(spark, tmp_path):
+    schema, draw, lots, states = "doc_id long, seq long, kind string, page int, item int, text string", random.Random(5), [], {}
+    for lot in range(4):
+        seqs = draw.sample(range(-3 + 40 * lot, 60 + 40 * lot), 45)
+        places = (None, 0, 1, 2)
+        lots.append([(draw.choice((None, 0, 1, 2)), q, draw.choice(("apply",) * 6 + ("revert", "discard")), draw.choice(places), draw.choice(places), draw.choice((None, f"t{q}"))) for q in (*seqs, None)])
+    want = Counter()
+    for rows in lots:
+        for doc in {r[0] for r in rows}:
+            if doc not in states:
+                states[doc] = jobs.EditState()
+                states[doc].init(_Value())
+            want.update(tuple(r) for r in states[doc].handleInputRows((doc,), iter([r for r in rows if r[0] == doc]), None))
+    at, columns = {x: str(tmp_path / x) for x in ("log", "changes", "progress")}, ["doc_id", "kind", "page", "item", "seq", "text"]
+    for rows in lots:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at["log"])
+        for _ in range(2):
+            jobs.keep_edits(spark, spark.readStream.schema(schema).parquet(at["log"]), at["changes"], at["progress"])
+            max((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda x: int(x.name)).unlink()  # as if it had been broken off at the end
+            for checksum in (tmp_path / "progress" / "commits").glob(".*.crc"):
+                checksum.unlink()
+        jobs.keep_edits(spark, spark.readStream.schema(schema).parquet(at["log"]), at["changes"], at["progress"])
+    got = Counter(tuple(r) for r in spark.read.schema(jobs.CHANGE).parquet(at["changes"]).select(*columns).collect())
+    assert got == want and {k for _, k, *_ in want} == {"set", "clear", "late"}
+    assert not (tmp_path / "progress" / "state").exists() and sorted(p.name for p in (tmp_path / "progress" / "kept").iterdir()) == ["0", "1"]
+
+
+def test_an_empty_edit_log_leaves_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, seq long, kind string, page int, item int, text string"
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(str(tmp_path / "log"))
+    for _ in range(2):
+        jobs.keep_edits(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "log")), str(tmp_path / "changes"), str(tmp_path / "progress"))
+    assert jobs.edits_of(spark.read.schema(jobs.CHANGE).parquet(str(tmp_path / "changes"))).count() == 0
+
+
 def test_faults_of_xml_parts_are_told_apart(spark):
     cases = {
         "<a/>": None, " <!-- c --><?p x?><a>x</a> \n<!-- d -->": None, '<?xml version="1.0"?><x:a xmlns:x="u"><b/></x:a >': None, "﻿<a.b><![CDATA[<]]></a.b>": None, '<a b="<"/>'.replace("<\"", "&lt;\""): None,
