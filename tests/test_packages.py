@@ -402,6 +402,22 @@ def test_edits_are_kept_without_a_state_store_and_batches_broken_off_are_made_up
     assert not (tmp_path / "progress" / "state").exists() and sorted(p.name for p in (tmp_path / "progress" / "kept").iterdir()) == ["0", "1"]
 
 
+def test_edits_kept_by_batches_and_by_state_are_the_same(spark, tmp_path):
+    schema = "doc_id long, seq long, kind string, page int, item int, text string"
+    lots = [[(d, s, "discard" if s % 31 == 0 else "revert" if s % 11 == 0 else "apply", s % 3, s % 5, f"t{s}") for d in (1, 2) for s in range(lot * 40 - lot * 5 + d, 40 + lot * 40)] for lot in range(2)]
+    log, out = str(tmp_path / "log"), {}
+    for rows in lots:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        events = spark.readStream.schema(schema).parquet(log)
+        jobs.keep_edits(spark, events, str(tmp_path / "kept"), str(tmp_path / "kept-progress"))
+        with jobs.settings(spark, {jobs.STATE_STORE: jobs.ROCKS}):
+            state = jobs.stream_edits(events).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state-progress"))
+            state.trigger(availableNow=True).start(str(tmp_path / "state")).awaitTermination()
+    for name in ("kept", "state"):
+        out[name] = Counter(tuple(r) for r in spark.read.schema(jobs.CHANGE).parquet(str(tmp_path / name)).select("doc_id", "kind", "page", "item", "seq", "text").collect())
+    assert out["kept"] == out["state"] and {k for _, k, *_ in out["kept"]} == {"set", "clear", "late"}
+
+
 def test_an_empty_edit_log_leaves_an_empty_table(spark, tmp_path):
     schema = "doc_id long, seq long, kind string, page int, item int, text string"
     spark.createDataFrame([], schema).coalesce(1).write.parquet(str(tmp_path / "log"))
