@@ -68,13 +68,23 @@ def slide_blocks(boxes: DataFrame) -> DataFrame:
     return _laid_out(heads.unionByName(inside, allowMissingColumns=True).withColumn("block_no", number))
 
 
-def characters() -> Column:
-    """Characters of a block, each text trimmed: its text, its items and its cells; pictures have none, and what a slide holds are blocks of their own."""
+def characters(spaces: str | None = None) -> Column:
+    """Characters of a block, each text trimmed: its text, its items and its cells; pictures have none, and what a slide holds are blocks of their own.
+
+    Trimmed are the characters of `spaces`, or all white space.
+    """
     told = F.concat(F.coalesce(F.array("text"), F.array().cast("array<string>")), F.coalesce("items", F.array().cast("array<string>")), F.coalesce(F.flatten("rows"), F.array().cast("array<string>")))
-    every = F.aggregate(told, F.lit(0), lambda n, t: n + F.coalesce(F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), F.lit(0)))
+
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "") if spaces is None else F.btrim(t, F.lit(spaces))
+
+    every = F.aggregate(told, F.lit(0), lambda n, t: n + F.coalesce(F.length(bare(t)), F.lit(0)))
     return F.when(F.col("type") == "image", 0).otherwise(every)
 
 
-def count_text(blocks: DataFrame) -> DataFrame:
-    """BLOCK rows -> (file_id, blocks, characters): what there is to read in each file."""
-    return blocks.groupBy("file_id").agg(F.count("*").alias("blocks"), F.sum(characters()).cast("long").alias("characters"))
+def count_text(blocks: DataFrame, files: DataFrame | None = None, spaces: str | None = None) -> DataFrame:
+    """BLOCK rows -> (file_id, blocks, characters): what there is to read in each file; of `files` (file_id), those without a block, too."""
+    each = blocks.select("file_id", F.lit(1).alias("block"), characters(spaces).alias("characters"))
+    if files is not None:
+        each = each.unionByName(files.select("file_id"), allowMissingColumns=True)
+    return each.groupBy("file_id").agg(F.count("block").alias("blocks"), F.coalesce(F.sum("characters"), F.lit(0)).cast("long").alias("characters"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import content, plans, workbook
+from quire.plans import office
 from quire.sources import equations, markup, sheets, slides, word
 from quire.sources import files as S
 from quire.streaming import jobs
@@ -462,6 +463,13 @@ def test_word_elements_become_blocks_in_order(spark):
     assert [tuple(r) for r in content.count_text(content.word_blocks(elements)).collect()] == [("f", 10, 4 + 14 + 13 + 8 + 4)]
 
 
+def test_files_without_blocks_are_counted_and_only_plain_spaces_trimmed(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, "\x01\x02"), (4, " a b\t"), (5, "\u00a0a\u2003"), (6, " \r"), (7, "a\n b\r\nc \u0085")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = office.word_characters(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("1", 0, 0), ("2", 0, 0), ("3", 0, 0), ("4", 1, 3), ("5", 1, 3), ("6", 1, 0), ("7", 4, 1 + 2 + 3)]
+
+
 def test_slides_become_blocks(spark):
     boxes = spark.createDataFrame(
         [("f", 0, 0, "text", None, [("left", [("a", 1.0, False, False), ("b", 1.0, True, False)]), ("left", []), ("left", [("c ", 1.0, False, False)])], None), ("f", 0, 1, "table", None, None, [["x", "yz"]]), ("f", 0, 2, "imageRef", "r1", None, None), ("f", 2, 0, "unsupported", None, None, None)],
