@@ -1,10 +1,10 @@
 """Lines, cells, tables, headings and paragraphs from positioned runs of text.
 
-Everything is keyed by page: page-sized groups are the largest that any step gathers. Two rules depend
-on their own decisions. Lines go by a running mean: a page's runs are gathered in order and folded as an
-expression. Paragraphs go by the first indent: most ends are certain from neighbours alone, so pages fall
-into islands by windows, and only an island that needs it is folded. Nothing but the page is ever a key
-of an exchange, so one exchange serves all steps, and none is made where the caller's rows lie by document.
+A page is the largest that any step gathers: a row with its runs from the top as an array, as readers of
+PDF hand it back. All that is made of it up to its blocks is expressions on that array, so that no row, sort
+or window is needed for a word or a line. Rules that depend on their own decisions (lines go by a running
+mean, paragraphs by the first indent) are folds; a page whose lines stand clearly apart needs none for them.
+Rows of runs are gathered by their page in one exchange, and in none where the caller's rows lie by document.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ LONE_WORD = 25
 NEARLY_EMPTY = 24
 SENTENCE_END = r'[.!?:;]["\)\]]?$'
 
+#: Distance from LINE_TOLERANCE beyond which no rounding of a mean can matter, and the largest place for which that holds.
+CLEARLY, FARTHEST = 0.001, 1e6
+
 PAGE = ["doc_id", "page_no"]
 SPACES = r"(?U)\s+"
 
@@ -36,20 +39,55 @@ def _shows(text: Column) -> Column:
     return F.ascii(text).between(33, 126) | text.rlike(r"(?U)\S")
 
 
-def text_runs(text_items: DataFrame) -> DataFrame:
-    """Clean runs: bad coordinates are 0, bad sizes 0, runs of white space only are dropped."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _run(item: Callable[[str], Column]) -> dict[str, Column]:
+    """What a run keeps of an item: bad coordinates are 0, bad sizes 0."""
 
     def finite(x: Column) -> Column:
-        return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+        return F.when(F.abs(x) < float("inf"), x).otherwise(0.0)  # neither of null nor of NaN
 
     def positive(x: Column) -> Column:
         return F.greatest(finite(x), F.lit(0.0))
 
-    text = F.coalesce("str", F.lit(""))
-    out = text_items.select(*PAGE, "item_no", text.alias("text"), finite(F.get("transform", F.lit(4))).alias("x"), finite(F.get("transform", F.lit(5))).alias("y"), positive(F.col("width")).alias("width"), positive(F.col("height")).alias("height"))
+    place = item("transform")
+    return {"text": F.coalesce(item("str"), F.lit("")), "x": finite(F.get(place, F.lit(4))), "y": finite(F.get(place, F.lit(5))), "width": positive(item("width")), "height": positive(item("height"))}
+
+
+def text_runs(text_items: DataFrame) -> DataFrame:
+    """Clean runs: bad coordinates are 0, bad sizes 0, runs of white space only are dropped."""
+    out = text_items.select(*PAGE, "item_no", *(c.alias(name) for name, c in _run(F.col).items()))
     return out.filter(_shows(F.col("text")))
 
 
+def _ordered(run: dict[str, Column], item_no: Column) -> Column:
+    """A run as it stands in a page's array, which sorts from the top and the left."""
+    return F.struct((-run["y"]).alias("down"), run["x"].alias("x"), item_no.cast("int").alias("item_no"), run["text"].alias("text"), run["width"].alias("width"), run["height"].alias("height"))
+
+
+def _typed(pages: DataFrame, runs: Column) -> DataFrame:
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), runs.alias("runs"))
+
+
+def page_runs(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page_no, items) -> (doc_id, page_no, runs): each page's clean runs in order.
+
+    No filter stands behind this or what follows, and no array is exploded that is a column: what they ask for
+    would be made a second time below, and inside a lambda once an element.
+    """
+    made = F.transform("items", lambda i: _ordered(_run(lambda c: i[c]), i["item_no"]))
+    return _typed(pages, F.sort_array(F.filter(made, lambda r: _shows(r["text"]))))
+
+
+def gathered_runs(runs: DataFrame) -> DataFrame:
+    """Rows of text_runs -> the rows of page_runs."""
+    own = {c: F.col(c) for c in ("text", "x", "y", "width", "height")}
+    return _typed(runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(_ordered(own, F.col("item_no")))).alias("runs")), F.col("runs"))
+
+
 def reading_order(runs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Pages in order, each in its own; in so many tasks, if told."""
     return runs.repartition(*([tasks] if tasks else []), *PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "x", "item_no")
@@ -68,31 +106,22 @@ def item_boxes(text_items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, "item_no", "size", t[4].alias("left"), (F.col("page_height") - t[5] - F.col("size") * 0.9).alias("top"), width.alias("width"), (F.col("size") * 1.25).alias("height"))
 
 
-def _parted(df: DataFrame, order: list[str], cut: Column, value: str, far: Callable[[Column, Column], Column], fold: Callable[[Column], Column], name: str) -> DataFrame:
-    """df and `name`: numbers from 0 of the parts of a page's rows, in the order of the columns `order`.
+def _median(values: Column) -> Column:
+    """The exact median of an array's values; null if there are none."""
 
-    A part always ends where cut says so. Between two cuts lies an island; only in one where some row is
-    `far` from the first may parts end that depend on what came before, and only there fold is asked: it
-    gets the island's values in order and answers with a number for each. Every step is a window over
-    the page, so one exchange serves all of them and nothing leaves the engine.
-    """
-    page = Window.partitionBy(*PAGE).orderBy(*order)
-    held = page.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_cut", F.coalesce(cut, F.lit(True)))
-    out = out.withColumn("_island", F.sum(F.col("_cut").cast("int")).over(held)).withColumn("_first", F.last(F.when(F.col("_cut"), F.struct(value)), ignorenulls=True).over(held)[value])
-    island = Window.partitionBy(*PAGE, "_island").orderBy(*order)
-    whole = island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("_far", F.coalesce(F.max(far(F.col("_first"), F.col(value))).over(whole), F.lit(False))).withColumn("_at", F.row_number().over(island))
-    out = out.withColumn("_values", F.collect_list(F.when(F.col("_far"), F.col(value))).over(whole))
-    out = out.withColumn("_sub", F.when(F.col("_far"), F.get(fold(F.col("_values")), F.col("_at") - 1)).otherwise(0))
-    along = Window.partitionBy(*PAGE).orderBy("_island", *order)
-    starts = F.col("_cut") | (F.col("_sub") != F.lag("_sub", 1, 0).over(along))
-    out = out.withColumn("_start", starts.cast("int")).withColumn(name, (F.sum("_start").over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
-    return out.drop("_cut", "_island", "_first", "_far", "_at", "_values", "_sub", "_start")
+    def middle(v: Column) -> Column:
+        return F.when(F.size(v) > 0, (F.get(v, F.shiftright(F.size(v) - 1, 1)) + F.get(v, F.shiftright(F.size(v), 1))) / 2)
 
+    return _let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), middle)
 
-def _line_starts(runs: Column) -> Column:
-    """Places where lines begin among a page's runs from the top: a run joins the open line while it is at most 2 below the line's mean."""
+
+def _places(whole: Column, where: Callable[[Column], Column]) -> Column:
+    """Places in an array, from 0, for which `where` holds; null if it is empty."""
+    return F.filter(F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)), where)
+
+
+def _folded_line_starts(runs: Column) -> Column:
+    """The places of _line_starts by a fold over all runs, for pages on which a mean may decide."""
 
     def take(s: Column, run: Column) -> Column:
         y, at = -run["down"], s["at"] + 1
@@ -104,53 +133,85 @@ def _line_starts(runs: Column) -> Column:
     return F.aggregate(runs, start, take, lambda s: s["starts"])
 
 
-def _parts(whole: str, starts: Column) -> Column:
+def _line_starts(runs: Column) -> Column:
+    """Places where lines begin among a page's runs from the top: a run joins the open line while it is at most 2 below the line's mean.
+
+    The mean is no lower than the last run and no higher than the first. So the runs' gaps alone tell, if each is
+    clearly too wide, or its line not high enough to matter.
+    """
+
+    def told(down: Column) -> Column:
+        def clear(starts: Column) -> Column:
+            def line(s: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(starts, i + 1), F.size(down)) - 1
+                apart = F.coalesce(F.get(down, end + 1) - F.get(down, end) > LINE_TOLERANCE + CLEARLY, F.lit(True))
+                return apart & (F.get(down, end) - F.get(down, s) < LINE_TOLERANCE - CLEARLY)
+
+            in_reach = (F.abs(F.get(down, F.lit(0))) < FARTHEST) & (F.abs(F.get(down, F.size(down) - 1)) < FARTHEST)
+            return F.when(in_reach & F.forall(F.transform(starts, line), lambda x: x), starts).otherwise(_folded_line_starts(runs))
+
+        return _let(_places(down, lambda i: (i == 0) | (F.get(down, i) - F.get(down, i - 1) > LINE_TOLERANCE)), clear)
+
+    return _let(F.transform(runs, lambda r: r["down"]), told)
+
+
+def _parts(whole: Column, starts: Column) -> Column:
     """An array cut at these places."""
     return F.transform(starts, lambda s, i: F.slice(whole, s + 1, F.coalesce(F.get(starts, i + 1), F.size(whole)) - s))
 
 
-def _lines(runs: DataFrame) -> DataFrame:
-    """runs -> one row per line: line_no, its runs from the top, and space, the width of a character on the page (the exact median over its runs).
-
-    A page's runs are gathered once, in order; whatever depends on the runs before is an expression on them.
-    """
-    each = F.when(F.col("width") > 0, F.col("width") / F.length("text"))
-    run = F.struct((-F.col("y")).alias("down"), "x", F.col("item_no").cast("int").alias("item_no"), "text", "width", "height")
-    cols = runs.withColumns({"doc_id": F.col("doc_id").cast("long"), "page_no": F.col("page_no").cast("int")})
-    pages = cols.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("runs"), F.coalesce(F.median(each), F.lit(0.0)).alias("space"))
-    pages = pages.withColumn("starts", _line_starts(F.col("runs")))
-    return pages.select(*PAGE, "space", F.posexplode(_parts("runs", F.col("starts"))).alias("line_no", "runs"))
+def _line_runs(runs: Column) -> Column:
+    """A page's runs -> its lines' runs."""
+    return _let(_line_starts(runs), lambda starts: _parts(runs, starts))
 
 
 def assign_lines(runs: DataFrame) -> DataFrame:
     """runs and line_no: from the top, a run joins the open line while it is at most 2 below the line's mean."""
-    each = _lines(runs).select(*PAGE, "line_no", F.explode("runs").alias("r"))
+    each = gathered_runs(runs).select(*PAGE, F.posexplode(_line_runs(F.col("runs"))).alias("line_no", "runs")).select(*PAGE, "line_no", F.explode("runs").alias("r"))
     return each.select(*PAGE, "r.item_no", "r.text", "r.x", (-F.col("r.down")).alias("y"), "r.width", "r.height", "line_no")
 
 
-def _cells(lines: DataFrame) -> DataFrame:
-    """Lines with their runs and the page's space -> y, size, left, text and cells of each."""
-    along = F.sort_array(F.transform("runs", lambda r: F.struct(r["x"], r["down"], r["item_no"], r["text"], r["width"], r["height"])))
-    out = lines.filter(F.exists("runs", lambda r: _shows(r["text"]))).select(*PAGE, "line_no", "space", along.alias("runs"))
-    gap = F.transform("runs", lambda r, i: F.when(i > 0, r["x"] - (F.get("runs", i - 1)["x"] + F.get("runs", i - 1)["width"])))
-    out = out.withColumn("gaps", gap)
-    pieces = F.zip_with("runs", "gaps", lambda r, gap: F.concat(F.when((gap >= F.col("space") * 0.5) & (gap > 0), " ").otherwise(""), r["text"]))
-    starts = F.filter(F.transform("gaps", lambda gap, i: F.when((i == 0) | (gap > F.greatest(F.lit(MIN_CELL_GAP), F.col("space") * 2)), i)), lambda i: i.isNotNull())
-    out = out.withColumns({"pieces": pieces, "starts": starts})
+def _space(runs: Column) -> Column:
+    """Width of a character on the page: the exact median over its runs."""
+    return F.coalesce(_median(F.transform(runs, lambda r: F.when(r["width"] > 0, r["width"] / F.length(r["text"])))), F.lit(0.0))
+
+
+def _line(runs: Column, line_no: Column, space: Column) -> Column:
+    """A line's runs -> its number, y, size, left, text and cells."""
 
     def joined(pieces: Column) -> Column:
         return F.trim(F.regexp_replace(F.array_join(pieces, ""), SPACES, " "))
 
-    y = F.aggregate("runs", F.lit(0.0), lambda total, r: total - r["down"]) / F.size("runs")
-    out = out.select(*PAGE, "line_no", y.alias("y"), F.array_max(F.transform("runs", lambda r: r["height"])).alias("size"), F.get("runs", F.lit(0))["x"].alias("left"), joined(F.col("pieces")).alias("text"), "pieces", "starts", "space")
-    cells = F.when(F.size("starts") == 1, F.array("text")).otherwise(F.filter(F.transform(_parts("pieces", F.col("starts")), joined), lambda c: c != ""))
-    return out.select(*PAGE, "line_no", "y", "size", "left", "text", cells.alias("cells"), "space")
+    def made(along: Column, gaps: Column) -> Column:
+        pieces = F.zip_with(along, gaps, lambda r, gap: F.when((gap >= space * 0.5) & (gap > 0), F.concat(F.lit(" "), r["text"])).otherwise(r["text"]))
+        starts = _places(gaps, lambda i: (i == 0) | (F.get(gaps, i) > F.greatest(F.lit(MIN_CELL_GAP), space * 2)))
 
+        def cells(pieces: Column, starts: Column, text: Column) -> Column:
+            return F.when(F.size(starts) == 1, F.array(text)).otherwise(F.filter(F.transform(_parts(pieces, starts), joined), lambda c: c != ""))
 
-def page_space(runs: DataFrame) -> DataFrame:
-    """Width of a character on each page: the exact median over its runs."""
-    each = F.when(F.col("width") > 0, F.col("width") / F.length("text"))
-    return runs.groupBy(*PAGE).agg(F.coalesce(F.median(each), F.lit(0.0)).alias("space"))
+        def line(pieces: Column, text: Column) -> Column:
+            return F.struct(
+                line_no.alias("line_no"), (F.aggregate(along, F.lit(0.0), lambda total, r: total - r["down"]) / F.size(along)).alias("y"), F.array_max(F.transform(along, lambda r: r["height"])).alias("size"),
+                F.get(along, F.lit(0))["x"].alias("left"), text.alias("text"), _let(starts, lambda at: cells(pieces, at, text)).alias("cells"),
+            )
+
+        return _let(pieces, lambda p: _let(joined(p), lambda text: line(p, text)))
+
+    def gap(along: Column) -> Column:
+        return F.transform(along, lambda r, i: F.when(i > 0, _let(F.get(along, i - 1), lambda before: r["x"] - (before["x"] + before["width"]))))
+
+    along = F.sort_array(F.transform(runs, lambda r: F.struct(r["x"], r["down"], r["item_no"], r["text"], r["width"], r["height"])))
+    return _let(along, lambda a: _let(gap(a), lambda g: made(a, g)))
+
+
+def _parted(pages: DataFrame) -> DataFrame:
+    """Rows of page_runs -> (doc_id, page_no, space, parts): the runs of each page's lines."""
+    return pages.select(*PAGE, _space(F.col("runs")).alias("space"), _line_runs(F.col("runs")).alias("parts"))
+
+
+def _lines() -> Column:
+    """The lines of a row of _parted, from the top."""
+    return F.transform("parts", lambda part, i: _line(part, i, F.col("space")))
 
 
 def line_cells(runs: DataFrame) -> DataFrame:
@@ -161,27 +222,38 @@ def line_cells(runs: DataFrame) -> DataFrame:
     each = F.when(F.col("width") > 0, F.col("width") / F.length("text"))
     r = runs.withColumn("space", F.coalesce(F.median(each).over(Window.partitionBy(*PAGE)), F.lit(0.0)))
     run = F.struct((-F.col("y")).alias("down"), "x", "item_no", "text", "width", "height")
-    return _cells(r.groupBy(*PAGE, "line_no").agg(F.first("space").alias("space"), F.collect_list(run).alias("runs"))).drop("space")
+    lines = r.groupBy(*PAGE, "line_no").agg(F.first("space").alias("space"), F.collect_list(run).alias("runs")).filter(F.exists("runs", lambda r: _shows(r["text"])))
+    return lines.select(*PAGE, _line(F.col("runs"), F.col("line_no"), F.col("space")).alias("l")).select(*PAGE, "l.*")
 
 
-def text_lines(runs: DataFrame) -> DataFrame:
-    """runs -> the rows of line_cells, and space; each page is gathered once for its lines and their cells."""
-    return _cells(_lines(runs))
+def text_lines(pages: DataFrame) -> DataFrame:
+    """Rows of page_runs -> the rows of line_cells, and space."""
+    return _parted(pages).select(*PAGE, "space", F.explode(_lines()).alias("l")).select(*PAGE, "l.*", "space")
 
 
 def _words(text: Column) -> Column:
     return F.size(F.split(text, SPACES))
 
 
-def is_row() -> Column:
+def is_row(cells: Column) -> Column:
     """A line that may be a table's row: several cells of at most six words."""
-    return (F.size("cells") > 1) & F.forall("cells", lambda c: _words(c) <= MAX_CELL_WORDS)
+    return (F.size(cells) > 1) & F.forall(cells, lambda c: _words(c) <= MAX_CELL_WORDS)
 
 
 def heading_level(ratio: Column) -> Column:
     return sum(((ratio >= band).cast("int") for band in HEADING_BANDS), F.lit(1))
 
 
+def _kind(row: Column, table: Column, body: Column, size: Column, text: Column) -> Column:
+    """Kind of a line that may be a table's row, stands in a table, on a page with that body size."""
+    heading = ~row & (body > 0) & (size >= body * HEADING_RATIO) & (_words(text) <= MAX_HEADING_WORDS)
+    return F.when(table, "table").when(heading, "heading").otherwise("body")
+
+
+def _level(kind: Column, size: Column, body: Column) -> Column:
+    return F.when(kind == "heading", heading_level(size / body))
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """lines and kind (table, heading, body), level, table_no and the page's body size.
 
@@ -190,73 +262,109 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy(*PAGE)
     order = page.orderBy("line_no")
-    out = lines.withColumn("body", F.median("size").over(page)).withColumn("row", is_row())
+    out = lines.withColumn("body", F.median("size").over(page)).withColumn("row", is_row(F.col("cells")))
     out = out.withColumn("_n", F.row_number().over(order))
     out = out.withColumn("_island", F.col("_n") - F.row_number().over(Window.partitionBy(*PAGE, "row").orderBy("line_no")))
     island = Window.partitionBy(*PAGE, "row", "_island")
-    table = F.col("row") & (F.count("*").over(island) > 1)
-    heading = ~F.col("row") & (F.col("body") > 0) & (F.col("size") >= F.col("body") * HEADING_RATIO) & (_words(F.col("text")) <= MAX_HEADING_WORDS)
-    kind = F.when(table, "table").when(heading, "heading").otherwise("body")
-    out = out.withColumn("kind", kind).withColumn("level", F.when(kind == "heading", heading_level(F.col("size") / F.col("body"))))
+    out = out.withColumn("kind", _kind(F.col("row"), F.col("row") & (F.count("*").over(island) > 1), F.col("body"), F.col("size"), F.col("text")))
+    out = out.withColumn("level", _level(F.col("kind"), F.col("size"), F.col("body")))
     out = out.withColumn("table_no", F.when(F.col("kind") == "table", F.min("line_no").over(island)))
     return out.drop("_n", "_island", "row")
 
 
-def _indents(lefts: Column) -> Column:
-    """A line that stands further from its paragraph's first line than an indent begins the next; lefts are in indents."""
+def _classified(lines: Column) -> Column:
+    """A page's lines, with kind, level and the page's body size, by the rules of classify_lines."""
+
+    def told(body: Column, rows: Column) -> Column:
+        def line(l: Column, i: Column) -> Column:
+            row = F.get(rows, i)
+            table = row & (F.coalesce(F.get(rows, F.when(i > 0, i - 1)), F.lit(False)) | F.coalesce(F.get(rows, i + 1), F.lit(False)))
+            return _let(_kind(row, table, body, l["size"], l["text"]), lambda kind: F.struct(*(l[c].alias(c) for c in ("y", "left", "text", "cells")), kind.alias("kind"), _level(kind, l["size"], body).alias("level"), body.alias("body")))
+
+        return F.transform(lines, line)
+
+    return _let(_median(F.transform(lines, lambda l: l["size"])), lambda body: _let(F.transform(lines, lambda l: is_row(l["cells"])), lambda rows: told(body, rows)))
+
+
+def _paragraphs(lines: Column) -> Column:
+    """A number for each of a page's classified lines: that of its paragraph, -1 for others.
 
-    def take(s: Column, left: Column) -> Column:
-        stays = F.abs(left["left"] - s["first"]) <= left["most"]
-        part = s["part"] + F.when(F.coalesce(stays, F.lit(False)), 0).otherwise(1)
-        return F.struct(F.when(stays, s["first"]).otherwise(left["left"]).alias("first"), part.alias("part"), F.concat(s["out"], F.array(part)).alias("out"))
+    A paragraph is broken by a wide gap (the page's first gap is the measure), an ended sentence or another indent than the first line's.
+    """
+
+    def told(l: Column, i: Column) -> Column:
+        def behind(before: Column) -> Column:
+            after = (l["kind"] == "body") & F.coalesce(before["kind"] == "body", F.lit(False))
+            ended = F.when(after, F.coalesce(before["text"].rlike(SENTENCE_END), F.lit(False))).otherwise(False)
+            return F.struct((l["kind"] == "body").alias("is_body"), after.alias("after"), F.when(after, before["y"] - l["y"]).otherwise(0.0).alias("gap"), ended.alias("ended"), l["left"].alias("left"), l["body"].alias("body"))
+
+        return _let(F.get(lines, F.when(i > 0, i - 1)), behind)
+
+    def take(s: Column, l: Column) -> Column:
+        def next_(spacing: Column) -> Column:
+            wide = (spacing > 0) & (l["gap"] > spacing * PARAGRAPH_GAP) & (l["gap"] > l["body"] * 1.25)
+            stays = F.coalesce(l["after"] & ~l["ended"] & ~wide & (F.abs(l["left"] - s["first"]) <= l["body"] * INDENT), F.lit(False))
+            return _let(F.when(stays | ~l["is_body"], s["last"]).otherwise(s["last"] + 1), lambda last: F.struct(spacing.alias("spacing"), F.when(stays, s["first"]).otherwise(l["left"]).alias("first"), last.alias("last"), F.concat(s["out"], F.array(F.when(l["is_body"], last).otherwise(-1))).alias("out")))
+
+        return _let(F.when((s["spacing"] == 0) & (l["gap"] > 0), l["gap"]).otherwise(s["spacing"]), next_)
 
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(lefts, start, take, lambda s: s["out"])
+    start = F.struct(F.lit(0.0).alias("spacing"), F.lit(None).cast("double").alias("first"), F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.transform(lines, told), start, take, lambda s: s["out"])
 
 
 def assign_paragraphs(lines: DataFrame) -> DataFrame:
     """classified lines and paragraph (-1 for others): broken by a wide gap, an ended sentence or another indent than the first line's."""
-    page = Window.partitionBy(*PAGE).orderBy("line_no")
-    body = F.col("kind") == "body"
-    rows = lines.withColumn("_after", F.coalesce(F.lag("kind").over(page) == "body", F.lit(False)) & body)
-    rows = rows.withColumn("_gap", F.when(F.col("_after"), F.lag("y").over(page) - F.col("y")).otherwise(0.0))
-    spacing = F.coalesce(F.first(F.when(F.col("_gap") > 0, F.col("_gap")), ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    wide = (spacing > 0) & (F.col("_gap") > spacing * PARAGRAPH_GAP) & (F.col("_gap") > F.col("body") * 1.25)
-    ended = F.coalesce(F.lag(F.col("text").rlike(SENTENCE_END)).over(page), F.lit(False))
-    rows = rows.withColumn("_breaks", ~F.col("_after") | wide | ended).withColumn("_indent", F.struct("left", (F.col("body") * INDENT).alias("most"))).drop("_after", "_gap")
-    rows = _parted(rows, ["line_no"], F.col("_breaks") | ~body, "_indent", lambda first, own: F.abs(own["left"] - first["left"]) > own["most"], _indents, "_part")
-    begins = F.coalesce(F.col("_part") != F.lag("_part").over(page), F.lit(True)) & body
-    return rows.withColumn("_begins", begins).withColumn("paragraph", F.when(body, F.sum(F.col("_begins").cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)) - 1).otherwise(-1).cast("int")).drop("_breaks", "_indent", "_part", "_begins")
-
-
-def page_blocks(lines: DataFrame) -> DataFrame:
-    """lines with kind and paragraph -> blocks in order: (doc_id, page_no, block_no, type, level, text, rows)."""
-    key = F.when(F.col("kind") == "table", F.concat(F.lit("t"), F.col("table_no"))).when(F.col("kind") == "heading", F.concat(F.lit("h"), F.col("line_no"))).otherwise(F.concat(F.lit("p"), F.col("paragraph")))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text", "cells")))
-    b = lines.withColumn("_key", key).groupBy(*PAGE, "_key").agg(F.min("line_no").alias("first"), F.first("kind").alias("kind"), F.first("level").alias("level"), parts.alias("p"))
-    widest = F.array_max(F.transform("p", lambda l: F.size(l["cells"])))
-    rows = F.transform("p", lambda l: F.concat(l["cells"], F.array_repeat(F.lit(""), widest - F.size(l["cells"]))))
-    text = F.array_join(F.transform("p", lambda l: l["text"]), " ")
-    b = b.select(*PAGE, "first", F.when(F.col("kind") == "body", "paragraph").otherwise(F.col("kind")).alias("type"), "level", F.when(F.col("kind") != "table", text).alias("text"), F.when(F.col("kind") == "table", rows).alias("rows"))
-    return b.withColumn("block_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("first")) - 1).drop("first")
-
-
-def fold_lone_words(blocks: DataFrame) -> DataFrame:
+    rest = [c for c in lines.columns if c not in (*PAGE, "line_no")]
+    pages = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", F.struct(*rest).alias("rest")))).alias("lines"))
+    paragraphs = _let(_paragraphs(F.transform("lines", lambda l: l["rest"])), lambda p: F.transform("lines", lambda l, i: F.struct(l.alias("l"), F.get(p, i).alias("paragraph"))))
+    return pages.select(*PAGE, F.explode(paragraphs).alias("x")).select(*PAGE, "x.l.line_no", "x.l.rest.*", "x.paragraph").select(*lines.columns, "paragraph")
+
+
+def _blocks(lines: Column, paragraphs: Column) -> Column:
+    """A page's classified lines, and the numbers of their paragraphs -> its blocks in order: type, level, text and rows."""
+
+    def block(p: Column) -> Column:
+        def padded(widest: Column) -> Column:
+            return F.transform(p, lambda l: F.concat(l["cells"], F.array_repeat(F.lit(""), widest - F.size(l["cells"]))))
+
+        kind = F.get(p, F.lit(0))["kind"]
+        rows = F.when(kind == "table", _let(F.array_max(F.transform(p, lambda l: F.size(l["cells"]))), padded))
+        text = F.when(kind != "table", F.array_join(F.transform(p, lambda l: l["text"]), " "))
+        return F.struct(F.when(kind == "body", "paragraph").otherwise(kind).alias("type"), F.get(p, F.lit(0))["level"].alias("level"), text.alias("text"), rows.alias("rows"))
+
+    def begins(i: Column) -> Column:
+        kind, before = F.get(lines, i)["kind"], F.get(lines, F.when(i > 0, i - 1))["kind"]
+        return F.when(kind == "body", (i == 0) | (F.get(paragraphs, i) != F.get(paragraphs, F.greatest(i - 1, F.lit(0))))).otherwise((kind == "heading") | F.coalesce(before != "table", F.lit(True)))
+
+    return _let(_places(lines, begins), lambda at: F.transform(_parts(lines, at), block))
+
+
+def _lone_words_joined(blocks: Column) -> Column:
     """A paragraph of one short word joins the paragraph before it on its page; elsewhere it stays."""
-    w = Window.partitionBy(*PAGE).orderBy("block_no")
-    lone = (F.col("type") == "paragraph") & (F.length("text") < LONE_WORD) & ~F.col("text").contains(" ")
-    b = blocks.withColumn("_joins", F.coalesce(lone & (F.lag("type").over(w) == "paragraph"), F.lit(False)))
-    b = b.withColumn("_group", F.sum((~F.col("_joins")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct("block_no", "text")))
-    out = b.groupBy(*PAGE, "_group").agg(F.min_by("type", "block_no").alias("type"), F.min_by("level", "block_no").alias("level"), F.min_by("rows", "block_no").alias("rows"), parts.alias("p"))
-    text = F.when(F.col("type") != "table", F.array_join(F.transform("p", lambda x: x["text"]), " "))
-    return out.select(*PAGE, (F.col("_group") - 1).cast("int").alias("block_no"), "type", "level", text.alias("text"), "rows")
+
+    def stands(i: Column) -> Column:
+        own = F.get(blocks, i)
+        lone = (own["type"] == "paragraph") & (F.length(own["text"]) < LONE_WORD) & ~F.contains(own["text"], F.lit(" "))
+        return ~F.coalesce(lone & (F.get(blocks, F.when(i > 0, i - 1))["type"] == "paragraph"), F.lit(False))
+
+    def block(p: Column) -> Column:
+        first = F.get(p, F.lit(0))
+        text = F.when(first["type"] != "table", F.array_join(F.transform(p, lambda b: b["text"]), " "))
+        return F.struct(first["type"].alias("type"), first["level"].alias("level"), text.alias("text"), first["rows"].alias("rows"))
+
+    return _let(_places(blocks, stands), lambda at: F.when(F.size(at) == F.size(blocks), blocks).otherwise(F.transform(_parts(blocks, at), block)))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Rows of page_runs -> blocks of every page in order: (doc_id, page_no, block_no, type, level, text, rows)."""
+    lines = _parted(pages).select(*PAGE, _lines().alias("lines")).select(*PAGE, _classified(F.col("lines")).alias("lines"))
+    blocks = lines.withColumn("paragraphs", _paragraphs(F.col("lines"))).select(*PAGE, _blocks(F.col("lines"), F.col("paragraphs")).alias("blocks"))
+    return blocks.select(*PAGE, F.posexplode(_lone_words_joined(F.col("blocks"))).alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
 
 
 def structure(text_items: DataFrame) -> DataFrame:
-    """Positioned text -> blocks of every page."""
-    lines = classify_lines(text_lines(text_runs(text_items)).drop("space"))
-    return fold_lone_words(page_blocks(assign_paragraphs(lines)))
+    """Positioned text, a row an item -> blocks of every page."""
+    return page_blocks(gathered_runs(text_runs(text_items)))
 
 
 def _characters() -> Column:

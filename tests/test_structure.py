@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quire.operators import structure as T
+from quire.plans import inputs as I
 
 ITEMS = "doc_id long, page_no int, item_no int, str string, transform array<double>, width double, height double, font_name string"
 PAGES = "doc_id long, page_no int, width double, height double"
@@ -159,3 +160,28 @@ def test_no_python_stands_between_items_and_blocks(spark):
     plan = T.structure(items(spark, row(["a", "b"], 700.0)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pages_as_arrays_are_the_rows_and_no_step_sorts_words(spark):
+    """A page is read as one row up to its blocks: no word or line is a row of a sort, a window or an aggregate."""
+    sf = "/root/testdata/sf0.001"
+    every = I.page_items(spark, sf).select("doc_id", "page_no", F.inline("items"))
+    words = I.text_items(spark, sf).select(every.columns)
+    assert sorted(every.collect(), key=str) == sorted(words.collect(), key=str)
+    blocks = T.page_blocks(T.page_runs(I.page_items(spark, sf)))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Sort [" not in plan
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, T.structure(words).select(blocks.columns).collect()))
+
+
+def test_lines_near_the_tolerance_are_folded(spark):
+    ys = [700.1, 700.1, 700.1, 698.1, 690.0, 688.6, 687.2, 500.0]
+    pages = T.page_runs(items(spark, [("w", 10.0 * i, y, 5.0, 10.0) for i, y in enumerate(ys)]).groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("item_no", "str", "transform", "width", "height")).alias("items")))
+    got = {x["item_no"]: n for n, part in enumerate(T._parted(pages).first().parts) for x in part}
+    assert got == dict(enumerate(looped_lines(ys)))
+
+
+def test_pages_of_blanks_have_no_blocks(spark):
+    assert T.structure(items(spark, [(" ", 0.0, 700.0, 5.0, 10.0)])).collect() == []
+    blank = items(spark, [(" ", 0.0, 700.0, 5.0, 10.0)]).groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("item_no", "str", "transform", "width", "height")).alias("items"))
+    assert T.page_blocks(T.page_runs(blank)).collect() == [] and T.text_lines(T.page_runs(blank)).collect() == []
