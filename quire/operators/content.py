@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import heading_level
+from quire.operators.arrays import let, parts, places
 
 BLOCK = "file_id string, block_no int, depth int, slide_no int, type string, level int, text string, items array<string>, rows array<array<string>>"
 
 
-def _in_order(value: Column, by: str = "at") -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(by, value.alias("v"))))), lambda x: x["v"])
-
-
 def _laid_out(df: DataFrame, **given: Column) -> DataFrame:
     """df with the columns of BLOCK: those given, those it has, nulls for the rest."""
     kinds = dict(c.split(" ") for c in BLOCK.split(", "))
     return df.select(*[given.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def _rows(pieces: Column) -> Column:
+    """A table's pieces of text in order -> its rows of cells; a cell's pieces are its lines."""
+
+    def cell(p: Column) -> Column:
+        return F.array_join(F.filter(F.transform(p, lambda x: x["text"]), lambda t: t != ""), "\n")
+
+    def grouped(whole: Column, by: str, made: Callable[[Column], Column]) -> Column:
+        fresh = places(whole, lambda i: (i == 0) | ~F.get(whole, i)[by].eqNullSafe(F.get(whole, F.greatest(i - 1, F.lit(0)))[by]))
+        return F.transform(parts(whole, fresh), made)
+
+    return grouped(pieces, "row_no", lambda row: grouped(row, "cell_no", cell))
+
+
+def _blocks_in_order(flow: Column) -> Column:
+    """A file's headings, paragraphs, list items, tables and pictures by their places -> its blocks by theirs."""
+    after_all = F.lit((1 << 63) - 1)
+
+    def block(p: Column, ends: Column) -> Column:
+        first = F.get(p, F.lit(0))
+        is_list, kind = first["type"] == "list", first["type"]
+        return F.struct(
+            F.when(is_list, ends - 1).otherwise(first["at"]).alias("at"), F.lit(1).alias("k"), kind.alias("type"), first["level"].alias("level"), F.when(kind.isin("heading", "paragraph"), first["text"]).alias("text"),
+            F.when(is_list, F.transform(p, lambda x: x["text"])).alias("items"), first["rows"].alias("rows"),
+        )
+
+    def listed(solid: Column) -> Column:
+        fresh = places(solid, lambda i: (i == 0) | (F.get(solid, i)["type"] != "list") | (F.get(solid, F.greatest(i - 1, F.lit(0)))["type"] != "list"))
+        return let(parts(solid, fresh), lambda each: F.transform(each, lambda p, i: block(p, F.coalesce(F.get(F.get(each, i + 1), F.lit(0))["at"], after_all))))
+
+    none = F.lit(None).cast("array<string>")
+    pictures = F.transform(F.filter(flow, lambda x: x["type"] == "image"), lambda x: F.struct(x["at"].alias("at"), F.lit(0).alias("k"), x["type"].alias("type"), x["level"].alias("level"), x["text"].alias("text"), none.alias("items"), x["rows"].alias("rows")))
+    return F.sort_array(F.concat(F.coalesce(let(F.filter(flow, lambda x: x["type"] != "image"), listed), F.slice(pictures, 1, 0)), pictures))
+
+
 def word_blocks(elements: DataFrame) -> DataFrame:
     """Rows of word.docx_elements -> BLOCK rows: headings, paragraphs, lists, tables and pictures in document order.
 
@@ -27,33 +60,35 @@ def word_blocks(elements: DataFrame) -> DataFrame:
     one list, whatever pictures stand among them; a list ends, and takes its place, where the next
     heading, paragraph or table begins, so pictures up to there come before it. A table stands where it begins, and one inside another is a block of
     its own after it; a cell's paragraphs are its lines. Files that could not be read have no blocks.
+    The elements are read once: paragraphs, tables and files are gathered one after the other, all of them by file.
     """
     plain = elements.filter("kind != 'problem'")
     here = Window.partitionBy("file_id", "para").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     said = plain.withColumn("_cut", F.sum((F.col("kind") == "image").cast("int")).over(here)).withColumn("_item", F.max((F.col("kind") == "item").cast("int")).over(here))
-    texts = said.filter("kind != 'image'").groupBy("file_id", "para", "_cut").agg(
-        F.min("at").alias("at"), F.max("at").alias("last"), F.max("_item").alias("item"), F.first("style").alias("style"), F.first("table_no").alias("table_no"), F.first("row_no").alias("row_no"), F.first("cell_no").alias("cell_no"), F.array_join(_in_order(F.col("text")), "").alias("text")
+    is_text, place = F.col("kind") != "image", ["table_no", "row_no", "cell_no"]
+    pieces = said.groupBy("file_id", "para", "_cut").agg(
+        F.min(F.when(is_text, F.col("at"))).alias("at"), F.max(F.when(~is_text, F.struct("at", "text", "table_no"))).alias("picture"), F.max("_item").alias("item"), F.first("style").alias("style"),
+        *(F.first(F.when(is_text, F.col(c)), ignorenulls=True).alias(c) for c in place), F.sort_array(F.collect_list(F.when(is_text & F.col("text").isNotNull(), F.struct("at", "text")))).alias("texts"),
+    )
+    pieces = pieces.withColumn("text", F.array_join(F.transform("texts", lambda x: x["text"]), ""))
+    none = [F.lit(None).cast("long").alias(c) for c in place]
+    text = F.struct("at", *place, "item", "style", "text")
+    picture = F.struct(F.col("picture.at").alias("at"), *none, F.lit(None).cast("int").alias("item"), F.lit(None).cast("string").alias("style"), F.col("picture.text").alias("text"))
+    both = F.array(
+        F.when(F.col("at").isNotNull() & (F.col("table_no").isNotNull() | (F.col("text") != "")), F.struct(text.alias("e"), F.lit(True).alias("is_text"))),
+        F.when(F.col("picture").isNotNull() & F.col("picture.table_no").isNull(), F.struct(picture.alias("e"), F.lit(False).alias("is_text"))),
+    )
+    each = pieces.select("file_id", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("file_id", "x.is_text", "x.e.*")
+    alone = F.when(F.col("table_no").isNull(), F.col("at"))
+    flow = each.groupBy("file_id", "table_no", alone.alias("_alone")).agg(
+        F.min("at").alias("at"), F.first("is_text").alias("is_text"), F.first("item").alias("item"), F.first("style").alias("style"), F.sort_array(F.collect_list(F.struct("row_no", "cell_no", "at", "text"))).alias("pieces")
     )
-    body = texts.filter("table_no is null and text != ''").withColumn("level", heading_level(F.col("style")))
-    kind = F.when(F.col("item") == 1, "list").when(F.col("level").isNotNull(), "heading").otherwise("paragraph")
-    flow = body.select("file_id", "at", "last", kind.alias("type"), F.when(kind == "heading", F.col("level")).alias("level"), "text")
-
-    cells = texts.filter("table_no is not null").groupBy("file_id", "table_no", "row_no", "cell_no").agg(F.min("at").alias("at"), F.array_join(_in_order(F.when(F.col("text") != "", F.col("text"))), "\n").alias("text"))
-    rows = cells.groupBy("file_id", "table_no", "row_no").agg(F.min("at").alias("at"), _in_order(F.col("text"), "cell_no").alias("cells"))
-    tables = rows.groupBy("file_id", "table_no").agg(F.min("at").alias("at"), _in_order(F.col("cells"), "row_no").alias("rows"))
-    flow = flow.unionByName(tables.select("file_id", "at", F.lit("table").alias("type"), "rows"), allowMissingColumns=True)
-
-    along = Window.partitionBy("file_id").orderBy("at")
-    fresh = (F.col("type") != "list") | (F.coalesce(F.lag("type").over(along), F.lit("")) != "list")
-    flow = flow.withColumn("_block", F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = flow.groupBy("file_id", "_block").agg(F.first("type").alias("type"), F.min("at").alias("first"), F.first("level").alias("level"), _in_order(F.col("text")).alias("texts"), F.first("rows", ignorenulls=True).alias("rows"))
-    ends = F.lead("first").over(Window.partitionBy("file_id").orderBy("first"))
-    blocks = blocks.withColumn("at", F.when(F.col("type") == "list", F.coalesce(ends, F.lit((1 << 63) - 1)) - 1).otherwise(F.col("first")))
-    blocks = blocks.select("file_id", F.struct("at", F.lit(1).alias("k")).alias("at"), "type", "level", F.when(F.col("type").isin("heading", "paragraph"), F.col("texts")[0]).alias("text"), F.when(F.col("type") == "list", F.col("texts")).alias("items"), "rows")
-    pictures = plain.filter("kind = 'image' and table_no is null").select("file_id", F.struct("at", F.lit(0).alias("k")).alias("at"), F.lit("image").alias("type"), "text")
-    out = blocks.unionByName(pictures, allowMissingColumns=True)
-    number = F.row_number().over(along) - 1
-    return _laid_out(out.withColumn("block_no", number), depth=F.lit(0))
+    level, is_table = F.when(F.col("is_text") & F.col("table_no").isNull() & (F.col("item") == 0), heading_level(F.col("style"))), F.col("table_no").isNotNull()
+    kind = F.when(is_table, "table").when(~F.col("is_text"), "image").when(F.col("item") == 1, "list").when(level.isNotNull(), "heading").otherwise("paragraph")
+    flow = flow.select("file_id", F.struct("at", kind.alias("type"), level.alias("level"), F.when(~is_table, F.get("pieces", F.lit(0))["text"]).alias("text"), F.when(is_table, _rows(F.col("pieces"))).alias("rows")).alias("x"))
+    files = flow.groupBy("file_id").agg(F.sort_array(F.collect_list("x")).alias("flow"))
+    out = files.select("file_id", F.posexplode(_blocks_in_order(F.col("flow"))).alias("block_no", "b")).select("file_id", "block_no", "b.*")
+    return _laid_out(out, depth=F.lit(0))
 
 
 def slide_blocks(boxes: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.arrays import let, median, parts, places
+
 # Fixed values of the layout rules.
 LINE_TOLERANCE = 2.0
 HEADING_RATIO = 1.15
@@ -31,7 +33,8 @@ SENTENCE_END = r'[.!?:;]["\)\]]?$'
 CLEARLY, FARTHEST = 0.001, 1e6
 
 PAGE = ["doc_id", "page_no"]
-SPACES = r"(?U)\s+"
+#: White space that is not one plain space already; a text without any is left as it is.
+SPACES = r"(?U) \s+|[\s&&[^ ]]\s*"
 
 
 def _shows(text: Column) -> Column:
@@ -39,11 +42,6 @@ def _shows(text: Column) -> Column:
     return F.ascii(text).between(33, 126) | text.rlike(r"(?U)\S")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _run(item: Callable[[str], Column]) -> dict[str, Column]:
     """What a run keeps of an item: bad coordinates are 0, bad sizes 0."""
 
@@ -106,20 +104,6 @@ def item_boxes(text_items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, "item_no", "size", t[4].alias("left"), (F.col("page_height") - t[5] - F.col("size") * 0.9).alias("top"), width.alias("width"), (F.col("size") * 1.25).alias("height"))
 
 
-def _median(values: Column) -> Column:
-    """The exact median of an array's values; null if there are none."""
-
-    def middle(v: Column) -> Column:
-        return F.when(F.size(v) > 0, (F.get(v, F.shiftright(F.size(v) - 1, 1)) + F.get(v, F.shiftright(F.size(v), 1))) / 2)
-
-    return _let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), middle)
-
-
-def _places(whole: Column, where: Callable[[Column], Column]) -> Column:
-    """Places in an array, from 0, for which `where` holds; null if it is empty."""
-    return F.filter(F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)), where)
-
-
 def _folded_line_starts(runs: Column) -> Column:
     """The places of _line_starts by a fold over all runs, for pages on which a mean may decide."""
 
@@ -150,19 +134,14 @@ def _line_starts(runs: Column) -> Column:
             in_reach = (F.abs(F.get(down, F.lit(0))) < FARTHEST) & (F.abs(F.get(down, F.size(down) - 1)) < FARTHEST)
             return F.when(in_reach & F.forall(F.transform(starts, line), lambda x: x), starts).otherwise(_folded_line_starts(runs))
 
-        return _let(_places(down, lambda i: (i == 0) | (F.get(down, i) - F.get(down, i - 1) > LINE_TOLERANCE)), clear)
-
-    return _let(F.transform(runs, lambda r: r["down"]), told)
-
+        return let(places(down, lambda i: (i == 0) | (F.get(down, i) - F.get(down, i - 1) > LINE_TOLERANCE)), clear)
 
-def _parts(whole: Column, starts: Column) -> Column:
-    """An array cut at these places."""
-    return F.transform(starts, lambda s, i: F.slice(whole, s + 1, F.coalesce(F.get(starts, i + 1), F.size(whole)) - s))
+    return let(F.transform(runs, lambda r: r["down"]), told)
 
 
 def _line_runs(runs: Column) -> Column:
     """A page's runs -> its lines' runs."""
-    return _let(_line_starts(runs), lambda starts: _parts(runs, starts))
+    return let(_line_starts(runs), lambda starts: parts(runs, starts))
 
 
 def assign_lines(runs: DataFrame) -> DataFrame:
@@ -173,7 +152,7 @@ def assign_lines(runs: DataFrame) -> DataFrame:
 
 def _space(runs: Column) -> Column:
     """Width of a character on the page: the exact median over its runs."""
-    return F.coalesce(_median(F.transform(runs, lambda r: F.when(r["width"] > 0, r["width"] / F.length(r["text"])))), F.lit(0.0))
+    return F.coalesce(median(F.transform(runs, lambda r: F.when(r["width"] > 0, r["width"] / F.length(r["text"])))), F.lit(0.0))
 
 
 def _line(runs: Column, line_no: Column, space: Column) -> Column:
@@ -184,24 +163,24 @@ def _line(runs: Column, line_no: Column, space: Column) -> Column:
 
     def made(along: Column, gaps: Column) -> Column:
         pieces = F.zip_with(along, gaps, lambda r, gap: F.when((gap >= space * 0.5) & (gap > 0), F.concat(F.lit(" "), r["text"])).otherwise(r["text"]))
-        starts = _places(gaps, lambda i: (i == 0) | (F.get(gaps, i) > F.greatest(F.lit(MIN_CELL_GAP), space * 2)))
+        starts = places(gaps, lambda i: (i == 0) | (F.get(gaps, i) > F.greatest(F.lit(MIN_CELL_GAP), space * 2)))
 
         def cells(pieces: Column, starts: Column, text: Column) -> Column:
-            return F.when(F.size(starts) == 1, F.array(text)).otherwise(F.filter(F.transform(_parts(pieces, starts), joined), lambda c: c != ""))
+            return F.when(F.size(starts) == 1, F.array(text)).otherwise(F.filter(F.transform(parts(pieces, starts), joined), lambda c: c != ""))
 
         def line(pieces: Column, text: Column) -> Column:
             return F.struct(
                 line_no.alias("line_no"), (F.aggregate(along, F.lit(0.0), lambda total, r: total - r["down"]) / F.size(along)).alias("y"), F.array_max(F.transform(along, lambda r: r["height"])).alias("size"),
-                F.get(along, F.lit(0))["x"].alias("left"), text.alias("text"), _let(starts, lambda at: cells(pieces, at, text)).alias("cells"),
+                F.get(along, F.lit(0))["x"].alias("left"), text.alias("text"), let(starts, lambda at: cells(pieces, at, text)).alias("cells"),
             )
 
-        return _let(pieces, lambda p: _let(joined(p), lambda text: line(p, text)))
+        return let(pieces, lambda p: let(joined(p), lambda text: line(p, text)))
 
     def gap(along: Column) -> Column:
-        return F.transform(along, lambda r, i: F.when(i > 0, _let(F.get(along, i - 1), lambda before: r["x"] - (before["x"] + before["width"]))))
+        return F.transform(along, lambda r, i: F.when(i > 0, let(F.get(along, i - 1), lambda before: r["x"] - (before["x"] + before["width"]))))
 
     along = F.sort_array(F.transform(runs, lambda r: F.struct(r["x"], r["down"], r["item_no"], r["text"], r["width"], r["height"])))
-    return _let(along, lambda a: _let(gap(a), lambda g: made(a, g)))
+    return let(along, lambda a: let(gap(a), lambda g: made(a, g)))
 
 
 def _parted(pages: DataFrame) -> DataFrame:
@@ -232,7 +211,8 @@ def text_lines(pages: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.size(F.split(text, SPACES))
+    """Words of a line's text or cell, whose white space is single spaces."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def is_row(cells: Column) -> Column:
@@ -279,11 +259,11 @@ def _classified(lines: Column) -> Column:
         def line(l: Column, i: Column) -> Column:
             row = F.get(rows, i)
             table = row & (F.coalesce(F.get(rows, F.when(i > 0, i - 1)), F.lit(False)) | F.coalesce(F.get(rows, i + 1), F.lit(False)))
-            return _let(_kind(row, table, body, l["size"], l["text"]), lambda kind: F.struct(*(l[c].alias(c) for c in ("y", "left", "text", "cells")), kind.alias("kind"), _level(kind, l["size"], body).alias("level"), body.alias("body")))
+            return let(_kind(row, table, body, l["size"], l["text"]), lambda kind: F.struct(*(l[c].alias(c) for c in ("y", "left", "text", "cells")), kind.alias("kind"), _level(kind, l["size"], body).alias("level"), body.alias("body")))
 
         return F.transform(lines, line)
 
-    return _let(_median(F.transform(lines, lambda l: l["size"])), lambda body: _let(F.transform(lines, lambda l: is_row(l["cells"])), lambda rows: told(body, rows)))
+    return let(median(F.transform(lines, lambda l: l["size"])), lambda body: let(F.transform(lines, lambda l: is_row(l["cells"])), lambda rows: told(body, rows)))
 
 
 def _paragraphs(lines: Column) -> Column:
@@ -298,15 +278,15 @@ def _paragraphs(lines: Column) -> Column:
             ended = F.when(after, F.coalesce(before["text"].rlike(SENTENCE_END), F.lit(False))).otherwise(False)
             return F.struct((l["kind"] == "body").alias("is_body"), after.alias("after"), F.when(after, before["y"] - l["y"]).otherwise(0.0).alias("gap"), ended.alias("ended"), l["left"].alias("left"), l["body"].alias("body"))
 
-        return _let(F.get(lines, F.when(i > 0, i - 1)), behind)
+        return let(F.get(lines, F.when(i > 0, i - 1)), behind)
 
     def take(s: Column, l: Column) -> Column:
         def next_(spacing: Column) -> Column:
             wide = (spacing > 0) & (l["gap"] > spacing * PARAGRAPH_GAP) & (l["gap"] > l["body"] * 1.25)
             stays = F.coalesce(l["after"] & ~l["ended"] & ~wide & (F.abs(l["left"] - s["first"]) <= l["body"] * INDENT), F.lit(False))
-            return _let(F.when(stays | ~l["is_body"], s["last"]).otherwise(s["last"] + 1), lambda last: F.struct(spacing.alias("spacing"), F.when(stays, s["first"]).otherwise(l["left"]).alias("first"), last.alias("last"), F.concat(s["out"], F.array(F.when(l["is_body"], last).otherwise(-1))).alias("out")))
+            return let(F.when(stays | ~l["is_body"], s["last"]).otherwise(s["last"] + 1), lambda last: F.struct(spacing.alias("spacing"), F.when(stays, s["first"]).otherwise(l["left"]).alias("first"), last.alias("last"), F.concat(s["out"], F.array(F.when(l["is_body"], last).otherwise(-1))).alias("out")))
 
-        return _let(F.when((s["spacing"] == 0) & (l["gap"] > 0), l["gap"]).otherwise(s["spacing"]), next_)
+        return let(F.when((s["spacing"] == 0) & (l["gap"] > 0), l["gap"]).otherwise(s["spacing"]), next_)
 
     start = F.struct(F.lit(0.0).alias("spacing"), F.lit(None).cast("double").alias("first"), F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(F.transform(lines, told), start, take, lambda s: s["out"])
@@ -316,7 +296,7 @@ def assign_paragraphs(lines: DataFrame) -> DataFrame:
     """classified lines and paragraph (-1 for others): broken by a wide gap, an ended sentence or another indent than the first line's."""
     rest = [c for c in lines.columns if c not in (*PAGE, "line_no")]
     pages = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", F.struct(*rest).alias("rest")))).alias("lines"))
-    paragraphs = _let(_paragraphs(F.transform("lines", lambda l: l["rest"])), lambda p: F.transform("lines", lambda l, i: F.struct(l.alias("l"), F.get(p, i).alias("paragraph"))))
+    paragraphs = let(_paragraphs(F.transform("lines", lambda l: l["rest"])), lambda p: F.transform("lines", lambda l, i: F.struct(l.alias("l"), F.get(p, i).alias("paragraph"))))
     return pages.select(*PAGE, F.explode(paragraphs).alias("x")).select(*PAGE, "x.l.line_no", "x.l.rest.*", "x.paragraph").select(*lines.columns, "paragraph")
 
 
@@ -328,7 +308,7 @@ def _blocks(lines: Column, paragraphs: Column) -> Column:
             return F.transform(p, lambda l: F.concat(l["cells"], F.array_repeat(F.lit(""), widest - F.size(l["cells"]))))
 
         kind = F.get(p, F.lit(0))["kind"]
-        rows = F.when(kind == "table", _let(F.array_max(F.transform(p, lambda l: F.size(l["cells"]))), padded))
+        rows = F.when(kind == "table", let(F.array_max(F.transform(p, lambda l: F.size(l["cells"]))), padded))
         text = F.when(kind != "table", F.array_join(F.transform(p, lambda l: l["text"]), " "))
         return F.struct(F.when(kind == "body", "paragraph").otherwise(kind).alias("type"), F.get(p, F.lit(0))["level"].alias("level"), text.alias("text"), rows.alias("rows"))
 
@@ -336,7 +316,7 @@ def _blocks(lines: Column, paragraphs: Column) -> Column:
         kind, before = F.get(lines, i)["kind"], F.get(lines, F.when(i > 0, i - 1))["kind"]
         return F.when(kind == "body", (i == 0) | (F.get(paragraphs, i) != F.get(paragraphs, F.greatest(i - 1, F.lit(0))))).otherwise((kind == "heading") | F.coalesce(before != "table", F.lit(True)))
 
-    return _let(_places(lines, begins), lambda at: F.transform(_parts(lines, at), block))
+    return let(places(lines, begins), lambda at: F.transform(parts(lines, at), block))
 
 
 def _lone_words_joined(blocks: Column) -> Column:
@@ -352,7 +332,7 @@ def _lone_words_joined(blocks: Column) -> Column:
         text = F.when(first["type"] != "table", F.array_join(F.transform(p, lambda b: b["text"]), " "))
         return F.struct(first["type"].alias("type"), first["level"].alias("level"), text.alias("text"), first["rows"].alias("rows"))
 
-    return _let(_places(blocks, stands), lambda at: F.when(F.size(at) == F.size(blocks), blocks).otherwise(F.transform(_parts(blocks, at), block)))
+    return let(places(blocks, stands), lambda at: F.when(F.size(at) == F.size(blocks), blocks).otherwise(F.transform(parts(blocks, at), block)))
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

@@ -40,3 +40,9 @@ def test_no_paths_are_exchanged(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.rindex("Exchange hashpartitioning(file_id") :]
     assert below.splitlines()[1].strip(" :+-*(0123456789)").startswith("Project")
+
+
+@pytest.mark.parametrize("name", ["word_blocks", "word_characters"])
+def test_elements_are_read_once(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
