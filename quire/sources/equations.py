@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.operators.arrays import let
+
 # The written forms. Around a slot (element/slot), and around an element: what stands
 # before and behind; {name} is the property of that name, after the bar its default.
 SLOTS = {
@@ -36,11 +38,8 @@ TAGS = {f"m:{x}" for x in [*PARTS, *PROPERTIES, *ELEMENTS, "t", "br"]} | {"w:br"
 
 
 def node() -> Column:
-    """What equation_text needs of a node."""
-    return F.struct(
-        "pre", "post", F.try_element_at("path", F.lit(-2)).alias("up"), F.try_element_at("path", F.lit(-3)).alias("upper"), F.regexp_replace(F.try_element_at("tags", F.lit(-1)), "^(m|w):", "").alias("tag"),
-        F.regexp_replace(F.coalesce(F.try_element_at("tags", F.lit(-2)), F.lit("")), "^m:", "").alias("over"), "twin", F.try_element_at("attrs", F.lit("m:val")).alias("val"), "text", "path",
-    )
+    """What equation_text needs of a row of markup.xml_places."""
+    return F.struct("pre", "post", "up", "upper", F.regexp_replace("tag", "^(m|w):", "").alias("tag"), F.regexp_replace(F.coalesce("over", F.lit("")), "^m:", "").alias("over"), "twin", F.col("a_m_val").alias("val"), "text")
 
 
 def _given(props: Column, owner: Column, name: str) -> Column:
@@ -76,8 +75,7 @@ def equation_text(nodes: Column) -> Column:
     """An array of node() of one formula -> its line: fractions as (a) / (b), roots as √(x), scripts as x_(i)^(n), a matrix's rows between semicolons."""
     props = F.transform(F.filter(nodes, lambda x: x["tag"].isin(*PROPERTIES) & x["over"].endswith("Pr") & x["val"].isNotNull()), lambda x: F.struct(x["upper"].alias("owner"), x["tag"].alias("name"), x["val"].alias("val")))
 
-    def signs(x: Column) -> Column:
-        slot = F.concat(x["over"], F.lit("/"), x["tag"])
+    def signs(x: Column, slot: Column, props: Column) -> Column:
         is_part = x["tag"].isin(*PARTS)
         before = [(slot == k, _sign(b, props, x["up"])) for k, (b, _) in SLOTS.items() if b]
         before += [(slot == k, F.when(x["twin"] > 0, _sign(s, props, x["up"])).otherwise("")) for k, s in BETWEEN.items()]
@@ -85,13 +83,20 @@ def equation_text(nodes: Column) -> Column:
         behind = [(slot == k, F.lit(b)) for k, (_, b) in SLOTS.items() if b]
         behind += [(x["tag"] == k, _sign(b, props, x["pre"])) for k, (_, b) in WHOLE.items() if b]
         own = F.when(x["tag"] == "t", F.coalesce(x["text"], F.lit(""))).when(x["tag"] == "br", "\n").otherwise("")
-        opened = F.concat(_choice(before), F.when(is_part, "\u0001").otherwise(""), own)
-        closed = F.concat(F.when(is_part | x["tag"].isin("nary", "func"), "\u0002").otherwise(""), _choice(behind))
+        plain = x["tag"].isin("t", "br")
+        opened = F.when(plain, own).otherwise(F.concat(_choice(before), F.when(is_part, "\u0001").otherwise("")))
+        closed = F.when(plain, "").otherwise(F.concat(F.when(is_part | x["tag"].isin("nary", "func"), "\u0002").otherwise(""), _choice(behind)))
         return F.array(F.struct(x["pre"].alias("at"), opened.alias("sign")), F.struct(x["post"].alias("at"), closed.alias("sign")))
 
-    hidden = F.transform(F.filter(nodes, lambda x: (x["tag"] == "deg") & ~F.coalesce(_given(props, x["up"], "degHide"), F.lit("1")).isin("0", "off", "false")), lambda x: x["pre"])
-    kept = F.filter(nodes, lambda x: ~F.arrays_overlap(x["path"], hidden) & ~x["over"].endswith("Pr"))
-    line = F.array_join(F.transform(F.array_sort(F.flatten(F.transform(kept, signs))), lambda x: x["sign"]), "")
+    def joined(props: Column, hidden: Column) -> Column:
+        kept = F.filter(nodes, lambda x: ~x["over"].endswith("Pr") & ~F.exists(hidden, lambda h: (h["pre"] <= x["pre"]) & (x["post"] <= h["post"])))
+        each = F.transform(kept, lambda x: let(F.concat(x["over"], F.lit("/"), x["tag"]), lambda slot: signs(x, slot, props)))
+        return F.array_join(F.transform(F.sort_array(F.flatten(each)), lambda x: x["sign"]), "")
+
+    def not_shown(props: Column) -> Column:
+        return F.filter(nodes, lambda x: (x["tag"] == "deg") & ~F.coalesce(_given(props, x["up"], "degHide"), F.lit("1")).isin("0", "off", "false"))
+
+    line = let(props, lambda props: let(not_shown(props), lambda hidden: joined(props, hidden)))
     # marks that no XML can hold: 1 and 2 begin and end a slot, 3 and 4 a root's degree, 5 and 6 what goes if it is empty
     line = F.regexp_replace(line, "\u0001[\\s\u0001]*", "")
     line = F.regexp_replace(line, "[\\s\u0002]*\u0002", "")

@@ -8,7 +8,7 @@ elements around it (tags and path, outermost first, itself last) and its attribu
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -92,8 +92,9 @@ def _problem(data: bytes) -> str | None:
     return None
 
 
-def _nodes(data: bytes | None, wanted: frozenset[str], step: int = 1 << 16) -> Iterator[list[tuple]]:
-    reader, data = _Reader(wanted), data or b""
+def _reported(data: bytes | None, reader: _Reader, blank: tuple, step: int = 1 << 16) -> Iterator[list[tuple]]:
+    """What the reader reports of a part; its problem, if there is one, stands behind the columns of blank."""
+    data = data or b""
     problem = _problem(data)
     try:
         for at in range(0, 0 if problem else len(data), step):
@@ -104,10 +105,39 @@ def _nodes(data: bytes | None, wanted: frozenset[str], step: int = 1 << 16) -> I
     except ValueError as e:
         problem = str(e)
     if problem:
-        reader.done.append((0, 0, 0, 0, [0], [], [0], None, None, problem))
+        reader.done.append((*blank, problem))
     yield reader.done
 
 
+def _nodes(data: bytes | None, wanted: frozenset[str]) -> Iterator[list[tuple]]:
+    return _reported(data, _Reader(wanted), (0, 0, 0, 0, [0], [], [0], None, None))
+
+
+#: Rows of a batch at least, where there are as many: small parts share batches.
+BATCH = 4096
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], xml: str, keys: list[str], kinds: dict[str, pa.DataType], reported: Callable[[bytes | None], Iterator[list[tuple]]]) -> Iterator[pa.RecordBatch]:
+    """What is reported of each part, with its keys, in batches that do not end with the part."""
+    for batch in batches:
+        own, held, owners = [batch.column(k) for k in keys], [], []
+
+        def made() -> pa.RecordBatch:
+            at = pa.array(owners, pa.int64())
+            columns = zip(*held, strict=True) if held else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([c.take(at) for c in own] + [pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], [*keys, *kinds])
+
+        for i, data in enumerate(batch.column(xml)):
+            for rows in reported(data.as_py()):
+                held += rows
+                owners += [i] * len(rows)
+                if len(held) >= BATCH:
+                    yield made()
+                    held, owners = [], []
+        if held:
+            yield made()
+
+
 def xml_nodes(parts: DataFrame, wanted: set[str], xml: str = "xml") -> DataFrame:
     """parts(keys..., xml) -> (keys..., NODE): a row for each element of a wanted name, wherever it stands.
 
@@ -120,17 +150,95 @@ def xml_nodes(parts: DataFrame, wanted: set[str], xml: str = "xml") -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema) + ", " + NODE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [batch.column(k) for k in keys]
-            for i, data in enumerate(batch.column(xml)):
-                for rows in _nodes(data.as_py(), names):
-                    columns = [pa.array([c[i].as_py()] * len(rows), c.type) for c in own]
-                    columns += [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(_ARROW.values())]
-                    yield pa.RecordBatch.from_arrays(columns, [*keys, *_ARROW])
+        return _in_batches(batches, xml, keys, _ARROW, lambda data: _nodes(data, names))
 
     return parts.select(*keys, F.col(xml).cast("binary").alias(xml)).mapInArrow(run, schema)
 
 
+class _Places(_Reader):
+    """Reports elements of the branches that are read with their numbers in their scopes, not with all that is around them."""
+
+    def __init__(self, wanted: frozenset[str], scopes: dict[str, str | None], outer: frozenset[str], attributes: tuple[str, ...]):
+        super().__init__(wanted)
+        self.slots, self.outer, self.attributes, self.names = {tag: i for i, tag in enumerate(scopes)}, outer, attributes, {}
+        self.within = [self.slots.get(scope) for scope in scopes.values()]
+        self.cleared = [tuple(k for k, scope in enumerate(scopes.values()) if scope == tag) for tag in scopes]
+        self.of_all, self.bare = [0] * len(scopes), (None,) * len(attributes)
+        # of an element: name, pre, elements in it so far (by name, too), twin, (number, depth, elements numbered in it) by scope and their numbers and depths as columns, outermost, whether it is read, attributes, text
+        self.open = [[None, None, 0, {}, 0, ((None,) * len(scopes), (None,) * (2 * len(scopes))), None, True, {}, []]]
+
+    def begin(self, name: str, attributes: dict[str, str]) -> None:
+        tag = self.names.get(name) or self.names.setdefault(name, _named(name))
+        if len(self.open) > MOST_DEPTH:
+            raise ValueError(f"elements are nested more than {MOST_DEPTH} deep")
+        over = self.open[-1]
+        read, near, outer, twin = over[7] and (over[0] != "mc:AlternateContent" or over[2] == 0), over[5], over[6], over[3].get(tag, 0)
+        over[2] += 1
+        over[3][tag] = twin + 1
+        slot = self.slots.get(tag)
+        if slot is not None and read and outer is None:
+            near = self.numbered(near, slot)
+        if outer is None and tag in self.outer:
+            outer = self.step
+        self.open.append([tag, self.step, 0, {}, twin, near, outer, read, attributes, []])
+        self.step += 1
+
+    def numbered(self, near: tuple, slot: int) -> tuple:
+        """The numbers around an element whose own is told: among those of its name in the scope's element, or in the part."""
+        scope, before, out = self.within[slot], near[0][slot], list(near[0])
+        counts = self.of_all if scope is None else out[scope] and out[scope][2]
+        if counts is None:
+            return near
+        out[slot] = (counts[slot], before[1] + 1 if before else 0, [0] * len(out))
+        counts[slot] += 1
+        for k in self.cleared[slot]:
+            out[k] = None
+            for j in self.cleared[k]:
+                out[j] = None
+        return tuple(out), tuple(x for n in out for x in (n[:2] if n else (None, None)))
+
+    def characters(self, text: str) -> None:
+        self.open[-1][9].append(text)
+
+    def end(self, _: str) -> None:
+        tag, pre, _, _, twin, near, outer, read, attributes, text = self.open.pop()
+        if read and tag in self.wanted:
+            over, above = self.open[-1], self.open[-2] if len(self.open) > 1 else self.open[0]
+            own = self.bare
+            if attributes:
+                told = {self.names.get(k) or self.names.setdefault(k, _named(k)): v for k, v in attributes.items()}
+                own = [told.get(a) for a in self.attributes]
+            self.done.append((pre, self.step, over[1], above[1], twin, tag, over[0], above[0], outer, *near[1], *own, "".join(text), None))
+        self.step += 1
+
+
+def xml_places(parts: DataFrame, wanted: set[str], scopes: dict[str, str | None], outer: set[str] = frozenset(), attributes: tuple[str, ...] = ()) -> DataFrame:
+    """parts(keys..., xml) -> a row for each element of a wanted name in the branches that are read, with a few columns of what is around it.
+
+    pre and post as of xml_nodes; up and upper, the pre of its parent and of that one's; twin; tag, over and above, its name
+    and theirs; outermost, the pre of the outermost element around it named in `outer`, itself included. For each name of
+    `scopes` no_<name> and in_<name>: the number of the nearest element of that name among those in the element its scope
+    names (None: the part), and how many of that name are around that. Elements inside one of `outer` have no numbers of
+    their own. a_<name> for each of `attributes`; text and problem as of xml_nodes.
+    """
+    keys = [c for c in parts.columns if c != "xml"]
+    local = {tag: tag.replace(":", "_") for tag in (*scopes, *attributes)}
+    columns = {**dict.fromkeys(("pre", "post", "up", "upper"), "long"), "twin": "int", **dict.fromkeys(("tag", "over", "above"), "string"), "outermost": "long"}
+    for tag in scopes:
+        columns |= {f"no_{local[tag]}": "long", f"in_{local[tag]}": "int"}
+    columns |= {f"a_{local[a]}": "string" for a in attributes} | {"text": "string", "problem": "string"}
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = {c: types[k] for c, k in columns.items()}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema] + [f"`{c}` {k}" for c, k in columns.items()])
+    names, outermost_of = frozenset(wanted), frozenset(outer)
+    blank = (0, 0, *[None] * (len(columns) - 3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(batches, "xml", keys, kinds, lambda data: _reported(data, _Places(names, scopes, outermost_of, attributes), blank))
+
+    return parts.select(*keys, F.col("xml").cast("binary").alias("xml")).mapInArrow(run, schema)
+
+
 def name() -> Column:
     return F.try_element_at("tags", F.lit(-1))
 

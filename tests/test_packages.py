@@ -6,6 +6,7 @@ import struct
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -237,6 +238,22 @@ def test_markup_too_deep_is_a_problem(spark):
     assert equations.TAGS >= {"m:oMath", "m:t"}
 
 
+def test_elements_are_numbered_in_their_scopes_and_small_parts_share_batches(spark):
+    xml = "<a><t><r><c/></r><r><c k='1'/><c><t><r><c/></r></t></c></r></t><f><t/><f/></f><c/></a>"
+    parts = spark.createDataFrame([(str(i), xml) for i in range(3)] + [("bad", "<")], "id string, xml string").coalesce(1)
+    places = markup.xml_places(parts, {"t", "r", "c", "f"}, {"t": None, "r": "t", "c": "r"}, {"f"}, ("k",))
+    got = [(r.tag, r.over, r.twin, r.no_t, r.in_t, r.no_r, r.no_c, r.a_k, r.outermost is not None) for r in places.filter("id = '1'").orderBy("pre").collect()]
+    assert got == [
+        ("t", "a", 0, 0, 0, None, None, None, False), ("r", "t", 0, 0, 0, 0, None, None, False), ("c", "r", 0, 0, 0, 0, 0, None, False), ("r", "t", 1, 0, 0, 1, None, None, False), ("c", "r", 0, 0, 0, 1, 0, "1", False),
+        ("c", "r", 1, 0, 0, 1, 1, None, False), ("t", "c", 0, 1, 1, None, None, None, False), ("r", "t", 0, 1, 1, 0, None, None, False), ("c", "r", 0, 1, 1, 0, 0, None, False),
+        ("f", "a", 0, None, None, None, None, None, True), ("t", "f", 0, None, None, None, None, None, True), ("f", "f", 0, None, None, None, None, None, True), ("c", "a", 0, None, None, None, None, None, False),
+    ]
+    assert places.filter("problem is not null").select("id").collect() == [("bad",)]
+    cells = [pa.array(["x", "y"]), pa.array([xml.encode(), xml.encode()])]
+    batches = markup._in_batches(iter([pa.RecordBatch.from_arrays(cells, ["id", "xml"])]), "xml", ["id"], markup._ARROW, lambda data: markup._nodes(data, frozenset("c")))
+    assert [b.num_rows for b in batches] == [10]
+
+
 def test_documents_that_are_no_xml(spark):
     parts = spark.createDataFrame([("a", "word/document.xml", None), ("b", "word/document.xml", "<w:document>"), ("c", "word/other.xml", "<")], "file_id string, part string, xml string")
     assert sorted((r.file_id, r.kind) for r in word.docx_elements(parts).collect()) == [("a", "problem"), ("b", "problem")]
