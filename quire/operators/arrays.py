@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with the value made once however often it is used.
+
+    It is a fold over nothing, as a fold hands on its value as it is; transform would copy what comes out, deeply.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 def median(values: Column) -> Column:
